@@ -1,0 +1,11 @@
+import pytest
+
+from corvane.session import local_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return local_session("tests")
+
+
+SF = "/root/testdata/sf0.001"
