@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import packing
+from corvane.llm import mixing, packing, token_counts, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_source_mixing": mixing.op3_source_mixing,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op8_wavelet_tokens": wavelet.op8_wavelet_tokens,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_source_mixing": mixing.ORACLE}
