@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import mixing, packing, token_counts, wavelet
+from corvane.llm import chats, mixing, near_duplicates, packing, token_counts, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": chats.op1_chat_formatting,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op8_wavelet_tokens": wavelet.op8_wavelet_tokens,
 }
 
-ORACLES: dict[str, str] = {"op3_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat_formatting": chats.ORACLE, "op3_source_mixing": mixing.ORACLE}

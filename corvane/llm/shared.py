@@ -140,3 +140,16 @@ class WordHashes:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hashed_words(texts: pa.Array, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased (A-Z alone) words, runs of other bytes than ASCII white space, and how many each text has."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    coded = lists.flatten().dictionary_encode()
+    words = [w or b"" for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    codes, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    real = np.array([len(w) > 0 for w in words], bool)[codes] if len(codes) else np.zeros(0, bool)
+    counts = np.diff(np.concatenate([[0], np.cumsum(real)])[bounds])
+    return (hashes(words)[codes][real] if len(codes) else np.zeros(0, np.uint64)), counts
