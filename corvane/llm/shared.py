@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,9 +66,11 @@ def split_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, siz
             yield batch.slice(start, step)
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
-    """The texts as UTF-8; a null is empty."""
-    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+def whole_texts(column: pa.Array) -> pa.Array:
+    """The texts as large strings, nulls as empty ones. A slice is copied first: casting a slice and then changing its texts mixes them up."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(column.take(pa.array(np.arange(len(column)))).cast(pa.large_string()), "")
 
 
 def arrow_schema(kind: T.StructType) -> pa.Schema:
@@ -93,12 +94,8 @@ _STATE: dict = {}
 
 
 def fold(column, modulus: int):
-    """crc32 of the key as text, modulo: the same fold in every engine."""
-    return F.crc32(column.cast("string").cast("binary")) % modulus
-
-
-def fold_of(key: int, modulus: int) -> int:
-    return zlib.crc32(str(key).encode()) % modulus
+    """crc32 of the key as text, modulo: the same fold in every engine. A null key is an empty text."""
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -146,7 +143,7 @@ def hashed_words(texts: pa.Array, hashes: WordHashes) -> tuple[np.ndarray, np.nd
     """Hashes of all lower-cased (A-Z alone) words, runs of other bytes than ASCII white space, and how many each text has."""
     import pyarrow.compute as pc
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(whole_texts(texts)))
     coded = lists.flatten().dictionary_encode()
     words = [w or b"" for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
     codes, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()

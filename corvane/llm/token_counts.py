@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.shared import arrow_schema, split_batches, table, worker_state
+from corvane.llm.shared import arrow_schema, split_batches, table, whole_texts, worker_state
 from corvane.llm.tokens import vocabulary
 
 #: Fixed values of the model file's format: field numbers, and the kinds of pieces that text can match.
@@ -126,7 +126,7 @@ class MergeCounter:
         return sum(map(self.count, re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+$", SPACE + text.replace(" ", SPACE)))) if text else 0
 
     def batch(self, texts: pa.Array) -> np.ndarray:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = whole_texts(texts)
         odd = pc.or_(pc.match_substring_regex(texts, f"  |^ | $|{SPACE}"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
         out = np.zeros(len(texts), np.int64)
         if odd.any():
@@ -158,7 +158,7 @@ def count_tokens(frame: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def counted(batches):
         counter, kind = worker_state(("merges", path), lambda: MergeCounter(path)), arrow_schema(schema)
-        for batch in split_batches(batches, 4096):
+        for batch in split_batches(batches, 16384, 16 << 20):
             tokens = counter.batch(batch.column(1))
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(tokens), pa.array(tokens > limit)], schema=kind)
