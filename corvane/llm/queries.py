@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import chats, mixing, near_duplicates, packing, token_counts, wavelet
+from corvane.llm import chats, mixing, near_duplicates, packing, quality, token_counts, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chats.op1_chat_formatting,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": mixing.op3_source_mixing,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_wavelet_tokens": wavelet.op8_wavelet_tokens,
 }
 
