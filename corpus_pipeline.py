@@ -1,17 +1,64 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next one."""
+"""The corpus pipeline: stages over documents, each written and read again before the next one.
+
+quality (classifier): documents predicted 0 go. language: documents whose language is unknown, or is not the one they claim, go.
+near_duplicates: one document of each group stays (five words a shingle, similarity 0.8). mixing: each document as often as its source's
+target asks for. packing: the sequences' pieces.
+
+Rows without identifier are scored and identified like any other and have no duplicates; of rows that share one, one stays after
+near_duplicates. Every stage takes an empty table and gives one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm.language import UNKNOWN, identify_language, learn_profiles
+from corvane.llm.mixing import mix_documents
+from corvane.llm.near_duplicates import near_duplicates
+from corvane.llm.packing import pack_documents
+from corvane.llm.quality import score_quality
+from corvane.llm.shared import Scratch, fold, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), columns=docs.columns)
+    return scored.filter("predicted = 1").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    profiles = learn_profiles(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    found = identify_language(docs, profiles, columns=docs.columns)
+    fits = (F.col("lang_pred") != UNKNOWN) & F.coalesce(F.col("lang") == F.col("lang_pred"), F.lit(True))
+    return found.filter(fits).select(*docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(docs, width=5).filter("NOT kept").select("doc_id").distinct()
+    left = docs.join(groups.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    again = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
+    if again.isEmpty():
+        return left
+    named = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return named.unionByName(left.filter("doc_id IS NULL"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicate), ("mixing", mixing), ("packing", packing)]
 
 #: The stages train models, sketch and pack; SQL can't say that. Tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
