@@ -9,8 +9,9 @@ ROWS coordinates give keys; 32 bands of 5 miss a pair of similarity 0.8 with pro
 2. Each node is held against the smallest node of its buckets (one pair a node), on full sets of shingles; links give components.
 3. Where a bucket still has several components, nodes outside its largest one are held against a node of that one.
 4. What is still apart in a bucket is compared sketch by sketch inside blocks of the bucket: nodes outside the largest component against
-   all others. No pair leaves a task unless its sketches agree in over MAYBE of their coordinates (5 standard deviations below
-   0.8); those pairs are verified on full sets. So components are exact up to the sketches' chance, and pairs inside components are never listed.
+   all others. Only (node, other component) leaves a task, where some member's sketch agrees in MAYBE of its coordinates (5 standard
+   deviations below 0.8). Each such node then meets the component's members, again in blocks, on full sets. So components are exact up
+   to the sketches' chance, and pairs are never listed.
 
 Defined cases: null and blank texts have the empty set and link with nothing; rows without identifier link with nothing, their component
 is null and they are kept; rows that share an identifier are one document (their links unite; of differing texts the least is verified); an empty table gives no rows; further
@@ -117,10 +118,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("was"), F.least("component", "near").alias("label"))
         own = labels.select(F.col("node").alias("label"), F.col("component").alias("further"))
         after = scratch.keep(lower.join(own, "label").select("node", "was", F.least("label", "further").alias("component")), "labels")
-        changed = after.filter("component <> was").isEmpty()
+        settled = after.filter("component <> was").isEmpty()
         scratch.drop(labels)
         labels = after
-        if changed:
+        if settled:
             return labels.select("node", "component")
 
 
@@ -149,49 +150,82 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratc
     return scratch.keep(joined.mapInArrow(test, schema), "links")
 
 
-def _close_in_blocks(members: DataFrame, node_type: T.DataType, percent: int):
-    """Rows (key, block, probe, node, n, component, sketch), sorted by key and block: pairs of a probe and another member of other components whose sketches nearly agree."""
-    schema = T.StructType([T.StructField("a", node_type), T.StructField("b", node_type)])
-
-    def compare(group: dict) -> Iterator[pa.RecordBatch]:
-        probe = np.flatnonzero(group["probe"])
-        build = np.flatnonzero(~group["probe"])
-        if not len(probe) or not len(build):
-            return
-        sketches, size, part = group["sketch"], group["n"], group["component"]
-        for start in range(0, len(probe), 64):
-            some = probe[start : start + 64]
-            least, most = np.minimum(size[some][:, None], size[build]), np.maximum(size[some][:, None], size[build])
-            able = (part[some][:, None] != part[build]) & (100 * least >= percent * most)
-            x, y = np.nonzero(able)
-            for at in range(0, len(x), 20_000):
-                i, j = some[x[at : at + 20_000]], build[y[at : at + 20_000]]
-                near = (sketches[i] == sketches[j]).mean(axis=1) >= MAYBE
-                if near.any():
-                    one, two = group["node"].take(pa.array(i[near])), group["node"].take(pa.array(j[near]))
-                    yield pa.RecordBatch.from_arrays([one, two], schema=arrow_schema(schema))
-
-    def walk(batches):
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def group():
-            whole = pa.Table.from_batches(held).combine_chunks()
-            return {"probe": whole["probe"].to_numpy(zero_copy_only=False), "n": whole["n"].to_numpy(), "component": np.unique(whole["component"].to_numpy(zero_copy_only=False), return_inverse=True)[1], "node": whole["node"].combine_chunks(), "sketch": np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint16).reshape(len(whole), -1)}
-
-        for batch in split_batches(batches, 8192):
-            key = batch.column("key").to_numpy() * 31 + batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and key[a] != last:
-                    yield from compare(group())
-                    held = []
+def _walk(batches: Iterator[pa.RecordBatch], prepare, compare) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group, block and probe. Of each group and block, a block's own rows are held and prepared; its probes stream past them."""
+    last, held, ready = None, [], None
+    for batch in split_batches(batches, 4096):
+        group, block, probe = batch.column("group").to_pylist(), batch.column("block").to_numpy(), batch.column("probe").to_numpy(zero_copy_only=False)
+        changes = [i for i in range(1, len(group)) if group[i] != group[i - 1] or block[i] != block[i - 1] or probe[i] != probe[i - 1]]
+        for a, b in zip([0, *changes], [*changes, len(group)], strict=True):
+            if (group[a], block[a]) != last:
+                last, held, ready = (group[a], block[a]), [], None
+            if not probe[a]:
                 held.append(batch.slice(a, b - a))
-                last = key[a]
-        if held:
-            yield from compare(group())
+            elif held:
+                ready = ready or prepare(pa.Table.from_batches(held).combine_chunks())
+                yield from compare(ready, batch.slice(a, b - a))
 
-    return members.mapInArrow(walk, schema)
+
+def _sketches(column) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint16).reshape(len(rows), -1)
+
+
+def _near_components(dealt: DataFrame, percent: int) -> DataFrame:
+    """dealt: group, block, probe, node, n, component, sketch -> (node, component): probes and other components of which a member's sketch is close."""
+    schema = T.StructType([T.StructField(x, dealt.schema["node"].dataType) for x in ("node", "component")])
+
+    def prepare(rows: pa.Table):
+        component = rows["component"].combine_chunks()
+        return _sketches(rows["sketch"]), rows["n"].to_numpy(), component, np.array(component.to_pylist(), object)
+
+    def compare(ready, probes: pa.RecordBatch):
+        sketches, size, component, known = ready
+        own, n, part = _sketches(probes.column("sketch")), probes.column("n").to_numpy(), np.array(probes.column("component").to_pylist(), object)
+        for i in range(len(own)):
+            at = np.flatnonzero((known != part[i]) & (100 * np.minimum(size, n[i]) >= percent * np.maximum(size, n[i])))
+            at = at[(sketches[at] == own[i]).mean(axis=1) >= MAYBE] if len(at) else at
+            if len(at):
+                found = component.take(pa.array(at)).unique()
+                yield pa.RecordBatch.from_arrays([probes.column("node").take(pa.array(np.full(len(found), i))), found], schema=arrow_schema(schema))
+
+    return dealt.mapInArrow(lambda batches: _walk(batches, prepare, compare), schema)
+
+
+def _exact_links(dealt: DataFrame, width: int, percent: int) -> DataFrame:
+    """dealt: group, block, probe, node, sketch, text -> (a, b): each probe with one row of the block whose full set is similar enough."""
+    schema = T.StructType([T.StructField(x, dealt.schema["node"].dataType) for x in ("a", "b")])
+
+    def prepare(rows: pa.Table):
+        sets = shingle_sets(rows["text"].combine_chunks(), width)
+        return _sketches(rows["sketch"]), sets, rows["node"].combine_chunks()
+
+    def compare(ready, probes: pa.RecordBatch):
+        sketches, sets, nodes = ready
+        own, mine = _sketches(probes.column("sketch")), shingle_sets(probes.column("text"), width)
+        one, two = [], []
+        for i, x in enumerate(mine):
+            agree = (sketches == own[i]).mean(axis=1)
+            for j in np.argsort(-agree, kind="stable"):
+                if agree[j] < MAYBE:
+                    break
+                common = len(np.intersect1d(x, sets[j], assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(sets[j]) - common) > 0:
+                    one.append(i)
+                    two.append(j)
+                    break
+        if one:
+            yield pa.RecordBatch.from_arrays([probes.column("node").take(pa.array(one)), nodes.take(pa.array(two))], schema=arrow_schema(schema))
+
+    return dealt.mapInArrow(lambda batches: _walk(batches, prepare, compare), schema)
+
+
+def _in_blocks(own: DataFrame, probes: DataFrame, total) -> DataFrame:
+    """Rows of a group in blocks of about BLOCK, and each of its probes at every block. Both have group, and `total` (of the group's own rows)."""
+    blocks = F.ceil(total / BLOCK).cast("int")
+    build = own.withColumn("block", F.pmod(F.hash("node"), blocks)).withColumn("probe", F.lit(False)).drop("total")
+    streamed = probes.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("probe", F.lit(True)).drop("total")
+    return build.unionByName(streamed).repartition("group", "block").sortWithinPartitions("group", "block", "probe")
 
 
 def near_duplicates(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
@@ -208,7 +242,7 @@ def near_duplicates(frame: DataFrame, id_column: str = "doc_id", text_column: st
     shared = in_bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("most")).filter("least.node < most").select("key", "least")
     members = scratch.keep(in_bands.join(shared, "key"), "members")
     repeated = _repeated(able)
-    wanted = source.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
+    wanted = source.join(members.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
     texts = scratch.keep(wanted.groupBy("node").agg(F.min("text").alias("text")) if repeated else wanted, "texts")
     # 2. one pair a node: its buckets' smallest node of a size that can link
     able_sizes = 100 * F.least("n", F.col("least.n")) >= percent * F.greatest("n", F.col("least.n"))
@@ -226,18 +260,19 @@ def near_duplicates(frame: DataFrame, id_column: str = "doc_id", text_column: st
             candidates = apart.join(largest, "key").filter((F.col("component") != F.col("top.component")) & (100 * F.least("n", F.col("top.chosen.n")) >= percent * F.greatest("n", F.col("top.chosen.n"))))
             pairs = candidates.groupBy(F.col("node").alias("a"), F.col("top.component").alias("c")).agg(F.min("top.chosen.node").alias("b")).select("a", "b")
             pairs = scratch.keep(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        else:  # 4. all that is left, block by block
-            sized = apart.join(nodes.select("node", "sketch"), "node").join(largest, "key")
-            blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-            build = sized.select("key", F.pmod(F.hash("node"), blocks).alias("block"), F.lit(False).alias("probe"), "node", "n", "component", "sketch")
-            probe = sized.filter(F.col("component") != F.col("top.component")).select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("probe"), "node", "n", "component", "sketch")
-            dealt = build.unionByName(probe).repartition("key", "block").sortWithinPartitions("key", "block")
-            found = _close_in_blocks(dealt, nodes.schema["node"].dataType, percent)
-            ordered = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-            done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            pairs = scratch.keep(ordered.join(done, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs.select("a", "b"))
-        more = _verify(pairs, texts, width, percent, scratch)
+            more = _verify(pairs, texts, width, percent, scratch)
+        else:  # 4. all that is left: which components are near a node, then the node against their members
+            sized = apart.join(nodes.select("node", "sketch"), "node").join(largest, "key").withColumnRenamed("key", "group")
+            columns = ["group", "node", "n", "component", "sketch", "total"]
+            dealt = _in_blocks(sized.select(*columns), sized.filter(F.col("component") != F.col("top.component")).select(*columns), F.col("total"))
+            near = scratch.keep(_near_components(dealt, percent).distinct(), "near")
+            within = members.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("group"))
+            within = scratch.keep(within.join(near.select(F.col("component").alias("group")).distinct(), "group", "left_semi"), "within")
+            totals = within.groupBy("group").agg(F.count("*").alias("total"))
+            full = texts.join(nodes.select("node", "sketch"), "node")
+            probes = near.select("node", F.col("component").alias("group"))
+            dealt = _in_blocks(within.join(totals, "group").join(full, "node"), probes.join(totals, "group").join(full, "node"), F.col("total"))
+            more = scratch.keep(_exact_links(dealt, width, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links, scratch)
