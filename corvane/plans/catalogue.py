@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from corvane.plans import evidence, inventory, relations
+from corvane.plans.registry import ORACLES, QUERIES
+
+MODULES = (inventory, relations, evidence)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sinks that an untrusted source reaches, under their rule."""
     return QUERIES["taint_events"](spark, sf_dir)
+
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
