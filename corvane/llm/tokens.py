@@ -15,16 +15,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from corvane.llm.shared import worker_state
+from corvane.llm.shared import whole_texts, worker_state
 
 #: Chunks that a worker remembers (about 200 bytes each); beyond that it starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
 #: Longer chunks are not remembered.
 CHUNK_CHARS = 48
-#: A chunk that may be learnt in parts: a line end or space, letters, signs. Every pattern of the family cuts between these (apostrophes are left out: they may begin a suffix).
-PARTS = re.compile("(\n?)( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-#: Texts that go to the library whole: white space beside white space, or a character that isn't surely no white space.
-WHOLE = r"[ \n][ \n]|[^\n\x20-\x7e\x{a1}-\x{167f}\x{1681}-\x{180d}\x{180f}-\x{1fff}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{2070}-\x{2fff}\x{3001}-\x{d7ff}\x{f900}-\x{fdff}\x{1f000}-\x{1faff}]"
+#: A chunk that the model may encode without the library's pattern: letters alone.
+LETTERS_ALONE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Every pattern of the family cuts between a letter and these signs (apostrophes are left out: they may begin a suffix).
+SIGNS = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!#$%&*,.:;?|])"
+#: Before a chunk that no space stands before.
+CLOSE = "\x02"
+#: Texts that go to the library whole: with white space beside white space where that has identifiers, a special string, or a character that isn't surely no white space.
+RUNS = r"[ \n][ \n]"
+OTHERS = r"<\||[^\n\x20-\x7e\x{a1}-\x{167f}\x{1681}-\x{180d}\x{180f}-\x{1fff}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{2070}-\x{2fff}\x{3001}-\x{d7ff}\x{f900}-\x{fdff}\x{1f000}-\x{1faff}]"
 #: How byte-level vocabularies write the bytes of a letter: printable Latin-1 characters stand for themselves, the rest follow from U+0100 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _REST = [b for b in range(256) if b not in set(_SHOWN)]
@@ -35,7 +40,8 @@ LETTERS = {c: "".join(BYTE_CHARS[b] for b in chr(c).encode()) for c in range(0x2
 class PackedEncoder:
     """batch(texts) -> all identifiers of the texts in turn, and how many each text has.
 
-    Keys of the cache: a chunk without the space before it; with the line end before it; or, at a text's start, with a tab before it.
+    Keys of the cache: a chunk without the space before it; where none stands before it, a mark; or a line end alone.
+    Where white space has no identifiers, the vocabulary is one of lower-case words, and keys are lower-case chunks alone.
     """
 
     def __init__(self, path: str):
@@ -46,34 +52,29 @@ class PackedEncoder:
         self.model = self.library.model
         self.spaced = bool(self._ids(" "))  # does white space have identifiers?
         self.line = self._ids("\n")
-        probe = ["Émile", "queß", "thandering", "Zo", "&&&", "on.", "!!", "***"]  # do words alone give what the whole gives?
-        self.by_model = all(self._part(x) == self._ids(x) and self._part(" " + x) == self._ids(" " + x) for x in probe if x != "on.")
+        probe = ["Émile", "queß", "thandering", "Zo", "a"]  # do words alone give what the whole gives?
+        self.by_model = all(self._part(x) == self._ids(x) and self._part(" " + x) == self._ids(" " + x) for x in probe)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.lengths, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
-        self.parts: dict[str, list[int]] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _part(self, word: str) -> list[int]:
-        """Of a word or of signs, with the space before it if white space counts."""
+        """Of letters, with the space before them if white space counts."""
         word = word if self.spaced else word.lower().lstrip()
         return [t.id for t in self.model.tokenize(word.translate(LETTERS))] if word else []
 
     def _of(self, key: str) -> list[int]:
-        text = key[1:] if key[:1] == "\t" else key if key[:1] == "\n" else f" {key}"
-        if not self.by_model or len(text) > CHUNK_CHARS or not (cut := PARTS.fullmatch(text)):
-            return self._ids(text)
-        line, space, word, signs = cut.groups()
-        out = self._part(space + word)
-        if signs:
-            if (more := self.parts.get(signs)) is None:
-                more = self.parts[signs] = self._ids(signs)
-            out = out + more
-        return self.line + out if line else out
+        space, text = (" ", key) if self.spaced else ("", key)
+        if key[:1] == CLOSE:
+            space, text = "", key[1:]
+        if key == "\n":
+            return self.line
+        return self._part(space + text) if self.by_model and LETTERS_ALONE.fullmatch(text) else self._ids(space + text)
 
     def _learn(self, fresh: list[str]) -> None:
         known, n = self.known, len(self.known)
@@ -91,7 +92,12 @@ class PackedEncoder:
         known.update(zip(fresh, range(n, n + len(new)), strict=True))
 
     def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\t", pa.large_string()), texts, pa.scalar("", pa.large_string())), "\n", " \n"), " ")
+        if self.spaced:
+            text = pc.replace_substring(pc.binary_join_element_wise(pa.scalar(CLOSE, pa.large_string()), texts, pa.scalar("", pa.large_string())), "\n", f" \n {CLOSE}")
+            texts = pc.replace_substring_regex(text, SIGNS, f"\\1 {CLOSE}\\2")
+        else:  # A-Z alone: what the library's own lower-casing does to the rest is left to it
+            texts = pc.replace_substring_regex(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), SIGNS, "\\1 \\2")
+        lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
         keys = coded.dictionary.to_pylist()
         get = self.known.get
@@ -110,10 +116,10 @@ class PackedEncoder:
         return ids, np.diff(bounds)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = whole_texts(texts)
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        whole = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, f"{RUNS}|{OTHERS}" if self.spaced else OTHERS).to_numpy(zero_copy_only=False)
         if not whole.any():
             return self._chunked(texts)
         ids, sizes = self._chunked(texts.filter(pa.array(~whole))) if not whole.all() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))

@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,18 @@ BLOCK_BITS = 512
 @dataclass
 class Plane:
     bits: np.ndarray  # one byte a bit
-    ones_before: np.ndarray  # at each block
     zeros: int
 
     @classmethod
     def of(cls, packed: bytes, n: int) -> Plane:
         bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=n)
-        blocks = np.add.reduceat(bits, np.arange(0, n, BLOCK_BITS), dtype=np.int64) if n else np.zeros(0, np.int64)
-        return cls(bits, np.concatenate([[0], np.cumsum(blocks)]), n - int(blocks.sum()))
+        return cls(bits, n - int(np.count_nonzero(bits)))
+
+    @cached_property
+    def ones_before(self) -> np.ndarray:
+        """At each block; made when first asked for."""
+        blocks = np.add.reduceat(self.bits, np.arange(0, len(self.bits), BLOCK_BITS), dtype=np.int64) if len(self.bits) else np.zeros(0, np.int64)
+        return np.concatenate([[0], np.cumsum(blocks)])
 
     def rank1(self, at: int) -> int:
         block = at // BLOCK_BITS
@@ -109,11 +114,13 @@ class WaveletShard:
 
     def tokens(self) -> np.ndarray:
         """All of them: the planes undone from the lowest up."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for level, plane in enumerate(reversed(self.planes)):
-            ones = plane.bits.astype(bool)
-            back = np.empty(self.n, np.uint32)
-            back[~ones], back[ones] = out[: plane.zeros], out[plane.zeros :] | np.uint32(1 << level)
+            ones = plane.bits.view(bool)
+            back = np.empty(self.n, kind)
+            out[plane.zeros :] |= kind(1 << level)
+            back[~ones], back[ones] = out[: plane.zeros], out[plane.zeros :]
             out = back
         return out
 
@@ -124,8 +131,10 @@ def encode_shard(ids: np.ndarray, documents: pa.Table) -> bytes:
     with pa.ipc.new_stream(sink, documents.schema) as writer:
         writer.write_table(documents)
     parts, width, left = [pack(sink.getvalue().to_pybytes())], max(1, int(ids.max()).bit_length() if len(ids) else 1), ids
+    if width <= 16:
+        left = ids.astype(np.uint16)
     for level in range(width - 1, -1, -1):
-        ones = (left >> np.uint32(level) & np.uint32(1)).astype(bool)
+        ones = (left & left.dtype.type(1 << level)).astype(bool)
         parts.append(pack(np.packbits(ones).tobytes()))
         left = np.concatenate([left[~ones], left[ones]])
     head = json.dumps({"tokens": len(ids), "bits": width, "parts": [len(x) for x in parts]}).encode()
@@ -168,7 +177,7 @@ def write_shards(frame: DataFrame, folder: str, id_column: str = "doc_id", text_
             return row
 
         rows = []
-        for batch in split_batches(batches, 4096, 4 << 20):
+        for batch in split_batches(batches, 16384, 16 << 20):
             ids, own = encode.batch(batch.column(1))
             ends = np.cumsum(own)
             ids, own, ends = np.insert(ids, ends, end), own + 1, ends + np.arange(1, len(own) + 1)
