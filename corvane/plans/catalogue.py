@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import evidence, fixpoint, inventory, relations
+from corvane.plans import evidence, fixpoint, frontend, inventory, relations
 from corvane.plans.registry import ORACLES, QUERIES
 
-MODULES = (inventory, relations, evidence, fixpoint)
+MODULES = (inventory, relations, evidence, fixpoint, frontend)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
