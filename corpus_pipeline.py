@@ -22,14 +22,14 @@ from corvane.llm.shared import Scratch, fold, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = score_quality(docs, table(spark, sf_dir, "labels"), columns=docs.columns)
-    return scored.filter("predicted = 1").select(*docs.columns)
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), columns=docs.columns, names=("__score", "__predicted"))
+    return scored.filter("__predicted = 1").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = learn_profiles(docs.filter(fold(F.col("doc_id"), 4) != 2))
-    found = identify_language(docs, profiles, columns=docs.columns)
-    fits = (F.col("lang_pred") != UNKNOWN) & F.coalesce(F.col("lang") == F.col("lang_pred"), F.lit(True))
+    found = identify_language(docs, profiles, columns=docs.columns, names=("__lang", "__score"))
+    fits = (F.col("__lang") != UNKNOWN) & F.coalesce(F.col("lang") == F.col("__lang"), F.lit(True))
     return found.filter(fits).select(*docs.columns)
 
 

@@ -90,37 +90,36 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray
     return {lang: np.array(p, np.int64) for lang, p in profiles.items()}
 
 
-def identify_language(docs: DataFrame, profiles: dict[str, np.ndarray], columns: list[str] | None = None, own_size: int = OWN) -> DataFrame:
-    """The named columns of the documents (doc_id without any) with lang_pred and score (1 at no distance, 0 at the full penalty)."""
+def identify_language(docs: DataFrame, profiles: dict[str, np.ndarray], columns: list[str] | None = None, own_size: int = OWN, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The named columns of the documents (doc_id without any) with lang_pred and score, or as `names` call them (1 at no distance, 0 at the full penalty)."""
     keep = columns or ["doc_id"]
-    names = sorted(profiles)
-    every = np.unique(np.concatenate([profiles[x] for x in names])) if names else np.zeros(0, np.int64)
+    known = sorted(profiles)
+    every = np.unique(np.concatenate([profiles[x] for x in known])) if known else np.zeros(0, np.int64)
     longest = max([len(p) for p in profiles.values()], default=1)
-    places = np.full((len(every) + 1, len(names)), -1, np.int64)  # the last row is of n-grams in no profile
-    for k, x in enumerate(names):
+    places = np.full((len(every) + 1, len(known)), -1, np.int64)  # the last row is of n-grams in no profile
+    for k, x in enumerate(known):
         places[np.searchsorted(every, profiles[x]), k] = np.arange(len(profiles[x]))
-    model = docs.sparkSession.sparkContext.broadcast((names, every, places, longest))
+    model = docs.sparkSession.sparkContext.broadcast((known, every, places, longest))
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
     at = source.columns.index("text")
-    schema = T.StructType([*[source.schema[c] for c in keep], *ddl("lang_pred string, score double").fields])
+    schema = T.StructType([*[source.schema[c] for c in keep], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, every, places, longest = model.value
+        langs, every, places, longest = model.value
         for batch in split_batches(batches, 4096):
             found, scores = [], []
             for text in letters_alone(batch.column(at)).to_pylist():
                 gram, n = np.unique(grams(text)[0], return_counts=True)
-                if not len(gram) or not names:
+                if not len(gram) or not langs:
                     found.append(UNKNOWN)
                     scores.append(0.0)
                     continue
                 order = np.lexsort((gram, -n))[:own_size]
-                known = np.searchsorted(every, gram[order])
-                known = np.where(every[np.minimum(known, len(every) - 1)] == gram[order], known, len(every))
-                place = places[known]
+                row = np.searchsorted(every, gram[order])
+                place = places[np.where(every[np.minimum(row, len(every) - 1)] == gram[order], row, len(every))]
                 distance = np.where(place < 0, longest, np.abs(place - np.arange(len(order))[:, None])).sum(axis=0)
                 best = int(distance.argmin())
-                found.append(names[best])
+                found.append(langs[best])
                 scores.append(1 - float(distance[best]) / (longest * len(order)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array(scores, pa.float64())], schema=arrow_schema(schema))
 

@@ -63,8 +63,9 @@ def plan_mix(frame: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 def mix_documents(frame: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the frame's own columns."""
-    mixed = plan_mix(frame, **how).filter("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*frame.columns)
+    own = frame.select(*[F.col(c).alias(f"__own_{c}") for c in frame.columns], *[F.col(how.get(f"{x}_column", d)).alias(d) for x, d in (("id", "doc_id"), ("text", "text"), ("source", "source"))])
+    mixed = plan_mix(own, **{k: v for k, v in how.items() if not k.endswith("_column")}).filter("copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"__own_{c}").alias(c) for c in frame.columns])
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

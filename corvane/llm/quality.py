@@ -169,13 +169,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     return fit([np.frombuffer(got["places"][i], "<u4").astype(np.int64) for i in order], np.array([1.0 if got["quality"][i] == 1 else -1.0 for i in order]))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, threshold: float = 0.3, **how) -> DataFrame:
-    """The named columns of the documents (doc_id without any) with score and predicted."""
+def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted"), **how) -> DataFrame:
+    """The named columns of the documents (doc_id without any) with score and predicted, or as `names` call them."""
     keep = columns or ["doc_id"]
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **how))
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
     at = source.columns.index("text")
-    schema = T.StructType([*[source.schema[c] for c in keep], *ddl("score double, predicted int").fields])
+    schema = T.StructType([*[source.schema[c] for c in keep], T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, slope, shift = model.value

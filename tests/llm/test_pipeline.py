@@ -48,6 +48,10 @@ def test_empty_and_odd_documents(spark):
     for frame in (docs.limit(0), odd):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, frame, SF).count() >= 0
+    clash = docs.limit(60).selectExpr("*", "doc_id AS size", "doc_id AS score", "lang AS target", "doc_id AS predicted", "doc_id AS copies", "text AS lang_pred", "doc_id AS kept", "doc_id AS n", "doc_id AS piece")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, clash, SF)
+        assert after.columns == clash.columns and 0 < after.count() == after.filter("size = doc_id AND score = doc_id AND kept = doc_id").count()
 
 
 def test_run(spark):
