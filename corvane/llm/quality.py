@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.shared import CACHE_ENTRIES, arrow_schema, ddl, fold, mix64, split_batches, table, whole_texts, worker_state
+from corvane.llm.shared import CACHE_ENTRIES, arrow_schema, ddl, fold, free_memory, mix64, split_batches, table, whole_texts, worker_state
 
 PLACES = 1 << 18
-SAMPLE = 20_000
+SAMPLE = 10_000
 LEAST_ROWS = 3  # a feature that fewer sampled rows have is left out
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _AGAIN = np.uint64(0x51ED270B)
@@ -166,7 +166,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` small rows
     got = own.select(F.col("doc_id").cast("string"), F.col("quality").cast("int"), "text").mapInArrow(extract, schema).limit(4 * sample).toArrow().to_pydict()
     order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["places"][i]))
-    return fit([np.frombuffer(got["places"][i], "<u4").astype(np.int64) for i in order], np.array([1.0 if got["quality"][i] == 1 else -1.0 for i in order]))
+    rows, labels = [np.frombuffer(got["places"][i], "<u4").astype(np.int64) for i in order], np.array([1.0 if got["quality"][i] == 1 else -1.0 for i in order])
+    del got
+    model = fit(rows, labels)
+    del rows
+    free_memory()
+    return model
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted"), **how) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -83,9 +86,19 @@ def ddl(schema: str) -> T.StructType:
     return T._parse_datatype_string(schema)
 
 
+def free_memory() -> None:
+    """Hands back to the system what Python and Arrow no longer use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_state(key: tuple, make: Callable):
-    """What a Python worker keeps between tasks: one object a key, made when first asked for."""
+    """What a Python worker keeps between tasks: one object, of the operator that it runs. Another operator's goes, and its memory with it."""
     if key not in _STATE:
+        _STATE.clear()
+        free_memory()
         _STATE[key] = make()
     return _STATE[key]
 
