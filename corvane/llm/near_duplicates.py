@@ -302,3 +302,21 @@ def _apart(members: DataFrame, labels: DataFrame, seed: int) -> tuple[DataFrame,
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+l AS (
+  SELECT doc_id, CASE WHEN len(words) >= 4 THEN list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS list, len(words) AS n_words FROM w),
+s AS (SELECT doc_id, unnest(list) AS shingle FROM l),
+n AS (SELECT doc_id, CAST(len(list) AS BIGINT) AS n FROM l),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * common >= 80 * (x.n + y.n - common)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON r.node = u.a WHERE u.b > r.root),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(c.root, n.doc_id) AS component_id, coalesce(c.root, n.doc_id) = n.doc_id AS kept
+FROM n LEFT JOIN c ON n.doc_id = c.node
+"""

@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_approximate_neighbours": approximate_search.op10_approximate_neighbours,
 }
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": chats.ORACLE, "op3_source_mixing": mixing.ORACLE, "op4_exact_top_k": exact_search.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat_formatting": chats.ORACLE, "op3_source_mixing": mixing.ORACLE, "op4_exact_top_k": exact_search.ORACLE, "op6_near_duplicates": near_duplicates.ORACLE}

@@ -4,8 +4,8 @@ from collections import defaultdict
 
 import numpy as np
 
-from corvane.llm.near_duplicates import SKETCH, near_duplicates, op6_near_duplicates, similarity_sketch
-from tests.llm.conftest import SF
+from corvane.llm.near_duplicates import ORACLE, SKETCH, near_duplicates, op6_near_duplicates, similarity_sketch
+from tests.llm.compare import duck
 
 
 def shingles(text, width):
@@ -62,6 +62,7 @@ def test_equals_brute_force(spark):
     got = sorted(map(tuple, op6_near_duplicates(spark, "/root/testdata/sf0.01").collect()), key=str)
     assert got == brute_force(rows)
     assert len({r[2] for r in got}) < len(got)
+    assert sorted(map(tuple, duck("/root/testdata/sf0.01").sql(ORACLE).fetchall()), key=str) == got
 
 
 def test_chains_groups_and_edges(spark):
