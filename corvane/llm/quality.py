@@ -158,13 +158,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     schema = ddl("doc_id string, quality int, places binary")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in split_batches(batches, 2048):
+        for batch in split_batches(batches, 1024, 4 << 20):
             found, bounds = features(batch.column(2))
             places = [(found[a:b] & (PLACES - 1)).astype("<u4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary())], schema=arrow_schema(schema))
 
     own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` small rows
-    got = own.select(F.col("doc_id").cast("string"), F.col("quality").cast("int"), "text").mapInArrow(extract, schema).limit(4 * sample).toArrow().to_pydict()
+    got = own.select(F.col("doc_id").cast("string"), F.col("quality").cast("int"), "text").mapInArrow(extract, schema).groupBy("doc_id", "quality").agg(F.min("places").alias("places")).toArrow().to_pydict()
     order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["places"][i]))
     rows, labels = [np.frombuffer(got["places"][i], "<u4").astype(np.int64) for i in order], np.array([1.0 if got["quality"][i] == 1 else -1.0 for i in order])
     del got
@@ -184,7 +184,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, slope, shift = model.value
-        for batch in split_batches(batches, 2048):
+        for batch in split_batches(batches, 1024, 4 << 20):
             found, bounds = features(batch.column(at))
             sums = np.concatenate([[0.0], np.cumsum(weights[found & (PLACES - 1)])])
             out = 1 / (1 + np.exp(-np.clip(slope * (sums[bounds[1:]] - sums[bounds[:-1]]) + shift, -500, 500)))
