@@ -92,6 +92,13 @@ def cls_binary_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return small.select("doc_id", classify.control_percent(F.encode("text", "UTF-8")).alias("control_percent"))
 
 
+@query("""SELECT doc_id, CAST(CASE WHEN len(b) > 0 THEN len(list_filter(b, lambda x: x < '20' AND x NOT IN ('09', '0A', '0C', '0D') OR x = '7F')) * 100 // len(b) ELSE 0 END AS BIGINT) AS control_percent
+FROM (SELECT doc_id, regexp_extract_all(left(hex(encode(text)), 2 * 8192), '..') AS b FROM documents)""")
+def cls_binary_ratio_all(spark: SparkSession, sf: str) -> DataFrame:
+    """cls_binary_ratio for documents of any size: of long ones, the first SAMPLE_BYTES."""
+    return table(spark, sf, "documents").select("doc_id", classify.control_percent(F.encode("text", "UTF-8")).alias("control_percent"))
+
+
 NEEDLES = ["the", "class=", "&amp;", "table", "h2", "é"]
 
 
