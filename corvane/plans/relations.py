@@ -136,6 +136,13 @@ def graph_components(spark: SparkSession, sf: str) -> DataFrame:
     return graph.components(edges)
 
 
+@query("""WITH RECURSIVE e AS (SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+w(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, w.root FROM w JOIN u ON w.node = u.a) SELECT node, min(root) AS component FROM w GROUP BY node""")
+def graph_components_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Components over every order, with the customers and orders themselves as nodes."""
+    return graph.components(table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("o"), "o_orderkey").alias("b")))
+
+
 @query("""WITH c AS (SELECT DISTINCT sha256(text) AS f, CAST(doc_id AS VARCHAR) AS k FROM documents WHERE doc_id % 10 <> 3),
 b AS (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS f, CAST(doc_id AS VARCHAR) AS k FROM documents WHERE doc_id % 10 <> 5)
 SELECT CASE WHEN f IN (SELECT f FROM b) THEN 'unchanged' WHEN k IN (SELECT k FROM b) THEN 'changed' ELSE 'new' END AS state, f AS fingerprint, k AS related_key FROM c
