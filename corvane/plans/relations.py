@@ -49,11 +49,25 @@ o AS (SELECT name, scope, count(*) AS n, min(part_id) AS part_id FROM t GROUP BY
 SELECT c.call_id, CASE WHEN o.n = 1 THEN 'own' WHEN o.n IS NULL AND a.n = 1 THEN 'anywhere' ELSE 'none' END AS tier, CASE WHEN o.n = 1 THEN o.part_id WHEN o.n IS NULL AND a.n = 1 THEN a.part_id END AS part_id
 FROM c LEFT JOIN o USING (name, scope) LEFT JOIN a USING (name)""")
 def join_unique_match(spark: SparkSession, sf: str) -> DataFrame:
-    targets = table(spark, sf, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("name"), (F.col("p_size") % 5).cast("long").alias("scope"))
+    return _unique_match(spark, sf, table(spark, sf, "part").filter("p_partkey % 3 = 0"))
+
+
+def _unique_match(spark: SparkSession, sf: str, part: DataFrame) -> DataFrame:
+    targets = part.select(F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("name"), (F.col("p_size") % 5).cast("long").alias("scope"))
     calls = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("call_id"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 40).alias("name"), (F.col("s_nationkey") % 5).cast("long").alias("scope"))
     return joins.unique_match(calls, targets, "name", "scope", "part_id").select("call_id", "tier", "part_id")
 
 
+@query("""WITH t AS (SELECT p_partkey AS part_id, p_brand AS name, CAST(p_size % 5 AS BIGINT) AS scope FROM part),
+c AS (SELECT s_suppkey AS call_id, 'Brand#' || (s_suppkey % 40) AS name, CAST(s_nationkey % 5 AS BIGINT) AS scope FROM supplier),
+o AS (SELECT name, scope, count(*) AS n, min(part_id) AS part_id FROM t GROUP BY ALL), a AS (SELECT name, count(*) AS n, min(part_id) AS part_id FROM t GROUP BY ALL)
+SELECT c.call_id, CASE WHEN o.n = 1 THEN 'own' WHEN o.n IS NULL AND a.n = 1 THEN 'anywhere' ELSE 'none' END AS tier, CASE WHEN o.n = 1 THEN o.part_id WHEN o.n IS NULL AND a.n = 1 THEN a.part_id END AS part_id
+FROM c LEFT JOIN o USING (name, scope) LEFT JOIN a USING (name)""")
+def join_unique_match_all(spark: SparkSession, sf: str) -> DataFrame:
+    """join_unique_match with every part as a candidate."""
+    return _unique_match(spark, sf, table(spark, sf, "part"))
+
+
 @query("""WITH k AS (SELECT DISTINCT regexp_replace(url, '/[^/]*$', '') AS prefix FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 7 = 0)
 SELECT p.page_id, arg_max(k.prefix, length(k.prefix)) AS prefix FROM pages p LEFT JOIN k ON p.url = k.prefix OR starts_with(p.url, k.prefix || '/') GROUP BY p.page_id""")
 def join_longest_prefix(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,6 +76,15 @@ def join_longest_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return joins.longest_prefix(pages, known, "url", "prefix").select("page_id", "prefix")
 
 
+@query("""WITH k AS (SELECT regexp_replace(url, '/[^/]*$', '') AS prefix FROM pages UNION SELECT url FROM pages)
+SELECT p.page_id, arg_max(k.prefix, length(k.prefix)) AS prefix FROM pages p LEFT JOIN k ON p.url = k.prefix OR starts_with(p.url, k.prefix || '/') GROUP BY p.page_id""")
+def join_longest_prefix_all(spark: SparkSession, sf: str) -> DataFrame:
+    """join_longest_prefix with the folders and addresses of every page known."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    known = pages.select(F.regexp_replace("url", "/[^/]*$", "").alias("prefix")).union(pages.select("url"))
+    return joins.longest_prefix(pages, known, "url", "prefix").select("page_id", "prefix")
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS place FROM conversations)
 SELECT u.conv_id, CAST(u.place AS INT) AS place, u.turn AS asked, a.turn AS answered FROM r u JOIN r a ON u.conv_id = a.conv_id AND u.place = a.place WHERE u.role = 'user' AND a.role = 'assistant'""")
 def join_positional(spark: SparkSession, sf: str) -> DataFrame:
