@@ -133,6 +133,13 @@ def _supply_edges(spark: SparkSession, sf: str) -> DataFrame:
     return down.unionByName(back).distinct()
 
 
+def _all_supply_edges(spark: SparkSession, sf: str) -> DataFrame:
+    line = table(spark, sf, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).distinct()
+    both = line.unionByName(line.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    return both.withColumn("key", F.concat_ws(">", "source", "target"))
+
+
+_ALL_SUPPLY = """e AS (SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem)"""
 _SUPPLY = """e AS (SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 2)"""
 
 
@@ -140,18 +147,41 @@ _SUPPLY = """e AS (SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey
 w(node, depth) AS (SELECT 'p1', 0 UNION SELECT g.target, w.depth + 1 FROM w JOIN g ON w.node = g.source WHERE w.depth < 3)
 SELECT node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY node""")
 def graph_reach_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    return _reach_bounded(spark, sf, _supply_edges(spark, sf))
+
+
+def _reach_bounded(spark: SparkSession, sf: str, supply: DataFrame) -> DataFrame:
     guards = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.concat(F.lit("p"), "l_partkey", F.lit(">s"), "l_suppkey").alias("key"))
-    edges = graph.unguarded(_supply_edges(spark, sf), guards)
+    edges = graph.unguarded(supply, guards)
     return graph.bounded_paths(edges, spark.createDataFrame([("p1",)], "node string"), 3, keep_path=False).select("node", "depth")
 
 
+@query(f"""WITH RECURSIVE {_ALL_SUPPLY}, g AS (SELECT * FROM e WHERE NOT (source || '>' || target IN (SELECT 'p' || l_partkey || '>' || 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'R'))),
+w(node, depth) AS (SELECT 'p1', 0 UNION SELECT g.target, w.depth + 1 FROM w JOIN g ON w.node = g.source WHERE w.depth < 3)
+SELECT node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY node""")
+def graph_reach_bounded_all(spark: SparkSession, sf: str) -> DataFrame:
+    """graph_reach_bounded over the links of every line, in both directions."""
+    return _reach_bounded(spark, sf, _all_supply_edges(spark, sf))
+
+
 @query(f"""WITH RECURSIVE {_SUPPLY}, w(node, path) AS (SELECT 'p1', 'p1' UNION ALL SELECT e.target, w.path || '>' || e.target FROM w JOIN e ON w.node = e.source WHERE length(w.path) - length(replace(w.path, '>', '')) < 2)
 SELECT node, CAST(length(path) - length(replace(path, '>', '')) AS INT) AS depth, path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY length(path) - length(replace(path, '>', '')), string_split(path, '>')) AS n FROM w) WHERE n = 1""")
 def graph_min_path(spark: SparkSession, sf: str) -> DataFrame:
-    found = graph.bounded_paths(_supply_edges(spark, sf), spark.createDataFrame([("p1",)], "node string"), 2)
+    return _min_path(spark, _supply_edges(spark, sf))
+
+
+def _min_path(spark: SparkSession, supply: DataFrame) -> DataFrame:
+    found = graph.bounded_paths(supply, spark.createDataFrame([("p1",)], "node string"), 2)
     return found.select("node", "depth", F.array_join("path", ">").alias("path"))
 
 
+@query(f"""WITH RECURSIVE {_ALL_SUPPLY}, w(node, path) AS (SELECT 'p1', 'p1' UNION ALL SELECT e.target, w.path || '>' || e.target FROM w JOIN e ON w.node = e.source WHERE length(w.path) - length(replace(w.path, '>', '')) < 2)
+SELECT node, CAST(length(path) - length(replace(path, '>', '')) AS INT) AS depth, path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY length(path) - length(replace(path, '>', '')), string_split(path, '>')) AS n FROM w) WHERE n = 1""")
+def graph_min_path_all(spark: SparkSession, sf: str) -> DataFrame:
+    """graph_min_path over the links of every line, in both directions."""
+    return _min_path(spark, _all_supply_edges(spark, sf))
+
+
 @query("""WITH RECURSIVE e AS (SELECT o_custkey % 400 AS a, 1000 + o_orderkey % 900 AS b FROM orders WHERE o_orderkey % 11 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 w(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, w.root FROM w JOIN u ON w.node = u.a) SELECT node, min(root) AS component FROM w GROUP BY node""")
 def graph_components(spark: SparkSession, sf: str) -> DataFrame:
