@@ -5,6 +5,7 @@ digits and signs with repeats drawn together; a token equal to the one before it
 log-count ratio between the classes; a linear model with squared hinge loss is fitted on them by dual coordinate descent; cross-fitted
 margins are turned into probabilities by a logistic curve. The model is fitted on the driver from at most SAMPLE labelled rows (those of
 the least hash), so its cost and the broadcast weights are bounded; every text is scored whole, in one pass without a shuffle.
+A token of more than PIECE characters (a text without white space, say) counts as its successive pieces of that length.
 
 Defined cases: a null text is an empty one, its score is that of no features; labels that are null, or of unknown documents, are left
 out; with labels of one class or none every score is their share (0.5 without any); a null identifier counts as an empty text for its
@@ -27,6 +28,7 @@ from corvane.llm.shared import CACHE_ENTRIES, arrow_schema, ddl, fold, free_memo
 
 PLACES = 1 << 18
 SAMPLE = 10_000
+PIECE = 256
 LEAST_ROWS = 3  # a feature that fewer sampled rows have is left out
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _AGAIN = np.uint64(0x51ED270B)
@@ -49,7 +51,7 @@ class Shapes:
         for w in words:
             if (got := known.get(w)) is None:
                 text = w.decode("utf-8", "replace")
-                shape = _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text[:256]))
+                shape = _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text))
                 got = xxh3_64_intdigest(w.lower()), xxh3_64_intdigest(shape.encode())
                 if len(w) <= 64:
                     known[w] = got
@@ -58,14 +60,30 @@ class Shapes:
         return both[:, 0], both[:, 1]
 
 
+def _pieces(words: list[bytes], codes: np.ndarray, rows: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The same with each long word as its pieces: distinct words, and each place's word and row."""
+    known: dict[bytes, int] = {}
+    cut = []
+    for w in words:
+        text = w.decode("utf-8", "replace") if len(w) > PIECE else ""
+        parts = [text[i : i + PIECE].encode() for i in range(0, len(text), PIECE)] if len(text) > PIECE else [w]
+        cut.append([known.setdefault(p, len(known)) for p in parts])
+    sizes = np.array([len(c) for c in cut])
+    starts, times = np.cumsum(sizes) - sizes, sizes[codes]
+    inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return list(known), np.concatenate(cut)[np.repeat(starts[codes], times) + inside], np.repeat(rows, times)
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct (row << 18 | place) of all texts, and each row's bounds in them."""
     lists = pc.ascii_split_whitespace(whole_texts(texts))
     coded = lists.flatten().dictionary_encode()
     words = [w or b"" for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
-    own, shape = worker_state(("shapes",), Shapes)(words)
     codes = coded.indices.to_numpy()
     rows = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    if any(len(w) > PIECE for w in words):
+        words, codes, rows = _pieces(words, codes, rows)
+    own, shape = worker_state(("shapes",), Shapes)(words)
     real = np.array([len(w) > 0 for w in words], bool)[codes] if len(codes) else np.zeros(0, bool)
     codes, rows = codes[real], rows[real]
     with np.errstate(over="ignore"):
