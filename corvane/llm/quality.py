@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from corvane.llm.shared import CACHE_ENTRIES, arrow_schema, ddl, fold, free_memory, mix64, split_batches, table, whole_texts, worker_state
 
 PLACES = 1 << 18
-SAMPLE = 10_000
+SAMPLE = 20_000
 PIECE = 256
 LEAST_ROWS = 3  # a feature that fewer sampled rows have is left out
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
