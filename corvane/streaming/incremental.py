@@ -38,4 +38,4 @@ def run_once(spark: SparkSession, folder: str, schema, checkpoint: str, target:
     """Takes what is new in a folder of event files through the stream, and stops. Only unseen files are read again."""
     stream = spark.readStream.schema(schema).parquet(folder)
     query = tainted_stream(stream).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination(300)
+    query.awaitTermination()
