@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -34,29 +35,53 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark._jsc is None else spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_OPEN: list = []
+
+
+@atexit.register
+def _close_all() -> None:
+    """Results are read after the call that made their tables, so what a call leaves goes when the driver program ends."""
+    while _OPEN:
+        spark, folder = _OPEN.pop()
+        with contextlib.suppress(Exception):  # the session may be gone by then
+            _delete(spark, folder)
+
+
 class Scratch:
-    """Tables of one call in the shared folder. They cut lineage, outlive lost executors, and go when they are dropped."""
+    """Tables of one call in the shared folder. They cut lineage and outlive lost executors. What a result needs no more is dropped at once, the rest when the program ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        _OPEN.append((spark, self.folder))
 
     def path(self, name: str) -> str:
         self.n += 1
         return f"{self.folder}/{self.n:03d}-{name}"
 
-    def keep(self, frame: DataFrame, name: str) -> DataFrame:
+    def keep(self, frame: DataFrame, name: str, **options) -> DataFrame:
         """Writes the frame as Parquet and reads it again."""
         path = self.path(name)
-        frame.write.parquet(path)
+        frame.write.options(**options).parquet(path)
         back = self.spark.read.schema(frame.schema).parquet(path)
         back._scratch_path = path
         return back
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(frame._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, frame._scratch_path)
+
+
+def files_of(folder: str) -> list[str]:
+    """The Parquet files of a kept table, for workers that read it themselves."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    return sorted(f"{folder}/{f.base_name}" for f in store.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".parquet"))
 
 
 def split_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
