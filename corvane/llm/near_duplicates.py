@@ -5,7 +5,7 @@ earliest round that reached it; from round SKETCH on, a round serves one bin alo
 coordinate of two sets agrees with probability near their similarity, with the concentration of independent samples. Bands of
 ROWS coordinates give keys; 32 bands of 5 miss a pair of similarity 0.8 with probability 3e-6.
 
-1. Equal sets are one node, named by their smallest identifier: exact copies never become pairs.
+1. Equal sets are one node, named by their smallest identifier (and by the set too where identifiers repeat): exact copies never become pairs.
 2. Each node is held against the smallest node of its buckets (one pair a node), on full sets of shingles; links give components.
 3. Where a bucket still has several components, nodes outside its largest one are held against a node of that one.
 4. What is still apart in a bucket is compared sketch by sketch inside blocks of the bucket: nodes outside the largest component against
@@ -13,9 +13,12 @@ ROWS coordinates give keys; 32 bands of 5 miss a pair of similarity 0.8 with pro
    deviations below 0.8). Each such node then meets the component's members, again in blocks, on full sets. So components are exact up
    to the sketches' chance, and pairs are never listed.
 
+A node that many others are held against (a hub) gets its text once a block of BLOCK of them, so no task sees all of a large group, and
+joins that carry identifiers and labels alone are left to adaptive execution, which splits a hot key.
+
 Defined cases: null and blank texts have the empty set and link with nothing; rows without identifier link with nothing, their component
-is null and they are kept; rows that share an identifier are one document (their links unite; of differing texts the least is verified); an empty table gives no rows; further
-columns are ignored.
+is null and they are kept; rows that share an identifier are one document: each of their sets is a node, those are linked, and all the
+rows have one component; an empty table gives no rows; texts of any length are taken whole; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,6 +89,13 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return keys
 
 
+def set_hash(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name a set."""
+    with np.errstate(over="ignore"):
+        high = np.array([mix64(x).sum(dtype=np.uint64) for x in sets], np.uint64)
+        return high.view(np.int64), np.array([mix64(x + _MULTIPLIER).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+
+
 def _sketched(id_type: T.DataType, width: int):
     schema = T.StructType([T.StructField("doc_id", id_type), *ddl("n_shingles long, high long, low long, bands array<long>, sketch binary").fields])
 
@@ -96,14 +106,12 @@ def _sketched(id_type: T.DataType, width: int):
             sketches = np.zeros((len(sets), SKETCH), np.uint64)
             for i in full:
                 sketches[i] = similarity_sketch(sets[i])
-            with np.errstate(over="ignore"):
-                high = np.array([mix64(x).sum(dtype=np.uint64) for x in sets], np.uint64)
-                low = np.array([mix64(x + _MULTIPLIER).sum(dtype=np.uint64) for x in sets], np.uint64)
+            high, low = set_hash(sets)
             filled = np.array([len(x) > 0 for x in sets], bool)
             offsets = np.concatenate([[0], np.cumsum(filled * (SKETCH // ROWS))]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band_keys(sketches[filled]).view(np.int64).ravel() if filled.any() else np.zeros(0, np.int64)))
             small = [x.tobytes() if f else None for x, f in zip(sketches.astype(np.uint16), filled, strict=True)]
-            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), keys, pa.array(small, pa.binary())]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(high), pa.array(low), keys, pa.array(small, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(schema, columns, strict=True)]))
 
     return sketch, schema
@@ -126,28 +134,26 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    """The pairs (a, b) whose full sets are similar enough. The texts of a stream past that of b, in blocks of about BLOCK of them."""
     schema = T.StructType([f for f in pairs.schema if f.name in "ab"])
-
-    def test(batches):
-        known: dict = {}
+    totals = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.hash("a"), F.col("blocks")).alias("block")
+    streamed = pairs.select("a", "b").join(totals, "b").select("a", "b", block).join(texts.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("group"), "block", F.lit(True).alias("probe"), F.col("a").alias("node"), "text")
+    hubs = totals.join(texts.withColumnRenamed("node", "b"), "b").select(F.col("b").alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("probe"), F.col("b").alias("node"), "text")
+    dealt = hubs.unionByName(streamed).repartition("group", "block").sortWithinPartitions("group", "block", "probe")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.uint64)
         for batch in split_batches(batches, 2048):
-            b = batch.column("b").to_pylist()
-            fresh = {x: i for i, x in enumerate(b) if x not in known}
-            first = shingle_sets(batch.column("text_a"), width)
-            if fresh:
-                more = shingle_sets(batch.column("text_b").take(pa.array(list(fresh.values()))), width)
-                known = {x: s for x, s in known.items() if x in set(b)} | dict(zip(fresh, more, strict=True))
             keep = []
-            for x, key in zip(first, b, strict=True):
-                y = known[key]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=arrow_schema(schema)).filter(pa.array(keep))
+            for x, probe in zip(shingle_sets(batch.column("text"), width), batch.column("probe").to_pylist(), strict=True):
+                if not probe:  # stands before its block's rows
+                    hub = x
+                common = len(np.intersect1d(x, hub, assume_unique=True)) if probe else 0
+                keep.append(100 * common >= percent * (len(x) + len(hub) - common) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("group")], schema=arrow_schema(schema)).filter(pa.array(keep))
 
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return scratch.keep(joined.mapInArrow(test, schema), "links")
+    return scratch.keep(dealt.mapInArrow(test, schema), "links")
 
 
 def _walk(batches: Iterator[pa.RecordBatch], prepare, compare) -> Iterator[pa.RecordBatch]:
@@ -236,20 +242,27 @@ def near_duplicates(frame: DataFrame, id_column: str = "doc_id", text_column: st
     sketch, schema = _sketched(source.schema[0].dataType, width)
     docs = scratch.keep(source.mapInArrow(sketch, schema), "docs")
     able = docs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.keep(able.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    nodes = scratch.keep(able.join(classes.select("high", "low", F.col("node").alias("doc_id")), ["high", "low", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch"), "nodes")
+    repeated = not able.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    own = F.concat_ws(":", F.col("doc_id").cast("string"), "high", "low") if repeated else F.col("doc_id")
+    able = able.withColumn("own", own)
+    classes = scratch.keep(able.groupBy("high", "low").agg(F.min("own").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    nodes = able.join(classes.select("high", "low", F.col("node").alias("own")), ["high", "low", "own"], "left_semi").select(F.col("own").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch")
+    nodes = scratch.keep(nodes.dropDuplicates(["node"]) if repeated else nodes, "nodes")
     in_bands = nodes.select(F.explode("bands").alias("key"), "node", "n")
     shared = in_bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("most")).filter("least.node < most").select("key", "least")
     members = scratch.keep(in_bands.join(shared, "key"), "members")
-    repeated = _repeated(able)
-    wanted = source.join(members.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
-    texts = scratch.keep(wanted.groupBy("node").agg(F.min("text").alias("text")) if repeated else wanted, "texts")
+    texts = scratch.keep(_texts_of(members.select("node").distinct(), source, width, repeated), "texts")
+    same = _same_identifier(able, classes) if repeated else None
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return components(links.unionByName(same) if repeated else links, scratch)
+
     # 2. one pair a node: its buckets' smallest node of a size that can link
     able_sizes = 100 * F.least("n", F.col("least.n")) >= percent * F.greatest("n", F.col("least.n"))
     pairs = scratch.keep(members.filter((F.col("node") > F.col("least.node")) & able_sizes).groupBy(F.col("node").alias("a")).agg(F.min("least.node").alias("b")), "pairs")
     links = _verify(pairs, texts, width, percent, scratch)
     tested = pairs.select("a", "b")
-    labels = components(links, scratch)
+    labels = labelled(links)
     # 3. in buckets of several components: nodes outside the largest against one node of it
     for seed in (1, 2):
         apart, largest = _apart(members, labels, seed)
@@ -275,21 +288,44 @@ def near_duplicates(frame: DataFrame, id_column: str = "doc_id", text_column: st
             more = scratch.keep(_exact_links(dealt, width, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
-            labels = components(links, scratch)
-    linked = classes.join(labels, "node", "left").filter("copies > 1 OR component IS NOT NULL").select("high", "low", F.coalesce("component", "node").alias("component"))
+            labels = labelled(links)
+    linked = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if repeated:  # a label is a node there; the component is the least identifier in it
+        linked = linked.join(linked.groupBy("component").agg(F.min("least").alias("id")), "component").filter("copies > 1 OR id <> least").select("high", "low", F.col("id").alias("component"))
+    else:
+        linked = linked.filter("copies > 1 OR component <> node").select("high", "low", "component")
+    linked = scratch.keep(linked, "linked")
+    scratch.drop_others(docs, linked)
     result = docs.select("doc_id", "n_shingles", "high", "low").join(linked, ["high", "low"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    out = result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
-    if repeated:  # rows that share an identifier share the least component of any of them
-        own = Window.partitionBy("doc_id")
-        out = out.withColumn("component_id", F.min("component_id").over(own)).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
-    return out
+    out = result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    if repeated:  # blank rows have no node, but share their identifier's component
+        least = out.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        out = out.drop("component_id").join(least, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _texts_of(wanted: DataFrame, source: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """node, text of the wanted nodes. Where identifiers repeat, a row's node is known by its set, which is made again for the rows in question."""
+    if not repeated:
+        return source.join(wanted.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
+    some = source.withColumn("doc_id", F.col("doc_id").cast("string")).join(wanted.select(F.regexp_replace("node", ":-?[0-9]+:-?[0-9]+$", "").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    schema = ddl("node string, text string")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in split_batches(batches, 2048):
+            high, low = set_hash(shingle_sets(batch.column(1), width))
+            names = [f"{x}:{h}:{w}" for x, h, w in zip(batch.column(0).to_pylist(), high.tolist(), low.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1)], schema=arrow_schema(schema))
+
+    return some.select("doc_id", "text").mapInArrow(name, schema).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
-def _repeated(able: DataFrame) -> bool:
-    """Whether an identifier stands in several rows."""
-    return not able.groupBy("doc_id").count().filter("count > 1").isEmpty()
+def _same_identifier(able: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the nodes of one identifier: each to the least of them."""
+    held = able.select("doc_id", "high", "low").distinct().join(classes.select("high", "low", "node"), ["high", "low"]).select("doc_id", "node")
+    least = held.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return held.join(least, "doc_id").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
 
 
 def _apart(members: DataFrame, labels: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:

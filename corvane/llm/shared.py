@@ -57,6 +57,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.kept: list[DataFrame] = []
         _OPEN.append((spark, self.folder))
 
     def path(self, name: str) -> str:
@@ -69,11 +70,17 @@ class Scratch:
         frame.write.options(**options).parquet(path)
         back = self.spark.read.schema(frame.schema).parquet(path)
         back._scratch_path = path
+        self.kept.append(back)
         return back
 
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             _delete(self.spark, frame._scratch_path)
+        self.kept = [x for x in self.kept if not any(x is y for y in frames)]
+
+    def drop_others(self, *needed: DataFrame) -> None:
+        """All that a result doesn't read."""
+        self.drop(*[x for x in self.kept if not any(x is y for y in needed)])
 
 
 def files_of(folder: str) -> list[str]:

@@ -22,6 +22,10 @@ def brute_force(rows, width=4, percent=80):
             i = parent[i]
         return i
 
+    first = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:  # rows of one identifier are one document
+            parent[top(i)] = top(first.setdefault(doc, i))
     index = defaultdict(list)
     for i, s in enumerate(sets):
         seen = set()
@@ -82,3 +86,31 @@ def test_chains_groups_and_edges(spark):
     assert run(spark, rows, width=5) == brute_force(rows, 5)
     assert run(spark, [*rows[:5], rows[0]]) == brute_force([*rows[:5], rows[0]])
     assert run(spark, []) == []
+
+
+def test_repeated_identifiers_with_other_texts(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(rng.choice("abcdefghijklmnop") * 2 + str(rng.randrange(900)) for _ in range(60)) for _ in range(3))
+    assert run(spark, [(7, a), (7, b), (8, b + " more")]) == brute_force([(7, a), (7, b), (8, b + " more")])
+    rows = [(3, a), (7, a), (7, b), (9, b + " more"), (11, c), (7, None), (12, c + " x"), (None, a), (11, "short one"), (20, "short one"), (5, ""), (5, " ")]
+    got = run(spark, rows)
+    assert got == brute_force(rows)
+    assert {r[0]: r[2] for r in got if r[0]} == {3: 3, 7: 3, 9: 3, 11: 11, 12: 11, 20: 11, 5: 5}
+    rng.shuffle(rows)
+    assert run(spark, rows) == brute_force(rows)
+    strings = spark.createDataFrame([(f"d:{i}", t) for i, t in rows if i], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(strings).collect()}["d:9"] == "d:3"
+
+
+def test_very_long_texts_and_a_hub_of_many_blocks(spark):
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
+    other = [w if rng.random() > 0.02 else "changed" for w in long]
+    base = [f"v{i}" for i in range(80)]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:60_000]))]
+    for i in range(1300):  # each differs from the first by a word of its own
+        rows.append((10 + i, " ".join([*base[: 1 + i % 79], f"own{i}", *base[2 + i % 79 :]])))
+    rows.append((9, " ".join(base)))
+    got = {r[0]: r[2] for r in run(spark, rows)}
+    assert got[1] == got[2] == 1 and got[3] == 3
+    assert {got[10 + i] for i in range(1300)} == {9}
