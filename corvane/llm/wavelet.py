@@ -1,14 +1,18 @@
 """Token identifiers in wavelet matrices: one compressed file a shard, readable at any place.
 
-A file holds a shard's identifiers as bit-planes, the highest bit first; each plane stably parts the sequence by its bit. With counts of
-ones before each 512 bits, a plane answers rank and select, and the planes together give access to a token, the count of an identifier
-before a place, and the place of its k-th occurrence, without decoding the rest. Planes and the table of documents are packed by zstd.
-
-Documents are dealt by ranges of their identifier and sorted within them, so shards follow one another in ascending order (nulls first,
-equal identifiers by text). A shard closes at SHARD_TOKENS; a longer document has a shard of its own, so memory is bounded by that and
-by the longest document. Files are written under a temporary name and moved, so that a task may run again.
-
-Defined cases: a null text is an empty one and has its end mark alone; null or repeated identifiers stay; an empty table gives no files.
+A file holds a shard's identifiers as bit-planes, the highest bit first; each plane stably parts the sequence by its bit. A plane is cut
+into frames of FRAME_BITS bits, each packed by zstd alone, and a directory holds how many ones stand before each frame and where it lies
+in the file. So a plane answers rank and select from the directory and one frame, and the planes together give access to a token, the
+count of an identifier before a place, and the place of its k-th occurrence, from one or two frames a plane; the rest is neither read nor
+unpacked. Planes stay packed in memory. Whole shards are decoded a plane at a time.
+
+Documents are dealt by ranges of (identifier, hash of the text) and sorted within them, so shards follow one another in ascending order of
+identifiers (nulls first, equal ones by hash and text). A shard closes at SHARD_TOKENS; a longer document has a shard of its own, so
+memory is bounded by that and by the longest document, whose text is taken whole. Files are written under a temporary name and moved, so
+that a task may run again.
+
+Defined cases: a null text is an empty one and has its end mark alone; null or repeated identifiers stay; an empty table gives no files;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +21,6 @@ import json
 import struct
 import uuid
 import zlib
-from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -30,61 +33,81 @@ from pyspark.sql import types as T
 from corvane.llm.shared import Scratch, arrow_schema, split_batches, table
 from corvane.llm.tokens import encoder, vocabulary
 
-MAGIC = b"CVWM\x01"
+MAGIC = b"CVWM\x02"
 SHARD_TOKENS = 1 << 20
-BLOCK_BITS = 512
+FRAME_BITS = 1 << 16
+FRAMES_KEPT = 4
 
 
-@dataclass
 class Plane:
-    bits: np.ndarray  # one byte a bit
-    zeros: int
+    """One bit of every token. read(offset, length) gives bytes of the file; ones_before and offsets have one entry more than there are frames."""
 
-    @classmethod
-    def of(cls, packed: bytes, n: int) -> Plane:
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=n)
-        return cls(bits, n - int(np.count_nonzero(bits)))
+    def __init__(self, read, n: int, ones_before: np.ndarray, offsets: np.ndarray):
+        self.read, self.n, self.ones_before, self.offsets = read, n, ones_before, offsets
+        self.zeros, self.recent = n - int(ones_before[-1]), {}
 
-    @cached_property
-    def ones_before(self) -> np.ndarray:
-        """At each block; made when first asked for."""
-        blocks = np.add.reduceat(self.bits, np.arange(0, len(self.bits), BLOCK_BITS), dtype=np.int64) if len(self.bits) else np.zeros(0, np.int64)
-        return np.concatenate([[0], np.cumsum(blocks)])
+    def frame(self, k: int) -> np.ndarray:
+        """Its packed bits."""
+        if k not in self.recent:
+            if len(self.recent) == FRAMES_KEPT:
+                del self.recent[next(iter(self.recent))]
+            at = int(self.offsets[k])
+            self.recent[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.read(at, int(self.offsets[k + 1]) - at)), np.uint8)
+        return self.recent[k]
+
+    def bit(self, at: int) -> int:
+        k, at = divmod(at, FRAME_BITS)
+        return int(self.frame(k)[at >> 3]) >> (7 - (at & 7)) & 1
 
     def rank1(self, at: int) -> int:
-        block = at // BLOCK_BITS
-        return int(self.ones_before[block]) + int(self.bits[block * BLOCK_BITS : at].sum())
+        k, rest = divmod(at, FRAME_BITS)
+        if not rest:
+            return int(self.ones_before[k])
+        packed = self.frame(k)
+        some = int.from_bytes(packed[: rest >> 3].tobytes(), "big").bit_count()
+        return int(self.ones_before[k]) + some + ((int(packed[rest >> 3]) >> (8 - (rest & 7))).bit_count() if rest & 7 else 0)
 
     def select(self, bit: int, k: int) -> int:
         """The place of the k-th (from 0) such bit."""
-        starts = self.ones_before if bit else np.minimum(np.arange(len(self.ones_before)) * BLOCK_BITS, len(self.bits)) - self.ones_before
-        block = int(np.searchsorted(starts, k, "right")) - 1
-        own = self.bits[block * BLOCK_BITS : (block + 1) * BLOCK_BITS]
-        return block * BLOCK_BITS + int(np.flatnonzero(own == bit)[k - int(starts[block])])
+        before = self.ones_before if bit else np.minimum(np.arange(len(self.ones_before)) * FRAME_BITS, self.n) - self.ones_before
+        frame = int(np.searchsorted(before, k, "right")) - 1
+        bits = np.unpackbits(self.frame(frame), count=min(FRAME_BITS, self.n - frame * FRAME_BITS))
+        return frame * FRAME_BITS + int(np.flatnonzero(bits == bit)[k - int(before[frame])])
+
+    def bits(self) -> np.ndarray:
+        """All of them, one byte each."""
+        start, unpack = int(self.offsets[0]), zstandard.ZstdDecompressor().decompress
+        data = self.read(start, int(self.offsets[-1]) - start) if len(self.offsets) > 1 else b""
+        packed = b"".join(unpack(data[a - start : b - start]) for a, b in zip(self.offsets.tolist(), self.offsets[1:].tolist(), strict=False))
+        return np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n)
 
 
 class WaveletShard:
-    """A shard read from its file's bytes."""
+    """A shard in an open file (anything with read_at(length, offset), as Arrow's files have)."""
 
-    def __init__(self, data: bytes):
-        if data[: len(MAGIC)] != MAGIC:
+    def __init__(self, file):
+        read = lambda offset, length: bytes(file.read_at(length, offset))
+        lead = read(0, len(MAGIC) + 4)
+        if lead[: len(MAGIC)] != MAGIC:
             raise ValueError("not a wavelet shard")
-        (size,) = struct.unpack_from("<I", data, len(MAGIC))
-        at = len(MAGIC) + 4
-        head, at = json.loads(data[at : at + size]), at + size
-        unpack = zstandard.ZstdDecompressor().decompress
-        parts = []
-        for length in head["parts"]:
-            parts.append(unpack(data[at : at + length]))
-            at += length
-        self.n, self.width = head["tokens"], head["bits"]
-        self.documents = pa.ipc.open_stream(parts[0]).read_all()
-        self.planes = [Plane.of(x, self.n) for x in parts[1:]]
+        (size,) = struct.unpack_from("<I", lead, len(MAGIC))
+        head = json.loads(read(len(lead), size))
+        self.n, self.width, at = head["tokens"], head["bits"], len(lead) + size
+        table, self._documents = np.frombuffer(read(at, head["directory"]), "<u4").reshape(2, self.width, -1).astype(np.int64), (at + head["directory"], head["documents"])
+        start, self._read = sum(self._documents), read
+        offsets = start + np.concatenate([[0], np.cumsum(table[1].ravel())])
+        frames = table.shape[2]
+        ones = np.concatenate([np.zeros((self.width, 1), np.int64), np.cumsum(table[0], axis=1)], axis=1)
+        self.planes = [Plane(read, self.n, ones[i], offsets[i * frames : (i + 1) * frames + 1]) for i in range(self.width)]
+
+    @cached_property
+    def documents(self) -> pa.Table:
+        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self._read(*self._documents))).read_all()
 
     def access(self, at: int) -> int:
         out = 0
         for plane in self.planes:
-            bit, ones = int(plane.bits[at]), plane.rank1(at)
+            bit, ones = plane.bit(at), plane.rank1(at)
             out, at = out << 1 | bit, plane.zeros + ones if bit else at - ones
         return out
 
@@ -113,11 +136,11 @@ class WaveletShard:
         return at
 
     def tokens(self) -> np.ndarray:
-        """All of them: the planes undone from the lowest up."""
+        """All of them: the planes undone from the lowest up, one unpacked at a time."""
         kind = np.uint16 if self.width <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for level, plane in enumerate(reversed(self.planes)):
-            ones = plane.bits.view(bool)
+            ones = plane.bits().view(bool)
             back = np.empty(self.n, kind)
             out[plane.zeros :] |= kind(1 << level)
             back[~ones], back[ones] = out[: plane.zeros], out[plane.zeros :]
@@ -130,15 +153,21 @@ def encode_shard(ids: np.ndarray, documents: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, documents.schema) as writer:
         writer.write_table(documents)
-    parts, width, left = [pack(sink.getvalue().to_pybytes())], max(1, int(ids.max()).bit_length() if len(ids) else 1), ids
+    width, left = max(1, int(ids.max()).bit_length() if len(ids) else 1), ids
     if width <= 16:
         left = ids.astype(np.uint16)
-    for level in range(width - 1, -1, -1):
+    starts = np.arange(0, len(ids), FRAME_BITS)
+    directory, frames = np.zeros((2, width, len(starts)), "<u4"), []
+    for row, level in enumerate(range(width - 1, -1, -1)):
         ones = (left & left.dtype.type(1 << level)).astype(bool)
-        parts.append(pack(np.packbits(ones).tobytes()))
+        packed = np.packbits(ones)
+        for k, start in enumerate(starts.tolist()):
+            frames.append(pack(packed[start >> 3 : (start + FRAME_BITS) >> 3].tobytes()))
+            directory[:, row, k] = np.count_nonzero(ones[start : start + FRAME_BITS]), len(frames[-1])
         left = np.concatenate([left[~ones], left[ones]])
-    head = json.dumps({"tokens": len(ids), "bits": width, "parts": [len(x) for x in parts]}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
+    table, counts = pack(sink.getvalue().to_pybytes()), directory.tobytes()
+    head = json.dumps({"tokens": len(ids), "bits": width, "directory": len(counts), "documents": len(table)}).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(head)), head, counts, table, *frames])
 
 
 def _files(folder: str):
@@ -151,7 +180,8 @@ def write_shards(frame: DataFrame, folder: str, id_column: str = "doc_id", text_
     """Writes the files; returns the rows of their manifest (not yet run): part, shard, file, documents, tokens, tokens of the part before."""
     path = vocabulary(tokenizer)
     texts = frame.select(id_column, F.col(text_column).cast("string").alias("text"))
-    ordered = texts.repartitionByRange(F.col(id_column).asc_nulls_first()).sortWithinPartitions(F.col(id_column).asc_nulls_first(), "text")
+    order = [F.col(id_column).asc_nulls_first(), F.xxhash64("text")]
+    ordered = texts.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     schema = T._parse_datatype_string("part int, shard int, file string, documents long, tokens long, part_start long")
 
     def write(batches):
@@ -215,9 +245,9 @@ def read_shards(manifest: DataFrame, folder: str, id_type: T.DataType, id_column
         store, _ = _files(folder)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_input_stream(name, compression=None) as file:
-                    shard = WaveletShard(file.read())
-                packed, sizes = shard.tokens().astype("<u4").tobytes(), shard.documents["tokens"].to_numpy()
+                with store.open_input_file(name) as file:
+                    shard = WaveletShard(file)
+                    packed, sizes = shard.tokens().astype("<u4").tobytes(), shard.documents["tokens"].to_numpy()
                 ends = np.cumsum(sizes)
                 crc = [zlib.crc32(packed[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
                 columns = [shard.documents["id"].combine_chunks(), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())]
