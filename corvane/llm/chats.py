@@ -1,15 +1,21 @@
 """Tool-call linking and canonical chat messages, in DataFrame functions alone.
 
 Messages are rows; a conversation is never gathered into one value, so a conversation of any length is no hot task. Calls and results
-meet in one small row a (conversation, call identifier), made with partial sums, and every message finds its row by a hash join.
+meet in one small row a (conversation, call identifier), made with partial sums, and every message finds its row by a hash join. Calls
+and results are ordered topologically by rounds of joins: a result needs its call, a call the results that it names; `level` is the round
+after which all that a row needs is there, so sorting by it puts everything after its needs.
 
 Defined cases: a call or result without conversation or identifier links with nothing ("unidentified"); of repeated calls the earliest
 turn counts and each is marked; arguments that are no JSON object are a problem, null ones are an empty object; a tool without a schema
-is "unknown tool"; a result before its call comes after it in the order; an empty table gives no rows; extra columns are ignored.
+is "unknown tool"; a result before its call comes after it in the order; what needs an unknown call, or stands in a circle of needs or
+behind one, has no level; what needs nothing has level 0; texts of any length are kept whole; repeated rows stay, each with the same
+links; parameter names may hold any character; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,16 +29,21 @@ KINDS = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "number"
 def problems_of(tool: Column, arguments: Column, schemas: dict) -> Column:
     """What is wrong with the arguments, in the schema's order: a tool's parameters are {name: {type, required, minLength, minimum, maximum}}."""
     tree = F.try_parse_json(F.coalesce(arguments, F.lit("{}")))
+
+    def member(key: str, kind: str) -> Column:
+        if "'" in key or "\\" in key:  # no path can name it
+            return F.try_variant_get(F.element_at(F.try_variant_get(tree, "$", "map<string,variant>"), F.lit(key)), "$", kind)
+        return F.try_variant_get(tree, f"$['{key}']", kind)
+
     found = [F.when(tree.isNull() | ~F.schema_of_variant(tree).startswith("OBJECT"), F.lit("arguments: no object"))]
     found.append(F.when(~F.coalesce(tool, F.lit("")).isin(*schemas), F.lit("unknown tool")))
     for name, parameters in schemas.items():
         for key, rule in parameters.items():
-            path = f"$['{key}']"
-            kind = F.schema_of_variant(F.try_variant_get(tree, path, "variant"))
+            kind = F.schema_of_variant(member(key, "variant"))
             missing = kind.isNull() | (kind == "VOID")
             wrong = ~missing & ~kind.rlike(f"^(?:{KINDS[rule['type']]})$")
             bad = F.when(missing, F.lit(f"{key}: missing") if rule.get("required") else F.lit(None)).when(wrong, F.lit(f"{key}: no {rule['type']}"))
-            for bound, test in (("minLength", lambda v: F.length(F.try_variant_get(tree, path, "string")) < v), ("minimum", lambda v: F.try_variant_get(tree, path, "double") < v), ("maximum", lambda v: F.try_variant_get(tree, path, "double") > v)):
+            for bound, test in (("minLength", lambda v, key=key: F.length(member(key, "string")) < v), ("minimum", lambda v, key=key: member(key, "double") < v), ("maximum", lambda v, key=key: member(key, "double") > v)):
                 if bound in rule:
                     bad = bad.when(test(rule[bound]), F.lit(f"{key}: {bound}"))
             found.append(F.when(F.coalesce(tool, F.lit("")) == name, bad))
@@ -40,19 +51,26 @@ def problems_of(tool: Column, arguments: Column, schemas: dict) -> Column:
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict) -> DataFrame:
-    """messages: conv_id, turn, role, content, kind (message, call, result), call_id, tool, arguments (JSON) -> a row a message.
+    """messages: conv_id, turn, role, content, kind (message, call, result), call_id, tool, arguments (JSON), and perhaps depends_on (call identifiers) -> a row a message.
 
-    order_turn, order_rank: sorting a conversation by them puts every result after its call and leaves the rest in turn.
+    order_turn, order_rank: sorting a conversation by them puts every result after its call and leaves the rest in turn. level: the topological one.
     json: the message with sorted keys and without blanks; its arguments' keys are sorted too.
     """
-    rows = messages.select("conv_id", "turn", "role", "content", "kind", "call_id", "tool", "arguments")
+    needs = F.col("depends_on") if "depends_on" in messages.columns else F.lit(None).cast("array<string>")
+    rows = messages.select("conv_id", "turn", "role", "content", "kind", "call_id", "tool", "arguments", needs.alias("depends_on"))
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     links = (
         rows.filter((is_call | is_result) & F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
         .groupBy("conv_id", "call_id")
         .agg(F.count(F.when(is_call, 1)).alias("calls"), F.count(F.when(is_result, 1)).alias("results"), F.min(F.when(is_call, F.col("turn"))).alias("call_turn"), F.min(F.when(is_result, F.col("turn"))).alias("result_turn"))
     )
-    joined = rows.join(links.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    ordered = rows.filter((is_call | is_result) & F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
+    step = F.concat("kind", F.lit(":"), "call_id")
+    needed = F.when(is_result, F.array(F.concat(F.lit("call:"), "call_id"))).otherwise(F.transform("depends_on", lambda x: F.concat(F.lit("result:"), x)))
+    levels = dependency_levels(ordered.select("conv_id", step.alias("call_id"), needed.alias("depends_on")))
+    levels = levels.select("conv_id", F.split_part("call_id", F.lit(":"), F.lit(1)).alias("kind"), F.expr("substring(call_id, position(':' in call_id) + 1)").alias("call_id"), "level")
+    joined = rows.join(links.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(levels.hint("shuffle_hash"), ["conv_id", "kind", "call_id"], "left")
+    inside = (is_call | is_result) & F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     status = (
         F.when(~(is_call | is_result), "message")
         .when(F.col("calls").isNull(), "unidentified")
@@ -71,6 +89,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict) -> DataFrame:
             "conv_id", "turn", "kind", "call_id", status.alias("status"), linked.alias("linked_turn"),
             F.when(is_result, F.greatest("turn", "call_turn")).otherwise(F.col("turn")).alias("order_turn"),
             F.when(is_result & (F.col("call_turn") >= F.col("turn")), 1).otherwise(0).alias("order_rank"),
+            F.when(inside, F.col("level")).otherwise(0).alias("level"),
             F.array_join("problems", "; ").alias("problems"),
             message.alias("json"),
         )
@@ -85,16 +104,22 @@ def dependency_levels(calls: DataFrame) -> DataFrame:
     scratch = Scratch(calls.sparkSession, "levels")
     key = ["conv_id", "call_id"]
     needs = scratch.keep(calls.select(*key, F.explode("depends_on").alias("needed")).distinct(), "needs")
-    every = scratch.keep(calls.select(*key).distinct(), "calls")
-    done, level = scratch.keep(every.join(needs, key, "left_anti").withColumn("level", F.lit(0)), "level"), 0
-    while not needs.isEmpty():
-        have = done.select("conv_id", F.col("call_id").alias("needed"))
-        needs = scratch.keep(needs.join(have, ["conv_id", "needed"], "left_anti"), "needs")
-        fresh = scratch.keep(every.join(done, key, "left_anti").join(needs, key, "left_anti").withColumn("level", F.lit(level := level + 1)), "level")
-        if fresh.isEmpty():
+    open_calls = scratch.keep(calls.select(*key).distinct(), "open")
+    every, done, level = open_calls, [], 0
+    while True:  # each round takes what needs nothing more
+        ready = scratch.keep(open_calls.join(needs.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(level)), "level")
+        if ready.isEmpty():
+            break
+        done.append(ready)
+        if needs.isEmpty():
             break
-        done = scratch.keep(done.unionByName(fresh), "done")
-    return every.join(done, key, "left")
+        open_calls = scratch.keep(open_calls.join(ready.select(*key), key, "left_anti"), "open")
+        needs = scratch.keep(needs.join(ready.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_anti"), "needs")
+        level += 1
+    scratch.drop_others(every, *done)
+    if not done:
+        return every.withColumn("level", F.lit(None).cast("int"))
+    return every.join(reduce(DataFrame.unionByName, done), key, "left")
 
 
 #: What a reply takes.
@@ -136,6 +161,7 @@ SELECT m.conv_id, m.turn, m.kind, m.call_id,
   CASE kind WHEN 'call' THEN result_turn WHEN 'result' THEN call_turn END AS linked_turn,
   CASE WHEN kind = 'result' THEN greatest(m.turn, call_turn) ELSE m.turn END AS order_turn,
   CASE WHEN kind = 'result' AND call_turn >= m.turn THEN 1 ELSE 0 END AS order_rank,
+  CASE WHEN kind = 'result' AND m.call_id IS NOT NULL THEN CASE WHEN calls > 0 THEN 1 END ELSE 0 END AS level,
   CASE WHEN kind = 'call' THEN concat_ws('; ',
     CASE WHEN text IS NULL THEN 'prompt: missing' WHEN length(text) < 1 THEN 'prompt: minLength' END,
     CASE WHEN words < 1 THEN 'words: minimum' WHEN words > 100 THEN 'words: maximum' END) ELSE '' END AS problems,

@@ -44,3 +44,26 @@ def test_levels(spark):
     rows = [(1, "a", []), (1, "b", ["a"]), (1, "c", ["a", "b"]), (1, "p", ["q"]), (1, "q", ["p"]), (2, "x", ["gone"]), (2, "y", None)]
     got = {(r.conv_id, r.call_id): r.level for r in dependency_levels(spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")).collect()}
     assert got == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "p"): None, (1, "q"): None, (2, "x"): None, (2, "y"): 0}
+
+
+def test_levels_of_messages_and_odd_names(spark):
+    rules = {"t": {"it's": {"type": "integer", "required": True}, "a.b": {"type": "string", "required": True}, 'q"\\': {"type": "boolean", "required": True}}}
+    good = json.dumps({"it's": 1, "a.b": "x", 'q"\\': True})
+    rows = [
+        (1, 0, "assistant", None, "call", "a", "t", good, []), (1, 1, "tool", "1", "result", "a", None, None, None), (1, 2, "assistant", None, "call", "b", "t", "{}", ["a"]),
+        (1, 3, "tool", "2", "result", "b", None, None, None), (1, 4, "user", "x", "message", None, None, None, None), (1, 5, "assistant", None, "call", "c", "t", '{"it\'s": "1", "a.b": 2, "q\\"\\\\": 3}', ["b", "a"]),
+        (2, 0, "assistant", None, "call", "a", "t", good, ["gone"]), (2, 1, "tool", None, "result", "zz", None, None, None),
+    ]
+    kind = "conv_id long, turn long, role string, content string, kind string, call_id string, tool string, arguments string, depends_on array<string>"
+    got = {(r.conv_id, r.turn): (r.level, r.problems) for r in link_tool_calls(spark.createDataFrame(rows, kind), rules).collect()}
+    assert [got[k][0] for k in sorted(got)] == [0, 1, 2, 3, 0, 4, None, None]
+    assert got[1, 0][1] == "" and got[1, 2][1] == 'it\'s: missing; a.b: missing; q"\\: missing'
+    assert got[1, 5][1] == 'it\'s: no integer; a.b: no string; q"\\: no boolean'
+
+
+def test_very_long_texts(spark):
+    text = "wörd \"quoted\" " * 200_000
+    frame = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in link_tool_calls(turns_as_calls(frame), SCHEMAS).collect()}
+    assert json.loads(got[0].json)["arguments"] == {"prompt": text, "words": 400_000} and json.loads(got[1].json)["content"] == text
+    assert got[0].problems == "words: maximum"
