@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import table
+from corvane.llm.shared import Scratch, table
 
 WEIGHTS, SHARE, CEILING = (5, 2, 1), 1.5, 2
 COMPUTED = ("size", "source_size", "target", "rate", "copies", "taken")
@@ -49,10 +49,12 @@ def everything_ordered(window):
     return window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def plan_mix(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: str = "", **how) -> DataFrame:
-    """The frame with size, source_size, target, rate, copies and taken."""
+def plan_mix(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: str = "", keep_text: bool = True, **how) -> DataFrame:
+    """The frame with size, source_size, target, rate, copies and taken. Without `keep_text` the text goes, and the sizes are kept as a table, so that words are counted once."""
     sized = frame.drop(*COMPUTED).withColumn("size", word_count(F.col(text_column)))
-    totals = frame.select(F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    if not keep_text:
+        sized = Scratch(frame.sparkSession, "sizes").keep(sized.drop(text_column), "sizes")
+    totals = sized.select(F.col(source_column).alias("source"), "size").groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, **how).withColumnRenamed("source", "__source")
     ceiling = how.get("ceiling", CEILING)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(ceiling)))).otherwise(0.0)
@@ -70,7 +72,7 @@ def mix_documents(frame: DataFrame, **how) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return plan_mix(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = """

@@ -39,7 +39,13 @@ def test_targets_and_draws(spark):
         assert r.taken <= 2 * r.size
     want = targets_by_rounds(sizes)
     assert all(abs(found[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+    longest = max(r.size for r in rows)
+    for s in want:  # near each source's own target: within five deviations of the draws, each of which moves one document's words
+        moved = sum(r.size**2 for r in rows if r.source == s) * 0.25
+        assert abs(taken[s] - want[s]) <= 5 * moved**0.5 + longest, s
     assert abs(sum(taken.values()) / sum(want.values()) - 1) < 0.05
+    plain = sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in rows)
+    assert plain == sorted(map(tuple, op3_source_mixing(spark, "/root/testdata/sf0.01").collect()))
     assert mix_documents(docs).count() == sum(r.copies for r in rows) and mix_documents(docs).columns == docs.columns
 
 
