@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from corvane.llm.shared import whole_texts, worker_state
 
 #: Chunks that a worker remembers (about 200 bytes each); beyond that it starts anew.
-CACHE_ENTRIES = 600_000
-#: Longer chunks are not remembered.
+CACHE_ENTRIES = 400_000
+#: Longer chunks are forgotten after their batch, so that the memory of the cache is bounded whatever the texts hold.
 CHUNK_CHARS = 48
 #: A chunk that the model may encode without the library's pattern: letters alone.
 LETTERS_ALONE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -103,15 +103,23 @@ class PackedEncoder:
         get = self.known.get
         slots = [get(k, -1) for k in keys]
         fresh = [k for k, at in zip(keys, slots, strict=True) if at < 0]
+        long = [k for k in fresh if len(k) > CHUNK_CHARS]
         if fresh:
-            self._learn(fresh)
+            self._learn([k for k in fresh if len(k) <= CHUNK_CHARS] if long else fresh)
+            used = self.used
+            if long:
+                self._learn(long)
             slots = [self.known[k] for k in keys]
         slots = np.array(slots, np.int64)[coded.indices.to_numpy()]
         sizes = self.lengths[slots]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[slots] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        if len(self.known) > CACHE_ENTRIES:
+        for k in long:
+            del self.known[k]
+        if long:
+            self.used = used
+        if len(self.known) > CACHE_ENTRIES or len(self.flat) > 8 * CACHE_ENTRIES:
             self._forget()
         return ids, np.diff(bounds)
 
