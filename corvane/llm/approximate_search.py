@@ -114,16 +114,16 @@ class Quantiser:
         return np.argsort(-(queries @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
 
 
-def _least_hashed(rows: DataFrame, n: int, length: int) -> np.ndarray:
-    """Distinct vectors of the least hashes, at most SAMPLE_BYTES; a threshold on the hash first, so that no task sorts more than a few times the sample."""
-    most = SAMPLE_BYTES // (8 * length)
+def _least_hashed(rows: DataFrame, n: int, length: int, size: int) -> np.ndarray:
+    """Distinct vectors of the least hashes, at most `size` bytes; a threshold on the hash first, so that no task sorts more than a few times the sample."""
+    most = size // (8 * length)
     share = min(1.0, 1.5 * most / max(n, 1))
     key = F.xxhash64("embedding")
-    some = rows if share == 1 else rows.filter(key.cast("double") / 2**64 + 0.5 < share)
+    some = rows if share == 1 else rows.filter(key.cast("double") / 2.0**64 + 0.5 < share)
     return matrix(some.select("embedding").distinct().orderBy(F.xxhash64("embedding"), "embedding").limit(most).toArrow()["embedding"].combine_chunks())
 
 
-def approximate_neighbours(frame: DataFrame, chosen, k: int = 20, cells: int | None = None, probes: int | None = None) -> DataFrame:
+def approximate_neighbours(frame: DataFrame, chosen, k: int = 20, cells: int | None = None, probes: int | None = None, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: for each chosen row the k best other rows of the cells that it probes."""
     spark = frame.sparkSession
     scratch, rows = Scratch(spark, "index"), usable(frame.select("vec_id", "embedding"), zeros=False)
@@ -132,7 +132,7 @@ def approximate_neighbours(frame: DataFrame, chosen, k: int = 20, cells: int | N
         return merged(spark.createDataFrame([], FOUND), k)
     length, n = lengths[0].length, lengths[0]["count"]
     usual = rows.filter(F.col("length") == length)
-    sample = _least_hashed(usual, n, length)
+    sample = _least_hashed(usual, n, length, sample_bytes)
     model = spark.sparkContext.broadcast(Quantiser.fit(sample, cells or round(n**0.5), k, probes))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ digits and signs with repeats drawn together; a token equal to the one before it
 log-count ratio between the classes; a linear model with squared hinge loss is fitted on them by dual coordinate descent; cross-fitted
 margins are turned into probabilities by a logistic curve. The model is fitted on the driver from at most SAMPLE labelled rows (those of
 the least hash), so its cost and the broadcast weights are bounded; every text is scored whole, in one pass without a shuffle.
-A token of more than PIECE characters (a text without white space, say) counts as its successive pieces of that length.
+A token of more than PIECE characters (a text without white space, say) counts as its successive pieces of that length. A feature that
+fewer than LEAST_ROWS sampled rows have is left out of the fit, as its ratio would be chance.
 
 Defined cases: a null text is an empty one, its score is that of no features; labels that are null, or of unknown documents, are left
 out; with labels of one class or none every score is their share (0.5 without any); a null identifier counts as an empty text for its

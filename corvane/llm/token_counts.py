@@ -5,7 +5,8 @@ best rank is popped again and again, leftmost first among equals; characters tha
 Two neighbours that stand side by side in no piece of the vocabulary can never merge across their border, so texts are cut there:
 before spaces, and inside words between such characters. Distinct chunks of a batch are counted once.
 
-Defined cases: a null text is an empty one (no bytes, no tokens); identifiers may be null or repeated; an empty table gives no rows.
+Defined cases: a null text is an empty one (no bytes, no tokens); identifiers may be null or repeated, and repeated rows are counted
+each; texts of any length are counted whole; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

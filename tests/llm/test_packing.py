@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from corvane.llm.packing import best_fit_plan, pack_documents
+from corvane.llm.packing import best_fit_plan, op2_best_fit_packing, pack_documents
 from corvane.llm.tokens import encoder, vocabulary
 from tests.llm.conftest import SF
 
@@ -77,6 +77,16 @@ def test_packs_documents(spark):
     assert n <= total / 256 * 1.02 + 2
 
 
+def test_the_query(spark):
+    """op2 itself, against the library and against plain best-fit decreasing over all pieces."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = op2_best_fit_packing(spark, SF).collect()
+    n = check(rows, {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}, 2048)
+    assert n == len(slow_best_fit([r.length for r in rows], 2048))
+    for own in ([r for r in rows if r.doc_id == d] for d in {r.doc_id for r in rows if r.piece}):
+        assert all(r.length == 2048 for r in own if r.piece) and min(r.length for r in own if not r.piece) > 0
+
+
 def test_edges(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, "word " * 900 + " end", None), (4, "a<|endoftext|>b  c", "x"), (5, "日本\n\n語", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, piece string")

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_mixing import targets_by_rounds
 from tests.llm.test_near_duplicates import brute_force
@@ -45,13 +47,33 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 def test_empty_and_odd_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "x", 0), (1, "", "en", "x", 0)], docs.schema)
-    for frame in (docs.limit(0), odd):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, frame, SF).count() >= 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["quality"](spark, odd, SF).columns == odd.columns
+    assert stages["language"](spark, odd, SF).count() == 0  # none has a letter
+    assert sorted(map(str, stages["near_duplicates"](spark, odd, SF).select("doc_id").toPandas()["doc_id"].tolist())) == ["1.0", "nan"]
+    assert stages["mixing"](spark, odd, SF).count() == 0  # no words, rate 0
+    assert stages["packing"](spark, odd, SF).agg(F.count("*"), F.sum("length"), F.countDistinct("sequence_id")).first() == (3, 3, 1)
+
+
+def test_one_row_an_identifier_in_any_order(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.limit(40).collect()
+    again = [(r.doc_id, r.text + " twice " * k, r.lang, f"s{k}", r.n_chars) for r in rows for k in range(3)]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    found = [sorted(map(tuple, stage(spark, spark.createDataFrame(some, docs.schema).repartition(n), SF).collect())) for some, n in ((again, 2), (again[::-1], 5))]
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == len(found[0]) > 30
+
+
+def test_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     clash = docs.limit(60).selectExpr("*", "doc_id AS size", "doc_id AS score", "lang AS target", "doc_id AS predicted", "doc_id AS copies", "text AS lang_pred", "doc_id AS kept", "doc_id AS n", "doc_id AS piece")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, clash, SF)
         assert after.columns == clash.columns and 0 < after.count() == after.filter("size = doc_id AND score = doc_id AND kept = doc_id").count()
+    packed = dict(corpus_pipeline.STAGES)["packing"](spark, clash, SF)
+    assert packed.filter("piece = 0").count() == 60 and packed.columns == dict(corpus_pipeline.STAGES)["packing"](spark, docs, SF).columns
 
 
 def test_run(spark):

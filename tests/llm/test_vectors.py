@@ -88,6 +88,8 @@ def test_recall_with_few_of_many_cells_in_any_layout(spark, spread):
     model = Quantiser.fit(points[:20_000], 200, 20)
     assert len(model.centroids) == 200 and model.probes <= 60  # well under half of them
     chosen = F.col("vec_id") % 400 == 0
+    small = neighbours(approximate_neighbours(frame, chosen, sample_bytes=8 * 16 * 9000))  # the sample is a part of the rows
+    assert recall(points, ids, small, 400) >= 0.9
     found = approximate_neighbours(frame.repartition(3), chosen)
     assert recall(points, ids, neighbours(found), 400) >= 0.9
     assert rows_of(found) == rows_of(approximate_neighbours(frame.repartition(8), chosen))
