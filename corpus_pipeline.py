@@ -4,8 +4,9 @@ quality (classifier): documents predicted 0 go. language: documents whose langua
 near_duplicates: one document of each group stays (five words a shingle, similarity 0.8). mixing: each document as often as its source's
 target asks for. packing: the sequences' pieces.
 
-Rows without identifier are scored and identified like any other and have no duplicates; of rows that share one, one stays after
-near_duplicates. Every stage takes an empty table and gives one.
+Rows without identifier are scored and identified like any other and have no duplicates; of rows that share one, the row of the least
+hash stays after near_duplicates, whatever the order they are read in. Every stage takes an empty table and gives one. A stage's table is
+deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     again = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
     if again.isEmpty():
         return left
-    named = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    row = F.struct(*left.columns)
+    named = left.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64(*left.columns), F.col("text"))).alias("row")).select("row.*")
     return named.unionByName(left.filter("doc_id IS NULL"))
 
 
@@ -61,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop_others(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
