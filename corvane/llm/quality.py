@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of n-grams, hashed into 2^18 places: lower-cased words, and runs of one to three token shapes (letters, capitals,
+Features are indicators of n-grams, hashed into 2^18 places: words with A-Z in lower case, and runs of one to three token shapes (letters, capitals,
 digits and signs with repeats drawn together; a token equal to the one before it has a shape of its own). Indicators are scaled by their
 log-count ratio between the classes; a linear model with squared hinge loss is fitted on them by dual coordinate descent; cross-fitted
 margins are turned into probabilities by a logistic curve. The model is fitted on the driver from at most SAMPLE labelled rows (those of

@@ -55,7 +55,7 @@ def test_scores_against_a_plain_version(spark):
         shape = [re.sub(r"(?s)(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w)) for w in words]
         shape = ["<again>" if i and words[i] == words[i - 1] else s for i, s in enumerate(shape)]
         grams = {("s", *shape[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
-        return grams | {("w", w.lower()) for w in words}
+        return grams | {("w", w.encode().lower()) for w in words}
 
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
