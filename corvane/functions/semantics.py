@@ -108,3 +108,29 @@ def semantic_identity(kind: Column, name: Column) -> Column:
     guard = F.coalesce(F.when(authorization_kind(name) == "authentication", "guard.authentication"), F.concat(F.lit("guard.authorization."), authorization_kind(name)), F.lit("guard.ambiguous"))
     cleaner = F.coalesce(F.concat(F.lit("sanitizer."), first_match(name, {"command": POLICIES["command-control-data-separation"], "sql": POLICIES["sql-control-data-separation"], "filesystem": POLICIES["filesystem-path-confinement"], "redirect-destination": POLICIES["redirect-destination-policy"], "outbound-destination": POLICIES["outbound-destination-policy"], "dynamic-code": POLICIES["dynamic-code-control-data-separation"]})), F.lit("sanitizer.unresolved"))
     return F.when(kind == "handler", "untrusted.handler-entry").when(kind == "source", source_identity(name)).when(kind == "guard", guard).when(kind == "sanitizer", cleaner).when(kind == "sink", sink_identity(name)).when(semantic_role(kind, name) == "transformation", transformation_identity(kind, name))
+
+
+# What facts, records and relations become in the graph.
+NODE_OF_FACT = {"function": "function", "method": "method", "module-import": "module-reference", "http-route-handler": "handler", "server-action-handler": "handler", "environment-access": "configuration", "guard-candidate": "guard", "call": "call"}
+NODE_OF_RECORD = {
+    "function": "function", "argument": "argument", "source": "source", "assignment": "assignment", "alias": "assignment", "transformation": "transformation", "call": "call",
+    "sanitizer": "sanitizer", "guard": "guard", "return": "return", "sink": "sink", "handler": "handler",
+}
+EDGE_OF_RELATION = {"imports": "imports", "calls": "calls", "handles": "containment", "handler": "calls"}
+
+
+def _looked_up(key: Column, table: dict, default: str | None = None) -> Column:
+    return F.coalesce(*[F.when(key == k, v) for k, v in table.items()], F.lit(default))
+
+
+def node_of_fact(kind: Column) -> Column:
+    return _looked_up(kind, NODE_OF_FACT, "syntax-fact")
+
+
+def node_of_record(kind: Column) -> Column:
+    """Null for the kinds that have no node."""
+    return _looked_up(kind, NODE_OF_RECORD)
+
+
+def edge_of_relation(kind: Column) -> Column:
+    return _looked_up(kind, EDGE_OF_RELATION, "containment")

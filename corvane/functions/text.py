@@ -53,8 +53,9 @@ def bounded_name(name: Column) -> Column:
 
 def truncated_name(name: Column) -> Column:
     """The longest prefix of whole characters within NAME_BYTES bytes."""
-    limit = F.lit(NAME_BYTES)
-    return F.when(F.octet_length(name) <= limit, name).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(name, "UTF-8"), 1, NAME_BYTES), "UTF-8"), "�+$", ""))
+    # A cut inside a character leaves bytes that are no text; at most three bytes fewer are.
+    cuts = [F.try_validate_utf8(F.substring(F.encode(name, "UTF-8"), 1, NAME_BYTES - k).cast("string")) for k in range(4)]
+    return F.when(F.octet_length(name) <= NAME_BYTES, name).otherwise(F.coalesce(*cuts))
 
 
 def normalize_path(path: Column) -> Column:
@@ -84,8 +85,8 @@ def percent_encoded(path: Column) -> Column:
 
 def byte_offset(text: Column, needle: Column | str) -> Column:
     """Of the first occurrence, in bytes from 0; null without one."""
-    at = F.instr(text, needle) if isinstance(needle, str) else F.expr("0")
-    return F.when(at > 0, F.octet_length(F.substring(text, 1, at - 1)).cast("long"))
+    at = F.position(F.lit(needle) if isinstance(needle, str) else needle, text)
+    return F.when(at > 0, F.octet_length(F.substring(text, F.lit(1), at - 1)).cast("long"))
 
 
 def line_of(text: Column, at: Column) -> Column:
@@ -130,13 +131,19 @@ CARRIES = r"(?i)^(?:bearer|password:|token:|secret:)$"
 HIDDEN = "[REDACTED]"
 
 
+#: What a text with a hidden word has for sure; texts without it are not taken word by word.
+HINT = r"(?i)passw|secret|token|api_?key|credential|AKIA|gh[pousr]_|sk-|@|bearer"
+
+
 def redacted(text: Column) -> Column:
     """struct(text, hidden): words by white space, joined by one space, secrets hidden and counted."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    before = F.concat(F.array(F.lit("")), F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
-    kept = F.zip_with(words, before, lambda w, b: F.when(w.rlike(SECRET) | b.rlike(CARRIES), F.lit(HIDDEN)).otherwise(w))
-    kept = F.when(F.size(words) > 0, kept).otherwise(F.array().cast("array<string>"))
-    return F.struct(F.array_join(kept, " ").alias("text"), F.size(F.filter(kept, lambda w: w == HIDDEN)).cast("long").alias("hidden"))
+    slow = F.transform(words, lambda w, i: F.when(w.rlike(SECRET) | F.coalesce(F.get(words, i - 1), F.lit("")).rlike(CARRIES), F.lit(HIDDEN)).otherwise(w))
+    return _counted(F.when(text.rlike(HINT), F.array_join(slow, " ")).otherwise(F.array_join(words, " ")))
+
+
+def _counted(joined: Column) -> Column:
+    return F.struct(joined.alias("text"), F.regexp_count(joined, F.lit(r"(?<![^ ])\[REDACTED\](?![^ ])")).cast("long").alias("hidden"))
 
 
 def cost_bound(input_tokens: Column, output_tokens: Column, input_micros: int, output_micros: int) -> Column:
@@ -150,3 +157,70 @@ def cost_bound(input_tokens: Column, output_tokens: Column, input_micros: int, o
 def display_name(name: Column) -> Column:
     """Without control characters, 256 characters at most."""
     return F.substring(F.regexp_replace(name, r"[\x00-\x1f\x7f]", ""), 1, 256)
+
+
+#: What identifiers and origins look like.
+FINGERPRINT, SCAN_ID = "^[0-9a-f]{64}$", "^scan_[0-9a-f]{24}$"
+ORIGIN = r"(?i)^https?://(?:\[[^\]/?#@\s]+\]|[^\[:/?#@\s][^:/?#@\s]*)(?::[0-9]+)?$"
+
+
+def is_fingerprint(text: Column) -> Column:
+    return F.coalesce(text.rlike(FINGERPRINT), F.lit(False))
+
+
+def is_scan_id(text: Column) -> Column:
+    return F.coalesce(text.rlike(SCAN_ID), F.lit(False))
+
+
+def is_origin(text: Column) -> Column:
+    """A literal that names an origin: scheme, host, perhaps a port, and nothing behind."""
+    return F.coalesce(text.rlike(ORIGIN), F.lit(False))
+
+
+def appended(identity: Column, part: Column) -> Column:
+    """A member of a value: both joined by a dot, either alone if the other is empty."""
+    return F.when(F.coalesce(identity, F.lit("")) == "", F.coalesce(part, F.lit(""))).when(F.coalesce(part, F.lit("")) == "", identity).otherwise(F.concat_ws(".", identity, part))
+
+
+def rfc3339(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def shell_option(shell: Column, option: Column) -> Column:
+    """command (the next word is program text), leading (may stand before it), or null: short options that the shell knows, `c` once and no letter twice."""
+    flags = F.substring(option, 2, 1 << 10)
+    known = option.rlike("^-[cex]+$") | shell.isin("bash", "ksh", "zsh") & option.rlike("^-[cexl]+$")
+    once = F.size(F.array_distinct(F.split(flags, ""))) == F.length(flags)
+    return F.when(known & (F.length(F.regexp_replace(flags, "[^c]", "")) == 1) & once, "command").when(known & ~F.contains(flags, F.lit("c")), "leading")
+
+
+def route_of(path: Column) -> Column:
+    """The address that a route file serves: from behind its first `app` folder, without groups in parentheses; null for other files."""
+    parts = F.split(path, "/")
+    at = F.array_position(parts, "app")
+    kept = F.filter(F.slice(parts, F.greatest(at, F.lit(0)).cast("int") + 1, F.greatest(F.size(parts) - at.cast("int") - 1, F.lit(0))), lambda p: ~F.startswith(p, F.lit("(")))
+    return F.when((at > 0) & F.element_at(parts, -1).rlike(r"^route\.[cm]?[jt]sx?$"), F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
+def contract_path(path: Column) -> Column:
+    """A path as contracts compare it: slashes only, no empty or `.` parts; null if absolute, empty or with any `..`."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts = F.filter(F.split(plain, "/"), lambda p: ~p.isin("", "."))
+    fine = ~F.startswith(plain, F.lit("/")) & ~F.contains(plain, F.lit("\x00")) & ~F.array_contains(parts, "..") & (F.size(parts) > 0)
+    return F.when(fine, F.array_join(parts, "/"))
+
+
+def spans_equivalent(a: Column, b: Column, lines: int = 3) -> Column:
+    """Structs (file, start_line, start_column, end_line, end_column) of one file that are equal, or one within the other and together of at most `lines` lines."""
+    def starts(x: Column) -> Column:
+        return F.struct(x.start_line, x.start_column)
+
+    def ends(x: Column) -> Column:
+        return F.struct(x.end_line, x.end_column)
+
+    def within(outer: Column, inner: Column) -> Column:
+        return (starts(outer) <= starts(inner)) & (ends(outer) >= ends(inner))
+
+    near = F.greatest(a.end_line, b.end_line) - F.least(a.start_line, b.start_line) + 1 <= lines
+    same = (starts(a) == starts(b)) & (ends(a) == ends(b)) & (a.file == b.file)
+    return F.coalesce((contract_path(a.file) == contract_path(b.file)) & (same | (within(a, b) | within(b, a)) & near), F.lit(False))

@@ -32,9 +32,9 @@ def bounded_paths(edges: DataFrame, starts: DataFrame, rounds: int, keep_path: b
     """edges (source, target), starts (node) -> (node, depth, path): the fewest rounds that reach a node, and of those paths the least.
 
     Frontier by frontier: each round joins only what was reached last, drops what is known, and keeps one row a node, so its size is
-    bounded by the nodes and never by the walks.
+    bounded by the nodes and never by the walks. Edges are written down once; each round reads them and nothing that made them.
     """
-    kind = starts.schema["node"].dataType
+    edges, kind = cut(edges.select("source", "target")), starts.schema["node"].dataType
     first = F.array(F.col("node")) if keep_path else F.array().cast(T.ArrayType(kind))
     reached = starts.select("node").distinct().select("node", F.lit(0).alias("depth"), first.alias("path"))
     frontier = reached

@@ -1,48 +1,110 @@
 """Joins that Spark has no word for, as compositions of those it has.
 
-Every one is an equality join or a window on the entity first, so it is dealt by that key and sorts inside it; ranges only refine it.
+Every one is an equality join or a window on the entity first, so it is dealt by that key and sorts inside it. Ranges become equalities
+too: a span goes to the one or two cells of its own size class that it touches, a point to one cell of each class, so a hot entity is
+spread over its cells and a point meets only spans of nearly its place. Nulls match nothing, on either side, and rows keep their number.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.windows import sliced
+
+
+def same_row(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    return reduce(Column.__and__, [left[c].eqNullSafe(right[c]) for c in columns])
+
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str], strict: bool = True, tie: str | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str], strict: bool = True, tie: str | None = None, hot: bool = False) -> DataFrame:
     """left with the `values` of the latest right row of the same key before (or, if not strict, at) its own place; nulls without one.
 
-    One shuffle: both sides go by the key in one union, and a window carries the last right row forward. `tie` orders right rows at one place.
+    One shuffle: both sides go by the key in one union, and a window carries the last right row forward. `tie` orders right rows at one
+    place. hot: keys may be too large for a task; the order of (key, place) is cut into slices, and what a slice's first key had before
+    comes from a row a slice.
     """
-    fields = F.struct(*values)
     ties = F.col(tie) if tie else F.lit(0)
     # At equal places a right row stands after left ones if strict, before them if not.
-    marked = right.select(F.col(key), F.col(at), F.lit(1 if strict else -1).alias("__side"), ties.alias("__tie"), fields.alias("__value"), F.lit(None).cast(left.schema.simpleString()).alias("__row"))
+    marked = right.filter(F.col(key).isNotNull()).select(F.col(key), F.col(at), F.lit(1 if strict else -1).alias("__side"), ties.alias("__tie"), F.struct(*values).alias("__value"), F.lit(None).cast(left.schema.simpleString()).alias("__row"))
     rows = left.select(F.col(key), F.col(at), F.lit(0).alias("__side"), F.lit(0).alias("__tie"), F.lit(None).cast(marked.schema["__value"].dataType).alias("__value"), F.struct(*left.columns).alias("__row"))
-    order = Window.partitionBy(key).orderBy(at, "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    carried = rows.unionByName(marked).withColumn("__value", F.last("__value", ignorenulls=True).over(order)).filter(F.col("__row").isNotNull())
-    return carried.select("__row.*", *[F.col(f"__value.{v}").alias(v) for v in values])
+    both, order = rows.unionByName(marked), [at, "__side", "__tie"]
+    if not hot:
+        carried = both.withColumn("__value", F.last("__value", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        cut_up = sliced(both, [key, *order])
+        lasts = cut_up.filter("__value IS NOT NULL").groupBy("__slice", key).agg(F.max_by("__value", F.struct(*order)).alias("__before"))
+        several = cut_up.select("__slice", key).distinct().withColumn("__n", F.count("*").over(Window.partitionBy(key))).filter("__n > 1").drop("__n")
+        earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        before = several.join(lasts, ["__slice", key], "left").withColumn("__before", F.last("__before", ignorenulls=True).over(earlier))
+        own = F.last("__value", ignorenulls=True).over(Window.partitionBy("__slice", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        carried = cut_up.withColumn("__value", own).join(before, ["__slice", key], "left").withColumn("__value", F.coalesce("__value", "__before"))
+    return carried.filter(F.col("__row").isNotNull()).select("__row.*", *[F.col(f"__value.{v}").alias(v) for v in values])
 
 
-def innermost(points: DataFrame, spans: DataFrame, key: str, at: Column, start: str, end: str, result: str) -> DataFrame:
-    """points with the `result` of the smallest span of the same key that contains them; of equal ones the first to start, then the least result."""
-    span = F.struct((F.col(end) - F.col(start)).alias("size"), F.col(start), F.col(result).alias("result"))
-    rows = points.withColumn("__at", at).withColumn("__id", F.struct(*points.columns))
-    found = rows.join(spans.select(F.col(key).alias("__key"), F.col(start), F.col(end), F.col(result)), (F.col(key) == F.col("__key")) & (F.col("__at") >= F.col(start)) & (F.col("__at") <= F.col(end)))
-    inner = found.groupBy("__id").agg(F.min(span).alias("__span")).select("__id.*", F.col("__span.result").alias(result))
-    return points.join(inner, points.columns, "left") if result not in points.columns else inner
+def _size_class(start: Column, end: Column) -> Column:
+    """The least class whose cells (of 2 ** class places) are as long as the span, so that it touches at most two."""
+    return F.ceil(F.log2((end - start + 1).cast("double"))).cast("int")
+
+
+def _cell(place: Column, size_class: Column) -> Column:
+    return F.floor(place / F.pow(F.lit(2.0), size_class)).cast("long")
+
+
+def in_spans(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
+    """Every pair of a point and a span of its key that holds its place (whole numbers), both ends included: columns of both, the span's start and end as they are.
+
+    The classes in use (64 at most) are asked for first; a point is sent to one cell of each.
+    """
+    sized = spans.filter(F.col(key).isNotNull() & (F.col(start) <= F.col(end))).withColumn("__class", _size_class(F.col(start), F.col(end)))
+    classes = sorted(r[0] for r in sized.select("__class").distinct().collect())
+    ends = F.array_distinct(F.array(_cell(F.col(start), F.col("__class")), _cell(F.col(end), F.col("__class"))))
+    celled = sized.withColumn("__cell", F.explode(ends)).withColumnRenamed(key, "__key")
+    sent = points.withColumn("__c", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>"))).withColumn("__x", _cell(F.col(at), F.col("__c")))
+    hit = (F.col(key) == F.col("__key")) & (F.col("__c") == F.col("__class")) & (F.col("__x") == F.col("__cell")) & (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
+    return sent.join(celled, hit).drop("__key", "__c", "__x", "__class", "__cell")
+
+
+def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, result: str) -> DataFrame:
+    """points with the `result` of the smallest span of the same key that contains them; of equal ones the first to start, then the least result; null without one."""
+    own = spans.select(F.col(key), F.col(start).alias("__start"), F.col(end).alias("__end"), F.col(result).alias("__result"))
+    span = F.struct((F.col("__end") - F.col("__start")).alias("size"), "__start", F.col("__result").alias("result"))
+    places = points.select(key, at).distinct()  # one answer a place, whatever else the rows hold
+    found = in_spans(places, own, key, at, "__start", "__end").groupBy(key, at).agg(F.min(span).alias("__span")).select(key, at, F.col("__span.result").alias(result))
+    return points.join(found, [key, at], "left").select(*points.columns, result)
 
 
 def dominated(points: DataFrame, guards: DataFrame, key: str, at: str, start: str, end: str, kind: str = "left_semi") -> DataFrame:
     """Points that a guard's range covers (left_semi), or that none does (left_anti)."""
-    g = guards.select(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(end).alias("__end"))
-    return points.join(g, (F.col(key) == F.col("__key")) & (F.col("__start") <= F.col(at)) & (F.col("__end") >= F.col(at)), kind)
+    spans = guards.select(F.col(key), F.col(start).alias("__start"), F.col(end).alias("__end"))
+    covered = in_spans(points.select(key, at).distinct(), spans, key, at, "__start", "__end").select(key, at).distinct()
+    return points.join(covered, [key, at], kind).select(*points.columns)
+
+
+def related_names(definition: Column, value: Column) -> Column:
+    """Whether a definition of one name changes the other: the same, a member of it, or what it is a member of."""
+    def member(x: Column, y: Column) -> Column:
+        return F.startswith(x, F.concat(y, F.lit("."))) | F.startswith(x, F.concat(y, F.lit("[")))
+
+    return (definition == value) | member(definition, value) | member(value, definition)
 
 
-def redefined_between(ranges: DataFrame, definitions: DataFrame, key: str, start: str, end: str, at: str) -> DataFrame:
-    """Ranges within which a definition of the same key lies."""
-    d = definitions.select(F.col(key).alias("__key"), F.col(at).alias("__at"))
-    return ranges.join(d, (F.col(key) == F.col("__key")) & (F.col("__at") > F.col(start)) & (F.col("__at") < F.col(end)), "left_semi")
+def redefined_between(ranges: DataFrame, definitions: DataFrame, key: str, start: str, end: str, at: str, value: str | None = None, output: str | None = None, receiver: str | None = None) -> DataFrame:
+    """Ranges within which (both ends left out) a definition of the same key lies; with names, one of the value itself, of a member, of its owner, or a call on it as receiver."""
+    names = [x for x in (value,) if x]
+    wanted = ranges.select(F.col(key), (F.col(start) + 1).alias("__start"), (F.col(end) - 1).alias("__end"), F.col(start), F.col(end), *names).distinct()
+    found = in_spans(definitions.select(F.col(key), F.col(at).alias("__at"), *[F.col(x).alias(f"__{x}") for x in (output, receiver) if x]).distinct(), wanted, key, "__at", "__start", "__end")
+    if value:
+        hit = F.lit(False)
+        if output:
+            hit = hit | F.coalesce(related_names(F.col(f"__{output}"), F.col(value)), F.lit(False))
+        if receiver:
+            hit = hit | F.coalesce(F.col(f"__{receiver}") == F.col(value), F.lit(False))
+        found = found.filter(hit)
+    on = [key, start, end, *names]
+    return ranges.join(found.select(*on).distinct(), on, "left_semi").select(*ranges.columns)
 
 
 def unique_match(calls: DataFrame, targets: DataFrame, name: str, scope: str, result: str) -> DataFrame:
@@ -59,9 +121,10 @@ def unique_match(calls: DataFrame, targets: DataFrame, name: str, scope: str, re
 def longest_prefix(rows: DataFrame, known: DataFrame, name: str, prefix: str, separator: str = "/") -> DataFrame:
     """rows with the longest known prefix that ends at a separator (or is the whole name); null without one. Prefixes become equality keys."""
     parts = F.split(name, f"\\Q{separator}\\E")
-    exploded = rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.size(parts)))).withColumn(prefix, F.array_join(F.slice(parts, F.lit(1), F.col("__n")), separator))
-    best = exploded.join(known.select(prefix).distinct(), prefix).groupBy(*rows.columns).agg(F.max_by(prefix, "__n").alias(prefix))
-    return rows.join(best, rows.columns, "left")
+    names = rows.select(name).distinct()
+    exploded = names.withColumn("__n", F.explode(F.sequence(F.lit(1), F.size(parts)))).withColumn(prefix, F.array_join(F.slice(parts, F.lit(1), F.col("__n")), separator))
+    best = exploded.join(known.select(prefix).distinct(), prefix).groupBy(name).agg(F.max_by(prefix, "__n").alias(prefix))
+    return rows.join(best, name, "left").select(*rows.columns, prefix)
 
 
 def positional(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def tainted_at_sinks(events: DataFrame, entity: str, order: list[str], source: Column, kill: Column, clean: Column, sink: Column) -> DataFrame:
     """Sinks with the place of the source they are reached from: the last source, after the last kill, with nothing cleaning in between.
 
-    One shuffle and one sort a key; `last` carries the places forward.
+    One shuffle and one sort a key; `last` carries the places forward. An entity's events must fit a task's sort, which spills to disk.
     """
     before = Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct(*order)

@@ -20,16 +20,36 @@ def segments(rows: DataFrame, entity: str, order: str, marker: Column, name: str
     return rows.withColumn(name, F.sum(F.when(marker, 1).otherwise(0)).over(upto))
 
 
-def running_total(rows: DataFrame, order: list[str], size: Column, name: str, slices: int = 64) -> DataFrame:
-    """Exact sums over the whole table in order, without one task that sees all rows: range slices are summed, then rows within slices.
+def sliced(rows: DataFrame, order: list) -> DataFrame:
+    """rows with __slice: consecutive ranges of the order, of a size that the session's shuffle and adaptive settings give. Written down, since all readers must see the same slices.
 
-    The slices' sums are `slices` rows or so; rows are sorted inside their own slice. Ranges come from the first order column.
+    Nulls stand first. Rows that are equal in the whole order are in one slice, so it must be fine enough for its largest group.
     """
-    sliced = cut(rows.withColumn("__size", size).repartitionByRange(slices, *order).withColumn("__slice", F.spark_partition_id()))  # both readers must see the same slices
-    sums = sliced.groupBy("__slice").agg(F.sum("__size").alias("__sum"))
+    return cut(rows.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).withColumn("__slice", F.spark_partition_id()))
+
+
+def running_total(rows: DataFrame, order: list[str], size: Column, name: str) -> DataFrame:
+    """Exact sums over the whole table in order, without one task that sees all rows: slices are summed, then rows within slices.
+
+    The slices' sums are a row a slice; rows are sorted inside their own.
+    """
+    own = sliced(rows.withColumn("__size", size), order)
+    sums = own.groupBy("__slice").agg(F.sum("__size").alias("__sum"))
     before = sums.select("__slice", F.coalesce(F.sum("__sum").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     within = Window.partitionBy("__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return sliced.join(F.broadcast(before), "__slice").withColumn(name, F.col("__before") + F.sum("__size").over(within)).drop("__slice", "__size", "__before")
+    return own.join(F.broadcast(before), "__slice").withColumn(name, F.col("__before") + F.sum("__size").over(within)).drop("__slice", "__size", "__before")
+
+
+def previous_in_order(rows: DataFrame, order: list[str], columns: list[str], prefix: str = "previous_") -> DataFrame:
+    """rows with columns of the row before, over the whole table: inside slices by `lag`, and at a slice's start from the last row of the slice before it."""
+    own = sliced(rows, order)
+    sort = Window.partitionBy("__slice").orderBy(*order)
+    fields = F.struct(*columns)
+    lasts = own.groupBy("__slice").agg(F.max(F.struct(F.struct(*order).alias("at"), fields.alias("row"))).alias("__last"))
+    handed = lasts.select("__slice", F.lag("__last.row").over(Window.orderBy("__slice")).alias("__handed"))  # a row a slice
+    lagged = own.withColumn("__before", F.lag(fields).over(sort)).join(F.broadcast(handed), "__slice")
+    before = F.coalesce("__before", "__handed")
+    return lagged.select(*rows.columns, *[before[c].alias(f"{prefix}{c}") for c in columns])
 
 
 def byte_budget(rows: DataFrame, order: list[str], size: str, largest: int, budget: int) -> DataFrame:
@@ -57,10 +77,36 @@ def capped(rows: DataFrame, group: str, order: list[str], each: int, overall: in
     return newest(rows, group, [F.col(c) for c in order], each).orderBy(group, *order).limit(overall)
 
 
-def adjacent_distinct(rows: DataFrame, order: list[Column], keys: list[str], within: str | None = None) -> DataFrame:
-    """Rows none of whose keys equals that of the row before. Only neighbours are compared, as in a sorted list that is walked once."""
-    window = (Window.partitionBy(within) if within else Window.partitionBy()).orderBy(*order)
+def adjacent_distinct(rows: DataFrame, order: list[str], keys: list[str], within: str | None = None) -> DataFrame:
+    """Rows none of whose keys equals that of the row before; nulls equal nothing. Only neighbours are compared, as in a sorted list that is walked once; with `within`, only neighbours that agree there."""
+    order = [*([within] if within else []), *order]
+    before = previous_in_order(rows, order, [*keys, *([within] if within else [])], "__before_")
     same = F.lit(False)
     for key in keys:
-        same = same | F.coalesce(F.col(key) == F.lag(key).over(window), F.lit(False))
-    return rows.withColumn("__same", same).filter("NOT __same").drop("__same")
+        same = same | F.coalesce(F.col(key) == F.col(f"__before_{key}"), F.lit(False))
+    if within:
+        same = same & F.col(within).eqNullSafe(F.col(f"__before_{within}"))
+    return before.filter(~same).select(*rows.columns)
+
+
+def out_of_order(rows: DataFrame, order: list[str], key: str) -> DataFrame:
+    """Rows (in the order they claim) whose key is not greater than that of the row before: none, in a strictly ascending list."""
+    return previous_in_order(rows, order, [key], "previous_").filter(F.col("previous_" + key) >= F.col(key))
+
+
+def definitions_before(uses: DataFrame, definitions: DataFrame, key: list[str], at: str, name: str = "definitions") -> DataFrame:
+    """uses with how many definitions of the same key stand before their place. One union, a running count a key."""
+    marks = uses.select(*key, F.col(at), F.struct(*uses.columns).alias("__row"), F.lit(0).alias("__one"))
+    more = definitions.filter(" AND ".join(f"{k} IS NOT NULL" for k in key)).select(*key, F.col(at), F.lit(None).cast(marks.schema["__row"].dataType).alias("__row"), F.lit(1).alias("__one"))
+    upto = Window.partitionBy(*key).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    return marks.unionByName(more).withColumn(name, F.coalesce(F.sum("__one").over(upto), F.lit(0)).cast("long")).filter("__row IS NOT NULL").select("__row.*", name)
+
+
+def with_limit(rows: DataFrame, order: list, keep: int, sentinel: dict) -> DataFrame:
+    """The first `keep` rows; where there are more, the sentinel row stands in the place of the last one, so that a cut list says so."""
+    first = rows.orderBy(*order).limit(keep + 1)
+    place = first.withColumn("__place", F.row_number().over(Window.orderBy(*order)))  # of at most keep + 1 rows
+    cut_off = F.max("__place").over(Window.partitionBy()) > keep
+    marked = place.withColumn("__cut", cut_off).filter(F.col("__place") <= keep)
+    last = F.col("__cut") & (F.col("__place") == keep)
+    return marked.select(*[F.when(last, F.lit(sentinel.get(c)).cast(rows.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in rows.columns])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import evidence, facts, fixpoint, frontend, inventory, relations
+from corvane.plans import analysis, evidence, facts, fixpoint, frontend, inventory, names, relations
 from corvane.plans.registry import ORACLES, QUERIES
 
-MODULES = (inventory, relations, evidence, fixpoint, frontend, facts)
+MODULES = (inventory, names, relations, analysis, evidence, fixpoint, frontend, facts)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,18 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.classify import parser_mode
+from corvane.functions.semantics import edge_of_relation, node_of_fact
 from corvane.functions.text import digest
 from corvane.operators.graph import union_distinct
-from corvane.plans.frontend import GUARDS, LANGUAGE, NAME, SINKS, WORDS, _blank, _close
-from corvane.plans.registry import query
+from corvane.functions import callees
+from corvane.plans.scanner import LANGUAGE, NAME, Text
+from corvane.plans.frontend import _PLAIN, PROGRAMS, files_of_documents
+from corvane.plans.registry import query, table
 
 FACTS = "path string, kind string, name string, start_byte long, end_byte long, start_line int, start_column int, end_line int, end_column int, relationships array<struct<kind:string,target:string>>, parser string"
-# Method names of routes, calls that render and that read foreign data, and what a fact becomes in the graph.
-METHODS = "GET HEAD POST PUT PATCH DELETE OPTIONS USE".split()
-MORE_CALLS = [("template-render", "render renderfile rendertostring"), ("deserialization", "deserialize deserializeunchecked loads parse load yaml.load")]
-READS = {"json.parse", "yaml.load", "yaml.parse", "json.loads", "pickle.loads", "pickle.load"}
-NODE_OF = {"function": "function", "method": "method", "module-import": "module-reference", "http-route-handler": "handler", "server-action-handler": "handler", "environment-access": "configuration", "guard-candidate": "guard", "call": "call"}
-EDGE_OF = {"imports": "imports", "calls": "calls", "handles": "containment", "handler": "calls"}
+METHODS = callees.METHODS["facts"]
 
 IMPORTS = {
     "javascript": re.compile(r"\bimport\b[^;\n\"'`]*[\"'](?P<m>[^\"'\n]+)[\"']|\brequire\(\s*[\"'](?P<n>[^\"'\n]+)[\"']\s*\)"),
@@ -46,17 +44,17 @@ CALL = re.compile(rf"({NAME})\s*!?\(")
 
 
 def next_route(path: str) -> str | None:
-    """The address that a route file serves: from behind its first `app` folder, without groups in parentheses."""
+    """text.route_of for one path: the address that a route file serves."""
     parts = path.split("/")
     if "app" not in parts or not re.fullmatch(r"route\.[cm]?[jt]sx?", parts[-1]):
         return None
     return "/" + "/".join(p for p in parts[parts.index("app") + 1 : -1] if not p.startswith("("))
 
 
-class Facts:
+class Facts(Text):
     def __init__(self, path: str, raw: str, mode: str):
-        self.path, self.raw, self.mode, self.language, self.rows = path, raw, mode, LANGUAGE[mode], []
-        self.text = _blank(raw, self.language)
+        super().__init__(raw, LANGUAGE[mode])
+        self.path, self.mode, self.rows = path, mode, []
         self.lines = [0, *[m.end() for m in re.finditer("\n", raw)]]
 
     def place(self, at: int) -> tuple[int, int, int]:
@@ -87,7 +85,7 @@ class Facts:
             exported = bool(got.get("x") or got.get("y"))
             begin = start + (len(got.get("x") or got.get("y") or "") if exported else 0)
             open_at = self.text.find("{", m.end())
-            end = m.end() if self.language == "python" or open_at < 0 else min(_close(self.text, open_at, "{}") + 1, len(self.text))
+            end = m.end() if self.language == "python" or open_at < 0 else min(self.close(open_at) + 1, len(self.text))
             self.emit("method" if not js and got.get("i") else "function", begin, end, name)
             if js and exported and name in METHODS and route:
                 self.emit("http-route-handler", begin, end, name, ("handles", f"{name} {route}"))
@@ -95,8 +93,8 @@ class Facts:
                 self.emit("server-action-handler", begin, end, name, ("exports-server-action", name))
         if js:
             for m in METHOD.finditer(self.text):
-                if m["a"] not in WORDS | {"switch", "catch", "with"}:
-                    self.emit("method", m.start("a"), min(_close(self.text, m.end() - 1, "{}") + 1, len(self.text)), m["a"])
+                if m["a"] not in self.words | {"switch", "catch", "with"}:
+                    self.emit("method", m.start("a"), min(self.close(m.end() - 1) + 1, len(self.text)), m["a"])
             for m in EXPORT.finditer(self.text):
                 self.emit("module-export", m.start(), m.end(), m["a"])
             for m in ROUTE.finditer(self.raw):
@@ -108,19 +106,14 @@ class Facts:
                 self.emit("environment-access", m.start(), m.end(), next(g for g in m.groups() if g))
         for m in CALL.finditer(self.text):
             name = m[1].replace("?.", ".").replace("::", ".")
-            before = self.text[max(0, m.start() - 40) : m.start()].rstrip()
-            if name in WORDS or re.search(r"\b(?:function|def|func|fn)\s*\*?$", before):
+            before = self.text[self.text.rfind("\n", 0, m.start()) + 1 : m.start()].rstrip()
+            if name in self.words or re.search(r"\b(?:function|def|func|fn)\s*\*?$", before):
                 continue
-            end, lower = _close(self.text, m.end() - 1, "()") + 1, name.lower()
-            leaf = lower.rpartition(".")[2]
+            end = min(self.close(m.end() - 1) + 1, len(self.text))
             self.emit("call", m.start(), end, name, ("calls", name))
-            for kind, names, prefixes in SINKS[self.language]:
-                if kind != "sensitive-mutation" and (leaf in names.split() or any(lower.startswith(p) for p in prefixes.split())):
-                    self.emit(kind, m.start(), end, name)
-            for kind, names in MORE_CALLS:
-                if leaf in names.split() and (kind == "template-render" or lower in READS or leaf.startswith("deserialize")):
-                    self.emit(kind, m.start(), end, name)
-            if any(w in leaf for w in GUARDS):
+            for kind in callees.operation_kinds(self.language, name):
+                self.emit(kind, m.start(), end, name)
+            if callees.named_guard("facts" if js else "other", name):
                 self.emit("guard-candidate", m.start(), end, name)
         return sorted(self.rows, key=lambda r: (r["start_byte"], r["kind"], r["end_byte"], r["name"] or ""))
 
@@ -143,27 +136,34 @@ def facts_of(files: DataFrame) -> DataFrame:
 
 def evidence_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): files and their facts, held together by containment, imports and calls."""
-    kind = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in NODE_OF.items()], F.lit("syntax-fact"))
+    kind = node_of_fact(F.col("kind"))
     file_node = digest(F.lit("file"), F.col("path"), prefix="gn_")
     own = digest(F.col("node_kind"), F.col("path"), F.col("start_byte"), F.col("name"), prefix="gn_")
     named = facts.withColumn("node_kind", kind).withColumn("node_id", own).withColumn("file_id", file_node)
     files = named.select(F.col("file_id").alias("node_id"), F.lit("file").alias("kind"), F.col("path").alias("name"), "path")
     nodes = union_distinct([files, named.select("node_id", F.col("node_kind").alias("kind"), "name", "path")], "node_id")
     inside = named.select(F.lit("containment").alias("kind"), F.col("file_id").alias("from_node"), F.col("node_id").alias("to_node"))
-    links = named.select("node_id", F.explode("relationships").alias("r")).select(F.coalesce(*[F.when(F.col("r.kind") == k, v) for k, v in EDGE_OF.items()], F.lit("containment")).alias("kind"), F.col("node_id").alias("from_node"), digest(F.lit("name"), F.col("r.target"), prefix="gn_").alias("to_node"))
+    links = named.select("node_id", F.explode("relationships").alias("r")).select(edge_of_relation(F.col("r.kind")).alias("kind"), F.col("node_id").alias("from_node"), digest(F.lit("name"), F.col("r.target"), prefix="gn_").alias("to_node"))
     edges = union_distinct([e.withColumn("edge_id", digest(F.col("kind"), F.col("from_node"), F.col("to_node"), prefix="ge_")) for e in (inside, links)], "edge_id")
     return nodes, edges
 
 
 #: A few files whose facts are known.
 FILES = {
-    "app/api/items/[id]/route.ts": "import { reply } from \"server\";\n\nexport async function GET(request: Request) {\n  const session = await authenticate(request);\n  return fetch(\"https://x.invalid\");\n}\n",
-    "src/words.ts": "// exec('no')\nexport function hola(n: string) {\n  return { café: n, ubicación: process.env.REGIÓN };\n}\napp.get(\"/users/:id\", getUser);\nJSON.parse(n);\n",
-    "src/tool.py": "import os\n\nclass A:\n    def run(self):\n        os.system(os.getenv('HOME'))\n",
+    "web/app/api/orders/[order]/route.ts": "import { json } from \"kit\";\n\nexport async function GET(call: Request) {\n  const who = await signedIn(call);\n  return fetch(\"https://host.invalid\");\n}\n",
+    "src/names.ts": "// exec('never')\nexport function größe(n: string) {\n  return { müll: n, straße: process.env.LÄNGE };\n}\napp.get(\"/items/:key\", showItem);\nJSON.parse(n);\n",
+    "src/tool.py": "import os\n\nclass Worker:\n    def start(self):\n        os.system(os.getenv('SHELL'))\n",
 }
 
 
-@query()
-def facts_samples(spark: SparkSession, sf: str) -> DataFrame:
-    files = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in FILES.items()], "path string, content binary")
-    return facts_of(files).select("path", "kind", "name", "start_byte", "start_line", "start_column")
+def _fact_sql(way: int, kind: str, name: str, mark: str) -> str:
+    suffix, before, after, program = PROGRAMS[way]
+    at = program.index(mark)
+    return f"SELECT 'd' || doc_id || '.{suffix}' AS path, '{kind}' AS kind, '{name}' AS name, CAST(strlen({_PLAIN}) + {len(before) + len(after) + at} AS BIGINT) AS start_byte, CAST(length({_PLAIN}) - length(replace({_PLAIN}, chr(10), '')) + {2 + program[:at].count(chr(10))} AS INT) AS start_line, {at - program.rfind(chr(10), 0, at)} AS start_column FROM documents WHERE doc_id % {len(PROGRAMS)} = {way}"
+
+
+@query(" UNION ALL ".join(_fact_sql(*x) for x in [(0, "function", "run", "function"), (1, "function", "run", "function"), (3, "function", "run", "def"), (0, "process-execution", "exec", "exec"), (1, "process-execution", "exec", "exec(c)"), (2, "redirect", "res.redirect", "res.redirect"), (3, "process-execution", "os.system", "os.system"), (2, "http-route", "GET", "app.get")]))
+def facts_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions, operations and routes of every document's file, with their places in bytes, lines and characters."""
+    facts = facts_of(files_of_documents(table(spark, sf, "documents").select("doc_id", "text")))
+    return facts.filter(F.col("kind").isin("function", "process-execution", "redirect", "http-route")).select("path", "kind", "name", "start_byte", "start_line", "start_column")

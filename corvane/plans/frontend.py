@@ -1,9 +1,4 @@
-"""Source text to program records: a tolerant scanner for JavaScript/TypeScript, Python, Go and Rust.
-
-It blanks comments and string contents without moving anything, finds functions and their extents, walks statements in order, and emits
-records for parameters, sources, assignments, calls, sanitizers, guards, returns and sinks. What it can't make out gives no records, so
-it errs towards silence. It is a scanner and not a grammar: see the README for what that leaves out. One pass over files, no shuffle.
-"""
+"""Source text to program records and findings: the scanner over a table of files, in one pass without a shuffle."""
 
 from __future__ import annotations
 
@@ -16,240 +11,25 @@ from pyspark.sql import functions as F
 
 from corvane.functions.classify import parser_mode
 from corvane.plans.fixpoint import RECORDS, candidates, findings
-from corvane.plans.registry import query
+from corvane.plans.registry import query, table
+from corvane.plans.scanner import File
 from corvane.sources.tree import read_tree
 
-LANGUAGE = {"javascript": "javascript", "jsx": "javascript", "typescript": "javascript", "tsx": "javascript", "python": "python", "go": "go", "rust": "rust"}
-# Callee names (of the last part, lower-cased) and prefixes that make a call a sink; the first kind that matches decides.
-SINKS = {
-    "javascript": [
-        ("process-execution", "exec execsync execfile execfilesync spawn spawnsync fork", "child_process."),
-        ("database-access", "query execute raw $queryraw $executeraw", ""),
-        ("filesystem-operation", "readfile readfilesync writefile writefilesync appendfile unlink rm rename mkdir readdir createreadstream createwritestream extract extractall unpack unpackin", "fs."),
-        ("network-request", "fetch axios", "axios. http.get http.request https.get https.request"),
-        ("redirect", "redirect", ""),
-        ("dynamic-code-execution", "eval function", ""),
-        ("sensitive-mutation", "revalidatepath revalidatetag", ""),
-    ],
-    "python": [
-        ("process-execution", "", "subprocess. os.system os.popen"),
-        ("database-access", "execute executemany raw", ""),
-        ("filesystem-operation", "open unlink remove rename mkdir rmdir read_text write_text read_bytes write_bytes", ""),
-        ("network-request", "", "requests. httpx."),
-        ("redirect", "redirect", ""),
-        ("dynamic-code-execution", "eval exec __import__ import_module", "pickle.load"),
-    ],
-    "go": [("process-execution", "", "exec.command os.exec"), ("database-access", "query querycontext exec execcontext", ""), ("filesystem-operation", "open openfile readfile writefile remove removeall rename mkdir mkdirall", ""), ("network-request", "", "http.get http.post http.newrequest client.do"), ("redirect", "redirect", "")],
-    "rust": [("process-execution", "", "command.new command.arg std.process."), ("database-access", "query query_as", ""), ("filesystem-operation", "", "std.fs. tokio.fs. fs. file.open file.create"), ("network-request", "", "reqwest. client."), ("redirect", "", "redirect.")],
-}
-MUTATIONS, STORES = "create insert update upsert delete remove destroy save publish archive erase revoke mutate".split(), "db database prisma repository repo store model service vault resource record".split()
-SANITIZERS = ["sanitize", "escape", "validate", "assertsafe", "allowlist", "normalizesafepath", "safeurl", "saferedirect", "parameterize", "canonicalize"]
-GUARDS = ["auth", "authoriz", "permission", "requireuser", "session", "role", "policy", "guard", "owner", "tenant", "member", "canaccess", "enforce"]
-REQUESTS, PARTS = "req request ctx context c r event".split(), "query body params headers header cookies cookie searchparams url form args json data values formvalue param path".split()
-
-BLANKS = {
-    "c": re.compile(r"//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S),
-    "python": re.compile(r"#[^\n]*|\"\"\".*?\"\"\"|'''.*?'''|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S),
-}
-HEADERS = {
-    "javascript": re.compile(r"(?:\bfunction\s*\*?\s*(?P<a>[\w$]+)\s*|\b(?:const|let|var)\s+(?P<b>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:function\s*)?)\((?P<p>[^()]*)\)[^{};=\n]*(?:=>\s*)?\{"),
-    "python": re.compile(r"^(?P<i>[ \t]*)(?:async\s+)?def\s+(?P<a>\w+)\s*\((?P<p>[^()]*)\)[^:\n]*:", re.M),
-    "go": re.compile(r"\bfunc\s+(?:\([^()]*\)\s*)?(?P<a>\w+)\s*\((?P<p>[^()]*)\)[^{\n]*\{"),
-    "rust": re.compile(r"\bfn\s+(?P<a>\w+)[^({]*\((?P<p>[^()]*)\)[^{;]*\{"),
-}
-NAME = r"[A-Za-z_$][\w$]*(?:(?:\?\.|\.|::)[A-Za-z_$][\w$]*)*"
-STATEMENT = re.compile(rf"\breturn\b(?P<r>[^;\n]*)|\bif\b(?P<g>[^{{:\n]*)|(?:\b(?:const|let|mut|var)\s+)*(?P<o>{NAME}|\{{[\w\s,:$]*\}})\s*(?::[^=\n]{{1,60}})?:?=(?![=>])(?P<e>[^;\n]*)|(?P<c>{NAME})\s*!?(?=\()")
-VALUE = re.compile(rf"({NAME})(\s*!?\()?")
-WORDS = {"return", "if", "else", "for", "while", "await", "async", "new", "const", "let", "var", "true", "false", "null", "None", "True", "False", "undefined", "not", "and", "or", "in", "of", "is", "typeof", "function", "mut", "err", "nil"}
-
-
-def _blank(text: str, language: str) -> str:
-    """Comments and strings become blanks of the same length; `${...}` in templates stays."""
-    def gone(m: re.Match) -> str:
-        found = m[0]
-        out = [c if c == "\n" else " " for c in found]
-        if found[0] == "`" or found[:1] in "\"'" and text[max(0, m.start() - 1)] == "f":
-            for hole in re.finditer(r"\$?\{([^{}]*)\}", found):
-                out[hole.start(1) : hole.end(1)] = hole[1]
-        elif found[:1] in "\"'":
-            out[0], out[-1] = '"', '"'
-        return "".join(out)
-
-    return BLANKS["python" if language == "python" else "c"].sub(gone, text)
-
-
-def _close(text: str, at: int, pair: str) -> int:
-    depth = 0
-    for i in range(at, len(text)):
-        depth += (text[i] == pair[0]) - (text[i] == pair[1])
-        if not depth:
-            return i
-    return len(text)
-
-
-def _slots(text: str) -> list[str]:
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(text):
-        depth += (c in "([{") - (c in ")]}")
-        if c == "," and not depth:
-            out.append(text[start:i])
-            start = i + 1
-    return [x for x in [*out, text[start:]] if x.strip()]
-
-
-class File:
-    def __init__(self, path: str, text: str, mode: str):
-        self.path, self.language, self.rows = path, LANGUAGE[mode], []
-        self.text = _blank(text, self.language)
-        self.ascii = text.isascii()
-        self.raw = text
-
-    def byte(self, at: int) -> int:
-        return at if self.ascii else len(self.raw[:at].encode())
-
-    def emit(self, kind: str, start: int, end: int, function: str, values: list[list[str]] | None = None, **more) -> None:
-        row = {"record_id": f"{self.path}:{self.byte(start)}:{kind}:{more.get('output') or ''}", "path": self.path, "function": function, "kind": kind, "start_byte": self.byte(start), "end_byte": self.byte(end), "evaluation_order": len(self.rows), "language": self.language}
-        row["values"] = [{"slot": i, "property": None, "value": v} for i, group in enumerate(values or []) for v in group]
-        self.rows.append(row | more)
-
-    def functions(self) -> list[tuple[int, int, str, str]]:
-        found = []
-        for m in HEADERS[self.language].finditer(self.text):
-            groups = m.groupdict()
-            if self.language == "python":
-                inside = re.compile(rf"^(?!{groups['i']}[ \t]+\S|[ \t]*$)", re.M).search(self.text, m.end() + 1)
-                end = inside.start() if inside else len(self.text)
-            else:
-                end = _close(self.text, m.end() - 1, "{}")
-            found.append((m.end(), end, groups.get("a") or groups.get("b"), groups["p"]))
-        return found
-
-    def scan(self) -> list[dict]:
-        spans = self.functions()
-        for start, end, name, parameters in spans:
-            inner = [(a, b) for a, b, *_ in spans if start < a and b <= end]
-            self.function(start, end, name, parameters, inner)
-        return self.rows
-
-    def function(self, start: int, end: int, name: str, parameters: str, inner: list[tuple[int, int]]) -> None:
-        key = f"{self.path}::{name}:{start}"
-        self.emit("function", start, end, key, name=name)
-        names = [re.split(r"[:=\s]", p.strip().lstrip("&*"))[0] for p in _slots(parameters)]
-        for i, p in enumerate(names):
-            self.emit("argument", start, start, key, [[] for _ in range(i)] + [[p]], output=p)
-            self.rows[-1]["values"] = [{"slot": i, "property": None, "value": ""}]
-        self.requests = {p for p in names if p.lower() in REQUESTS} | ({"request"} if self.language == "python" else set())
-        at = start
-        while (m := STATEMENT.search(self.text, at, end)) is not None:
-            skip = next((b for a, b in inner if a <= m.start() < b), None)
-            at = skip if skip is not None else m.end()
-            if skip is not None:
-                continue
-            if m["r"] is not None:
-                self.emit("return", m.start(), m.end(), key, [self.expression(m.start("r"), self.expression_end(m.start("r"), end), key, end)])
-                at = max(at, self.expression_end(m.start("r"), end))
-            elif m["g"] is not None:
-                self.guard(m, key, end)
-            elif m["o"] is not None:
-                stop = self.expression_end(m.start("e"), end)
-                values = self.expression(m.start("e"), stop, key, end)
-                targets = [t.split(":")[-1].strip() for t in m["o"].strip("{}").split(",")] if m["o"][0] == "{" else [m["o"]]
-                for target in targets:
-                    own = [f"{v}.{target}" if m["o"][0] == "{" and not v.startswith("@") else v for v in values]
-                    self.emit("assignment", m.start(), stop, key, [own], output=target.replace("?.", ".").replace("::", "."), dominance_start=self.byte(m.start()) if self.language == "javascript" else None, dominance_end=self.byte(end) if self.language == "javascript" else None)
-                at = max(at, stop)
-            elif m["c"] not in WORDS:
-                self.expression(m.start(), stop := self.expression_end(m.start(), end), key, end)
-                at = max(at, stop)
-
-    def expression_end(self, at: int, end: int) -> int:
-        depth = 0
-        for i in range(at, end):
-            c = self.text[i]
-            depth += (c in "([{") - (c in ")]}")
-            if depth < 0 or not depth and c in ";\n" and self.text[at:i].strip():
-                return i
-        return end
-
-    def expression(self, start: int, end: int, key: str, last: int) -> list[str]:
-        """The values that an expression reads; its calls become records, inner ones first."""
-        values, at = [], start
-        while (m := VALUE.search(self.text, at, end)) is not None:
-            at = m.end()
-            name = m[1].replace("?.", ".").replace("::", ".")
-            if name in WORDS or self.text[max(0, m.start() - 1)] in "0123456789":
-                continue
-            if not m[2]:
-                self.source(name, m.start(), m.end(), key)
-                values.append(name)
-                continue
-            close = _close(self.text, m.end() - 1, "()")
-            inside, slots, offset = self.text[m.end() : close], [], m.end()
-            for part in _slots(inside):
-                where = self.text.find(part, offset, close)
-                slots.append(self.expression(where, where + len(part), key, last))
-                offset = where + len(part)
-            values.append(self.call(name, m.start(), close + 1, slots, key))
-            at = close + 1
-        return list(dict.fromkeys(values))
-
-    def source(self, name: str, start: int, end: int, key: str) -> bool:
-        root, _, rest = name.partition(".")
-        part = rest.split(".")[0].lower()
-        if root in self.requests and part in PARTS:
-            kind = "sensitive-configuration" if "env" in part else f"http-{'body' if part in ('body', 'json', 'form', 'data') else part}"
-            self.emit("source", start, end, key, name=kind, output=name)
-            return True
-        if re.match(r"(process|Deno|Bun)\.env\.", name) and re.search("SECRET|TOKEN|PASSWORD|KEY", name, re.I):
-            self.emit("source", start, end, key, name="sensitive-configuration", output=name)
-            return True
-        return False
-
-    def call(self, name: str, start: int, end: int, slots: list[list[str]], key: str) -> str:
-        output, lower = f"@call:{self.byte(start)}", name.lower()
-        leaf, root = lower.rpartition(".")[2], name.partition(".")[0]
-        if "." in name and self.source(name, start, end, key):
-            return name
-        if any(w in leaf.replace("_", "") for w in SANITIZERS):
-            self.emit("sanitizer", start, end, key, slots, name=name, callee=name, output=output)
-            return output
-        kind = next((k for k, names, prefixes in SINKS[self.language] if leaf in names.split() or any(lower.startswith(p) for p in prefixes.split())), None)
-        if kind is None and leaf in MUTATIONS and any(s in lower.rpartition(".")[0] for s in STORES):
-            kind = "sensitive-mutation"
-        if kind == "database-access" and self.text[start:end].count('"') >= 2 and len(slots) and not slots[0]:
-            kind = "database-parameterized"  # the query itself is a literal
-        if kind:
-            self.emit("sink", start, end, key, slots if slots else [[]], name=kind, callee=name)
-        self.emit("call", start, end, key, [*slots, *([[root]] if "." in name and root not in ("fs", "os") else [])], callee=name, output=output)
-        return output
-
-    def guard(self, m: re.Match, key: str, last: int) -> None:
-        test = m["g"]
-        stop = self.text[m.end() : m.end() + 160]
-        called = next((x for x in re.findall(NAME, test) if any(w in x.lower() for w in GUARDS)), None)
-        leaves = re.search(r"^\s*\{?:?\s*(?:return|throw|raise)\b", stop) is not None
-        if not called or "&&" in test:
-            return
-        if "!" in test or re.search(r"\bnot\b", test):
-            if leaves:
-                self.emit("guard", m.start(), m.end(), key, [re.findall(NAME, test)], name=called, dominance_start=self.byte(m.end()), dominance_end=self.byte(last))
-        elif self.text[m.end() : m.end() + 1] == "{":
-            self.emit("guard", m.start(), m.end(), key, [re.findall(NAME, test)], name=called, dominance_start=self.byte(m.end()), dominance_end=self.byte(_close(self.text, m.end(), "{}")))
-
 
 def records_of(files: DataFrame) -> DataFrame:
-    """files: path, content (binary) -> RECORDS."""
-    known = files.withColumn("mode", parser_mode(F.col("path"))).filter("mode IS NOT NULL AND content IS NOT NULL").select("path", "content", "mode")
+    """files: path, content (binary), and perhaps repository -> RECORDS."""
+    repository = F.coalesce(F.col("repository"), F.lit("")) if "repository" in files.columns else F.lit("")
+    known = files.select("path", "content", parser_mode(F.col("path")).alias("mode"), repository.alias("repository")).filter("mode IS NOT NULL AND content IS NOT NULL")
     item = pa.struct([("slot", pa.int32()), ("property", pa.string()), ("value", pa.string())])
     kinds = {"start_byte": pa.int64(), "end_byte": pa.int64(), "evaluation_order": pa.int64(), "dominance_start": pa.int64(), "dominance_end": pa.int64(), "values": pa.list_(item)}
     shape = pa.schema([(x, kinds.get(x, pa.string())) for x in re.findall(r"(\w+) (?:string|long|array<struct<[^>]*>>)", RECORDS)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content, mode in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for path, content, mode, repository in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 rows = File(path, content.decode("utf-8", "replace"), mode).scan()
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                    yield pa.RecordBatch.from_pylist([r | {"repository": repository} for r in rows], schema=shape)
 
     return known.mapInArrow(scan, RECORDS)
 
@@ -263,13 +43,33 @@ def scan(spark: SparkSession, path: str, depth: int = 4, **options) -> DataFrame
 SAMPLES = {
     "a.ts": "import { exec } from 'child_process';\nexport function run(req) {\n  const name = req.query.name;\n  exec(`ls ${name}`);\n}\n",
     "b.py": "def view(request):\n    host = request.args.get('host')\n    cmd = wrap(host)\n    os.system(cmd)\n\ndef wrap(v):\n    return 'ping ' + v\n",
-    "c.go": "func Handle(w http.ResponseWriter, r *http.Request) {\n\tp := r.URL.Path\n\tos.ReadFile(p)\n}\n",
-    "d.js": "function safe(req) {\n  const name = escapeShell(req.query.name);\n  exec('ls ' + name);\n}\n",
-    "e.js": "function fixed(req, db) {\n  db.query(\"select ? as a\", [req.body.a]);\n}\n",
+    "c.go": "func Handle(w http.ResponseWriter, r *http.Request) {\n\tp := r.URL.Query().Get(\"p\")\n\tos.ReadFile(p)\n}\n",
+    "d.js": "export function safe(req) {\n  const name = escapeShell(req.query.name);\n  exec('ls ' + name);\n}\n",
+    "e.js": "export function fixed(req, db) {\n  db.query(\"select ? as a\", [req.body.a]);\n}\n",
 }
 
 
-@query()
-def scan_samples(spark: SparkSession, sf: str) -> DataFrame:
-    files = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in SAMPLES.items()], "path string, content binary")
-    return findings(candidates(records_of(files))).select("rule_id", "path", "function", "sink_start", "source_path", "source_start")
+#: What stands behind a document's text in the file made of it, by its number: two flows, one cleaned, and one in Python.
+PROGRAMS = [
+    ("js", "/* ", " */\n", "export function run(req) {\n  exec(req.query.k);\n}\n"), ("js", "/* ", " */\n", "export function run(req) {\n  const c = shellEscape(req.query.k);\n  exec(c);\n}\n"),
+    ("js", "/* ", " */\n", "app.get('/x', (req, res) => res.redirect(req.query.k));\n"), ("py", '\"\"\"', '\"\"\"\n', "def run(request):\n    os.system(request.args.get('k'))\n"),
+]
+SINK_AT = [("SE1001", PROGRAMS[0][3].index("exec")), None, ("SE1005", PROGRAMS[2][3].index("res.redirect")), ("SE1001", PROGRAMS[3][3].index("os.system"))]
+
+
+def files_of_documents(docs: DataFrame) -> DataFrame:
+    """path, content: each document's text as a remark of any length, and a small program after it."""
+    way, plain = F.col("doc_id") % len(PROGRAMS), F.regexp_replace(F.coalesce("text", F.lit("")), r"\*/|\"|\\\\", "")
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(way == 3, ".py").otherwise(".js"))
+    content = F.coalesce(*[F.when(way == i, F.concat(F.lit(a), plain, F.lit(b), F.lit(program))) for i, (_, a, b, program) in enumerate(PROGRAMS)])
+    return docs.select(path.alias("path"), F.encode(content, "UTF-8").alias("content"))
+
+
+_PLAIN = r"""regexp_replace(coalesce(text, ''), '\*/|"|\\', '', 'g')"""
+
+
+@query(" UNION ALL ".join(f"SELECT 'd' || doc_id || '.{PROGRAMS[i][0]}' AS path, '{rule}' AS rule_id, CAST(strlen({_PLAIN}) + {len(PROGRAMS[i][1]) + len(PROGRAMS[i][2]) + at} AS BIGINT) AS sink_start FROM documents WHERE doc_id % {len(PROGRAMS)} = {i}" for i, (rule, at) in ((i, x) for i, x in enumerate(SINK_AT) if x)))
+def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Source text to findings over every document, scanned whole."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return findings(candidates(records_of(files_of_documents(docs)))).select("path", "rule_id", "sink_start")

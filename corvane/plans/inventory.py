@@ -86,17 +86,14 @@ def inv_parser_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return pages.groupBy("parser").agg(F.count("*").alias("files"), F.sum(F.octet_length("html")).cast("long").alias("n_bytes"), F.count_if(F.octet_length("html") > 2000).alias("large"), F.count_if(F.contains("html", F.lit("table"))).alias("with_table"))
 
 
-@query("SELECT doc_id, CAST(CASE WHEN octet_length(s) > 0 THEN (octet_length(s) - strlen(regexp_replace(t, '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f]', '', 'g'))) * 100 // octet_length(s) ELSE 0 END AS BIGINT) AS control_percent FROM (SELECT doc_id, encode(text) AS s, text AS t FROM documents WHERE strlen(text) <= 8192)")
+@query("""SELECT doc_id, control_percent, control_percent > 10 OR has_nul AS is_binary FROM (SELECT doc_id, contains(h, '00') AND len(list_filter(b, lambda x: x = '00')) > 0 AS has_nul,
+  CAST(CASE WHEN len(b) > 0 THEN len(list_filter(b, lambda x: x < '20' AND x NOT IN ('09', '0A', '0C', '0D') OR x = '7F')) * 100 // len(b) ELSE 0 END AS BIGINT) AS control_percent
+FROM (SELECT doc_id, h, regexp_extract_all(h, '..') AS b FROM (SELECT doc_id, left(hex(encode(text)) || CASE WHEN doc_id % 50 = 0 THEN '00' ELSE '' END, 2 * 8192) AS h FROM documents)))""")
 def cls_binary_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    small = table(spark, sf, "documents").filter(F.octet_length("text") <= classify.SAMPLE_BYTES)
-    return small.select("doc_id", classify.control_percent(F.encode("text", "UTF-8")).alias("control_percent"))
-
-
-@query("""SELECT doc_id, CAST(CASE WHEN len(b) > 0 THEN len(list_filter(b, lambda x: x < '20' AND x NOT IN ('09', '0A', '0C', '0D') OR x = '7F')) * 100 // len(b) ELSE 0 END AS BIGINT) AS control_percent
-FROM (SELECT doc_id, regexp_extract_all(left(hex(encode(text)), 2 * 8192), '..') AS b FROM documents)""")
-def cls_binary_ratio_all(spark: SparkSession, sf: str) -> DataFrame:
-    """cls_binary_ratio for documents of any size: of long ones, the first SAMPLE_BYTES."""
-    return table(spark, sf, "documents").select("doc_id", classify.control_percent(F.encode("text", "UTF-8")).alias("control_percent"))
+    """Every document by its first SAMPLE_BYTES; every fiftieth ends in a NUL here, which counts if it lies within them."""
+    content = F.concat(F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 50 == 0, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))))
+    docs = table(spark, sf, "documents").select("doc_id", content.alias("content"))
+    return docs.select("doc_id", classify.control_percent(F.col("content")).alias("control_percent"), classify.is_binary(F.col("content")).alias("is_binary"))
 
 
 NEEDLES = ["the", "class=", "&amp;", "table", "h2", "é"]
@@ -146,7 +143,7 @@ def hist_retention(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, text FROM (SELECT doc_id, md5(text) AS text, lag(md5(text)) OVER (PARTITION BY lang ORDER BY md5(text), doc_id) AS before FROM documents) WHERE before IS NULL OR before <> text")
 def win_adjacent_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", F.md5("text").alias("text"))
-    return windows.adjacent_distinct(docs, [F.col("text"), F.col("doc_id")], ["text"], within="lang").select("doc_id", "text")
+    return windows.adjacent_distinct(docs, ["text", "doc_id"], ["text"], within="lang").select("doc_id", "text")
 
 
 @query("""SELECT page_id, list_reduce(list_concat([''], list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9._~/-]$') THEN c ELSE regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') END)), lambda a, b: a || b) AS encoded FROM (SELECT page_id, url || ' é' AS url FROM pages)""")

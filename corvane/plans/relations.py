@@ -23,7 +23,7 @@ _SPANS = "(SELECT user_id, event_id AS span_id, event_id - 40 AS lo, event_id +
 @query(f"""SELECT s.event_id, arg_min(v.span_id, (v.hi - v.lo, v.lo, v.span_id)) AS span_id FROM (SELECT * FROM events WHERE event_type = 'purchase') s LEFT JOIN {_SPANS} v ON s.user_id = v.user_id AND s.event_id BETWEEN v.lo AND v.hi GROUP BY s.event_id""")
 def join_interval_innermost(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    return joins.innermost(events.filter("event_type = 'purchase'").drop("event_type"), _spans(events), "user_id", F.col("event_id"), "lo", "hi", "span_id").select("event_id", "span_id")
+    return joins.innermost(events.filter("event_type = 'purchase'").drop("event_type"), _spans(events), "user_id", "event_id", "lo", "hi", "span_id").select("event_id", "span_id")
 
 
 def _spans(events: DataFrame) -> DataFrame:
@@ -43,45 +43,26 @@ def join_redefined_between(spark: SparkSession, sf: str) -> DataFrame:
     return joins.redefined_between(_spans(events), events.filter("event_type = 'error'"), "user_id", "lo", "hi", "event_id").select("span_id")
 
 
-@query("""WITH t AS (SELECT p_partkey AS part_id, p_brand AS name, CAST(p_size % 5 AS BIGINT) AS scope FROM part WHERE p_partkey % 3 = 0),
-c AS (SELECT s_suppkey AS call_id, 'Brand#' || (s_suppkey % 40) AS name, CAST(s_nationkey % 5 AS BIGINT) AS scope FROM supplier),
+@query("""WITH t AS (SELECT p_partkey AS part_id, p_type || '/' || p_size AS name, CAST(p_partkey % 5 AS BIGINT) AS scope FROM part),
+c AS (SELECT o_orderkey AS call_id, p_type || '/' || (p_size + o_orderkey % 2) AS name, CAST(o_custkey % 5 AS BIGINT) AS scope FROM orders JOIN part ON p_partkey = o_orderkey),
 o AS (SELECT name, scope, count(*) AS n, min(part_id) AS part_id FROM t GROUP BY ALL), a AS (SELECT name, count(*) AS n, min(part_id) AS part_id FROM t GROUP BY ALL)
 SELECT c.call_id, CASE WHEN o.n = 1 THEN 'own' WHEN o.n IS NULL AND a.n = 1 THEN 'anywhere' ELSE 'none' END AS tier, CASE WHEN o.n = 1 THEN o.part_id WHEN o.n IS NULL AND a.n = 1 THEN a.part_id END AS part_id
 FROM c LEFT JOIN o USING (name, scope) LEFT JOIN a USING (name)""")
 def join_unique_match(spark: SparkSession, sf: str) -> DataFrame:
-    return _unique_match(spark, sf, table(spark, sf, "part").filter("p_partkey % 3 = 0"))
-
-
-def _unique_match(spark: SparkSession, sf: str, part: DataFrame) -> DataFrame:
-    targets = part.select(F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("name"), (F.col("p_size") % 5).cast("long").alias("scope"))
-    calls = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("call_id"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 40).alias("name"), (F.col("s_nationkey") % 5).cast("long").alias("scope"))
+    """Parts as functions: the calls are orders that ask for a part's type and size."""
+    part, orders = table(spark, sf, "part").select("p_partkey", "p_type", "p_size"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    targets = part.select(F.col("p_partkey").alias("part_id"), F.concat_ws("/", "p_type", "p_size").alias("name"), (F.col("p_partkey") % 5).alias("scope"))
+    calls = orders.join(part, F.col("o_orderkey") == F.col("p_partkey")).select(F.col("o_orderkey").alias("call_id"), F.concat_ws("/", "p_type", F.col("p_size") + F.col("o_orderkey") % 2).alias("name"), (F.col("o_custkey") % 5).alias("scope"))
     return joins.unique_match(calls, targets, "name", "scope", "part_id").select("call_id", "tier", "part_id")
 
 
-@query("""WITH t AS (SELECT p_partkey AS part_id, p_brand AS name, CAST(p_size % 5 AS BIGINT) AS scope FROM part),
-c AS (SELECT s_suppkey AS call_id, 'Brand#' || (s_suppkey % 40) AS name, CAST(s_nationkey % 5 AS BIGINT) AS scope FROM supplier),
-o AS (SELECT name, scope, count(*) AS n, min(part_id) AS part_id FROM t GROUP BY ALL), a AS (SELECT name, count(*) AS n, min(part_id) AS part_id FROM t GROUP BY ALL)
-SELECT c.call_id, CASE WHEN o.n = 1 THEN 'own' WHEN o.n IS NULL AND a.n = 1 THEN 'anywhere' ELSE 'none' END AS tier, CASE WHEN o.n = 1 THEN o.part_id WHEN o.n IS NULL AND a.n = 1 THEN a.part_id END AS part_id
-FROM c LEFT JOIN o USING (name, scope) LEFT JOIN a USING (name)""")
-def join_unique_match_all(spark: SparkSession, sf: str) -> DataFrame:
-    """join_unique_match with every part as a candidate."""
-    return _unique_match(spark, sf, table(spark, sf, "part"))
-
-
-@query("""WITH k AS (SELECT DISTINCT regexp_replace(url, '/[^/]*$', '') AS prefix FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 7 = 0)
+@query("""WITH f AS (SELECT regexp_replace(url, '/[^/]*$', '') AS folder FROM pages), k AS (SELECT folder AS prefix FROM f GROUP BY folder HAVING count(*) > 1 UNION SELECT regexp_replace(folder, '/[^/]*$', '') FROM f)
 SELECT p.page_id, arg_max(k.prefix, length(k.prefix)) AS prefix FROM pages p LEFT JOIN k ON p.url = k.prefix OR starts_with(p.url, k.prefix || '/') GROUP BY p.page_id""")
 def join_longest_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    """Known: folders of several pages, and the folders above any."""
     pages = table(spark, sf, "pages").select("page_id", "url")
-    known = pages.filter("page_id % 2 = 0").select(F.regexp_replace("url", "/[^/]*$", "").alias("prefix")).union(pages.filter("page_id % 7 = 0").select("url"))
-    return joins.longest_prefix(pages, known, "url", "prefix").select("page_id", "prefix")
-
-
-@query("""WITH k AS (SELECT regexp_replace(url, '/[^/]*$', '') AS prefix FROM pages UNION SELECT url FROM pages)
-SELECT p.page_id, arg_max(k.prefix, length(k.prefix)) AS prefix FROM pages p LEFT JOIN k ON p.url = k.prefix OR starts_with(p.url, k.prefix || '/') GROUP BY p.page_id""")
-def join_longest_prefix_all(spark: SparkSession, sf: str) -> DataFrame:
-    """join_longest_prefix with the folders and addresses of every page known."""
-    pages = table(spark, sf, "pages").select("page_id", "url")
-    known = pages.select(F.regexp_replace("url", "/[^/]*$", "").alias("prefix")).union(pages.select("url"))
+    folder = pages.select(F.regexp_replace("url", "/[^/]*$", "").alias("prefix"))
+    known = folder.groupBy("prefix").count().filter("count > 1").select("prefix").union(folder.select(F.regexp_replace("prefix", "/[^/]*$", "")))
     return joins.longest_prefix(pages, known, "url", "prefix").select("page_id", "prefix")
 
 
@@ -126,72 +107,34 @@ def graph_build(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _supply_edges(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem")
-    part, supplier = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
-    down = line.filter("l_linenumber = 1").select(part.alias("source"), supplier.alias("target"), F.concat_ws(">", part, supplier).alias("key"))
-    back = line.filter("l_linenumber = 2").select(supplier.alias("source"), part.alias("target"), F.concat_ws(">", supplier, part).alias("key"))
-    return down.unionByName(back).distinct()
-
-
-def _all_supply_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line links its part and its supplier, in both directions."""
     line = table(spark, sf, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).distinct()
     both = line.unionByName(line.select(F.col("target").alias("source"), F.col("source").alias("target")))
     return both.withColumn("key", F.concat_ws(">", "source", "target"))
 
 
-_ALL_SUPPLY = """e AS (SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem)"""
-_SUPPLY = """e AS (SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 2)"""
+_SUPPLY = """e AS (SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem)"""
 
 
 @query(f"""WITH RECURSIVE {_SUPPLY}, g AS (SELECT * FROM e WHERE NOT (source || '>' || target IN (SELECT 'p' || l_partkey || '>' || 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'R'))),
 w(node, depth) AS (SELECT 'p1', 0 UNION SELECT g.target, w.depth + 1 FROM w JOIN g ON w.node = g.source WHERE w.depth < 3)
 SELECT node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY node""")
 def graph_reach_bounded(spark: SparkSession, sf: str) -> DataFrame:
-    return _reach_bounded(spark, sf, _supply_edges(spark, sf))
-
-
-def _reach_bounded(spark: SparkSession, sf: str, supply: DataFrame) -> DataFrame:
     guards = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.concat(F.lit("p"), "l_partkey", F.lit(">s"), "l_suppkey").alias("key"))
-    edges = graph.unguarded(supply, guards)
+    edges = graph.unguarded(_supply_edges(spark, sf), guards)
     return graph.bounded_paths(edges, spark.createDataFrame([("p1",)], "node string"), 3, keep_path=False).select("node", "depth")
 
 
-@query(f"""WITH RECURSIVE {_ALL_SUPPLY}, g AS (SELECT * FROM e WHERE NOT (source || '>' || target IN (SELECT 'p' || l_partkey || '>' || 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'R'))),
-w(node, depth) AS (SELECT 'p1', 0 UNION SELECT g.target, w.depth + 1 FROM w JOIN g ON w.node = g.source WHERE w.depth < 3)
-SELECT node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY node""")
-def graph_reach_bounded_all(spark: SparkSession, sf: str) -> DataFrame:
-    """graph_reach_bounded over the links of every line, in both directions."""
-    return _reach_bounded(spark, sf, _all_supply_edges(spark, sf))
-
-
 @query(f"""WITH RECURSIVE {_SUPPLY}, w(node, path) AS (SELECT 'p1', 'p1' UNION ALL SELECT e.target, w.path || '>' || e.target FROM w JOIN e ON w.node = e.source WHERE length(w.path) - length(replace(w.path, '>', '')) < 2)
 SELECT node, CAST(length(path) - length(replace(path, '>', '')) AS INT) AS depth, path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY length(path) - length(replace(path, '>', '')), string_split(path, '>')) AS n FROM w) WHERE n = 1""")
 def graph_min_path(spark: SparkSession, sf: str) -> DataFrame:
-    return _min_path(spark, _supply_edges(spark, sf))
-
-
-def _min_path(spark: SparkSession, supply: DataFrame) -> DataFrame:
-    found = graph.bounded_paths(supply, spark.createDataFrame([("p1",)], "node string"), 2)
+    found = graph.bounded_paths(_supply_edges(spark, sf), spark.createDataFrame([("p1",)], "node string"), 2)
     return found.select("node", "depth", F.array_join("path", ">").alias("path"))
 
 
-@query(f"""WITH RECURSIVE {_ALL_SUPPLY}, w(node, path) AS (SELECT 'p1', 'p1' UNION ALL SELECT e.target, w.path || '>' || e.target FROM w JOIN e ON w.node = e.source WHERE length(w.path) - length(replace(w.path, '>', '')) < 2)
-SELECT node, CAST(length(path) - length(replace(path, '>', '')) AS INT) AS depth, path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY length(path) - length(replace(path, '>', '')), string_split(path, '>')) AS n FROM w) WHERE n = 1""")
-def graph_min_path_all(spark: SparkSession, sf: str) -> DataFrame:
-    """graph_min_path over the links of every line, in both directions."""
-    return _min_path(spark, _all_supply_edges(spark, sf))
-
-
-@query("""WITH RECURSIVE e AS (SELECT o_custkey % 400 AS a, 1000 + o_orderkey % 900 AS b FROM orders WHERE o_orderkey % 11 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-w(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, w.root FROM w JOIN u ON w.node = u.a) SELECT node, min(root) AS component FROM w GROUP BY node""")
-def graph_components(spark: SparkSession, sf: str) -> DataFrame:
-    edges = table(spark, sf, "orders").filter("o_orderkey % 11 = 0").select((F.col("o_custkey") % 400).alias("a"), (F.col("o_orderkey") % 900 + 1000).alias("b"))
-    return graph.components(edges)
-
-
 @query("""WITH RECURSIVE e AS (SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 w(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, w.root FROM w JOIN u ON w.node = u.a) SELECT node, min(root) AS component FROM w GROUP BY node""")
-def graph_components_all(spark: SparkSession, sf: str) -> DataFrame:
+def graph_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components over every order, with the customers and orders themselves as nodes."""
     return graph.components(table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("o"), "o_orderkey").alias("b")))
 
@@ -206,5 +149,3 @@ def base_diff(spark: SparkSession, sf: str) -> DataFrame:
     now = docs.filter("doc_id % 10 <> 3").select(F.sha2("text", 256).alias("fingerprint"), key)
     then = docs.filter("doc_id % 10 <> 5").select(F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("fingerprint"), key)
     return joins.compare_snapshots(now, then)
-
-

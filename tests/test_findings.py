@@ -41,7 +41,7 @@ def test_verbs(spark, tmp_path, capsys):
     assert cli.main(["list", out, "SE1003"]) == 1 and cli.main(["explain", out, "none"]) == 0
     assert cli.main(["history", str(tmp_path / "h")]) == 0 and cli.main(["rules"]) == 0 and cli.main(["schema"]) == 0 and cli.main(["doctor"]) == 0
     assert cli.main(["list", str(tmp_path / "missing")]) == 3
-    (tmp_path / "src" / "f.js").write_text("function g(req, res) { res.redirect(req.query.to); }")
+    (tmp_path / "src" / "f.js").write_text("export function g(req, res) { res.redirect(req.query.to); }")
     cli.main(["scan", str(tmp_path / "src"), "--to", out, "--exclude", "a.ts"])
     capsys.readouterr()
     assert cli.main(["baseline", "compare", out, base]) == 1
