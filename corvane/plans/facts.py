@@ -61,7 +61,7 @@ class Facts(Text):
         from bisect import bisect_right
 
         line = bisect_right(self.lines, at)
-        return (at if self.raw.isascii() else len(self.raw[:at].encode())), line, at - self.lines[line - 1] + 1
+        return self.byte(at), line, at - self.lines[line - 1] + 1
 
     def emit(self, kind: str, start: int, end: int, name: str | None, *related: tuple[str, str]) -> None:
         (a, line, column), (b, line_b, column_b) = self.place(start), self.place(end)

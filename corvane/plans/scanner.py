@@ -8,8 +8,9 @@ What the scanner can't make out gives no records, so it errs towards silence.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from corvane.functions import callees
 from corvane.functions.semantics import AUTHORIZATION, POLICIES
@@ -31,6 +32,8 @@ BLANKS = {
     "python": re.compile(r"#[^\n]*|[rbf]*(?:\"\"\".*?\"\"\"|'''.*?''')|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S),
 }
 PAIRS = {")": "(", "]": "[", "}": "{"}
+GOES_ON = re.compile(r"\s*(?:\.|\?\.|\?|:|\+|&&|\|\|)")
+AFTER_PARAMETERS = re.compile(r"\s*(?::\s*(?:[^={};()]|\{[^{}]*\})*?)?\s*(=>|\{)")
 #: Calls on a value, or with it, that give the value in another shape.
 SHAPES = {"tolowercase", "touppercase", "trim", "tostring", "replace", "replaceall", "slice", "substring", "substr", "concat", "split", "join", "decodeuricomponent", "encodeuricomponent", "decodeuri", "atob", "url", "searchparams", "href", "strip", "lower", "upper", "format", "to_string", "to_owned", "as_str", "clone", "unwrap", "resolve", "normalize", "relative", "basename", "stringify", "parse"}
 PATHS = {"join", "resolve", "normalize", "relative", "basename"}
@@ -56,6 +59,22 @@ class Function:
     names: list = field(default_factory=list)
 
 
+class Spans:
+    """Disjoint ranges: of those that lie in one another the outer ones."""
+
+    def __init__(self, ranges: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(ranges, key=lambda r: (r[0], -r[1])):
+            if not self.ends or a >= self.ends[-1]:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def end_of(self, at: int) -> int | None:
+        """Where the range that holds the place ends."""
+        k = bisect_right(self.starts, at) - 1
+        return self.ends[k] if k >= 0 and at < self.ends[k] else None
+
+
 class Text:
     """Blanked text with its brackets."""
 
@@ -77,12 +96,13 @@ class Text:
                         del stack[k:]
                         break
         self.braces = sorted(a for a in self.closing if self.text[a] == "{")
-        self.ascii = raw.isascii()
+        self.wide = [] if raw.isascii() else [m.start() for m in re.finditer(r"[^\x00-\x7f]", raw)]
+        self.more = list(accumulate((len(raw[i].encode()) - 1 for i in self.wide), initial=0))
 
     def _gone(self, m: re.Match) -> str:
         found = m[0]
         if m.groupdict().get("rx"):
-            before = self.raw[: m.start()].rstrip()[-7:]
+            before = self.raw[max(0, m.start() - 200) : m.start()].rstrip()[-7:]
             if before and before[-1] not in "=(,:!&|?{};[\n" and not before.endswith("return"):
                 return found  # a division
             return '"' + " " * (len(found) - 2) + '"'
@@ -109,22 +129,45 @@ class Text:
         return last
 
     def byte(self, at: int) -> int:
-        return at if self.ascii else len(self.raw[:at].encode())
+        return at + self.more[bisect_left(self.wide, at)]
 
     def line_end(self, at: int, end: int) -> int:
         """Where the statement at the place ends."""
-        depth_at = at
-        while depth_at < end:
-            c = self.text[depth_at]
+        last = ""  # its last sign so far
+        while at < end:
+            c = self.text[at]
+            if c in ")]}":
+                return at
+            if c == ";" or c == "\n" and last and last not in "=(,+.&|?:" and not GOES_ON.match(self.text, at, end):
+                return at
             if c in "([{":
-                depth_at = self.close(depth_at)
-            elif c in ")]}":
-                return depth_at
-            elif c == ";" or c == "\n" and self.text[at:depth_at].strip() and not self.text[at:depth_at].rstrip()[-1:] in "=(,+.&|?:" and not re.match(r"\s*(?:\.|\?\.|\?|:|\+|&&|\|\|)", self.text[depth_at:end]):
-                return depth_at
-            depth_at += 1
+                at = min(self.close(at), end)
+                last = ")"
+            elif not c.isspace():
+                last = c
+            at += 1
         return end
 
+    def word_before(self, at: int) -> tuple[int, str]:
+        """The word that ends before the place, blanks and type parameters left out, and where it begins."""
+        while at and self.text[at - 1].isspace():
+            at -= 1
+        if at and self.text[at - 1] == ">" and self.text[at - 2 : at - 1] != "=":
+            depth, k = 0, at
+            while k and self.text[k - 1] not in "\n();{}":
+                depth += (self.text[k - 1] == ">") - (self.text[k - 1] == "<")
+                k -= 1
+                if not depth:
+                    break
+            if not depth:
+                at = k
+                while at and self.text[at - 1].isspace():
+                    at -= 1
+        end = at
+        while at and (self.text[at - 1].isalnum() or self.text[at - 1] in "_$#"):
+            at -= 1
+        return at, self.text[at:end]
+
     def slots(self, start: int, end: int) -> list[tuple[int, int]]:
         """Places of the parts between commas."""
         out, at, begin = [], start, start
@@ -176,22 +219,29 @@ class File(Text):
 
     def _javascript_functions(self) -> list[Function]:
         found = []
-        for m in re.finditer(r"(?:\b(?P<kw>function)\b\s*\*?\s*(?P<f>[\w$]*)\s*|(?P<m>#?[\w$]+)\s*)?(?:<[^<>()]*>)?\s*\(", self.text):
-            open_at = m.end() - 1
+        for open_at in (m.start() for m in re.finditer(r"\(", self.text)):
             close = self.close(open_at)
-            after = re.compile(r"\s*(?::\s*(?:[^={};()]|\{[^{}]*\})*?)?\s*(=>|\{)").match(self.text, close + 1)
+            after = AFTER_PARAMETERS.match(self.text, close + 1)
             if not after:
                 continue
-            name, arrow = m["f"] if m["kw"] else m["m"], after[1] == "=>"
+            arrow, (head, name) = after[1] == "=>", self.word_before(open_at)
             if arrow:  # what stands before the parenthesis is not its name
                 head, name = open_at, self._bound_name(self._without_async(open_at))
             else:
-                head = m.start() if m["kw"] or m["m"] else open_at
-                before = self.text[: m.start()].rstrip()
-                word = re.search(r"([\w$]+)$", before)
-                if not m["kw"] and (not name or name in self.words or name in ("while", "switch") or before[-1:] not in ("", "{", "}", ";", ",", "\n") and not (word and word[1] in ("async", "static", "get", "set", "public", "private", "protected", "override", "readonly"))):
-                    continue
-                name = name or self._bound_name(self._without_async(m.start()))
+                begin, word = (head, "") if not name else self.word_before(head)
+                star = self.text[head - 1 : head] == "*"
+                if star:
+                    begin, word = self.word_before(head - 1)
+                if name == "function" or word == "function":
+                    head = head if name == "function" else begin
+                    name = "" if name == "function" else name
+                else:
+                    end = head
+                    while end and self.text[end - 1].isspace():
+                        end -= 1
+                    if not name or name in self.words or end and self.text[end - 1] not in "{};,*" and word not in ("async", "static", "get", "set", "public", "private", "protected", "override", "readonly") and "\n" not in self.text[end:head]:
+                        continue
+                name = name or self._bound_name(self._without_async(head))
             found.append(self._javascript_body(head, after, arrow, name or "anonymous", self.text[open_at + 1 : close]))
         for m in re.finditer(r"(?<![\w$.)])([A-Za-z_$][\w$]*)\s*(=>)", self.text):
             if m[1] != "async":
@@ -330,7 +380,7 @@ class File(Text):
             self.function(f, [(a, b) for a, b in inside if f.start <= a and b <= f.end and (a, b) != (f.head, f.end)])
         self.requests, self.exposed = set(), False
         self.owner = None
-        self.statements(0, len(self.text), None, inside)
+        self.statements(0, len(self.text), None, Spans(inside))
         return self.rows
 
     def _imports(self) -> None:
@@ -372,15 +422,15 @@ class File(Text):
         self.requests = {name for names in f.names for _, name in names} if self.js and f.exposed else set()
         self.exposed, self.archives = f.exposed, {}
         if f.block:
-            self.statements(f.start, f.end, key, inner)
+            self.statements(f.start, f.end, key, Spans(inner))
         else:
-            self.inner = inner
+            self.inner = Spans(inner)
             self.emit("return", f.start, f.end, key, [self.expression(f.start, f.end, key, f.end)])
 
-    def statements(self, start: int, end: int, key: str | None, inner: list[tuple[int, int]]) -> None:
-        self.inner, at = sorted(inner), start
+    def statements(self, start: int, end: int, key: str | None, inner: Spans) -> None:
+        self.inner, at = inner, start
         while (m := STATEMENT.search(self.text, at, end)) is not None:
-            skip = next((b for a, b in inner if a <= m.start() < b), None)
+            skip = inner.end_of(m.start())
             if skip is not None:
                 at = skip
                 continue
@@ -429,15 +479,12 @@ class File(Text):
                     self.source(v, m.start(), stop, key)
             self.emit("assignment", m.start(), stop, key, [own], output=name, **spread)
 
-    def inner_end(self, at: int) -> int | None:
-        return next((b for a, b in self.inner if a <= at < b), None)
-
     def expression(self, start: int, end: int, key: str | None, last: int) -> list[str]:
         """The values that an expression reads; its calls become records, inner ones first."""
         values, at = [], start
         fallback = self._safe_choice(start, end)
         while (m := VALUE.search(self.text, at, end)) is not None:
-            skip = self.inner_end(m.start())
+            skip = self.inner.end_of(m.start())
             if skip is not None:
                 at = skip
                 continue
@@ -708,15 +755,18 @@ class File(Text):
 
     def _leaves(self, start: int, end: int) -> bool:
         """Whether the branch returns or throws for sure: such a statement stands in it at its own depth."""
-        at = start
+        indent = None
+        if self.language == "python":
+            first = re.compile(r"[ \t]*(?=\S)", re.M).search(self.text, start, end)
+            indent = first.end() - self.text.rfind("\n", 0, first.end()) if first else 0
         for m in EXITS.finditer(self.text, start, end):
-            depth = 0
-            for c in self.text[at : m.start()]:
-                depth += (c in "([{") - (c in ")]}")
-            if depth == 0 and self.inner_end(m.start()) is None:
-                before = self.text[start : m.start()]
-                if not re.search(r"\b(?:if|else|for|while)\b[^;{}]*$", before):
+            if self.inner.end_of(m.start()) is not None:
+                continue
+            if indent is not None:
+                if m.start() - self.text.rfind("\n", 0, m.start()) == indent:
                     return True
+            elif self.block_end(m.start(), end) >= end and not re.search(r"\b(?:if|else|for|while)\b[^;{}]*$", self.text[start : m.start()]):
+                return True
         return False
 
     def _colon(self, at: int, last: int) -> int:
