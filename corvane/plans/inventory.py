@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import classify, semantics, text
 from corvane.operators import windows
+from corvane.operators.lineage import cut
 from corvane.plans.registry import query, table
 
 #: Pages stand for repository files: each gets a path made of its number and address.
@@ -177,22 +178,29 @@ def redact_words(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", F.md5("r.text").alias("digest"), "r.hidden")
 
 
-_FOLD = "SELECT lang, {key} AS k, sha256(string_agg(sha, '' ORDER BY {by})) AS sha FROM {of} GROUP BY ALL"
+_FOLD = "SELECT lang, (n - 1) // 1000 AS k, sha256(string_agg(sha, '' ORDER BY n)) AS sha FROM (SELECT lang, sha, row_number() OVER (PARTITION BY lang ORDER BY k) AS n FROM {of}) GROUP BY ALL"
 
 
-@query(f"""WITH a AS ({_FOLD.format(key='doc_id // 1000', by='doc_id', of='(SELECT lang, doc_id, sha256(text) AS sha FROM documents)')}),
-b AS ({_FOLD.format(key='kk // 1000', by='kk', of='(SELECT lang, k AS kk, sha FROM a)')}), c AS ({_FOLD.format(key='kk // 1000', by='kk', of='(SELECT lang, k AS kk, sha FROM b)')})
-SELECT lang, sha256(string_agg(sha, '' ORDER BY k)) AS digest FROM c GROUP BY lang""")
-def digest_ordered(spark: SparkSession, sf: str) -> DataFrame:
-    """An ordered digest as a tree of up to a thousand children a node, so that no task gathers a whole table."""
-    rows = table(spark, sf, "documents").select("lang", F.col("doc_id").alias("k"), F.sha2("text", 256).alias("sha"))
+def ordered_digest(rows: DataFrame, of: str) -> DataFrame:
+    """rows (of, k, sha) -> of, digest: an ordered digest as a tree of a thousand children a node, by rank and not by value, so that no task gathers a whole table whatever the keys are.
+
+    Each level is a thousandth of the one below; levels are added until one node a group is left.
+    """
+    level = rows.select(of, "k", "sha")
+    while True:
+        totals = windows.running_total(level, [of, "k"], F.lit(1), "n")
+        first = totals.groupBy(of).agg(F.min("n").alias("__first"))
+        ranked = totals.join(first, of).select(of, "sha", (F.col("n") - F.col("__first")).alias("n"))
+        parts = F.array_sort(F.collect_list(F.struct("n", "sha")))
+        level = cut(ranked.groupBy(of, F.floor(F.col("n") / 1000).alias("k")).agg(F.sha2(F.array_join(F.transform(parts, lambda r: r.sha), ""), 256).alias("sha")))
+        if level.groupBy(of).count().filter("count > 1").isEmpty():
+            return level.select(of, F.col("sha").alias("digest"))
 
-    def folded(frame: DataFrame, *by: Column) -> DataFrame:
-        return frame.groupBy("lang", *by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "sha"))), lambda r: r.sha), ""), 256).alias("sha"))
 
-    for _ in range(3):
-        rows = folded(rows, F.floor(F.col("k") / 1000).alias("up")).withColumnRenamed("up", "k")
-    return folded(rows).withColumnRenamed("sha", "digest")
+@query(f"""WITH a AS ({_FOLD.format(of='(SELECT lang, doc_id AS k, sha256(text) AS sha FROM documents)')}), b AS ({_FOLD.format(of='a')}), n AS (SELECT count(*) AS n FROM (SELECT lang FROM a GROUP BY lang HAVING count(*) > 1))
+SELECT lang, sha AS digest FROM b WHERE (SELECT n FROM n) > 0 UNION ALL SELECT lang, sha FROM a WHERE (SELECT n FROM n) = 0""")
+def digest_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    return ordered_digest(table(spark, sf, "documents").select("lang", F.col("doc_id").alias("k"), F.sha2("text", 256).alias("sha")), "lang")
 
 
 _WORDS = ["requireTenant", "is_owner", "user-role", "authorize", "loginUser", "auth", "escapeShell", "sqlQuery", "safePath", "returnUrl", "hostName", "evalCode", "plain"]

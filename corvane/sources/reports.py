@@ -1,27 +1,38 @@
-"""Reports: findings as JSON and as SARIF, written whole or not at all; baselines; contract verdicts; previews of source."""
+"""Reports: findings as JSON and as SARIF, written whole or marked as cut; baselines; versioned documents; contract verdicts; previews of source.
+
+Documents are written row by row from an ordered table, a partition of it on the driver at a time, under a passing name that is then moved.
+"""
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import stat
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.semantics import RULES
-from corvane.functions.text import percent_encoded, severity_level, severity_score
+from corvane.functions.text import FINGERPRINT, percent_encoded, severity_level, severity_score, spans_equivalent
 
 SARIF_VERSION = "2.1.0"
 NAME = "corvane"
+SCHEMA_VERSION = 1
+#: The largest document that is read back, and what a preview may show.
+MAX_DOCUMENT, MAX_PREVIEW, MAX_CONTEXT = 64 << 20, 1 << 20, 200
+FINDING = "repository string, finding_id string, rule_id string, severity string, cwe int, path string, function string, sink_start long, source_path string, source_start long, trail array<string>, sanitizers array<string>, fingerprint string, related_key string"
 
 
-def write_atomically(path: str, data: str) -> None:
+def write_atomically(path: str, parts: Iterator[str] | str) -> None:
     folder = os.path.dirname(os.path.abspath(path))
     handle, passing = tempfile.mkstemp(dir=folder, prefix=".writing-")
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as file:
-            file.write(data)
+            for part in [parts] if isinstance(parts, str) else parts:
+                file.write(part)
             file.flush()
             os.fsync(file.fileno())
         os.replace(passing, path)
@@ -30,36 +41,156 @@ def write_atomically(path: str, data: str) -> None:
         raise
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """finding_id, result: each finding as one result in JSON. Stays a table; only a document gathers it."""
-    def place(path: Column, at: Column) -> Column:
-        return F.struct(F.struct(F.struct(percent_encoded(path).alias("uri")).alias("artifactLocation"), F.struct(at.alias("byteOffset")).alias("region")).alias("physicalLocation"))
+def _place(path: Column, at: Column) -> Column:
+    return F.struct(F.struct(F.struct(percent_encoded(path).alias("uri")).alias("artifactLocation"), F.struct(at.alias("byteOffset")).alias("region")).alias("physicalLocation"))
+
+
+def sarif_results(findings: DataFrame, assessments: DataFrame | None = None) -> DataFrame:
+    """finding_id, result: each finding as one result in JSON, its whole trail as the flow. Stays a table; only a document gathers it.
 
-    flow = F.struct(F.array(F.struct(F.array(F.struct(place(F.col("source_path"), F.col("source_start")).alias("location")), F.struct(place(F.col("path"), F.col("sink_start")).alias("location"))).alias("locations"))).alias("threadFlows"))
+    assessments (finding_id, fingerprint, verdict): those that belong to a finding stand among its properties.
+    """
+    # A step's record says where it is: `path:byte:kind...`.
+    step = r"^(.*):(\d+):[a-z-]+(?::.*)?$"
+    known = F.filter("trail", lambda x: x.rlike(step))
+    flow = F.struct(F.array(F.struct(F.transform(known, lambda x: F.struct(_place(F.regexp_extract(x, step, 1), F.regexp_extract(x, step, 2).cast("long")).alias("location"))).alias("locations"))).alias("threadFlows"))
+    rows = findings
+    verdict = F.lit(None).cast("string")
+    if assessments is not None:
+        from corvane.operators.findings import attach_assessments
+
+        rows = attach_assessments(findings, assessments)
+        verdict = F.when(F.col("verdict") != "mismatch", F.col("verdict"))
     result = F.struct(
         F.col("rule_id").alias("ruleId"), severity_level(F.col("severity")).alias("level"), F.struct(F.concat(F.lit("untrusted value reaches "), "path").alias("text")).alias("message"),
-        F.array(place(F.col("path"), F.col("sink_start"))).alias("locations"), F.array(flow).alias("codeFlows"), F.struct(F.col("fingerprint").alias("evidence/v1")).alias("partialFingerprints"),
-        F.struct(severity_score(F.col("severity")).alias("security-severity")).alias("properties"),
+        F.array(_place(F.col("path"), F.col("sink_start"))).alias("locations"), F.array(flow).alias("codeFlows"), F.struct(F.col("fingerprint").alias("evidence/v1")).alias("partialFingerprints"),
+        F.struct(severity_score(F.col("severity")).alias("security-severity"), verdict.alias("assessment")).alias("properties"),
     )
-    return findings.select("finding_id", F.to_json(result).alias("result"))
+    return rows.select("finding_id", F.to_json(result).alias("result"))
+
 
+def _listed(rows: Iterator[str]) -> Iterator[str]:
+    for i, row in enumerate(rows):
+        yield ("," if i else "") + "\n" + row
 
-def export_sarif(findings: DataFrame, path: str, limit: int = 10_000) -> int:
-    """One document of at most `limit` findings in the order of their identifiers; larger reports stay tables."""
-    results = [json.loads(r.result) for r in sarif_results(findings).orderBy("finding_id").limit(limit).collect()]
+
+def _head(findings: DataFrame, limit: int | None) -> tuple[DataFrame, int, int]:
+    """(rows to write in order, their number, how many there are)."""
+    total = findings.count()
+    rows = findings.orderBy("finding_id")
+    return (rows if limit is None or total <= limit else rows.limit(limit)), total if limit is None else min(total, limit), total
+
+
+def export_sarif(findings: DataFrame, path: str, limit: int | None = None, assessments: DataFrame | None = None) -> int:
+    """One document in the order of identifiers; with a limit that cuts it, its properties say how many results there are."""
+    rows, n, total = _head(sarif_results(findings, assessments), limit)
     rules = [{"id": rule, "properties": {"severity": severity, "cwe": cwe}} for rule, _, _, severity, cwe in RULES]
-    write_atomically(path, json.dumps({"version": SARIF_VERSION, "runs": [{"tool": {"driver": {"name": NAME, "rules": rules}}, "results": results}]}, indent=1, sort_keys=True))
-    return len(results)
+    lead = json.dumps({"driver": {"name": NAME, "rules": rules}}, sort_keys=True)
+    whole = json.dumps({"complete": n == total, "results": total}, sort_keys=True)
+
+    def parts() -> Iterator[str]:
+        yield f'{{"version": "{SARIF_VERSION}", "runs": [{{"tool": {lead}, "properties": {whole}, "results": ['
+        yield from _listed(r.result for r in rows.toLocalIterator())
+        yield "\n]}]}\n"
+
+    write_atomically(path, parts())
+    return n
+
+
+def export_json(findings: DataFrame, path: str, limit: int | None = None, header: dict | None = None) -> int:
+    """schema, complete, total, findings, and what the header says. Complete only if every finding is in it and the header names no file that was left out."""
+    rows, n, total = _head(findings, limit)
+    whole = n == total and not (header or {}).get("left_out")
+    lead = json.dumps({"schema": SCHEMA_VERSION, "complete": whole, "total": total} | ({"header": header} if header else {}), sort_keys=True)
+
+    def parts() -> Iterator[str]:
+        yield lead[:-1] + ', "findings": ['
+        yield from _listed(rows.toJSON().toLocalIterator())
+        yield "\n]}\n"
+
+    write_atomically(path, parts())
+    return n
+
+
+def checked_document(path: str, size: int = MAX_DOCUMENT) -> dict:
+    """A JSON document from a regular file of bounded size."""
+    handle = os.open(path, os.O_RDONLY | getattr(os, "O_NOFOLLOW", 0))
+    with os.fdopen(handle, "rb") as file:
+        about = os.fstat(file.fileno())
+        if not stat.S_ISREG(about.st_mode) or about.st_size > size:
+            raise ValueError(f"{path} is no regular file of at most {size} bytes")
+        data = file.read(size + 1)
+    if len(data) > size:
+        raise ValueError(f"{path} grew while it was read")
+    found = json.loads(data)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no document")
+    return found
+
+
+def read_report(spark: SparkSession, path: str, partial: bool = False) -> DataFrame:
+    """The findings of an exported report; of this schema, and whole unless `partial`."""
+    found = checked_document(path)
+    if found.get("schema") != SCHEMA_VERSION:
+        raise ValueError(f"{path} has schema {found.get('schema')}, not {SCHEMA_VERSION}")
+    if found.get("complete") is not True and not partial:
+        raise ValueError(f"{path} is not complete")
+    rows = spark.read.schema(f"findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(path)
+    return rows.select(F.explode("findings").alias("f")).select("f.*") if found.get("findings") else spark.createDataFrame([], FINDING)
 
 
-def export_json(findings: DataFrame, path: str, limit: int = 10_000) -> int:
-    rows = [json.loads(x) for x in findings.orderBy("finding_id").limit(limit).toJSON().collect()]
-    write_atomically(path, json.dumps({"schema": 1, "complete": True, "findings": rows}, indent=1, sort_keys=True))
-    return len(rows)
+def write_artifact(path: str, kind: str, version: int, body: dict) -> None:
+    """Any document with its kind and version."""
+    write_atomically(path, json.dumps({"kind": kind, "version": version} | body, indent=1, sort_keys=True))
 
 
-def paths_align(expected: Column, observed: Column) -> Column:
-    """Arrays of struct(kind, skippable): one walk over both; a step that doesn't match is skipped if it may be, the expected one first.
+def read_artifact(path: str, kind: str, version: int) -> dict:
+    found = checked_document(path)
+    if (found.get("kind"), found.get("version")) != (kind, version):
+        raise ValueError(f"{path} is {found.get('kind')} {found.get('version')}, not {kind} {version}")
+    return found
+
+
+BASELINE, BASELINE_VERSION = "baseline", 1
+
+
+def write_baseline(rows: DataFrame, path: str) -> None:
+    """(fingerprint, related_key) in strictly ascending order of fingerprints, one row each."""
+    ordered = rows.groupBy("fingerprint").agg(F.max("related_key").alias("related_key")).orderBy("fingerprint")
+
+    def parts() -> Iterator[str]:
+        yield json.dumps({"kind": BASELINE, "version": BASELINE_VERSION})[:-1] + ', "findings": ['
+        yield from _listed(ordered.toJSON().toLocalIterator())
+        yield "\n]}\n"
+
+    write_atomically(path, parts())
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """A baseline as it was written: kind, version, well-formed fingerprints, strictly ascending."""
+    found = read_artifact(path, BASELINE, BASELINE_VERSION)
+    rows = found.get("findings")
+    if not isinstance(rows, list) or any(not isinstance(r, dict) or not re.match(FINGERPRINT, r.get("fingerprint") or "") or not isinstance(r.get("related_key"), str) for r in rows):
+        raise ValueError(f"{path} has malformed rows")
+    if any(a["fingerprint"] >= b["fingerprint"] for a, b in zip(rows, rows[1:], strict=False)):
+        raise ValueError(f"{path} is not in order")
+    return spark.createDataFrame([(r["fingerprint"], r["related_key"]) for r in rows], "fingerprint string, related_key string")
+
+
+#: What two steps of a contract must share; columns that the steps don't have are left out.
+STEP_FIELDS = ("kind", "role", "effect", "source_kind", "sink_kind")
+
+
+def steps_match(expected: Column, observed: Column, fields: tuple[str, ...]) -> Column:
+    """Equal in the fields, nulls included, and, with a span, in equivalent places."""
+    same = F.lit(True)
+    for name in fields:
+        same = same & (spans_equivalent(expected.span, observed.span) if name == "span" else expected[name].eqNullSafe(observed[name]))
+    return same
+
+
+def paths_align(expected: Column, observed: Column, fields: tuple[str, ...] = ("kind",)) -> Column:
+    """Arrays of steps with `skippable` and the fields: one walk over both; a step that doesn't match is skipped if it may be, the expected one first.
 
     A fold over as many turns as both have steps; its state is the two places, or -1 once a step neither matches nor may be skipped.
     """
@@ -67,7 +198,7 @@ def paths_align(expected: Column, observed: Column) -> Column:
         i, j = s.i, s.j
         e, o = F.get(expected, i), F.get(observed, j)
         going = (i >= 0) & (i < F.size(expected)) & (j < F.size(observed))
-        moved = F.when(e.kind == o.kind, _pair(i + 1, j + 1)).when(e.skippable, _pair(i + 1, j)).when(o.skippable, _pair(i, j + 1)).otherwise(_pair(F.lit(-1), F.lit(-1)))
+        moved = F.when(steps_match(e, o, fields), _pair(i + 1, j + 1)).when(e.skippable, _pair(i + 1, j)).when(o.skippable, _pair(i, j + 1)).otherwise(_pair(F.lit(-1), F.lit(-1)))
         return F.when(going, moved).otherwise(s)
 
     end = F.aggregate(F.sequence(F.lit(1), F.size(expected) + F.size(observed) + 1), _pair(F.lit(0), F.lit(0)), turn)
@@ -82,16 +213,27 @@ def _pair(i: Column, j: Column) -> Column:
     return F.struct(i.alias("i"), j.alias("j"))
 
 
-def contract_verdict(expected: Column, observed: Column, connected: Column, barriers: Column, uncertain: Column) -> Column:
-    """no_match, partial or exact. A path runs from a source to a sink over connected edges, without a barrier in effect."""
+def contract_verdict(expected: Column, observed: Column, connected: Column, barriers: Column, uncertain: Column, fields: tuple[str, ...] = ("kind",), taxonomy: Column | None = None) -> Column:
+    """no_match, partial or exact. A path runs from a source to a sink over connected edges, without a barrier in effect, and every step agrees in the fields.
+
+    taxonomy: whether version, category and invariant of both sides are the same. The first field says what a source and a sink are.
+    """
     n = F.size(observed)
     whole = (n >= 2) & (F.size(connected) + 1 == n) & F.forall(connected, lambda x: x) & (F.size(barriers) == 0)
-    ends = (F.get(observed, F.lit(0)).kind == "source") & (F.element_at(observed, -1).kind == "sink")
-    return F.when(~F.coalesce(whole & ends & paths_align(expected, observed), F.lit(False)), "no_match").when(uncertain, "partial").otherwise("exact")
+    ends = (F.get(observed, F.lit(0))[fields[0]] == "source") & (F.element_at(observed, -1)[fields[0]] == "sink")
+    agrees = F.lit(True) if taxonomy is None else taxonomy
+    return F.when(~F.coalesce(agrees & whole & ends & paths_align(expected, observed, fields), F.lit(False)), "no_match").when(uncertain, "partial").otherwise("exact")
 
 
 def preview(text: Column, line: Column, context: int = 3) -> Column:
-    """Lines around a line (from 1), as an array."""
-    lines = F.split(text, "\n")
-    first = F.greatest(line - context, F.lit(1))
-    return F.slice(lines, first, F.least(line + context, F.size(lines)) - first + 1)
+    """Lines around a line (from 1), as an array; null for a text of more than MAX_PREVIEW bytes, and of at most MAX_CONTEXT lines on either side."""
+    lines, around = F.split(text, "\n"), min(context, MAX_CONTEXT)
+    first = F.greatest(line - around, F.lit(1))
+    return F.when(F.octet_length(text) <= MAX_PREVIEW, F.slice(lines, first, F.greatest(F.least(line + around, F.size(lines)) - first + 1, F.lit(0))))
+
+
+def verified_span(content: Column, start: Column, end: Column, digest: Column) -> Column:
+    """The bytes of a span as text, if it lies in the content and still has the digest (SHA-256) that was noted; else null."""
+    part = content.substr((start + 1).cast("int"), (end - start).cast("int"))
+    fits = (start >= 0) & (end >= start) & (end <= F.octet_length(content))
+    return F.when(fits & (F.sha2(part, 256) == digest), F.decode(part, "UTF-8"))

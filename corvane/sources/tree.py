@@ -1,8 +1,12 @@
 """A source tree as a table: a Python data source that lists and prunes on the driver and reads files on the executors.
 
 Spark's own `binaryFile` leaves out names that start with `_` or `.`, so it can't stand in here. The tree must lie in a folder that all
-executors see. Options: path; exclude (globs, separated by line ends); hidden, vendor, generated ("true" to take them); max_files;
-max_bytes (of a file); partitions. Symbolic links are never followed; nested repositories and version-control folders are left out.
+executors see. Options: path; repository (a name for the rows; the folder's own without it); exclude (globs, separated by line ends);
+hidden, vendor, generated ("true" to take them); max_files; max_bytes (of a file); max_total_bytes; max_depth; partitions. Symbolic links
+are never followed; nested repositories and version-control folders are left out.
+
+Nothing that is listed vanishes: a file that is not read has a row whose state says why (too-large, over-budget, over-limit, unsafe-path,
+unreadable). Sizes are tested one by one before the total, so a file that is too large takes nothing from it.
 """
 
 from __future__ import annotations
@@ -18,9 +22,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corvane.functions import classify
 
-SCHEMA = "path string, size_bytes long, state string, sha256 string, content binary"
+SCHEMA = "repository string, path string, size_bytes long, state string, sha256 string, content binary"
 VERSION_CONTROL = {".git", ".hg", ".svn"}
 MAX_GLOBS, MAX_GLOB_BYTES = 256, 1024
+UNSAFE = re.compile(r"[\\\x00-\x1f\x7f]|^[A-Za-z]:|[\ud800-\udfff]")
 
 
 def glob_pattern(glob: str) -> str:
@@ -57,6 +62,7 @@ def listing(root: str, options: dict) -> tuple[list[tuple[str, int, str]], dict[
         raise ValueError("too many globs")
     takes = {x: options.get(x, "false").lower() == "true" for x in ("hidden", "vendor", "generated")}
     limit, pruned, found = int(options.get("max_bytes", 1 << 20)), {}, []
+    depth = int(options.get("max_depth", 1 << 30))
 
     def reason(path: str, name: str, folder: str | None) -> str | None:
         if any(p.search(path) for p in patterns):
@@ -72,20 +78,36 @@ def listing(root: str, options: dict) -> tuple[list[tuple[str, int, str]], dict[
                 return "nested-repository"
         return "hidden" if name.startswith(".") and not takes["hidden"] else None
 
-    def walk(folder: str, prefix: str) -> None:
+    folders = [(root, "", 1)]
+    while folders:
+        folder, prefix, level = folders.pop()
         for entry in os.scandir(folder):
             path = prefix + entry.name
-            why = "symbolic-link" if entry.is_symlink() else reason(path, entry.name, entry.path if entry.is_dir(follow_symlinks=False) else None)
+            inside = entry.is_dir(follow_symlinks=False)
+            why = "symbolic-link" if entry.is_symlink() else reason(path, entry.name, entry.path if inside else None) or ("depth" if inside and level >= depth else None)
             if why:
                 pruned[why] = pruned.get(why, 0) + 1
-            elif entry.is_dir(follow_symlinks=False):
-                walk(entry.path, f"{path}/")
+            elif inside:
+                folders.append((entry.path, f"{path}/", level + 1))
             elif entry.is_file(follow_symlinks=False):
                 size = entry.stat(follow_symlinks=False).st_size
-                found.append((path, size, "too-large" if size > limit else "listed"))
+                found.append((path, size, "unsafe-path" if UNSAFE.search(path) else "too-large" if size > limit else "listed"))
+    return _admitted(sorted(found, key=lambda f: f[0].encode("utf-8", "surrogateescape")), options), pruned
+
 
-    walk(root, "")
-    return sorted(found)[: int(options.get("max_files", 1_000_000))], pruned
+def _admitted(found: list[tuple[str, int, str]], options: dict) -> list[tuple[str, int, str]]:
+    """In path order: the first max_files, and of these what fits the total; from the first that doesn't, none."""
+    files, budget, total, spent = int(options.get("max_files", 1_000_000)), int(options.get("max_total_bytes", 16 << 40)), 0, False
+    out = []
+    for i, (path, size, state) in enumerate(found):
+        if i >= files:
+            state = "over-limit"
+        elif state == "listed":
+            spent = spent or total + size > budget
+            total += 0 if spent else size
+            state = "over-budget" if spent else state
+        out.append((path.encode("utf-8", "surrogateescape").decode("utf-8", "replace") if state == "unsafe-path" else path, size, state))
+    return out
 
 
 class TreeReader(DataSourceReader):
@@ -98,16 +120,19 @@ class TreeReader(DataSourceReader):
         return [Files(found[k::n]) for k in range(n)]
 
     def read(self, partition: Files):
+        name, limit = self.options.get("repository") or os.path.basename(os.path.abspath(self.root)), int(self.options.get("max_bytes", 1 << 20))
         for path, size, state in partition.names:
             content = None
             if state == "listed":
                 try:
                     handle = os.open(os.path.join(self.root, path), os.O_RDONLY | getattr(os, "O_NOFOLLOW", 0))
                     with os.fdopen(handle, "rb") as file:
-                        content = file.read()
+                        content = file.read(limit + 1)
+                    if len(content) > limit:  # it grew since it was listed
+                        content, state = None, "too-large"
                 except OSError:
                     state = "unreadable"
-            yield path, size, state, hashlib.sha256(content).hexdigest() if content is not None else None, content
+            yield name, path, size, state, hashlib.sha256(content).hexdigest() if content is not None else None, content
 
 
 class SourceTree(DataSource):
@@ -139,10 +164,14 @@ def inventory(files: DataFrame) -> DataFrame:
     )
 
 
+def cache_key(version: str):
+    """What a file's records depend on: the scanner's version, the path (its language comes from it) and the content."""
+    return F.sha2(F.concat_ws("\x00", F.lit(version), "path", "sha256"), 256)
+
+
 def cache_misses(files: DataFrame, cache: DataFrame, version: str) -> DataFrame:
     """Files whose (path, content, version) key the parse cache lacks."""
-    key = F.sha2(F.concat_ws("\x00", F.lit(version), "path", "sha256"), 256)
-    return files.withColumn("cache_key", key).join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
+    return files.withColumn("cache_key", cache_key(version)).join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
 
 
 def kept_reports(reports: DataFrame, keep: int) -> DataFrame:

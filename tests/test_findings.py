@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane import cli
@@ -34,15 +35,58 @@ def test_verbs(spark, tmp_path, capsys):
     (tmp_path / "src").mkdir()
     for name, body in SAMPLES.items():
         (tmp_path / "src" / name).write_text(body)
-    out, base = str(tmp_path / "found"), str(tmp_path / "base")
+    out, base = str(tmp_path / "found"), str(tmp_path / "base.json")
     assert cli.main(["scan", str(tmp_path / "src"), "--to", out, "--json", str(tmp_path / "r.json"), "--sarif", str(tmp_path / "r.sarif"), "--history", str(tmp_path / "h")]) == 1
     assert len(json.loads((tmp_path / "r.json").read_text())["findings"]) == 3
     assert cli.main(["baseline", "create", out, base]) == 0 and cli.main(["baseline", "compare", out, base]) == 0
     assert cli.main(["list", out, "SE1003"]) == 1 and cli.main(["explain", out, "none"]) == 0
-    assert cli.main(["history", str(tmp_path / "h")]) == 0 and cli.main(["rules"]) == 0 and cli.main(["schema"]) == 0 and cli.main(["doctor"]) == 0
-    assert cli.main(["list", str(tmp_path / "missing")]) == 3
+    assert cli.main(["history", "list", str(tmp_path / "h")]) == 0 and cli.main(["rules"]) == 0 and cli.main(["schema"]) == 0 and cli.main(["doctor"]) == 0
+    assert cli.main(["list", str(tmp_path / "missing")]) == 2 and cli.main(["nothing"]) == 2
     (tmp_path / "src" / "f.js").write_text("export function g(req, res) { res.redirect(req.query.to); }")
     cli.main(["scan", str(tmp_path / "src"), "--to", out, "--exclude", "a.ts"])
     capsys.readouterr()
     assert cli.main(["baseline", "compare", out, base]) == 1
     assert json.loads(capsys.readouterr().out) == {"new": 1, "resolved": 1, "unchanged": 2}
+
+
+def test_more_verbs(spark, tmp_path, capsys):
+    (tmp_path / "src").mkdir()
+    for name, body in SAMPLES.items():
+        (tmp_path / "src" / name).write_text(body)
+    report, cache = str(tmp_path / "r.json"), str(tmp_path / "cache")
+    for hits in (0, 5):
+        assert cli.main(["scan", str(tmp_path / "src"), "--json", report, "--cache", cache, "--history", str(tmp_path / "h"), "--progress"]) == 1
+        out, err = capsys.readouterr()
+        assert json.loads(out) == {"findings": 3, "files": 5, "left_out": 0, "cache_hits": hits} and err.split() == ["discovery", "parsing", "analysis", "report"]
+    document = json.loads((tmp_path / "r.json").read_text())
+    assert document["complete"] and document["total"] == 3 and "parser-coverage-limited" in document["header"]["limitations"]
+    assert cli.main(["list", report, "--sort", "file"]) == 1
+    assert [json.loads(x)["path"] for x in capsys.readouterr().out.split("\n") if x] == ["a.ts", "b.py", "c.go"]
+    one = document["findings"][0]["finding_id"]
+    assert cli.main(["ai", "preview", report, one]) == 0 and json.loads(capsys.readouterr().out)["finding_id"] == one
+    assert cli.main(["ai", "validate", report, one, "--cache", str(tmp_path / "ai")]) == 0
+    assert json.loads(capsys.readouterr().out)["verdict"] == "insufficient-evidence"
+    assert cli.main(["ai", "cache", "--cache", str(tmp_path / "ai")]) == 0 and json.loads(capsys.readouterr().out) == {"cleared": 1}
+    assert cli.main(["ai", "providers"]) == 0
+    (tmp_path / "old.json").write_text(json.dumps({"schema": 99, "complete": True, "findings": []}))
+    assert cli.main(["list", str(tmp_path / "old.json")]) == 3
+    assert cli.main(["scan", str(tmp_path / "src"), "--depth", "99"]) == 2
+    capsys.readouterr()
+    assert cli.main(["history", "list", str(tmp_path / "h")]) == 0
+    scan = json.loads(capsys.readouterr().out)["scan_id"]
+    assert cli.main(["history", "show", str(tmp_path / "h"), scan]) == 0 and cli.main(["history", "delete", str(tmp_path / "h"), scan]) == 0 and cli.main(["history", "delete", str(tmp_path / "h"), scan]) == 2
+    cut = json.loads((tmp_path / "r.json").read_text())
+    assert cli.main(["scan", str(tmp_path / "src"), "--json", report, "--sarif", str(tmp_path / "r.sarif"), "--limit", "2"]) == 1
+    cut = json.loads((tmp_path / "r.json").read_text())
+    assert (cut["complete"], cut["total"], len(cut["findings"])) == (False, 3, 2)
+    assert json.loads((tmp_path / "r.sarif").read_text())["runs"][0]["properties"] == {"complete": False, "results": 3}
+    assert cli.main(["list", report]) == 2  # a cut report is not read as a whole one
+
+
+def test_assessments_that_do_not_belong(spark):
+    rows = spark.createDataFrame([("a", "1"), ("b", "2")], "finding_id string, fingerprint string")
+    good, bad, lost = (spark.createDataFrame([x], "finding_id string, fingerprint string, verdict string") for x in (("a", "1", "v"), ("a", "2", "v"), ("z", "1", "v")))
+    assert ops.attach_assessments(rows, good, strict=True).filter("verdict = 'v'").count() == 1
+    for some in (bad, lost):
+        with pytest.raises(ValueError):
+            ops.attach_assessments(rows, some, strict=True)
