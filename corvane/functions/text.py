@@ -131,19 +131,20 @@ CARRIES = r"(?i)^(?:bearer|password:|token:|secret:)$"
 HIDDEN = "[REDACTED]"
 
 
-#: What a text with a hidden word has for sure; texts without it are not taken word by word.
-HINT = r"(?i)passw|secret|token|api_?key|credential|AKIA|gh[pousr]_|sk-|@|bearer"
+#: What a lower-cased text with a hidden word has for sure; texts without any of these are not taken word by word.
+HINTS = ["passw", "secret", "token", "apikey", "api_key", "credential", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "@", "bearer"]
 
 
 def redacted(text: Column) -> Column:
     """struct(text, hidden): words by white space, joined by one space, secrets hidden and counted."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     slow = F.transform(words, lambda w, i: F.when(w.rlike(SECRET) | F.coalesce(F.get(words, i - 1), F.lit("")).rlike(CARRIES), F.lit(HIDDEN)).otherwise(w))
-    return _counted(F.when(text.rlike(HINT), F.array_join(slow, " ")).otherwise(F.array_join(words, " ")))
-
-
-def _counted(joined: Column) -> Column:
-    return F.struct(joined.alias("text"), F.regexp_count(joined, F.lit(r"(?<![^ ])\[REDACTED\](?![^ ])")).cast("long").alias("hidden"))
+    low, hint = F.lower(text), F.lit(False)
+    for part in HINTS:
+        hint = hint | F.contains(low, F.lit(part))
+    joined = F.when(hint, F.array_join(slow, " ")).otherwise(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    count = F.when(F.contains(joined, F.lit(HIDDEN)), F.regexp_count(joined, F.lit(r"(?<![^ ])\[REDACTED\](?![^ ])"))).otherwise(0)
+    return F.struct(joined.alias("text"), count.cast("long").alias("hidden"))
 
 
 def cost_bound(input_tokens: Column, output_tokens: Column, input_micros: int, output_micros: int) -> Column:

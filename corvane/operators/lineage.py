@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[tuple[SparkSession, str]] = []
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder, which lost executors don't take away."""
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir") or frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="corvane-")
+
+@atexit.register
+def _delete_all() -> None:
+    """Results may read such a table long after the call that made it, so they go when the program ends."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        with contextlib.suppress(Exception):  # the session may be gone by then
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which every executor sees; where it is unset (tests), a temporary one of a local master."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        known = context._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         context.setCheckpointDir(folder)
-    return frame.checkpoint()
+    return folder.rstrip("/")
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame as a table of the shared folder: lost executors don't take it away, later plans read only the columns they need and know its size."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -60,8 +60,9 @@ class Facts(Text):
     def place(self, at: int) -> tuple[int, int, int]:
         from bisect import bisect_right
 
-        line = bisect_right(self.lines, at)
-        return self.byte(at), line, at - self.lines[line - 1] + 1
+        place = self.origin(at)
+        line = bisect_right(self.lines, place)
+        return self.byte(at), line, place - self.lines[line - 1] + 1
 
     def emit(self, kind: str, start: int, end: int, name: str | None, *related: tuple[str, str]) -> None:
         (a, line, column), (b, line_b, column_b) = self.place(start), self.place(end)

@@ -76,11 +76,12 @@ class Spans:
 
 
 class Text:
-    """Blanked text with its brackets."""
+    """Text with its brackets: `text` is blanked, `raw` as it was. In both a remark is one blank, or one line end if it has any, so that long remarks cost nothing later; places are mapped back."""
 
     def __init__(self, raw: str, language: str):
-        self.raw, self.language, self.words = raw, language, WORDS[language]
-        self.text = BLANKS.get(language, BLANKS["c"]).sub(self._gone, raw)
+        self.language, self.words = language, WORDS[language]
+        self.original = raw
+        self._shorten(raw)
         self.closing: dict[int, int] = {}
         stack: list[tuple[str, int]] = []
         for m in re.finditer(r"[()\[\]{}]", self.text):
@@ -99,23 +100,43 @@ class Text:
         self.wide = [] if raw.isascii() else [m.start() for m in re.finditer(r"[^\x00-\x7f]", raw)]
         self.more = list(accumulate((len(raw[i].encode()) - 1 for i in self.wide), initial=0))
 
-    def _gone(self, m: re.Match) -> str:
+    def _shorten(self, raw: str) -> None:
+        text, kept, self.cuts, self.gone, at, size = [], [], [], [0], 0, 0
+        for m in BLANKS.get(self.language, BLANKS["c"]).finditer(raw):
+            found, before = m[0], raw[at : m.start()]
+            remark = found.startswith(("//", "/*", "#")) or found.startswith(('\"\"\"', "'''"))
+            short = ("\n" if "\n" in found else " ") if remark else self._blanked(m, raw)
+            text += [before, short]
+            kept += [before, short if remark else found]
+            size += len(before) + len(short)
+            if remark:
+                self.cuts.append(size)
+                self.gone.append(self.gone[-1] + len(found) - len(short))
+            at = m.end()
+        self.text, self.raw = "".join([*text, raw[at:]]), "".join([*kept, raw[at:]])
+
+    def _blanked(self, m: re.Match, raw: str) -> str:
+        """A string or pattern without its contents; what stands in the holes of a template stays."""
         found = m[0]
         if m.groupdict().get("rx"):
-            before = self.raw[max(0, m.start() - 200) : m.start()].rstrip()[-7:]
+            before = raw[max(0, m.start() - 200) : m.start()].rstrip()[-7:]
             if before and before[-1] not in "=(,:!&|?{};[\n" and not before.endswith("return"):
                 return found  # a division
             return '"' + " " * (len(found) - 2) + '"'
         quote = found.lstrip("rbf")[:1]
         out = [c if c == "\n" else " " for c in found]
-        if quote == "`" or quote in "\"'" and (found[0] == "f" or self.raw[max(0, m.start() - 1)] == "f"):
+        if quote == "`" or found[0] == "f" or raw[max(0, m.start() - 1)] == "f":
             for hole in re.finditer(r"\$\{([^{}]*)\}" if quote == "`" else r"\{([^{}:!]*)[^{}]*\}", found):
                 out[hole.start(1) : hole.end(1)] = hole[1]
-        elif quote in "\"'" and quote:
+        else:
             out[-1] = '"'
             out[len(found) - len(found.lstrip("rbf"))] = '"'
         return "".join(out)
 
+    def origin(self, at: int) -> int:
+        """The place in the original text."""
+        return at + self.gone[bisect_right(self.cuts, at)]
+
     def close(self, at: int) -> int:
         return self.closing.get(at, len(self.text))
 
@@ -129,6 +150,7 @@ class Text:
         return last
 
     def byte(self, at: int) -> int:
+        at = self.origin(at)
         return at + self.more[bisect_left(self.wide, at)]
 
     def line_end(self, at: int, end: int) -> int:
