@@ -138,7 +138,8 @@ HINTS = ["passw", "secret", "token", "apikey", "api_key", "credential", "akia",
 def redacted(text: Column) -> Column:
     """struct(text, hidden): words by white space, joined by one space, secrets hidden and counted."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    slow = F.transform(words, lambda w, i: F.when(w.rlike(SECRET) | F.coalesce(F.get(words, i - 1), F.lit("")).rlike(CARRIES), F.lit(HIDDEN)).otherwise(w))
+    before = F.concat(F.array(F.lit("")), F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))  # not by index: that would split the text anew for each word
+    slow = F.zip_with(words, before, lambda w, b: F.when(w.isNotNull(), F.when(w.rlike(SECRET) | b.rlike(CARRIES), F.lit(HIDDEN)).otherwise(w)))
     low, hint = F.lower(text), F.lit(False)
     for part in HINTS:
         hint = hint | F.contains(low, F.lit(part))

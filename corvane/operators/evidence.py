@@ -43,6 +43,7 @@ def origins(uses: DataFrame, parents: DataFrame, rounds: int = 10) -> DataFrame:
 
     Every node has one parent at most, so a round is one equality join over what is still on its way.
     """
+    parents = cut(parents.select("node", "parent", "is_origin"))
     frontier, done = uses.select("use", "node", F.lit(0).alias("hops")), None
     for hop in range(rounds + 1):
         at = cut(frontier.join(parents, "node"))
@@ -55,16 +56,26 @@ def origins(uses: DataFrame, parents: DataFrame, rounds: int = 10) -> DataFrame:
 
 
 def resolve_aliases(aliases: DataFrame, hops: int = 8) -> DataFrame:
-    """aliases (scope, name, target) -> scope, name, target, hops: what a name stands for after at most `hops` steps; a name of several targets stands for itself alone."""
-    single = cut(aliases.distinct().groupBy("scope", "name").agg(F.count("*").alias("n"), F.min("target").alias("next")).filter("n = 1").drop("n"))
-    step = single.select("scope", F.col("name").alias("target"), "next")
-    found = single.select("scope", "name", F.col("next").alias("target"), F.lit(1).alias("hops"))
-    for _ in range(hops - 1):
-        found = cut(found.join(step, ["scope", "target"], "left").select("scope", "name", F.coalesce("next", "target").alias("target"), F.when(F.col("next").isNotNull(), F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"), F.col("next").isNotNull().alias("__on")))
-        if found.filter("__on").isEmpty():
-            break
-        found = found.drop("__on")
-    return found.select("scope", "name", "target", "hops")
+    """aliases (scope, name, target) -> scope, name, target, hops: what a name stands for after at most `hops` steps; a name of several targets stands for itself alone.
+
+    Steps are doubled, so there are as many joins as `hops` has binary digits, or twice that.
+    """
+    power = cut(aliases.distinct().groupBy("scope", "name").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1").select("scope", "name", "target", F.lit(1).alias("hops")))
+    found, left = None, hops
+    while True:
+        if left & 1:
+            found = power if found is None else cut(_after(found, power))
+        left >>= 1
+        if not left:
+            return found
+        power = cut(_after(power, power))
+
+
+def _after(first: DataFrame, then: DataFrame) -> DataFrame:
+    """What a name stands for by the one and then the other; where the other knows no more, by the one alone."""
+    more = then.select("scope", F.col("name").alias("target"), F.col("target").alias("__further"), F.col("hops").alias("__more"))
+    joined = first.join(more, ["scope", "target"], "left")
+    return joined.select("scope", "name", F.coalesce("__further", "target").alias("target"), (F.col("hops") + F.coalesce("__more", F.lit(0))).alias("hops"))
 
 
 def summaries(checks: DataFrame, calls: DataFrame, rounds: int) -> DataFrame:

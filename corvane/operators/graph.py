@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,17 +61,21 @@ def best_candidates(candidates: DataFrame, by: list[str], order: list) -> DataFr
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """edges (a, b) -> (node, component): least labels, halved by the label's own label each round."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
+    """edges (a, b) -> (node, component): least labels of neighbours, then the label's own label twice, until a round changes nothing.
+
+    Rounds grow with the logarithm of the longest path. Whether one changed anything is counted while its labels are written.
+    """
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     for _ in range(rounds):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("was"), F.least("component", "near").alias("label"))
         further = labels.select(F.col("node").alias("label"), F.col("component").alias("further"))
-        after = cut(lower.join(further, "label").select("node", "was", F.least("label", "further").alias("component")))
-        labels = after.select("node", "component")
-        if after.filter("component <> was").isEmpty():
+        once = lower.join(further, "label").select("node", "was", F.least("label", "further").alias("label"))
+        twice = once.join(further, "label").select("node", "was", F.least("label", "further").alias("component"))
+        changed = Observation()
+        labels = cut(twice.observe(changed, F.count_if(F.col("component") != F.col("was")).alias("rows")).select("node", "component"))
+        if not changed.get["rows"]:
             return labels
     raise RuntimeError("components did not settle")
 

@@ -107,10 +107,11 @@ def graph_build(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _supply_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line links its part and its supplier, in both directions."""
-    line = table(spark, sf, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).distinct()
-    both = line.unionByName(line.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    return both.withColumn("key", F.concat_ws(">", "source", "target"))
+    """Every line links its part and its supplier, in both directions. Pairs of numbers are made distinct before they get names."""
+    pairs = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    part, supplier = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
+    ways = F.array(F.struct(part.alias("source"), supplier.alias("target")), F.struct(supplier.alias("source"), part.alias("target")))
+    return pairs.select(F.explode(ways).alias("e")).select("e.*").withColumn("key", F.concat_ws(">", "source", "target"))
 
 
 _SUPPLY = """e AS (SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem)"""
@@ -120,7 +121,7 @@ _SUPPLY = """e AS (SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target
 w(node, depth) AS (SELECT 'p1', 0 UNION SELECT g.target, w.depth + 1 FROM w JOIN g ON w.node = g.source WHERE w.depth < 3)
 SELECT node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY node""")
 def graph_reach_bounded(spark: SparkSession, sf: str) -> DataFrame:
-    guards = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.concat(F.lit("p"), "l_partkey", F.lit(">s"), "l_suppkey").alias("key"))
+    guards = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct().select(F.concat(F.lit("p"), "l_partkey", F.lit(">s"), "l_suppkey").alias("key"))
     edges = graph.unguarded(_supply_edges(spark, sf), guards)
     return graph.bounded_paths(edges, spark.createDataFrame([("p1",)], "node string"), 3, keep_path=False).select("node", "depth")
 

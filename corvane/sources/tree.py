@@ -116,7 +116,8 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> list:
         found, _ = listing(self.root, self.options)
-        n = max(1, min(int(self.options.get("partitions", 64)), len(found)))
+        wanted = int(self.options.get("partitions") or min(max(len(found) // 100, 1), 20_000))  # a hundred files a task
+        n = max(1, min(wanted, len(found)))
         return [Files(found[k::n]) for k in range(n)]
 
     def read(self, partition: Files):
