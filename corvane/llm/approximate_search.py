@@ -31,7 +31,7 @@ from corvane.llm.shared import Scratch, split_batches, table
 from corvane.llm.vectors import Queries, best, chunks, found_rows, identifiers, matrix, merged, usable
 
 SAMPLE_BYTES, SAMPLED_ROWS, MOST_CELLS = 16 << 20, 24, 2048
-WORDS, SUBSPACE, CODE_ROWS = 256, 4, 16_384
+WORDS, SUBSPACE, CODE_ROWS = 256, 2, 8_192
 TARGET, TRIALS = 0.95, 512
 FOUND = "query_id long, vec_id long, score double"
 
@@ -162,7 +162,7 @@ def _scan_lists(model, queries: Queries, k: int):
             quantiser, points = model.value, matrix(part["embedding"].combine_chunks())
             ids, null = identifiers(part["vec_id"].combine_chunks())
             codes = np.frombuffer(b"".join(part["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            flat = codes.astype(np.int32) + np.arange(codes.shape[1], dtype=np.int32) * quantiser.words.shape[1]
+            codes = np.ascontiguousarray(codes.T)
             cells, left = part["cell"].to_numpy(), part["left_out"].to_numpy()
             lists = np.searchsorted(cells, np.arange(len(quantiser.centroids) + 1))
             held = np.diff(lists) > 0
@@ -177,8 +177,12 @@ def _scan_lists(model, queries: Queries, k: int):
                     if not len(own):
                         continue
                     if len(own) > k:
-                        words = np.einsum("js,jws->jw", Quantiser.parts(query[None])[0], quantiser.words).ravel()
-                        guess = (quantiser.centroids[mine] @ query)[np.searchsorted(mine, cells[own])] + words[flat[own]].sum(axis=1)
+                        words = np.einsum("js,jws->jw", Quantiser.parts(query[None])[0], quantiser.words)
+                        most = 2 * len(own) > len(ids)  # then whole columns are quicker than picking from them
+                        guess = (quantiser.centroids @ query)[cells if most else cells[own]]
+                        for table, column in zip(words, codes if most else codes[:, own], strict=True):
+                            guess += table.take(column)
+                        guess = guess[own] if most else guess
                         first = own[np.argpartition(-guess, k - 1)[:k]]
                         least = (points[first] * query).sum(axis=1).min()
                         may = guess + np.sqrt(query @ query) * left[own] * (1 + 1e-9) + 1e-9 * (1 + abs(least))
