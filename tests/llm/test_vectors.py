@@ -108,5 +108,5 @@ def test_codes_bound_the_error():
     cells, codes, left = model.encode(points)
     query = rng.normal(size=10)
     words = np.einsum("js,jws->jw", Quantiser.parts(query[None])[0], model.words)
-    guess = model.centroids[cells] @ query + words[np.arange(3), codes].sum(axis=1)
+    guess = model.centroids[cells] @ query + words[np.arange(codes.shape[1]), codes].sum(axis=1)
     assert (np.abs(points @ query - guess) <= np.sqrt(query @ query) * left + 1e-9).all()
