@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.classify import parser_mode
+from corvane.plans.cases import CASES
 from corvane.plans.fixpoint import RECORDS, candidates, findings
 from corvane.plans.registry import query, table
 from corvane.plans.scanner import File
@@ -73,3 +74,21 @@ def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Source text to findings over every document, scanned whole."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return findings(candidates(records_of(files_of_documents(docs)))).select("path", "rule_id", "sink_start")
+
+
+_CASES = sorted(CASES.items())
+_LEAD = {"js": "// ", "py": "# ", "go": "// ", "rs": "// "}
+
+
+def _case_of(number: Column) -> Column:
+    return (number % len(_CASES)).cast("int")
+
+
+@query("SELECT path, rule_id, sink_start FROM (" + " UNION ALL ".join(f"SELECT 'p' || page_id || '.{ending}' AS path, '{rule}' AS rule_id, CAST(strlen(url) + {len(_LEAD[ending]) + 1 + len(text[: text.index(mark)].encode())} AS BIGINT) AS sink_start, page_id % {len(_CASES)} = {i} AS own FROM pages" for i, (_, (ending, text, marks)) in enumerate(_CASES) for rule, mark in marks) + ") WHERE own")
+def scan_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rule and its controls in four languages: each page is a file of its own repository with one of the cases in it."""
+    which, pages = _case_of(F.col("page_id")), table(spark, sf, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"))
+    endings, texts, leads = (F.element_at(F.array(*map(F.lit, x)), which + 1) for x in zip(*[(e, t, _LEAD[e]) for _, (e, t, _) in _CASES], strict=True))
+    number = F.col("page_id").cast("string")
+    files = pages.select(number.alias("repository"), F.concat(F.lit("p"), number, F.lit("."), endings).alias("path"), F.encode(F.concat(leads, "url", F.lit("\n"), texts), "UTF-8").alias("content"))
+    return findings(candidates(records_of(files))).select("path", "rule_id", "sink_start")

@@ -1,10 +1,9 @@
 import pytest
 
+from corvane.plans.cases import CASES
 from corvane.plans.fixpoint import candidates
 from corvane.plans.frontend import SAMPLES, records_of, scan
 
-LONG = "// " + "a long remark " * 30
-
 
 def found(spark, files):
     """(rule, path, line of the sink) of several small repositories at once."""
@@ -25,88 +24,12 @@ def test_samples(spark, tmp_path):
     assert sorted((r.rule_id, r.path) for r in scan(spark, str(tmp_path)).collect()) == want
 
 
-JAVASCRIPT = {
-    "redirect": ("export function f(req, res) {\n  res.redirect(req.query.to);\n}", [("SE1005", 2)]),
-    "not exported": ("function f(req, res) {\n  res.redirect(req.query.to);\n}", []),
-    "overwritten": ("export function f(req) {\n  let u = req.body.url;\n  u = 'https://fixed';\n  fetch(u);\n}", []),
-    "comments and strings": ("export function f(req) {\n  // exec(req.query.x)\n  const s = 'exec(req.query.x)';\n}", []),
-    "destructured": ("export const f = async (req) => {\n  const { id } = req.body;\n  await eval(id);\n}", [("SE1006", 3)]),
-    "renamed field": ("export const f = ({ body: given }) => {\n  eval(given.code);\n}", []),
-    "mutation": ("export function f(req, db) {\n  db.user.delete(req.body.id);\n}", [("SE1007", 2)]),
-    "guarded mutation": ("export function f(req, db) {\n  if (!canAccess(req.user)) { return; }\n  db.user.delete(req.body.id);\n}", []),
-    "guard with a remark before it leaves": (f"export function f(req, db) {{\n  if (!hasRole(req.user)) {{\n    {LONG}\n    return;\n  }}\n  db.user.delete(req.body.id);\n}}", []),
-    "guard that logs, then leaves": ("export function f(req, db) {\n  if (!hasRole(req.user)) { log('no'); return; }\n  db.user.delete(req.body.id);\n}", []),
-    "guard that only logs": ("export function f(req, db) {\n  if (!hasRole(req.user)) { log('no'); }\n  db.user.delete(req.body.id);\n}", [("SE1007", 3)]),
-    "guard that leaves sometimes": ("export function f(req, db) {\n  if (!hasRole(req.user)) { if (strict) { return; } }\n  db.user.delete(req.body.id);\n}", [("SE1007", 3)]),
-    "authentication alone": ("export function f(req, db) {\n  if (!login(req.user)) return;\n  db.user.delete(req.body.id);\n}", [("SE1007", 3)]),
-    "tenant of another value": ("export function f(req, db) {\n  checkTenantMember(req.query.a);\n  db.user.delete(req.body.id);\n}", [("SE1007", 3)]),
-    "tenant of the value": ("export function f(req, db) {\n  checkTenantMember(req.body.id);\n  db.user.delete(req.body.id);\n}", []),
-    "handler without values": ("app.post('/x', wipe);\nfunction wipe(_req, res) {\n  recordStore.remove('all');\n}", [("SE1007", 3)]),
-    "other receiver": ("export function f(req, cache) {\n  cache.rename(req.query.x);\n}", []),
-    "receiver": ("export function f(req) {\n  fs.rename(req.query.x, 'y');\n}", [("SE1003", 2)]),
-    "class method": ("export default class A {\n  run(req) { return 1; }\n}\nclass B {\n  async go(req) {\n    exec(req.query.x);\n  }\n}\napp.get('/x', b.go);", [("SE1001", 6)]),
-    "bare arrow": ("app.get('/x', req => {\n  exec(req.query.x);\n});", [("SE1001", 2)]),
-    "arrow without braces": ("app.get('/x', (req, res) => exec(req.query.x));", [("SE1001", 1)]),
-    "module level": ("const key = process.env.API_SECRET;\nconsole.log(key);", [("SE1010", 2)]),
-    "public key": ("console.log(process.env.PUBLIC_KEY);", []),
-    "credential": ("console.log(process.env.DB_CREDENTIAL);", [("SE1010", 1)]),
-    "option": ("export function f(req) {\n  spawn('git', ['log', req.query.x]);\n}", [("SE1008", 2)]),
-    "option ended": ("export function f(req) {\n  spawn('git', ['log', '--', req.query.x]);\n}", []),
-    "shell text": ("export function f(req) {\n  spawn('sh', ['-ec', req.query.x]);\n}", [("SE1001", 2)]),
-    "shell argument": ("export function f(req) {\n  spawn('sh', ['-c', 'echo $1', req.query.x]);\n}", []),
-    "shell asked for": ("export function f(req) {\n  spawn(req.query.x, ['a'], { shell: true });\n}", [("SE1001", 2)]),
-    "prototype": ("export function f(req) {\n  Object.assign(Object.prototype, req.body);\n}", [("SE1009", 2)]),
-    "prototype by assignment": ("export function f(req) {\n  target.__proto__ = req.body;\n}", [("SE1009", 2)]),
-    "own object": ("export function f(req) {\n  Object.assign({}, req.body);\n}", []),
-    "model before mutation": ("export function f(req) {\n  userModel.create(req.body);\n}", [("SE1010", 2)]),
-    "allowlist": ("const OK = new Set(['a', 'b']);\nexport function f(req) {\n  const x = req.query.x;\n  if (!OK.has(x)) throw new Error('no');\n  exec(x);\n}", []),
-    "list of what is denied": ("const DENIED = new Set(['a', 'b']);\nexport function f(req) {\n  const x = req.query.x;\n  if (!DENIED.has(x)) throw new Error('no');\n  exec(x);\n}", [("SE1001", 5)]),
-    "another value": ("const OK = new Set(['a', 'b']);\nexport function f(req) {\n  if (!OK.has(req.query.y)) return;\n  exec(req.query.x);\n}", [("SE1001", 4)]),
-    "origin": ("export function f(req, res) {\n  const u = new URL(req.query.to);\n  if (u.origin !== 'https://a.invalid') return;\n  res.redirect(u.href);\n}", []),
-    "host without protocol": ("export function f(req) {\n  const u = new URL(req.query.to);\n  if (u.hostname !== 'a.invalid') return;\n  fetch(u);\n}", [("SE1004", 4)]),
-    "choice with a fixed rest": ("const OK = ['/a', '/b'];\nexport function f(req, res) {\n  const x = req.query.to;\n  res.redirect(OK.includes(x) ? x : '/a');\n}", []),
-    "below its root": ("export function f(req) {\n  const p = path.join(ROOT, req.query.x);\n  if (!p.startsWith(ROOT + path.sep)) throw new Error('no');\n  fs.readFile(p);\n}", []),
-    "prefix without separator": ("export function f(req) {\n  const p = path.join(ROOT, req.query.x);\n  if (!p.startsWith(ROOT)) throw new Error('no');\n  fs.readFile(p);\n}", [("SE1003", 4)]),
-    "literal query": ("export function f(req, db) {\n  db.query('select ?', [req.body.a]);\n}", []),
-    "subscripts": ("export function f(req) {\n  exec(req.headers['x-name']);\n}", [("SE1001", 2)]),
-    "computed index": ("export function f(req) {\n  const table = { a: 'x' };\n  exec(table[req.query.k] ?? 'x');\n}", []),
-    "keys are no values": ("export function f(req) {\n  const name = req.query.x;\n  exec({ name: 'fixed' });\n}", []),
-    "unwaited check": ("export async function f(req) {\n  policy.authorizeAsync(req.body.id);\n  store.update(req.body.id);\n}", [("SE1007", 3)]),
-    "waited check": ("export async function f(req) {\n  await policy.authorizeAsync(req.body.id);\n  store.update(req.body.id);\n}", []),
-    "letters beyond ASCII": ("export function é(req) {\n  exec(req.query.x);\n}", [("SE1001", 2)]),
-    "before the sink": ("export function f(req) {\n  const é = 1;\n  exec(req.query.x);\n}", [("SE1001", 3)]),
-    "pattern with a quote": ("export function f(req) {\n  const ok = /['\"`{(]/.test('x');\n  exec(req.query.x);\n}", [("SE1001", 3)]),
-    "broken": ("broken ( { export function f(req) { exec(req.query.x", [("SE1001", 1)]),
-    "empty": ("", []),
-}
-
-
-def test_javascript(spark):
-    got = found(spark, {name: {"x.js": text} for name, (text, _) in JAVASCRIPT.items()})
-    assert {k: [(r, n) for r, _, n in v] for k, v in got.items()} == {k: v for k, (_, v) in JAVASCRIPT.items()}
-
-
-OTHERS = {
-    "py source": ("x.py", "def f(request):\n    os.system(request.args.get('x'))\n", [("SE1001", 2)]),
-    "py decorated guard": ("x.py", "@login_required\ndef f(request):\n    x = safe_join('/a', request.args.get('x'))\n    open(x)\n", []),
-    "py handler parameter": ("x.py", "@app.get('/x')\ndef f(name: str):\n    eval(name)\n", [("SE1006", 3)]),
-    "py plain parameter": ("x.py", "def f(name):\n    eval(name)\n", []),
-    "py module level": ("x.py", "value = request.args.get('x')\nos.system(value)\n", [("SE1001", 2)]),
-    "py parameterized": ("x.py", "def f(request):\n    cursor.execute('select ?', request.args.get('x'))\n", []),
-    "py cleaned": ("x.py", "def f(request):\n    x = validate_command(request.args.get('x'))\n    os.system(x)\n", []),
-    "go receiver": ("x.go", "func F(c *gin.Context) {\n\tp := c.Query(\"p\")\n\trunner.Exec(p)\n}\n", []),
-    "go command": ("x.go", "func F(c *gin.Context) {\n\tp := c.Query(\"p\")\n\texec.Command(\"sh\", \"-c\", p)\n}\n", [("SE1001", 3)]),
-    "go literal query": ("x.go", "func F(c *gin.Context) {\n\tdb.Query(\"select $1\", c.Query(\"p\"))\n}\n", []),
-    "go control": ("x.go", "func F(v string) {\n\tos.ReadFile(v)\n}\n", []),
-    "rust chain": ("x.rs", "fn routes() { Router::new().route(\"/x\", get(run)) }\nasync fn run(input: String) {\n    Command::new(\"sh\").arg(\"-c\").arg(input).output();\n}\n", [("SE1001", 3)]),
-    "rust files": ("x.rs", "fn routes() { Router::new().route(\"/x\", get(run)) }\nasync fn run(input: String) {\n    std::fs::read(input);\n}\n", [("SE1003", 3)]),
-    "rust allowlist": ("x.rs", "fn routes() { Router::new().route(\"/x\", get(run)) }\nasync fn run(input: String) {\n    let safe = allowlist(input);\n    std::fs::read(safe);\n}\n", []),
-}
-
-
-def test_other_languages(spark):
-    got = found(spark, {name: {path: text} for name, (path, text, _) in OTHERS.items()})
-    assert {k: [(r, n) for r, _, n in v] for k, v in got.items()} == {k: v for k, (_, _, v) in OTHERS.items()}
+def test_cases(spark):
+    got = found(spark, {name: {f"x.{ending}": text} for name, (ending, text, _) in CASES.items()})
+    want = {name: sorted((rule, f"x.{ending}", text[: text.index(mark)].count("\n") + 1) for rule, mark in marks) for name, (ending, text, marks) in CASES.items()}
+    assert got == want
+    rules = {rule for _, _, marks in CASES.values() for rule, _ in marks}
+    assert rules == {"SE1001", "SE1003", "SE1004", "SE1005", "SE1006", "SE1007", "SE1008", "SE1009", "SE1010"} | {"SE1002"}
 
 
 def test_files_that_import_one_another(spark):
