@@ -96,7 +96,7 @@ SANITIZERS = {
 }
 #: HTTP methods: of facts, of records, of the other languages. They differ.
 METHODS = {
-    "facts": ["GET", "HEAD", "POST", "PUT", "PATCH", "DELETE", "OPTIONS", "USE"],
+    "facts": ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS", "USE", "ALL"],
     "javascript": ["GET", "POST", "PUT", "PATCH", "DELETE", "OPTIONS", "HEAD", "ALL"],
     "other": ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS", "ANY"],
 }

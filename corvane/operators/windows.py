@@ -14,6 +14,14 @@ def previous_edges(rows: DataFrame, entity: str, order: list[str], node: str) ->
     return rows.filter(F.col(entity).isNotNull()).select(entity, before.alias("from_node"), F.col(node).alias("to_node")).filter(F.col("from_node").isNotNull())
 
 
+#: Kinds of records that no flow of control passes through, or that have no node.
+OUTSIDE_FLOW = ["function", "handler", "argument", "source", "import", "authorization-candidate", "control-gate"]
+
+
+def in_control_flow(records: DataFrame) -> DataFrame:
+    return records.filter(~F.col("kind").isin(*OUTSIDE_FLOW))
+
+
 def segments(rows: DataFrame, entity: str, order: str, marker: Column, name: str = "segment") -> DataFrame:
     """rows with the number of markers up to and with them."""
     upto = Window.partitionBy(entity).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

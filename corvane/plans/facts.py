@@ -39,7 +39,7 @@ FUNCTIONS = {
 METHOD = re.compile(r"^[ \t]+(?:async\s+|static\s+|public\s+|private\s+)*(?P<a>[A-Za-z_$][\w$]*)\s*\([^()]*\)\s*(?::[^{\n]+)?\{", re.M)
 EXPORT = re.compile(r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function\*?|const|let|var|class)?\s*(?P<a>[\w$]+)")
 ENVIRONMENT = re.compile(r"\b(?:process|Deno|Bun)\.env\.(?P<a>[^\W\d]\w*)|\bos\.(?:environ\[\s*[\"'](?P<b>\w+)|getenv\(\s*[\"'](?P<c>\w+)|Getenv\(\s*\"(?P<d>\w+))|\benv::var\(\s*\"(?P<e>\w+)")
-ROUTE = re.compile(r"\b(?:app|router|server)\.(?P<v>get|post|put|patch|delete|head|options|use)\(\s*[\"'`](?P<p>[^\"'`]*)[\"'`]\s*(?:,\s*(?P<h>[\w$.]+))?")
+ROUTE = re.compile(r"\b(?:app|router|server)\.(?P<v>get|post|put|patch|delete|head|options|use|all)\(\s*[\"'`](?P<p>[^\"'`]*)[\"'`]\s*(?:,\s*(?P<h>[\w$.]+))?")
 CALL = re.compile(rf"({NAME})\s*!?\(")
 
 
@@ -90,7 +90,8 @@ class Facts(Text):
             self.emit("method" if not js and got.get("i") else "function", begin, end, name)
             if js and exported and name in METHODS and route:
                 self.emit("http-route-handler", begin, end, name, ("handles", f"{name} {route}"))
-            if actions and exported:
+            own = js and open_at >= 0 and re.match(r"\s*[\"']use server[\"']", self.raw[open_at + 1 : end]) is not None
+            if actions and exported or own:
                 self.emit("server-action-handler", begin, end, name, ("exports-server-action", name))
         if js:
             for m in METHOD.finditer(self.text):
@@ -114,6 +115,8 @@ class Facts(Text):
             self.emit("call", m.start(), end, name, ("calls", name))
             for kind in callees.operation_kinds(self.language, name):
                 self.emit(kind, m.start(), end, name)
+            if js and name in ("eval", "Function") and not re.search(rf"\b(?:const|let|var|function|class)\s+{name}\b", self.text):
+                self.emit("dynamic-code-execution", m.start(), end, name)
             if callees.named_guard("facts" if js else "other", name):
                 self.emit("guard-candidate", m.start(), end, name)
         return sorted(self.rows, key=lambda r: (r["start_byte"], r["kind"], r["end_byte"], r["name"] or ""))

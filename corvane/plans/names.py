@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import callees, semantics, settings, text
 from corvane.plans.inventory import ASCII, PATHS, page_path
 from corvane.plans.registry import query, table
-from corvane.sources import tree
+from corvane.sources import reports, tree
 
 CALLEES = [
     "child_process.exec", "exec", "db.query", "prisma.user.findMany", "Fs.ReadFile", "readFile", "cache.rename", "fs.rename", "zip.extractAll", "extract", "axios", "axios.get", "http.request", "HTTP.Get", "res.redirect", "Function",
@@ -216,3 +216,18 @@ def cfg_problems(spark: SparkSession, sf: str) -> DataFrame:
     value = F.when(own % 4 == 0, 0).when(own % 4 == 1, 1).when(own % 4 == 2, own).otherwise(own * 100_000_000_000)
     return table(spark, sf, "events").select("event_id", _pick(list(settings.LIMITS)).alias("name"), value.alias("value")).select("event_id", "name", settings.problem(F.col("name"), F.col("value")).alias("problem"))
 
+
+@query("""WITH f AS (SELECT 'd' || doc_id AS path, sha256(text) AS h, doc_id FROM documents), c AS (SELECT sha256('2' || chr(0) || path || chr(0) || CASE WHEN doc_id % 9 = 0 THEN sha256('other') ELSE h END) AS k FROM f WHERE doc_id % 3 = 0)
+SELECT path FROM f WHERE sha256('2' || chr(0) || path || chr(0) || h) NOT IN (SELECT k FROM c)""")
+def cache_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files: every third is in the cache, of these every third with what it held before."""
+    files = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), "doc_id")
+    before = files.filter("doc_id % 3 = 0").withColumn("sha256", F.when(F.col("doc_id") % 9 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("sha256")))
+    return tree.cache_misses(files, before.select(tree.cache_key("2").alias("cache_key")), "2").select("path")
+
+
+@query("""SELECT doc_id, md5(array_to_string(l[greatest(n - 2, 1):least(n + 2, len(l))], chr(10))) AS shown FROM (SELECT doc_id, string_split(text, chr(10)) AS l, doc_id % 7 + 1 AS n FROM documents)""")
+def src_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """Two lines on either side of one of the first seven."""
+    shown = reports.preview(F.col("text"), (F.col("doc_id") % 7 + 1).cast("int"), 2)
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(shown, "\n")).alias("shown"))

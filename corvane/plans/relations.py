@@ -10,20 +10,39 @@ from corvane.operators import graph, joins, windows
 from corvane.plans.registry import query, table
 
 
-@query("""SELECT p.event_id, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND c.ts < p.ts""")
+#: Events whose user 7 is unknown, and which have a value in two rows of three: nulls in a key and beside it.
+_EVENTS = "(SELECT event_id, ts, NULLIF(user_id, 7) AS user_id, event_type, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events)"
+
+
+def _gappy(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return events.withColumns({"user_id": F.nullif("user_id", F.lit(7)), "value": F.when(F.col("event_id") % 3 != 0, F.col("value"))})
+
+
+@query(f"""SELECT p.event_id, p.value, c.event_id AS click_id FROM (SELECT * FROM {_EVENTS} WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM {_EVENTS} WHERE event_type = 'click') c ON p.user_id = c.user_id AND c.ts < p.ts""")
 def join_asof_latest(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    return _latest_click(spark, sf, hot=False)
+
+
+@query(f"""SELECT p.event_id, p.value, c.event_id AS click_id FROM (SELECT * FROM {_EVENTS} WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM {_EVENTS} WHERE event_type = 'click') c ON p.user_id = c.user_id AND c.ts < p.ts""")
+def join_asof_sliced(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by slices of the order, for keys too large for a task."""
+    return _latest_click(spark, sf, hot=True)
+
+
+def _latest_click(spark: SparkSession, sf: str, hot: bool) -> DataFrame:
+    events = _gappy(spark, sf)
     clicks = events.filter("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
-    return joins.as_of(events.filter("event_type = 'purchase'"), clicks, "user_id", "ts", ["click_id"]).select("event_id", "click_id")
+    return joins.as_of(events.filter("event_type = 'purchase'"), clicks, "user_id", "ts", ["click_id"], hot=hot).select("event_id", "value", "click_id")
 
 
-_SPANS = "(SELECT user_id, event_id AS span_id, event_id - 40 AS lo, event_id + CAST(event_id % 97 AS BIGINT) * 5 AS hi FROM events WHERE event_type = 'view')"
+_SPANS = f"(SELECT user_id, event_id AS span_id, event_id - 40 AS lo, event_id + CAST(event_id % 97 AS BIGINT) * 5 AS hi FROM {_EVENTS} WHERE event_type = 'view')"
 
 
-@query(f"""SELECT s.event_id, arg_min(v.span_id, (v.hi - v.lo, v.lo, v.span_id)) AS span_id FROM (SELECT * FROM events WHERE event_type = 'purchase') s LEFT JOIN {_SPANS} v ON s.user_id = v.user_id AND s.event_id BETWEEN v.lo AND v.hi GROUP BY s.event_id""")
+@query(f"""SELECT s.event_id, s.value, arg_min(v.span_id, (v.hi - v.lo, v.lo, v.span_id)) AS span_id FROM (SELECT * FROM {_EVENTS} WHERE event_type = 'purchase') s LEFT JOIN {_SPANS} v ON s.user_id = v.user_id AND s.event_id BETWEEN v.lo AND v.hi GROUP BY s.event_id, s.value""")
 def join_interval_innermost(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    return joins.innermost(events.filter("event_type = 'purchase'").drop("event_type"), _spans(events), "user_id", "event_id", "lo", "hi", "span_id").select("event_id", "span_id")
+    events = _gappy(spark, sf)
+    return joins.innermost(events.filter("event_type = 'purchase'").drop("event_type"), _spans(events), "user_id", "event_id", "lo", "hi", "span_id").select("event_id", "value", "span_id")
 
 
 def _spans(events: DataFrame) -> DataFrame:
@@ -31,15 +50,15 @@ def _spans(events: DataFrame) -> DataFrame:
     return events.filter("event_type = 'view'").select("user_id", own.alias("span_id"), (own - 40).alias("lo"), (own + own % 97 * 5).alias("hi"))
 
 
-@query(f"SELECT s.event_id, s.user_id FROM events s WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM {_SPANS} v WHERE v.user_id = s.user_id AND s.event_id BETWEEN v.lo AND v.hi)")
+@query(f"SELECT s.event_id, s.user_id FROM {_EVENTS} s WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM {_SPANS} v WHERE v.user_id = s.user_id AND s.event_id BETWEEN v.lo AND v.hi)")
 def join_dominating(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    events = _gappy(spark, sf)
     return joins.dominated(events.filter("event_type = 'purchase'"), _spans(events), "user_id", "event_id", "lo", "hi").select("event_id", "user_id")
 
 
-@query(f"SELECT span_id FROM {_SPANS} v WHERE EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'error' AND d.user_id = v.user_id AND d.event_id > v.lo AND d.event_id < v.hi)")
+@query(f"SELECT span_id FROM {_SPANS} v WHERE EXISTS (SELECT 1 FROM {_EVENTS} d WHERE d.event_type = 'error' AND d.user_id = v.user_id AND d.event_id > v.lo AND d.event_id < v.hi)")
 def join_redefined_between(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    events = _gappy(spark, sf)
     return joins.redefined_between(_spans(events), events.filter("event_type = 'error'"), "user_id", "lo", "hi", "event_id").select("span_id")
 
 
@@ -57,13 +76,14 @@ def join_unique_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT regexp_replace(url, '/[^/]*$', '') AS folder FROM pages), k AS (SELECT folder AS prefix FROM f GROUP BY folder HAVING count(*) > 1 UNION SELECT regexp_replace(folder, '/[^/]*$', '') FROM f)
-SELECT p.page_id, arg_max(k.prefix, length(k.prefix)) AS prefix FROM pages p LEFT JOIN k ON p.url = k.prefix OR starts_with(p.url, k.prefix || '/') GROUP BY p.page_id""")
+SELECT p.page_id, arg_max(k.prefix, length(k.prefix)) AS prefix FROM (SELECT page_id, CASE WHEN page_id % 25 <> 0 THEN url END AS url FROM pages) p LEFT JOIN k ON p.url = k.prefix OR starts_with(p.url, k.prefix || '/') GROUP BY p.page_id""")
 def join_longest_prefix(spark: SparkSession, sf: str) -> DataFrame:
     """Known: folders of several pages, and the folders above any."""
     pages = table(spark, sf, "pages").select("page_id", "url")
     folder = pages.select(F.regexp_replace("url", "/[^/]*$", "").alias("prefix"))
     known = folder.groupBy("prefix").count().filter("count > 1").select("prefix").union(folder.select(F.regexp_replace("prefix", "/[^/]*$", "")))
-    return joins.longest_prefix(pages, known, "url", "prefix").select("page_id", "prefix")
+    asked = pages.withColumn("url", F.when(F.col("page_id") % 25 != 0, F.col("url")))  # some have no address
+    return joins.longest_prefix(asked, known, "url", "prefix").select("page_id", "prefix")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS place FROM conversations)
@@ -80,9 +100,12 @@ def join_unstable_target(spark: SparkSession, sf: str) -> DataFrame:
     return joins.unstable(events.filter("event_type = 'purchase'"), events.filter("event_type = 'signup'"), "user_id", "event_id").select("event_id")
 
 
-@query("SELECT * FROM (SELECT user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_node, event_id AS to_node FROM events) WHERE from_node IS NOT NULL")
+@query(f"SELECT * FROM (SELECT user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_node, event_id AS to_node FROM {_EVENTS} WHERE event_type <> 'signup') WHERE from_node IS NOT NULL AND user_id IS NOT NULL")
 def win_control_flow(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.previous_edges(table(spark, sf, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], "event_id")
+    """Sources have no place in the flow of control, nor have records outside functions."""
+    kind = F.when(F.col("event_type") == "signup", "source").otherwise("call")
+    events = _gappy(spark, sf).select("user_id", "ts", "event_id", kind.alias("kind"))
+    return windows.previous_edges(windows.in_control_flow(events), "user_id", ["ts", "event_id"], "event_id")
 
 
 @query("SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS segment FROM conversations")
