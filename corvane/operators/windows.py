@@ -85,6 +85,12 @@ def capped(rows: DataFrame, group: str, order: list[str], each: int, overall: in
     return newest(rows, group, [F.col(c) for c in order], each).orderBy(group, *order).limit(overall)
 
 
+def bounded_facts(facts: DataFrame, file: str, order: list[str], each: int, overall: int) -> tuple[DataFrame, DataFrame]:
+    """(facts within both caps, a diagnostic for each file that had more than `each`)."""
+    cut_off = facts.groupBy(file).count().filter(F.col("count") > each).select(file, F.lit("fact-limit-reached").alias("code"))
+    return capped(facts, file, order, each, overall), cut_off
+
+
 def adjacent_distinct(rows: DataFrame, order: list[str], keys: list[str], within: str | None = None) -> DataFrame:
     """Rows none of whose keys equals that of the row before; nulls equal nothing. Only neighbours are compared, as in a sorted list that is walked once; with `within`, only neighbours that agree there."""
     order = [*([within] if within else []), *order]

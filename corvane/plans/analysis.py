@@ -190,6 +190,13 @@ def sel_diagnostics_cap(spark: SparkSession, sf: str) -> DataFrame:
     return windows.capped(_events(spark, sf, "error").select("user_id", "event_id"), "user_id", ["event_id"], 2, 300)
 
 
+@query("""SELECT user_id, event_id, NULL AS code FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n <= 65 ORDER BY user_id, event_id LIMIT 9000""".join(["SELECT * FROM (", ") UNION ALL SELECT user_id, NULL, 'fact-limit-reached' FROM events GROUP BY user_id HAVING count(*) > 65"]))
+def sel_facts_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as facts of a user's file: 65 a file and 9000 in all, and who had more."""
+    kept, cut_off = windows.bounded_facts(_events(spark, sf).select("user_id", "event_id"), "user_id", ["event_id"], 65, 9000)
+    return kept.select("user_id", "event_id", F.lit(None).cast("string").alias("code")).unionByName(cut_off.select("user_id", F.lit(None).cast("long").alias("event_id"), "code"))
+
+
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY user_id, event_id) AS n FROM events) WHERE n <= 4000")
 def sel_record_cap(spark: SparkSession, sf: str) -> DataFrame:
     """A budget of records that all files share, in the order of files."""

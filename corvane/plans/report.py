@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import semantics
 from corvane.functions.classify import parser_mode
 from corvane.functions.semantics import RULES
 from corvane.functions.settings import Settings
-from corvane.operators import joins, windows
+from corvane.operators import evidence, joins, windows
 from corvane.operators.lineage import cut
 from corvane.plans import inventory
 from corvane.plans.fixpoint import RECORDS, candidates, findings
@@ -89,6 +90,23 @@ def conditions_of(files: DataFrame, records: DataFrame) -> DataFrame:
     return of_files.unionByName(of_records)
 
 
+def steps_of(found: DataFrame, records: DataFrame) -> DataFrame:
+    """finding_id, ordinal, rule_id, role, identity, certainty, path, start, end, previous_edge: each finding's trail and its sink, with what their records mean."""
+    known = records.select("record_id", "kind", F.coalesce("name", "callee").alias("name"), "path", F.col("start_byte").alias("start"), F.col("end_byte").alias("end")).dropDuplicates(["record_id"])
+    whole = found.select("finding_id", "rule_id", F.transform(F.concat("trail", F.array("sink_id")), lambda x: F.regexp_replace(x, ":return$", "")).alias("trail"))
+    steps = evidence.trail_steps(whole, known).join(whole.select("finding_id", "rule_id"), "finding_id")
+    role = semantics.semantic_role(F.col("kind"), F.col("name"))
+    return steps.select("finding_id", "ordinal", "rule_id", role.alias("role"), semantics.semantic_identity(F.col("kind"), F.col("name")).alias("identity"), F.when(role.isNotNull(), "proven").alias("certainty"), "path", "start", "end", "previous_edge")
+
+
+#: Rules with a weakness number have a taxonomy; the others have no contract.
+TAXONOMY = [(rule, "1", f"CWE-{cwe}", policy or "operation-authorization") for rule, _, policy, _, cwe in RULES if cwe]
+
+
+def contracts_of(steps: DataFrame) -> DataFrame:
+    return evidence.contracts(evidence.contract_steps(steps), steps.sparkSession.createDataFrame(TAXONOMY, "rule_id string, version string, category string, invariant string"))
+
+
 @dataclass
 class Report:
     header: dict
@@ -100,6 +118,8 @@ class Report:
     records: DataFrame
     diagnostics: DataFrame
     findings: DataFrame
+    steps: DataFrame
+    contracts: DataFrame
     suppressed: DataFrame
     limitations: DataFrame
 
@@ -145,7 +165,8 @@ def scan_report(spark: SparkSession, path: str, settings: Settings | None = None
     } | git.head(path)
     languages = listed.filter("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
     coverage = listed.filter("parser IS NOT NULL").groupBy("parser").agg(F.count("*").alias("files"), F.count_if(F.col("state") == "listed").alias("scanned"), F.sum("size_bytes").alias("bytes"))
-    return Report(header, files, listed, languages, coverage, pruned, records, diagnostics, found, suppressed, limits)
+    steps = steps_of(found, records)
+    return Report(header, files, listed, languages, coverage, pruned, records, diagnostics, found, steps, contracts_of(steps), suppressed, limits)
 
 
 @query("""SELECT code FROM (VALUES ('bounded-interprocedural-analysis'), ('dynamic-resolution-limited'), ('semantic-resolution-bounded'), ('framework-middleware-not-modeled'), ('parser-coverage-limited'), ('framework-hints-only'), ('symlinks-not-followed'), ('vcs-metadata-excluded'), ('hidden-files-excluded'), ('vendor-directories-excluded')) v(code)

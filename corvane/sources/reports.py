@@ -23,7 +23,7 @@ NAME = "corvane"
 SCHEMA_VERSION = 1
 #: The largest document that is read back, and what a preview may show.
 MAX_DOCUMENT, MAX_PREVIEW, MAX_CONTEXT = 64 << 20, 1 << 20, 200
-FINDING = "repository string, finding_id string, rule_id string, severity string, cwe int, path string, function string, sink_start long, source_path string, source_start long, trail array<string>, sanitizers array<string>, fingerprint string, related_key string"
+FINDING = "repository string, finding_id string, rule_id string, severity string, cwe int, path string, function string, sink_start long, source_path string, source_start long, trail array<string>, sanitizers array<string>, fingerprint string, related_key string, sink_id string"
 
 
 def write_atomically(path: str, parts: Iterator[str] | str) -> None:

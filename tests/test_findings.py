@@ -90,3 +90,27 @@ def test_assessments_that_do_not_belong(spark):
     for some in (bad, lost):
         with pytest.raises(ValueError):
             ops.attach_assessments(rows, some, strict=True)
+
+
+def test_steps_and_contracts(spark, tmp_path):
+    """Moved code keeps its meaning and loses its place; rules without a taxonomy have no contract."""
+    from corvane.functions.settings import Settings
+    from corvane.plans.report import scan_report
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    for folder, lead in (("a", ""), ("b", "// a remark\n")):
+        (tmp_path / folder / "x.ts").write_text(lead + SAMPLES["a.ts"])
+        (tmp_path / folder / "y.ts").write_text(lead + "export function g(req) {\n  console.log(req.query.v);\n  const v = wash(req.query.q);\n  eval(v);\n}\nfunction wash(x) {\n  return x.trim();\n}\n")
+    one, two = (scan_report(spark, str(tmp_path / folder), Settings()) for folder in "ab")
+    kinds = {r.path: [s.role for s in one.steps.filter(F.col("finding_id") == r.finding_id).orderBy("ordinal").collect()] for r in one.findings.filter("rule_id <> 'SE1010'").collect()}
+    assert kinds["x.ts"] == ["untrusted-source", "transformation", "sensitive-sink"] and kinds["y.ts"][0] == "untrusted-source" and kinds["y.ts"][-1] == "sensitive-sink" and len(kinds["y.ts"]) > 3
+    assert one.findings.count() == 3 and one.contracts.count() == 2
+
+    def prints(report):
+        rows = report.contracts.join(report.findings, "finding_id").select("path", report.contracts.fingerprint, "duplicate_fingerprint").collect()
+        return {r.path: (r.fingerprint, r.duplicate_fingerprint) for r in rows}
+
+    assert {k: v[0] for k, v in prints(one).items()} == {k: v[0] for k, v in prints(two).items()} and not {v[1] for v in prints(one).values()} & {v[1] for v in prints(two).values()}
+    gone = scan_report(spark, str(tmp_path / "a"), Settings(suppressions=(("SE1001", "x.ts", one.findings.filter("path = 'x.ts'").first().sink_start, "accepted by review"), ("SE1001", "z.ts", 1, "accepted by review"))))
+    assert gone.findings.count() == 2 and sorted(r.code for r in gone.suppressed.collect()) == ["applied", "stale"]
