@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.windows import sliced
+from corvane.operators.windows import carried_forward
 
 
 def same_row(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
@@ -22,26 +22,15 @@ def same_row(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str], strict: bool = True, tie: str | None = None, hot: bool = False) -> DataFrame:
     """left with the `values` of the latest right row of the same key before (or, if not strict, at) its own place; nulls without one.
 
-    One shuffle: both sides go by the key in one union, and a window carries the last right row forward. `tie` orders right rows at one
-    place. hot: keys may be too large for a task; the order of (key, place) is cut into slices, and what a slice's first key had before
-    comes from a row a slice.
+    One shuffle: both sides go by the key in one union, and the last right row is carried forward. `tie` orders right rows at one place.
+    hot: keys may be too large for a task (see windows.carried_forward).
     """
     ties = F.col(tie) if tie else F.lit(0)
     # At equal places a right row stands after left ones if strict, before them if not.
     marked = right.filter(F.col(key).isNotNull()).select(F.col(key), F.col(at), F.lit(1 if strict else -1).alias("__side"), ties.alias("__tie"), F.struct(*values).alias("__value"), F.lit(None).cast(left.schema.simpleString()).alias("__row"))
     rows = left.select(F.col(key), F.col(at), F.lit(0).alias("__side"), F.lit(0).alias("__tie"), F.lit(None).cast(marked.schema["__value"].dataType).alias("__value"), F.struct(*left.columns).alias("__row"))
-    both, order = rows.unionByName(marked), [at, "__side", "__tie"]
-    if not hot:
-        carried = both.withColumn("__value", F.last("__value", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    else:
-        cut_up = sliced(both, [key, *order])
-        lasts = cut_up.filter("__value IS NOT NULL").groupBy("__slice", key).agg(F.max_by("__value", F.struct(*order)).alias("__before"))
-        several = cut_up.select("__slice", key).distinct().withColumn("__n", F.count("*").over(Window.partitionBy(key))).filter("__n > 1").drop("__n")
-        earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-        before = several.join(lasts, ["__slice", key], "left").withColumn("__before", F.last("__before", ignorenulls=True).over(earlier))
-        own = F.last("__value", ignorenulls=True).over(Window.partitionBy("__slice", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        carried = cut_up.withColumn("__value", own).join(before, ["__slice", key], "left").withColumn("__value", F.coalesce("__value", "__before"))
-    return carried.filter(F.col("__row").isNotNull()).select("__row.*", *[F.col(f"__value.{v}").alias(v) for v in values])
+    carried = carried_forward(rows.unionByName(marked), key, [at, "__side", "__tie"], {"__last": F.col("__value")}, hot)
+    return carried.filter(F.col("__row").isNotNull()).select("__row.*", *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
 def _size_class(start: Column, end: Column) -> Column:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.windows import carried_forward
 
-def tainted_at_sinks(events: DataFrame, entity: str, order: list[str], source: Column, kill: Column, clean: Column, sink: Column) -> DataFrame:
+
+def tainted_at_sinks(events: DataFrame, entity: str, order: list[str], source: Column, kill: Column, clean: Column, sink: Column, hot: bool = False) -> DataFrame:
     """Sinks with the place of the source they are reached from: the last source, after the last kill, with nothing cleaning in between.
 
-    One shuffle and one sort a key; `last` carries the places forward. An entity's events must fit a task's sort, which spills to disk.
+    One shuffle and one sort a key, which carry the places forward; hot: entities may be too large for a task (see windows.carried_forward).
     """
-    before = Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct(*order)
-    marked = events.withColumns({"__source": F.last(F.when(source, place), ignorenulls=True).over(before), "__kill": F.last(F.when(kill, place), ignorenulls=True).over(before), "__clean": F.last(F.when(clean, place), ignorenulls=True).over(before)})
+    marked = carried_forward(events, entity, order, {"__source": F.when(source, place), "__kill": F.when(kill, place), "__clean": F.when(clean, place)}, hot)
     alive = F.col("__source").isNotNull() & F.coalesce(F.col("__source") > F.col("__kill"), F.lit(True)) & F.coalesce(F.col("__source") > F.col("__clean"), F.lit(True))
     return marked.filter(sink & alive).withColumns({f"source_{c}": F.col(f"__source.{c}") for c in order}).drop("__source", "__kill", "__clean")

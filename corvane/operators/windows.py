@@ -48,6 +48,27 @@ def running_total(rows: DataFrame, order: list[str], size: Column, name: str) ->
     return own.join(F.broadcast(before), "__slice").withColumn(name, F.col("__before") + F.sum("__size").over(within)).drop("__slice", "__size", "__before")
 
 
+def carried_forward(rows: DataFrame, key: str, order: list[str], values: dict[str, Column], hot: bool = False) -> DataFrame:
+    """rows with, for each name, the last value that is not null among the rows before of the same key.
+
+    One shuffle by the key and one sort within it. hot: keys may be too large for a task; then the order of (key, order) is cut into slices,
+    and what a slice's first key had before comes from a row a slice and key.
+    """
+    if not hot:
+        before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({name: F.last(value, ignorenulls=True).over(before) for name, value in values.items()})
+    own = {f"__v{i}": value for i, value in enumerate(values.values())}
+    cut_up = sliced(rows.withColumns(own), [key, *order])
+    place = F.struct(*order)
+    lasts = cut_up.groupBy("__slice", key).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), place)).alias(v) for v in own])
+    several = lasts.withColumn("__n", F.count("*").over(Window.partitionBy(key))).filter("__n > 1")
+    earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    handed = several.select("__slice", key, *[F.last(v, ignorenulls=True).over(earlier).alias(f"{v}_before") for v in own])
+    within = Window.partitionBy("__slice", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = cut_up.withColumns({f"{v}_own": F.last(v, ignorenulls=True).over(within) for v in own}).join(handed, ["__slice", key], "left")
+    return joined.select(*rows.columns, *[F.coalesce(f"{v}_own", f"{v}_before").alias(name) for v, name in zip(own, values, strict=True)])
+
+
 def previous_in_order(rows: DataFrame, order: list[str], columns: list[str], prefix: str = "previous_") -> DataFrame:
     """rows with columns of the row before, over the whole table: inside slices by `lag`, and at a slice's start from the last row of the slice before it."""
     own = sliced(rows, order)

@@ -351,11 +351,12 @@ def agg_helper_policies(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.helper_policies(guards, ends).select("function", F.array_join("policies", ",").alias("policies"))
 
 
-@query("SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn) AS parameters, count(*) AS n FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, turn, role, CAST(row_number() OVER w AS INT) - 1 AS ordinal, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def agg_parameters(spark: SparkSession, sf: str) -> DataFrame:
-    """A conversation's turns as a function's parameters in order."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws(":", x.turn, x.role))
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(parts, ",").alias("parameters"), F.count("*").alias("n"))
+    """A conversation's turns as a function's parameters in order: rows with their place, never one value."""
+    own = Window.partitionBy("conv_id")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    return turns.withColumns({"ordinal": (F.row_number().over(own.orderBy("turn")) - 1).cast("int"), "n": F.count("*").over(own)})
 
 
 @query("SELECT count(*) AS records, count(DISTINCT user_id) AS functions, count(*) FILTER (event_type = 'signup') AS sources, count(*) FILTER (event_type = 'view') AS sanitizers, count(*) FILTER (event_type = 'click') AS guards, count(*) FILTER (event_type = 'purchase') AS sinks, count(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END) AS functions_with_sinks FROM events")

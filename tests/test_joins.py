@@ -83,3 +83,13 @@ def test_cut_lists_say_so(spark):
     found = [tuple(r) for r in windows.with_limit(frame, ["path"], 3, {"code": "error-limit-reached"}).orderBy(F.col("path").asc_nulls_last()).collect()]
     assert found == [("p0", "e"), ("p1", "e"), (None, "error-limit-reached")]
     assert windows.with_limit(frame, ["path"], 5, {"code": "x"}).filter("code = 'x'").count() == 0
+
+
+def test_hot_entities_by_slices(spark):
+    from corvane.operators.taint import tainted_at_sinks
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 8 + ["x", None]), rng.randrange(2000), i, rng.choice(["begin", "end", "clean", "sink"])) for i in range(1500)]
+    frame, kind = spark.createDataFrame(rows, "who string, at long, id long, kind string").repartition(5), F.col("kind")
+    plain, hot = (sorted(map(str, tainted_at_sinks(frame, "who", ["at", "id"], kind == "begin", kind == "end", kind == "clean", kind == "sink", hot=h).collect())) for h in (False, True))
+    assert plain == hot and plain
