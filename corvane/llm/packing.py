@@ -93,7 +93,7 @@ def _pieces(id_column: str, id_type: T.DataType, path: str, end_id: int, capacit
         from pyspark import TaskContext
 
         part, seen, encode, kind = TaskContext.get().partitionId(), Counter(), encoder(path), arrow_schema(schema)
-        for batch in split_batches(batches, 16384, 8 << 20):
+        for batch in split_batches(batches, 16384, 4 << 20):
             ids, sizes = encode.batch(batch.column(1))
             packed, at, rows = ids.astype("<u4").tobytes(), 0, []
             end = np.array([end_id], "<u4").tobytes()
