@@ -91,6 +91,14 @@ def summaries(checks: DataFrame, calls: DataFrame, rounds: int) -> DataFrame:
     return known
 
 
+def synthetic_guards(calls: DataFrame, summarized: DataFrame, gates: DataFrame) -> DataFrame:
+    """calls (call_id, target), summarized (target, policy, mode), gates (gate, call_id) -> guard, policy: a call of a function that enforces is a guard itself; of one that answers, the gates that test what it answered. Mere authentication guards no operation."""
+    wanted = calls.join(summarized.filter("policy <> 'authentication'"), "target")
+    enforced = wanted.filter("mode = 'enforced'").select(F.col("call_id").alias("guard"), "policy")
+    answered = wanted.filter("mode = 'boolean'").join(gates, "call_id").select(F.col("gate").alias("guard"), "policy")
+    return enforced.unionByName(answered).distinct()
+
+
 def resource_pairs(tenant: DataFrame, owner: DataFrame) -> DataFrame:
     """Guards (resource, principal, at) of both kinds -> resource, principal, at: where both of one principal hold on one resource. Firsts meet, so a busy resource is one row."""
     first = [g.groupBy("resource", "principal").agg(F.min("at").alias(name)) for g, name in ((tenant, "tenant_at"), (owner, "owner_at"))]

@@ -70,12 +70,19 @@ def join_summary_binding(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.satisfied_summaries(calls, arguments, spark.createDataFrame(NEEDS, "target int, policy string, slot int"), trusted)
 
 
-@query("""WITH RECURSIVE d AS (SELECT event_id, user_id, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS parent FROM events WHERE event_type IN ('view', 'click')),
+_LINEAGE = """WITH RECURSIVE d AS (SELECT event_id, user_id, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS parent FROM events WHERE event_type IN ('view', 'click')),
 u AS (SELECT e.event_id AS use, max(d.event_id) AS node FROM events e JOIN d ON d.user_id = e.user_id AND d.event_id < e.event_id WHERE e.event_type = 'purchase' GROUP BY e.event_id),
-w AS (SELECT use, node, 0 AS hops FROM u UNION ALL SELECT w.use, d.parent, w.hops + 1 FROM w JOIN d ON d.event_id = w.node WHERE d.event_type = 'view' AND d.parent IS NOT NULL AND w.hops < 10)
+w AS (SELECT use, node, 0 AS hops FROM u UNION ALL SELECT w.use, d.parent, w.hops + 1 FROM w JOIN d ON d.event_id = w.node WHERE d.event_type = 'view' AND d.parent IS NOT NULL AND w.hops < 10)"""
+
+
+@query(_LINEAGE + """
 SELECT w.use, w.node AS origin, w.hops FROM w JOIN d ON d.event_id = w.node WHERE d.event_type = 'click'""")
 def graph_lineage(spark: SparkSession, sf: str) -> DataFrame:
-    """A purchase is a gate that reads the value defined last; a view copies the one before it, a click is a call: which call a gate tests."""
+    return _lineage(spark, sf)
+
+
+def _lineage(spark: SparkSession, sf: str) -> DataFrame:
+    """A purchase is a gate that reads the value defined last; a view copies the one before it, a click is a call: which call, before it, a gate tests."""
     defined = _events(spark, sf, "view", "click")
     before = joins.as_of(defined, defined.select("user_id", "event_id", F.col("event_id").alias("parent")), "user_id", "event_id", ["parent"])
     parents = before.select(F.col("event_id").alias("node"), "parent", (F.col("event_type") == "click").alias("is_origin"))
@@ -83,6 +90,19 @@ def graph_lineage(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.origins(uses.filter("node IS NOT NULL").select(F.col("event_id").alias("use"), "node"), parents)
 
 
+SUMMARIZED = [(0, "role", "enforced"), (1, "tenant", "boolean"), (2, "authentication", "enforced"), (3, "ownership", "boolean")]
+
+
+@query(_LINEAGE + f""", o AS (SELECT w.use AS gate, w.node AS call_id FROM w JOIN d ON d.event_id = w.node WHERE d.event_type = 'click'), s AS (SELECT * FROM (VALUES {', '.join(map(str, SUMMARIZED))}) v(target, policy, mode) WHERE policy <> 'authentication'),
+c AS (SELECT event_id AS call_id, policy, mode FROM events JOIN s ON s.target = event_id % 5 WHERE event_type = 'click')
+SELECT call_id AS guard, policy FROM c WHERE mode = 'enforced' UNION SELECT gate, policy FROM c JOIN o USING (call_id) WHERE mode = 'boolean'""")
+def auth_synthetic_guards(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks call one of five functions, four of which are summarised."""
+    calls = _events(spark, sf, "click").select(F.col("event_id").alias("call_id"), (F.col("event_id") % 5).cast("int").alias("target"))
+    gates = _lineage(spark, sf).select(F.col("use").alias("gate"), F.col("origin").alias("call_id"))
+    return evidence.synthetic_guards(calls, spark.createDataFrame(SUMMARIZED, "target int, policy string, mode string"), gates)
+
+
 @query("""WITH RECURSIVE n AS (SELECT user_id, event_id AS name, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS target FROM events),
 s AS (SELECT * FROM n WHERE target IS NOT NULL AND name % 10 <> 0),
 w AS (SELECT user_id, name, target, 1 AS hops FROM s UNION ALL SELECT w.user_id, w.name, s.target, w.hops + 1 FROM w JOIN s ON s.user_id = w.user_id AND s.name = w.target WHERE w.hops < 8)

@@ -89,4 +89,10 @@ CASES: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
     'rust query': ('rs', 'fn routes() { Router::new().route("/x", get(run)) }\nasync fn run(input: String) {\n    sqlx::query(input);\n}\n', [('SE1002', 'sqlx::query(')]),
     'rust network': ('rs', 'fn routes() { Router::new().route("/x", get(run)) }\nasync fn run(input: String) {\n    reqwest::get(input);\n}\n', [('SE1004', 'reqwest::get(')]),
     'rust redirect': ('rs', 'fn routes() { Router::new().route("/x", get(run)) }\nasync fn run(input: String) {\n    axum::response::Redirect::to(input);\n}\n', [('SE1005', 'axum::response::Redirect::to(')]),
+    'check that a catch hides': ('js', 'export function f(req, db) {\n  try {\n    requireRole(req.user);\n  } catch (e) {\n    log(e);\n  }\n  db.user.delete(req.body.id);\n}', [('SE1007', 'db.user.delete(')]),
+    'check that a catch passes on': ('js', 'export function f(req, db) {\n  try {\n    requireRole(req.user);\n  } catch (e) {\n    throw e;\n  }\n  db.user.delete(req.body.id);\n}', []),
+    'check within the try': ('js', 'export function f(req, db) {\n  try {\n    requireRole(req.user);\n    db.user.delete(req.body.id);\n  } catch (e) {\n    log(e);\n  }\n}', []),
+    'check in a branch': ('js', 'export function f(req, db) {\n  if (req.query.fast) {\n    requireRole(req.user);\n  }\n  db.user.delete(req.body.id);\n}', [('SE1007', 'db.user.delete(')]),
+    'eval of its own': ('js', 'export function f(req) {\n  const eval = (x) => x;\n  eval(req.query.x);\n}', []),
+    'function of text': ('js', 'export function f(req) {\n  new Function("a", req.query.x);\n}', [('SE1006', 'Function(')]),
 }

@@ -33,6 +33,7 @@ BLANKS = {
 }
 PAIRS = {")": "(", "]": "[", "}": "{"}
 GOES_ON = re.compile(r"\s*(?:\.|\?\.|\?|:|\+|&&|\|\|)")
+CATCH = re.compile(r"\s*catch\s*(?:\([^()]*\)\s*)?\{")
 AFTER_PARAMETERS = re.compile(r"\s*(?::\s*(?:[^={};()]|\{[^{}]*\})*?)?\s*(=>|\{)")
 #: Calls on a value, or with it, that give the value in another shape.
 SHAPES = {"tolowercase", "touppercase", "trim", "tostring", "replace", "replaceall", "slice", "substring", "substr", "concat", "split", "join", "decodeuricomponent", "encodeuricomponent", "decodeuri", "atob", "url", "searchparams", "href", "strip", "lower", "upper", "format", "to_string", "to_owned", "as_str", "clone", "unwrap", "resolve", "normalize", "relative", "basename", "stringify", "parse"}
@@ -149,6 +150,20 @@ class Text:
             k -= 1
         return last
 
+    def guarded_end(self, at: int, last: int) -> int:
+        """How far a check at the place holds: to the end of its block, and, out of a `try` whose `catch` leaves, on to the end of the block around it."""
+        end = self.block_end(at, last)
+        while end < last:
+            opening = next((a for a in reversed(self.braces[: bisect_right(self.braces, at)]) if self.closing[a] == end), None)
+            if opening is None or self.word_before(opening)[1] != "try":
+                return end
+            handler = CATCH.match(self.text, end + 1)
+            if not handler or not self._leaves(handler.end(), self.close(handler.end() - 1)):
+                return end
+            at = self.close(handler.end() - 1) + 1
+            end = self.block_end(at, last)
+        return end
+
     def byte(self, at: int) -> int:
         at = self.origin(at)
         return at + self.more[bisect_left(self.wide, at)]
@@ -611,7 +626,7 @@ class File(Text):
             self.emit("sink", start, end, key, own or [[]], name=sink, callee=name)
         elif callees.named_guard(self.lists, name) and (self.js or not receiver):
             if not self._ignored(name, waited):
-                self.emit("guard", start, end, key, [v for v in slots], name=name, callee=name, output=output, **(self.dominance(end, self.block_end(end, last)) if key else {}))
+                self.emit("guard", start, end, key, [v for v in slots], name=name, callee=name, output=output, **(self.dominance(end, self.guarded_end(end, last)) if key else {}))
                 return output
         elif callees.named_sanitizer(self.lists, name):
             self.emit("sanitizer", start, end, key, [[receiver] if receiver else [], *slots] if receiver else slots, name=name, callee=name, output=output)
@@ -626,7 +641,7 @@ class File(Text):
         if leaf in SHAPES and (self.js or leaf not in ("parse",)):
             self.emit("transformation", start, end, key, [[v for s in [*([subject] if leaf not in PATHS or not owner else []), *slots] for v in s]], callee=name, output=output, name="shape")
             return output
-        extra = {"dominance_start": self.byte(end), "dominance_end": self.byte(self.block_end(end, last))} if self.js and key else {}
+        extra = {"dominance_start": self.byte(end), "dominance_end": self.byte(self.guarded_end(end, last))} if self.js and key else {}
         self.emit("call", start, end, key, slots, callee=name, output=output, **extra)
         return output
 
