@@ -91,14 +91,23 @@ def files_of(folder: str) -> list[str]:
     return sorted(f"{folder}/{f.base_name}" for f in store.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".parquet"))
 
 
+def trim_memory() -> None:
+    """Hands freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def split_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Smaller batches: of at most so many rows, and of about so many bytes unless one row is larger."""
+    """Smaller batches: of at most so many rows, and of about so many bytes unless one row is larger. After the last, a worker that waits for its next task gives back what it needs no more."""
     for batch in batches:
         if not batch.num_rows:
             continue
         step = max(1, min(rows, int(batch.num_rows * size / max(1, batch.nbytes))))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+        del batch
+    trim_memory()
 
 
 def whole_texts(column: pa.Array) -> pa.Array:
@@ -121,9 +130,7 @@ def ddl(schema: str) -> T.StructType:
 def free_memory() -> None:
     """Hands back to the system what Python and Arrow no longer use."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    trim_memory()
 
 
 def worker_state(key: tuple, make: Callable):
