@@ -154,8 +154,8 @@ def evidence_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: A few files whose facts are known.
 FILES = {
-    "web/app/api/orders/[order]/route.ts": "import { json } from \"kit\";\n\nexport async function GET(call: Request) {\n  const who = await signedIn(call);\n  return fetch(\"https://host.invalid\");\n}\n",
-    "src/names.ts": "// exec('never')\nexport function größe(n: string) {\n  return { müll: n, straße: process.env.LÄNGE };\n}\napp.get(\"/items/:key\", showItem);\nJSON.parse(n);\n",
+    "web/app/api/orders/[order]/route.ts": "import { send } from \"kit\";\n\nexport async function GET() {\n  const stock = await fetch(STOCK + \"/count\");\n  return send(await stock.json());\n}\n",
+    "src/names.ts": "// exec('never')\nimport { stat } from \"disk\";\nconst öl = 3, Maß = \"é\" + process.env.LÄNGE;\n\nfunction größe(k: number) {\n  return k * öl;\n}\napp.get(\"/items/:key\", showItem);\nJSON.parse(Maß);\n",
     "src/tool.py": "import os\n\nclass Worker:\n    def start(self):\n        os.system(os.getenv('SHELL'))\n",
 }
 
