@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import approximate_search, chats, exact_search, language, mixing, near_duplicates, packing, quality, token_counts, wavelet
+from corvane.llm import approximate_search, chats, exact_search, language, mixing, near_duplicates, packing, periodic_runs, prefix_trie, quality, token_counts, url_filters, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chats.op1_chat_formatting,
@@ -19,6 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wavelet_tokens": wavelet.op8_wavelet_tokens,
     "op9_language_id": language.op9_language_id,
     "op10_approximate_neighbours": approximate_search.op10_approximate_neighbours,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_url_filters": url_filters.op13_url_filters,
 }
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": chats.ORACLE, "op3_source_mixing": mixing.ORACLE, "op4_exact_top_k": exact_search.ORACLE, "op6_near_duplicates": near_duplicates.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": chats.ORACLE,
+    "op3_source_mixing": mixing.ORACLE,
+    "op4_exact_top_k": exact_search.ORACLE,
+    "op6_near_duplicates": near_duplicates.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_url_filters": url_filters.ORACLE,
+}
