@@ -57,4 +57,21 @@ def test_edges(spark):
     assert all(abs(r.target - want[r.source]) < 1e-9 for r in got.collect()) and got.count() == 6
     data = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
     assert same(got.select("doc_id", "size", "source_size", "target", "taken"), duck(SF, documents=data), ORACLE) == 6
+    assert plan_mix(frame, keep_text=False).count() == 6 and Counter(r.copies for r in plan_mix(frame, keep_text=False).collect()) == Counter(r.copies for r in got.collect())
     assert plan_mix(frame.limit(0)).count() == 0 and mix_documents(frame).columns == frame.columns
+
+
+def test_shared_identifiers_have_draws_of_their_own(spark):
+    """Null and repeated identifiers, and rows alike in all, come near their source's target; a hot group of equal rows among them."""
+    rows = [(None if i % 2 else i % 3, "same text of five words" if i % 3 == 0 else f"word {i} and {'more ' * (i % 7)}", ("a", "b", None)[i % 3]) for i in range(9000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    data = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
+    found = plan_mix(frame, keep_text=False)
+    assert same(found.select("doc_id", "size", "source_size", "target", "taken"), duck(SF, documents=data), ORACLE) == 9000
+    taken, target = Counter(), {}
+    for r in plan_mix(frame).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 2 * r.size
+    assert all(abs(taken[s] / target[s] - 1) < 0.1 for s in target) and taken["a"]
+    assert mix_documents(frame).count() == plan_mix(frame.repartition(3)).selectExpr("sum(copies)").first()[0]

@@ -66,9 +66,13 @@ def test_one_row_an_identifier_in_any_order(spark):
     assert found[0] == found[1] and len({r[0] for r in found[0]}) == len(found[0]) > 30
 
 
+#: Names that the stages and their operators give to columns of their own.
+OWN_NAMES = [f"doc_id AS {c}" for c in ("__score", "__Predicted", "__lang", "___lang", "__source", "__copy", "__own_doc_id", "__key", "__ordinal", "__part", "__row", "__before", "__first", "row", "count", "high", "low", "rate", "taken", "source_size", "held_out")]
+
+
 def test_clashing_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    clash = docs.limit(60).selectExpr("*", "doc_id AS size", "doc_id AS score", "lang AS target", "doc_id AS predicted", "doc_id AS copies", "text AS lang_pred", "doc_id AS kept", "doc_id AS n", "doc_id AS piece")
+    clash = docs.limit(60).selectExpr("*", "doc_id AS size", "doc_id AS score", "lang AS target", "doc_id AS predicted", "doc_id AS copies", "text AS lang_pred", "doc_id AS kept", "doc_id AS n", "doc_id AS piece", *OWN_NAMES)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, clash, SF)
         assert after.columns == clash.columns and 0 < after.count() == after.filter("size = doc_id AND score = doc_id AND kept = doc_id").count()
