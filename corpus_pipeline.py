@@ -22,15 +22,27 @@ from corvane.llm.quality import score_quality
 from corvane.llm.shared import Scratch, fold, table
 
 
+def unused(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores before it as no column of the documents has."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return tuple(found)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = score_quality(docs, table(spark, sf_dir, "labels"), columns=docs.columns, names=("__score", "__predicted"))
-    return scored.filter("__predicted = 1").select(*docs.columns)
+    score, predicted = unused(docs, "__score", "__predicted")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), columns=docs.columns, names=(score, predicted))
+    return scored.filter(F.col(predicted) == 1).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lang, score = unused(docs, "__lang", "__score")
     profiles = learn_profiles(docs.filter(fold(F.col("doc_id"), 4) != 2))
-    found = identify_language(docs, profiles, columns=docs.columns, names=("__lang", "__score"))
-    fits = (F.col("__lang") != UNKNOWN) & F.coalesce(F.col("lang") == F.col("__lang"), F.lit(True))
+    found = identify_language(docs, profiles, columns=docs.columns, names=(lang, score))
+    fits = (F.col(lang) != UNKNOWN) & F.coalesce(F.col("lang") == F.col(lang), F.lit(True))
     return found.filter(fits).select(*docs.columns)
 
 
