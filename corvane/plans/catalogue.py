@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import analysis, evidence, facts, fixpoint, frontend, inventory, names, relations, report
+from corvane.plans import analysis, evidence, facts, fixpoint, flows, frontend, inventory, names, relations, report
 from corvane.plans.registry import ORACLES, QUERIES
 
-MODULES = (inventory, names, relations, analysis, evidence, fixpoint, frontend, facts, report)
+MODULES = (inventory, names, relations, analysis, evidence, fixpoint, flows, frontend, facts, report)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
