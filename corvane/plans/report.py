@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ from corvane.functions.classify import parser_mode
 from corvane.functions.semantics import RULES
 from corvane.functions.settings import Settings
 from corvane.operators import evidence, joins, windows
+from corvane.operators.findings import SEVERITY, rank
 from corvane.operators.lineage import cut
 from corvane.plans import inventory
+from corvane.plans.facts import evidence_graph, facts_of
 from corvane.plans.fixpoint import RECORDS, candidates, findings
 from corvane.plans.frontend import records_of
 from corvane.plans.registry import query, table
@@ -28,7 +31,7 @@ SCANNER_VERSION = "2"
 DIAGNOSTICS = "repository string, path string, code string, start_byte long"
 # What a scan can't see or do, always or under a condition.
 ALWAYS = {
-    "bounded-interprocedural-analysis": "values are followed through a bounded number of calls", "dynamic-resolution-limited": "dynamic imports, aliases of several meanings, callbacks and unresolved calls are not followed",
+    "bounded-interprocedural-analysis": "values are followed through a bounded number of calls, of steps within a function, and of passes", "dynamic-resolution-limited": "dynamic imports, aliases of several meanings, callbacks and unresolved calls are not followed",
     "semantic-resolution-bounded": "meaning comes from local syntax alone", "framework-middleware-not-modeled": "checks that only a framework's configuration makes are not seen",
     "parser-coverage-limited": "a tolerant scanner reads JavaScript, TypeScript, Python, Go and Rust; other files are inventoried alone", "framework-hints-only": "a framework named in a manifest is a hint",
     "symlinks-not-followed": "symbolic links are counted and never followed", "vcs-metadata-excluded": "folders of version control are left out",
@@ -107,8 +110,34 @@ def contracts_of(steps: DataFrame) -> DataFrame:
     return evidence.contracts(evidence.contract_steps(steps), steps.sparkSession.createDataFrame(TAXONOMY, "rule_id string, version string, category string, invariant string"))
 
 
+#: What a limit of the settings has cut, where it did.
+REACHED = {
+    "record-limit-reached": "records after the first ones were not analysed", "candidate-limit-reached": "candidates after the first ones were not kept", "finding-limit-reached": "findings after the first ones are not shown",
+    "diagnostic-limit-reached": "diagnostics after the first ones are not shown", "fact-limit-reached": "facts after the first ones of a file, or of all, are not shown", "graph-limit-reached": "nodes and edges after the first ones are not shown",
+    "error-limit-reached": "further errors are not shown",
+}
+#: States of files that are errors.
+ERRORS = {"unreadable": "the file could not be read", "unsafe-path": "the path leaves the tree or is not text", "too-large": "the file is over the size limit"}
+
+
+def first_rows(rows: DataFrame, order: list[str], keep: int) -> tuple[DataFrame, bool]:
+    """(the first `keep` rows of a table in that order, whether there are more). Sums of slices, not a sort in one task; a table within the limit is only counted."""
+    if rows.count() <= keep:
+        return rows, False
+    return cut(windows.running_total(rows, order, F.lit(1), "__n").filter(F.col("__n") <= keep).drop("__n")), True
+
+
+def errors_of(files: DataFrame, keep: int) -> DataFrame:
+    """code, path, message of files that were not read for a fault, `keep` at most; where there are more, the last row says so."""
+    message = F.coalesce(*[F.when(F.col("state") == state, text) for state, text in ERRORS.items()])
+    rows = files.select(F.col("state").alias("code"), "path", message.alias("message")).filter("message IS NOT NULL")
+    return windows.with_limit(rows, ["path", "code"], keep, {"code": "error-limit-reached", "message": REACHED["error-limit-reached"]})
+
+
 @dataclass
 class Report:
+    """What a scan found. Diagnostics, facts, the evidence graph, errors and limitations are made when they are first asked for, and kept."""
+
     header: dict
     files: DataFrame
     inventory: DataFrame
@@ -116,12 +145,62 @@ class Report:
     coverage: DataFrame
     exclusions: dict
     records: DataFrame
-    diagnostics: DataFrame
     findings: DataFrame
     steps: DataFrame
     contracts: DataFrame
     suppressed: DataFrame
-    limitations: DataFrame
+    settings: Settings
+    reached: list[str] = field(default_factory=list)
+
+    def _mark(self, code: str, cut_off: bool) -> None:
+        if cut_off and code not in self.reached:
+            self.reached.append(code)
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        most, every = self.settings.max_parser_diagnostics, cut(diagnostics_of(self.files))
+        kept, more = first_rows(every, ["path", "start_byte", "code"], most)
+        self._mark("diagnostic-limit-reached", more)
+        return kept
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        each, most, order = self.settings.max_facts_per_file, self.settings.max_total_facts, ["path", "start_byte", "kind", "fact_id"]
+        every = cut(facts_of(self.files))
+        _, marks = windows.bounded_facts(every, "path", order[1:], each, most)
+        over = not marks.isEmpty()
+        kept, more = first_rows(cut(windows.newest(every, "path", [F.col(c) for c in order[1:]], each)) if over else every, order, most)
+        self._mark("fact-limit-reached", over or more)
+        return kept
+
+    @cached_property
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of files and their facts; an edge stays if both its ends do."""
+        nodes, edges = (cut(f) for f in evidence_graph(self.facts))
+        kept, fewer = first_rows(nodes, ["path", "node_id"], self.settings.max_graph_nodes)
+        if fewer:
+            ends = kept.select("node_id")
+            known = nodes.select("node_id")
+            lost = known.join(ends, "node_id", "left_anti")  # ends that are no node (names outside the tree) cut nothing
+            for end in ("from_node", "to_node"):
+                edges = edges.join(lost.withColumnRenamed("node_id", end), end, "left_anti")
+            edges = cut(edges)
+        left, more = first_rows(edges, ["edge_id"], self.settings.max_graph_edges)
+        self._mark("graph-limit-reached", fewer or more)
+        return kept, left
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        found = cut(errors_of(self.files, self.settings.max_errors))
+        self._mark("error-limit-reached", not found.filter("code = 'error-limit-reached'").isEmpty())
+        return found
+
+    @cached_property
+    def limitations(self) -> DataFrame:
+        _ = self.diagnostics, self.graph, self.errors  # what they cut is said here
+        spark = self.files.sparkSession
+        cuts = spark.createDataFrame([(code, REACHED[code]) for code in self.reached], "code string, message string")
+        return limitations(spark, self.settings, conditions_of(self.files, self.records)).unionByName(cuts)
 
 
 def scan_report(spark: SparkSession, path: str, settings: Settings | None = None, cache: str | None = None, progress: Callable[[str], None] | None = None, depth: int | None = None) -> Report:
@@ -144,21 +223,32 @@ def scan_report(spark: SparkSession, path: str, settings: Settings | None = None
         hits = files.filter("content IS NOT NULL").count() - missing.count()
         records = cut(known.unionByName(fresh))
         store.store(missing, fresh)
+        if (store.entries().agg(F.sum("bytes")).first()[0] or 0) > settings.max_cache_bytes:
+            store.evict(settings.max_cache_bytes)
     else:
         records = cut(records_of(files))
-    diagnostics = windows.capped(diagnostics_of(files), "path", ["start_byte", "code"], settings.max_parser_diagnostics, settings.max_parser_diagnostics)
     tell("analysis")
-    found = cut(findings(candidates(records, depth or settings.max_interprocedural_depth)))
+    reached, depth = [], depth or settings.max_interprocedural_depth
+
+    def within(rows: DataFrame, order: list[str], keep: int, code: str) -> DataFrame:
+        kept, more = first_rows(rows, order, keep)
+        reached.extend([code] * more)
+        return kept
+
+    records = within(records, ["path", "start_byte", "record_id"], settings.max_graph_nodes, "record-limit-reached")
+    found = cut(findings(candidates(records, depth)))
+    found = within(found, ["path", "sink_start", "finding_id"], evidence.candidate_budget(settings.max_findings, depth, settings.max_graph_edges), "candidate-limit-reached")
     suppressed = spark.createDataFrame([], "rule_id string, path string, start_byte long, reason string, code string")
     if settings.suppressions:
         given = spark.createDataFrame(list(settings.suppressions), "rule_id string, path string, start_byte long, reason string")
         left, suppressed = joins.apply_suppressions(found.withColumn("start_byte", F.col("sink_start")), given, ["rule_id", "path", "start_byte"], "finding_id", [r[0] for r in RULES])
         found = cut(left.drop("start_byte"))
+    ranked = found.withColumn("__rank", F.when(rank(F.col("severity"), SEVERITY) == 0, 99).otherwise(rank(F.col("severity"), SEVERITY)))
+    found = within(ranked, ["__rank", "finding_id"], settings.max_findings, "finding-limit-reached").drop("__rank")
     tell("report")
     counts = files.agg(F.count("*").alias("files"), F.count("content").alias("read"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")).first()
     content = inventory.ordered_digest(files.select(F.lit("").alias("of"), F.concat_ws(":", "path", F.coalesce("sha256", F.lit("-"))).alias("k"), F.sha2(F.concat_ws(":", "path", F.coalesce("sha256", F.lit("-"))), 256).alias("sha")), "of").collect()
     digest = content[0]["digest"] if content else hashlib.sha256(b"").hexdigest()
-    limits = limitations(spark, settings, conditions_of(files, records))
     header = {
         "repository": files.select("repository").limit(1).collect()[0][0] if counts["files"] else "", "files": counts["files"], "read": counts["read"], "left_out": counts["files"] - counts["read"], "bytes": counts["bytes"],
         "content_digest": digest, "cache_hits": hits, "excluded": pruned, "scan_id": "scan_" + hashlib.sha256(f"{path}\x00{digest}\x00{SCANNER_VERSION}".encode()).hexdigest()[:24],
@@ -166,7 +256,24 @@ def scan_report(spark: SparkSession, path: str, settings: Settings | None = None
     languages = listed.filter("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
     coverage = listed.filter("parser IS NOT NULL").groupBy("parser").agg(F.count("*").alias("files"), F.count_if(F.col("state") == "listed").alias("scanned"), F.sum("size_bytes").alias("bytes"))
     steps = steps_of(found, records)
-    return Report(header, files, listed, languages, coverage, pruned, records, diagnostics, found, steps, contracts_of(steps), suppressed, limits)
+    return Report(header, files, listed, languages, coverage, pruned, records, found, steps, contracts_of(steps), suppressed, settings, reached)
+
+
+@query("""WITH e AS (SELECT CASE WHEN event_type = 'error' THEN 'unreadable' WHEN event_type = 'view' AND value > 10 THEN 'too-large' END AS code, 'e' || event_id AS path FROM events),
+p AS (SELECT *, row_number() OVER (ORDER BY path, code) AS n, count(*) OVER () AS total FROM e WHERE code IS NOT NULL)
+SELECT CASE WHEN n = 500 AND total > 500 THEN 'error-limit-reached' ELSE code END AS code, path FROM p WHERE n <= 500""")
+def scan_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as files that could not be read, or were too large; five hundred at most."""
+    kind = F.col("event_type")
+    state = F.when(kind == "error", "unreadable").when((kind == "view") & (F.col("value") > 10), "too-large").otherwise("listed")
+    return errors_of(table(spark, sf, "events").select(state.alias("state"), F.concat(F.lit("e"), "event_id").alias("path")), 500).select("code", "path")
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM o WHERE n <= (SELECT count(*) // 3 FROM orders)""")
+def scan_first_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as records of a scan that may keep a third as many as there are orders."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return first_rows(lines, lines.columns, table(spark, sf, "orders").count() // 3)[0]
 
 
 @query("""SELECT code FROM (VALUES ('bounded-interprocedural-analysis'), ('dynamic-resolution-limited'), ('semantic-resolution-bounded'), ('framework-middleware-not-modeled'), ('parser-coverage-limited'), ('framework-hints-only'), ('symlinks-not-followed'), ('vcs-metadata-excluded'), ('hidden-files-excluded'), ('vendor-directories-excluded')) v(code)
@@ -182,4 +289,4 @@ def scan_limitations(spark: SparkSession, sf: str) -> DataFrame:
     return limitations(spark, Settings(include_generated=True), conditions_of(files.unionByName(large), records)).select("code")
 
 
-__all__ = ["Report", "conditions_of", "diagnostics_of", "limitations", "scan_report"]
+__all__ = ["Report", "conditions_of", "diagnostics_of", "errors_of", "first_rows", "limitations", "scan_report"]

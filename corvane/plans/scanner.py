@@ -120,7 +120,10 @@ class Text:
         """A string or pattern without its contents; what stands in the holes of a template stays."""
         found = m[0]
         if m.groupdict().get("rx"):
-            before = raw[max(0, m.start() - 200) : m.start()].rstrip()[-7:]
+            at = m.start()
+            while at and raw[at - 1].isspace():
+                at -= 1
+            before = raw[max(0, at - 7) : at]
             if before and before[-1] not in "=(,:!&|?{};[\n" and not before.endswith("return"):
                 return found  # a division
             return '"' + " " * (len(found) - 2) + '"'
