@@ -261,7 +261,7 @@ def scan_report(spark: SparkSession, path: str, settings: Settings | None = None
 
 @query("""WITH e AS (SELECT CASE WHEN event_type = 'error' THEN 'unreadable' WHEN event_type = 'view' AND value > 10 THEN 'too-large' END AS code, 'e' || event_id AS path FROM events),
 p AS (SELECT *, row_number() OVER (ORDER BY path, code) AS n, count(*) OVER () AS total FROM e WHERE code IS NOT NULL)
-SELECT CASE WHEN n = 500 AND total > 500 THEN 'error-limit-reached' ELSE code END AS code, path FROM p WHERE n <= 500""")
+SELECT CASE WHEN n = 500 AND total > 500 THEN 'error-limit-reached' ELSE code END AS code, CASE WHEN n = 500 AND total > 500 THEN NULL ELSE path END AS path FROM p WHERE n <= 500""")
 def scan_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Events as files that could not be read, or were too large; five hundred at most."""
     kind = F.col("event_type")
