@@ -26,6 +26,15 @@ class ParseCache:
     def __init__(self, spark: SparkSession, folder: str, version: str, records: str):
         """records: the schema of what is stored."""
         self.spark, self.folder, self.version, self.schema = spark, folder.rstrip("/"), version, records
+        files, place = self._files()
+        for name in ("records", "entries"):  # an eviction that was cut short
+            if not files.exists(place(name)) and files.exists(place(f"{name}.old")):
+                files.rename(place(f"{name}.old"), place(name))
+
+    def _files(self):
+        """The store's file system, and a function from names to its places."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration()), lambda name: path(f"{self.folder}/{name}")
 
     def _table(self, name: str, schema: str) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -60,15 +69,21 @@ class ParseCache:
         entries.write.mode("append").parquet(f"{self.folder}/entries")
 
     def evict(self, budget: int) -> DataFrame:
-        """The entries that stay within the budget, the newest ones; the rest and their records are left out of the store, which is written anew beside itself."""
+        """The entries that stay within the budget, the newest ones; the rest and their records are left out of the store, which is written anew beside itself.
+
+        The old tables stay until the new ones have their names: what is cut short in between is taken up when the store is next opened, and
+        entries whose records are gone count as none.
+        """
         kept = newest_within(self.entries(), [-F.unix_micros("saved_at"), F.col("cache_key")], "bytes", budget)
         for name, frame in (("entries", kept), ("records", self._stored().join(kept.select("cache_key"), "cache_key", "left_semi"))):
             frame.write.mode("overwrite").parquet(f"{self.folder}/{name}.next")
-        files = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files, place = self._files()
+        for name in ("records", "entries"):
+            files.delete(place(f"{name}.old"), True)
+            files.rename(place(name), place(f"{name}.old"))
+            files.rename(place(f"{name}.next"), place(name))
         for name in ("records", "entries"):
-            place, following = (self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{x}") for x in (name, f"{name}.next"))
-            files.delete(place, True)
-            files.rename(following, place)
+            files.delete(place(f"{name}.old"), True)
         return self.entries()
 
 
