@@ -37,15 +37,22 @@ def sliced(rows: DataFrame, order: list) -> DataFrame:
 
 
 def running_total(rows: DataFrame, order: list[str], size: Column, name: str) -> DataFrame:
-    """Exact sums over the whole table in order, without one task that sees all rows: slices are summed, then rows within slices.
+    """Exact sums over the whole table in order, without one task that sees all rows."""
+    return running_totals(rows, order, {name: size})
+
+
+def running_totals(rows: DataFrame, order: list[str], sizes: dict[str, Column]) -> DataFrame:
+    """Several sums in one order: slices are summed, then rows within slices.
 
     The slices' sums are a row a slice; rows are sorted inside their own.
     """
-    own = sliced(rows.withColumn("__size", size), order)
-    sums = own.groupBy("__slice").agg(F.sum("__size").alias("__sum"))
-    before = sums.select("__slice", F.coalesce(F.sum("__sum").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = sliced(rows.withColumns({f"__size{i}": size for i, size in enumerate(sizes.values())}), order)
+    sums = own.groupBy("__slice").agg(*[F.sum(f"__size{i}").alias(f"__sum{i}") for i in range(len(sizes))])
+    earlier = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__slice", *[F.coalesce(F.sum(f"__sum{i}").over(earlier), F.lit(0)).alias(f"__before{i}") for i in range(len(sizes))])
     within = Window.partitionBy("__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return own.join(F.broadcast(before), "__slice").withColumn(name, F.col("__before") + F.sum("__size").over(within)).drop("__slice", "__size", "__before")
+    placed = own.join(F.broadcast(before), "__slice").withColumns({name: F.col(f"__before{i}") + F.sum(f"__size{i}").over(within) for i, name in enumerate(sizes)})
+    return placed.drop("__slice", *[f"__{what}{i}" for what in ("size", "before") for i in range(len(sizes))])
 
 
 def carried_forward(rows: DataFrame, key: str, order: list[str], values: dict[str, Column], hot: bool = False) -> DataFrame:

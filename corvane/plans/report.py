@@ -211,8 +211,9 @@ def scan_report(spark: SparkSession, path: str, settings: Settings | None = None
         "max_files": settings.max_files, "max_bytes": settings.max_file_bytes, "max_total_bytes": settings.max_total_bytes,
     } | ({"max_depth": settings.max_depth} if settings.max_depth else {})
     tell("discovery")
-    _, pruned = tree.listing(path, {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()})
-    files = cut(tree.read_tree(spark, path, **options))
+    options = tree.as_options(options)
+    found, pruned = tree.listed(spark, path, options)
+    files = cut(tree.contents(found, path, options))
     listed = tree.inventory(files)
     tell("parsing")
     hits = 0
