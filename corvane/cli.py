@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from datetime import datetime, timezone
 
@@ -20,6 +21,7 @@ from corvane.operators.joins import compare_snapshots
 from corvane.session import local_session
 from corvane.sources import assessments, reports, tree
 from corvane.sources.cache import History
+from corvane.sources.documents import MANIFEST
 
 NOTHING, SOMETHING, WRONG, SCHEMA, CANCELLED, INTERNAL = 0, 1, 2, 3, 4, 5
 
@@ -33,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--json")
     scan.add_argument("--sarif")
     scan.add_argument("--limit", type=int, help="at most so many findings in a document, which then says that it is cut")
+    scan.add_argument("--parts", action="store_true", help="documents are folders of parts, written by tasks alone")
     scan.add_argument("--exclude", action="append", default=[])
     scan.add_argument("--history", help="folder of past scans")
     scan.add_argument("--cache", help="folder of records of files that were scanned before")
@@ -115,9 +118,9 @@ def _scan(a) -> int:
     if a.to:
         report.findings.write.mode("overwrite").parquet(a.to)
     if a.json:
-        reports.export_json(report.findings, a.json, a.limit, header)
+        reports.export_json(report.findings, a.json, a.limit, header, a.parts)
     if a.sarif:
-        reports.export_sarif(report.findings, a.sarif, a.limit)
+        reports.export_sarif(report.findings, a.sarif, a.limit, parts=a.parts)
     if a.history:
         History(a.history).save(header["scan_id"], datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), header["repository"], {"findings": n, "files": header["files"], "content_digest": header["content_digest"]})
     print(json.dumps({"findings": n, "files": header["files"], "left_out": header["left_out"], "cache_hits": header["cache_hits"]}))
@@ -127,10 +130,7 @@ def _scan(a) -> int:
 def _table(path: str):
     """Findings of a table, or of an exported report."""
     spark = local_session("corvane")
-    if path.endswith(".json"):
-        document = reports.checked_document(path)
-        if document.get("schema") != reports.SCHEMA_VERSION:
-            raise LookupError(f"{path} has schema {document.get('schema')}")
+    if path.endswith(".json") or os.path.isfile(os.path.join(path, MANIFEST)):
         return reports.read_report(spark, path)
     return spark.read.parquet(path)
 

@@ -1,6 +1,6 @@
 """Reports: findings as JSON and as SARIF, written whole or marked as cut; baselines; versioned documents; contract verdicts; previews of source.
 
-Documents are written row by row from an ordered table, a partition of it on the driver at a time, under a passing name that is then moved.
+Documents are written by tasks from an ordered table, a row a line, and joined under a passing name that is then moved, or left as parts.
 """
 
 from __future__ import annotations
@@ -10,29 +10,31 @@ import os
 import re
 import stat
 import tempfile
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.semantics import RULES
 from corvane.functions.text import FINGERPRINT, percent_encoded, severity_level, severity_score, spans_equivalent
+from corvane.operators.lineage import shared_folder
+from corvane.sources import documents
 
 SARIF_VERSION = "2.1.0"
 NAME = "corvane"
 SCHEMA_VERSION = 1
-#: The largest document that is read back, and what a preview may show.
-MAX_DOCUMENT, MAX_PREVIEW, MAX_CONTEXT = 64 << 20, 1 << 20, 200
+#: The largest document that is read back as one value, the longest line before a report's rows, and what a preview may show.
+MAX_DOCUMENT, MAX_LEAD, MAX_PREVIEW, MAX_CONTEXT = 64 << 20, 1 << 20, 1 << 20, 200
+#: How the first line of a report ends.
+LEAD_END = ', "findings": ['
 FINDING = "repository string, finding_id string, rule_id string, severity string, cwe int, path string, function string, sink_start long, source_path string, source_start long, trail array<string>, sanitizers array<string>, fingerprint string, related_key string, sink_id string"
 
 
-def write_atomically(path: str, parts: Iterator[str] | str) -> None:
+def write_atomically(path: str, text: str) -> None:
     folder = os.path.dirname(os.path.abspath(path))
     handle, passing = tempfile.mkstemp(dir=folder, prefix=".writing-")
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as file:
-            for part in [parts] if isinstance(parts, str) else parts:
-                file.write(part)
+            file.write(text)
             file.flush()
             os.fsync(file.fileno())
         os.replace(passing, path)
@@ -69,9 +71,16 @@ def sarif_results(findings: DataFrame, assessments: DataFrame | None = None) ->
     return rows.select("finding_id", F.to_json(result).alias("result"))
 
 
-def _listed(rows: Iterator[str]) -> Iterator[str]:
-    for i, row in enumerate(rows):
-        yield ("," if i else "") + "\n" + row
+def _document(lead: str) -> tuple[str, str]:
+    """What stands before and after the rows of a document whose other members are `lead`."""
+    return lead[:-1] + LEAD_END, "\n]}\n"
+
+
+def _write(rows: DataFrame, path: str, head: str, tail: str, parts: bool = False) -> None:
+    """rows: one column of text, in order. Written by tasks (`corvane.sources.documents`), the driver joins bytes or names parts."""
+    rows.sparkSession.dataSource.register(documents.Documents)
+    writer = rows.write.format("documents").mode("append").option("path", os.path.abspath(path)).option("head", head).option("tail", tail)
+    writer.option("staging", shared_folder(rows.sparkSession)).option("parts", str(parts).lower()).save()
 
 
 def _head(findings: DataFrame, limit: int | None) -> tuple[DataFrame, int, int]:
@@ -81,34 +90,22 @@ def _head(findings: DataFrame, limit: int | None) -> tuple[DataFrame, int, int]:
     return (rows if limit is None or total <= limit else rows.limit(limit)), total if limit is None else min(total, limit), total
 
 
-def export_sarif(findings: DataFrame, path: str, limit: int | None = None, assessments: DataFrame | None = None) -> int:
-    """One document in the order of identifiers; with a limit that cuts it, its properties say how many results there are."""
+def export_sarif(findings: DataFrame, path: str, limit: int | None = None, assessments: DataFrame | None = None, parts: bool = False) -> int:
+    """One document in the order of identifiers; with a limit that cuts it, its properties say how many results there are. parts: a folder of such documents, and their names."""
     rows, n, total = _head(sarif_results(findings, assessments), limit)
     rules = [{"id": rule, "properties": {"severity": severity, "cwe": cwe}} for rule, _, _, severity, cwe in RULES]
     lead = json.dumps({"driver": {"name": NAME, "rules": rules}}, sort_keys=True)
     whole = json.dumps({"complete": n == total, "results": total}, sort_keys=True)
-
-    def parts() -> Iterator[str]:
-        yield f'{{"version": "{SARIF_VERSION}", "runs": [{{"tool": {lead}, "properties": {whole}, "results": ['
-        yield from _listed(r.result for r in rows.toLocalIterator())
-        yield "\n]}]}\n"
-
-    write_atomically(path, parts())
+    _write(rows.select("result"), path, f'{{"version": "{SARIF_VERSION}", "runs": [{{"tool": {lead}, "properties": {whole}, "results": [', "\n]}]}\n", parts)
     return n
 
 
-def export_json(findings: DataFrame, path: str, limit: int | None = None, header: dict | None = None) -> int:
+def export_json(findings: DataFrame, path: str, limit: int | None = None, header: dict | None = None, parts: bool = False) -> int:
     """schema, complete, total, findings, and what the header says. Complete only if every finding is in it and the header names no file that was left out."""
     rows, n, total = _head(findings, limit)
     whole = n == total and not (header or {}).get("left_out")
     lead = json.dumps({"schema": SCHEMA_VERSION, "complete": whole, "total": total} | ({"header": header} if header else {}), sort_keys=True)
-
-    def parts() -> Iterator[str]:
-        yield lead[:-1] + ', "findings": ['
-        yield from _listed(rows.toJSON().toLocalIterator())
-        yield "\n]}\n"
-
-    write_atomically(path, parts())
+    _write(rows.select(F.to_json(F.struct("*")).alias("row")), path, *_document(lead), parts)
     return n
 
 
@@ -128,15 +125,58 @@ def checked_document(path: str, size: int = MAX_DOCUMENT) -> dict:
     return found
 
 
-def read_report(spark: SparkSession, path: str, partial: bool = False) -> DataFrame:
-    """The findings of an exported report; of this schema, and whole unless `partial`."""
-    found = checked_document(path)
+def _first_line(path: str) -> dict:
+    """The members before the rows of a document that is written a row a line, of whatever size."""
+    handle = os.open(path, os.O_RDONLY | getattr(os, "O_NOFOLLOW", 0))
+    with os.fdopen(handle, "rb") as file:
+        if not stat.S_ISREG(os.fstat(handle).st_mode):
+            raise ValueError(f"{path} is no regular file")
+        line = file.readline(MAX_LEAD + 1)
+        file.seek(-min(os.fstat(handle).st_size, 4), os.SEEK_END)
+        end = file.read()
+    if not line.endswith(f"{LEAD_END}\n".encode()) or end != b"\n]}\n":
+        raise ValueError(f"{path} is no report, or was cut off")
+    return json.loads(line[: -len(LEAD_END) - 1] + b"}")
+
+
+class WrongSchema(ValueError, LookupError):
+    """A report of another version."""
+
+
+def _checked(path: str, found: dict, partial: bool) -> None:
     if found.get("schema") != SCHEMA_VERSION:
-        raise ValueError(f"{path} has schema {found.get('schema')}, not {SCHEMA_VERSION}")
+        raise WrongSchema(f"{path} has schema {found.get('schema')}, not {SCHEMA_VERSION}")
     if found.get("complete") is not True and not partial:
         raise ValueError(f"{path} is not complete")
-    rows = spark.read.schema(f"findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(path)
-    return rows.select(F.explode("findings").alias("f")).select("f.*") if found.get("findings") else spark.createDataFrame([], FINDING)
+
+
+def read_report(spark: SparkSession, path: str, partial: bool = False) -> DataFrame:
+    """The findings of an exported report, a document or a folder of parts; of this schema, and whole unless `partial`.
+
+    A document of at most MAX_DOCUMENT bytes is read as one value, however it is laid out. Larger ones, and parts, must be laid out as the
+    exports write them: a row a line, which tasks read in pieces. There, a row that is no finding, or another number of rows than a whole
+    document names, is a fault.
+    """
+    if not os.path.isdir(path) and os.path.getsize(path) <= MAX_DOCUMENT:
+        found = checked_document(path)
+        _checked(path, found, partial)
+        rows = spark.read.schema(f"findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(path)
+        return rows.select(F.explode("findings").alias("f")).select("f.*") if found.get("findings") else spark.createDataFrame([], FINDING)
+    places, expected = [path], None
+    if os.path.isdir(path):
+        manifest = checked_document(os.path.join(path, documents.MANIFEST))
+        if any(os.path.basename(part["name"]) != part["name"] for part in manifest["parts"]):
+            raise ValueError(f"{path} names parts outside itself")
+        places, expected = [os.path.join(path, part["name"]) for part in manifest["parts"]], manifest["rows"]
+    for place in places:
+        lead = _first_line(place)
+        _checked(place, lead, partial)
+        expected = lead.get("total") if expected is None and not partial else expected
+    lines = spark.read.text([f"file://{os.path.abspath(place)}" for place in places]).filter(~F.col("value").endswith(LEAD_END) & (F.col("value") != "]}"))
+    rows = lines.select(F.from_json(F.regexp_replace("value", ",$", ""), FINDING, {"mode": "FAILFAST"}).alias("f")).select("f.*")
+    if expected is not None and lines.count() != expected:
+        raise ValueError(f"{path} does not hold the {expected} findings that it names")
+    return rows
 
 
 def write_artifact(path: str, kind: str, version: int, body: dict) -> None:
@@ -157,13 +197,7 @@ BASELINE, BASELINE_VERSION = "baseline", 1
 def write_baseline(rows: DataFrame, path: str) -> None:
     """(fingerprint, related_key) in strictly ascending order of fingerprints, one row each."""
     ordered = rows.groupBy("fingerprint").agg(F.max("related_key").alias("related_key")).orderBy("fingerprint")
-
-    def parts() -> Iterator[str]:
-        yield json.dumps({"kind": BASELINE, "version": BASELINE_VERSION})[:-1] + ', "findings": ['
-        yield from _listed(ordered.toJSON().toLocalIterator())
-        yield "\n]}\n"
-
-    write_atomically(path, parts())
+    _write(ordered.select(F.to_json(F.struct("*")).alias("row")), path, *_document(json.dumps({"kind": BASELINE, "version": BASELINE_VERSION})))
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
