@@ -22,6 +22,7 @@ from corvane.plans import inventory
 from corvane.plans.facts import evidence_graph, facts_of
 from corvane.plans.fixpoint import RECORDS, candidates, findings
 from corvane.plans.frontend import records_of
+from corvane.plans.incremental import FlowStore, candidates_since
 from corvane.plans.registry import query, table
 from corvane.plans.scanner import LANGUAGE, Text
 from corvane.sources import git, tree
@@ -237,7 +238,12 @@ def scan_report(spark: SparkSession, path: str, settings: Settings | None = None
         return kept
 
     records = within(records, ["path", "start_byte", "record_id"], settings.max_graph_nodes, "record-limit-reached")
-    found = cut(findings(candidates(records, depth)))
+    walked = None
+    if cache:
+        traces, walked = candidates_since(records, FlowStore(spark, f"{cache.rstrip('/')}/flows"), depth, SCANNER_VERSION)
+    else:
+        traces = candidates(records, depth)
+    found = cut(findings(traces))
     found = within(found, ["path", "sink_start", "finding_id"], evidence.candidate_budget(settings.max_findings, depth, settings.max_graph_edges), "candidate-limit-reached")
     suppressed = spark.createDataFrame([], "rule_id string, path string, start_byte long, reason string, code string")
     if settings.suppressions:
@@ -252,7 +258,7 @@ def scan_report(spark: SparkSession, path: str, settings: Settings | None = None
     digest = content[0]["digest"] if content else hashlib.sha256(b"").hexdigest()
     header = {
         "repository": files.select("repository").limit(1).collect()[0][0] if counts["files"] else "", "files": counts["files"], "read": counts["read"], "left_out": counts["files"] - counts["read"], "bytes": counts["bytes"],
-        "content_digest": digest, "cache_hits": hits, "excluded": pruned, "scan_id": "scan_" + hashlib.sha256(f"{path}\x00{digest}\x00{SCANNER_VERSION}".encode()).hexdigest()[:24],
+        "content_digest": digest, "cache_hits": hits, "components_walked": walked, "excluded": pruned, "scan_id": "scan_" + hashlib.sha256(f"{path}\x00{digest}\x00{SCANNER_VERSION}".encode()).hexdigest()[:24],
     } | git.head(path)
     languages = listed.filter("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
     coverage = listed.filter("parser IS NOT NULL").groupBy("parser").agg(F.count("*").alias("files"), F.count_if(F.col("state") == "listed").alias("scanned"), F.sum("size_bytes").alias("bytes"))
