@@ -12,18 +12,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.windows import carried_forward
+from corvane.operators.windows import carried_forward, summed_upto
 
 
 def same_row(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     return reduce(Column.__and__, [left[c].eqNullSafe(right[c]) for c in columns])
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str], strict: bool = True, tie: str | None = None, hot: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str], strict: bool = True, tie: str | None = None, hot: bool | None = None) -> DataFrame:
     """left with the `values` of the latest right row of the same key before (or, if not strict, at) its own place; nulls without one.
 
     One shuffle: both sides go by the key in one union, and the last right row is carried forward. `tie` orders right rows at one place.
-    hot: keys may be too large for a task (see windows.carried_forward).
+    Keys too large for a task are found by their counts and cut into slices (hot: see windows.by_size).
     """
     ties = F.col(tie) if tie else F.lit(0)
     # At equal places a right row stands after left ones if strict, before them if not.
@@ -45,13 +45,13 @@ def _cell(place: Column, size_class: Column) -> Column:
 def in_spans(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
     """Every pair of a point and a span of its key that holds its place (whole numbers), both ends included: columns of both, the span's start and end as they are.
 
-    The classes in use (64 at most) are asked for first; a point is sent to one cell of each.
+    A point is sent to one cell of each class that spans of its key have (64 at most); points of keys without spans go nowhere.
     """
     sized = spans.filter(F.col(key).isNotNull() & (F.col(start) <= F.col(end))).withColumn("__class", _size_class(F.col(start), F.col(end)))
-    classes = sorted(r[0] for r in sized.select("__class").distinct().collect())
+    used = sized.groupBy(F.col(key).alias("__own")).agg(F.collect_set("__class").alias("__classes"))
     ends = F.array_distinct(F.array(_cell(F.col(start), F.col("__class")), _cell(F.col(end), F.col("__class"))))
     celled = sized.withColumn("__cell", F.explode(ends)).withColumnRenamed(key, "__key")
-    sent = points.withColumn("__c", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>"))).withColumn("__x", _cell(F.col(at), F.col("__c")))
+    sent = points.join(used, F.col(key) == F.col("__own")).withColumn("__c", F.explode("__classes")).drop("__own", "__classes").withColumn("__x", _cell(F.col(at), F.col("__c")))
     hit = (F.col(key) == F.col("__key")) & (F.col("__c") == F.col("__class")) & (F.col("__x") == F.col("__cell")) & (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
     return sent.join(celled, hit).drop("__key", "__c", "__x", "__class", "__cell")
 
@@ -72,28 +72,39 @@ def dominated(points: DataFrame, guards: DataFrame, key: str, at: str, start: st
     return points.join(covered, [key, at], kind).select(*points.columns)
 
 
-def related_names(definition: Column, value: Column) -> Column:
-    """Whether a definition of one name changes the other: the same, a member of it, or what it is a member of."""
-    def member(x: Column, y: Column) -> Column:
-        return F.startswith(x, F.concat(y, F.lit("."))) | F.startswith(x, F.concat(y, F.lit("[")))
+def _owners(name: Column) -> Column:
+    """What a name is a member of: `a` and `a.b` of `a.b[0]`."""
+    places = F.filter(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)).isin(".", "["))
+    return F.when(F.length(name) > 0, F.transform(places, lambda i: F.substring(name, F.lit(1), i - 1))).otherwise(F.array().cast("array<string>"))
 
-    return (definition == value) | member(definition, value) | member(value, definition)
 
+def redefined_between(ranges: DataFrame, definitions: DataFrame, key: str, start: str, end: str, at: str, value: str | None = None, output: str | None = None, receiver: str | None = None, hot: bool | None = None) -> DataFrame:
+    """Ranges within which (both ends left out) a definition of the same key lies; with names, one of the value itself, of a member, of its owner, or a call on it as receiver.
 
-def redefined_between(ranges: DataFrame, definitions: DataFrame, key: str, start: str, end: str, at: str, value: str | None = None, output: str | None = None, receiver: str | None = None) -> DataFrame:
-    """Ranges within which (both ends left out) a definition of the same key lies; with names, one of the value itself, of a member, of its owner, or a call on it as receiver."""
+    A range asks for the first definition after its start alone, so no pair of a range and a definition is ever made. Names are equality
+    keys: a definition goes by its own name and those it is a member of, a range by its value, and by those the value is a member of.
+    """
     names = [x for x in (value,) if x]
-    wanted = ranges.select(F.col(key), (F.col(start) + 1).alias("__start"), (F.col(end) - 1).alias("__end"), F.col(start), F.col(end), *names).distinct()
-    found = in_spans(definitions.select(F.col(key), F.col(at).alias("__at"), *[F.col(x).alias(f"__{x}") for x in (output, receiver) if x]).distinct(), wanted, key, "__at", "__start", "__end")
+    wanted = ranges.select(key, start, end, *names).filter(" AND ".join(f"`{c}` IS NOT NULL" for c in (key, start, end, *names))).distinct()
+    made = definitions.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
     if value:
-        hit = F.lit(False)
+        own, v = [F.filter(F.array(*[F.col(x) for x in (output, receiver) if x] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())], F.col(value)
+        kinds = F.transform(F.array_distinct(own[0]), lambda n: F.struct(F.lit(0).alias("kind"), n.alias("name")))
+        asked = F.array(F.struct(F.lit(0).alias("kind"), v.alias("name")))
         if output:
-            hit = hit | F.coalesce(related_names(F.col(f"__{output}"), F.col(value)), F.lit(False))
-        if receiver:
-            hit = hit | F.coalesce(F.col(f"__{receiver}") == F.col(value), F.lit(False))
-        found = found.filter(hit)
+            o = F.col(output)
+            owners = F.when(o.isNotNull(), F.concat(F.transform(_owners(o), lambda n: F.struct(F.lit(0).alias("kind"), n.alias("name"))), F.array(F.struct(F.lit(1).alias("kind"), o.alias("name")))))
+            kinds = F.concat(kinds, F.coalesce(owners, F.array().cast("array<struct<kind:int,name:string>>")))
+            asked = F.concat(asked, F.transform(_owners(v), lambda n: F.struct(F.lit(1).alias("kind"), n.alias("name"))))
+        made, asking = made.withColumn("__name", F.explode(F.array_distinct(kinds))), wanted.withColumn("__name", F.explode(F.array_distinct(asked)))
+    else:
+        made, asking = made.withColumn("__name", F.lit(0)), wanted.withColumn("__name", F.lit(0))
+    # The latest place before the start, counted backwards, is the first one after it.
+    turned = made.select(F.struct(F.col(key).alias("key"), F.col("__name").alias("name")).alias("__key"), (-F.col(at)).alias("__at"), F.col(at).alias("__first"))
+    left = asking.select(F.struct(F.col(key).alias("key"), F.col("__name").alias("name")).alias("__key"), (-F.col(start)).alias("__at"), *wanted.columns)
     on = [key, start, end, *names]
-    return ranges.join(found.select(*on).distinct(), on, "left_semi").select(*ranges.columns)
+    found = as_of(left, turned, "__key", "__at", ["__first"], hot=hot).filter(F.col("__first") < F.col(end)).select(*on).distinct()
+    return ranges.join(found, on, "left_semi").select(*ranges.columns)
 
 
 def unique_match(calls: DataFrame, targets: DataFrame, name: str, scope: str, result: str) -> DataFrame:
@@ -116,10 +127,11 @@ def longest_prefix(rows: DataFrame, known: DataFrame, name: str, prefix: str, se
     return rows.join(best, name, "left").select(*rows.columns, prefix)
 
 
-def positional(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+def positional(left: DataFrame, right: DataFrame, key: str, order: str, hot: bool | None = None) -> DataFrame:
     """The n-th row of a key on the left beside its n-th on the right: (key, place, left, right) as structs; inner."""
     def placed(frame: DataFrame, side: str) -> DataFrame:
-        return frame.select(key, F.row_number().over(Window.partitionBy(key).orderBy(order)).alias("place"), F.struct(*[c for c in frame.columns if c != key]).alias(side))
+        numbered = summed_upto(frame, [key], [order], {"__place": F.lit(1)}, hot)
+        return numbered.select(key, F.col("__place").cast("int").alias("place"), F.struct(*[c for c in frame.columns if c != key]).alias(side))
 
     return placed(left, "left").join(placed(right, "right"), [key, "place"])
 

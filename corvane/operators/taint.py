@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from corvane.operators.windows import carried_forward
 
 
-def tainted_at_sinks(events: DataFrame, entity: str, order: list[str], source: Column, kill: Column, clean: Column, sink: Column, hot: bool = False) -> DataFrame:
+def tainted_at_sinks(events: DataFrame, entity: str, order: list[str], source: Column, kill: Column, clean: Column, sink: Column, hot: bool | None = None) -> DataFrame:
     """Sinks with the place of the source they are reached from: the last source, after the last kill, with nothing cleaning in between.
 
-    One shuffle and one sort a key, which carry the places forward; hot: entities may be too large for a task (see windows.carried_forward).
+    One shuffle and one sort a key, which carry the places forward; entities too large for a task are cut into slices (hot: see windows.by_size).
     """
     place = F.struct(*order)
     marked = carried_forward(events, entity, order, {"__source": F.when(source, place), "__kill": F.when(kill, place), "__clean": F.when(clean, place)}, hot)

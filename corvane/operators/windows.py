@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.lineage import cut
 
+#: Rows of one key that a task sorts; keys that have more are cut into slices of their order.
+TASK_ROWS = 1 << 22
+#: Slices of an order for each shuffle partition of the session, so that tasks that get several are even.
+SLICES = 2
+
+
+def by_size(rows: DataFrame, keys: list[str], hot: bool | None, whole: Callable[[DataFrame], DataFrame], split: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """whole(rows of keys that a task can sort) and split(rows of those with more than TASK_ROWS); null is a key like any other.
+
+    hot: None counts the keys' rows first, in a pass over the keys alone; True and False say that all are large, or none.
+    """
+    if hot is None:
+        own = F.struct(*keys)
+        counted = rows.groupBy(*keys).count().filter(F.col("count") > TASK_ROWS).select(own.alias("__large"))
+        hot = False
+        if not counted.isEmpty():
+            large = cut(counted)  # a row for TASK_ROWS rows at most
+            return whole(rows.join(large, own == F.col("__large"), "left_anti")).unionByName(split(rows.join(large, own == F.col("__large"), "left_semi")))
+    return split(rows) if hot else whole(rows)
+
 
-def previous_edges(rows: DataFrame, entity: str, order: list[str], node: str) -> DataFrame:
-    """(entity, from_node, to_node): each row of an entity after the one before it."""
-    before = F.lag(node).over(Window.partitionBy(entity).orderBy(*order))
-    return rows.filter(F.col(entity).isNotNull()).select(entity, before.alias("from_node"), F.col(node).alias("to_node")).filter(F.col("from_node").isNotNull())
+def previous_edges(rows: DataFrame, entity: str, order: list[str], node: str, hot: bool | None = None) -> DataFrame:
+    """(entity, from_node, to_node): each row of an entity after the one before it; rows without entity have none."""
+    placed = rows.filter(F.col(entity).isNotNull()).select(*dict.fromkeys([entity, *order, node]))
+    before = carried_forward(placed, entity, order, {"__before": F.struct(F.col(node).alias("node"))}, hot)
+    return before.select(entity, F.col("__before.node").alias("from_node"), F.col(node).alias("to_node")).filter(F.col("from_node").isNotNull())
 
 
 #: Kinds of records that no flow of control passes through, or that have no node.
@@ -22,18 +45,46 @@ def in_control_flow(records: DataFrame) -> DataFrame:
     return records.filter(~F.col("kind").isin(*OUTSIDE_FLOW))
 
 
-def segments(rows: DataFrame, entity: str, order: str, marker: Column, name: str = "segment") -> DataFrame:
-    """rows with the number of markers up to and with them."""
-    upto = Window.partitionBy(entity).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.sum(F.when(marker, 1).otherwise(0)).over(upto))
+def segments(rows: DataFrame, entity: str, order: str, marker: Column, name: str = "segment", hot: bool | None = None) -> DataFrame:
+    """rows with the number of markers up to and with them, among the rows of their entity."""
+    return summed_upto(rows, [entity], [order], {name: F.when(marker, 1).otherwise(0)}, hot)
 
 
-def sliced(rows: DataFrame, order: list) -> DataFrame:
-    """rows with __slice: consecutive ranges of the order, of a size that the session's shuffle and adaptive settings give. Written down, since all readers must see the same slices.
+def summed_upto(rows: DataFrame, keys: list[str], order: list[str], sizes: dict[str, Column], hot: bool | None = None) -> DataFrame:
+    """rows with, for each name, the sum over the rows of the same keys up to and with them; rows that are equal in the order stand in any one."""
+    def whole(part: DataFrame) -> DataFrame:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return part.withColumns({name: F.sum(size).over(upto) for name, size in sizes.items()})
 
-    Nulls stand first. Rows that are equal in the whole order are in one slice, so it must be fine enough for its largest group.
+    def split(part: DataFrame) -> DataFrame:
+        own = {f"__s{i}": size for i, size in enumerate(sizes.values())}
+        cut_up = sliced(part.withColumns({**own, "__group": F.struct(*keys)}), [*keys, *order])
+        sums = cut_up.groupBy("__slice", "__group").agg(*[F.sum(s).alias(s) for s in own])
+        earlier = Window.partitionBy("__group").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+        handed = sums.select("__slice", "__group", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_before") for s in own])
+        within = Window.partitionBy("__slice", "__group").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        joined = cut_up.withColumns({f"{s}_own": F.sum(s).over(within) for s in own}).join(handed, ["__slice", "__group"])
+        return joined.select(*part.columns, *[(F.col(f"{s}_own") + F.col(f"{s}_before")).alias(name) for s, name in zip(own, sizes, strict=True)])
+
+    return by_size(rows, keys, hot, whole, split)
+
+
+def sliced(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with __slice: consecutive ranges of the order, SLICES for each shuffle partition at most. Nulls stand first.
+
+    Only the order's columns are shuffled to find the ranges, and only their ends are written down, a row a slice, so that all readers see the
+    same slices; the rows themselves are numbered as they are read. Rows that are equal in the whole order are in one slice. Readers compute
+    `rows` again, so a costly or random one is to be cut first.
     """
-    return cut(rows.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).withColumn("__slice", F.spark_partition_id()))
+    most = SLICES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    ranges = rows.select(place.alias("end")).repartitionByRange(most, "end")
+    ends = cut(ranges.groupBy(F.spark_partition_id().alias("n")).agg(F.max("end").alias("end")).select("end").coalesce(1))
+    marked = rows.withColumn("__ends", ends.agg(F.array_sort(F.collect_list("end"))).scalar())
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    # How many ends are less than the place, by halving.
+    number = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.try_element_at(F.col("__ends"), low + step) < place, low + step).otherwise(low))
+    return marked.withColumn("__slice", number).drop("__ends")
 
 
 def running_total(rows: DataFrame, order: list[str], size: Column, name: str) -> DataFrame:
@@ -55,25 +106,29 @@ def running_totals(rows: DataFrame, order: list[str], sizes: dict[str, Column])
     return placed.drop("__slice", *[f"__{what}{i}" for what in ("size", "before") for i in range(len(sizes))])
 
 
-def carried_forward(rows: DataFrame, key: str, order: list[str], values: dict[str, Column], hot: bool = False) -> DataFrame:
+def carried_forward(rows: DataFrame, key: str, order: list[str], values: dict[str, Column], hot: bool | None = None) -> DataFrame:
     """rows with, for each name, the last value that is not null among the rows before of the same key.
 
-    One shuffle by the key and one sort within it. hot: keys may be too large for a task; then the order of (key, order) is cut into slices,
+    One shuffle by the key and one sort within it. Keys too large for a task (see by_size) are cut into slices of the order of (key, order),
     and what a slice's first key had before comes from a row a slice and key.
     """
-    if not hot:
+    def whole(part: DataFrame) -> DataFrame:
         before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumns({name: F.last(value, ignorenulls=True).over(before) for name, value in values.items()})
-    own = {f"__v{i}": value for i, value in enumerate(values.values())}
-    cut_up = sliced(rows.withColumns(own), [key, *order])
-    place = F.struct(*order)
-    lasts = cut_up.groupBy("__slice", key).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), place)).alias(v) for v in own])
-    several = lasts.withColumn("__n", F.count("*").over(Window.partitionBy(key))).filter("__n > 1")
-    earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    handed = several.select("__slice", key, *[F.last(v, ignorenulls=True).over(earlier).alias(f"{v}_before") for v in own])
-    within = Window.partitionBy("__slice", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = cut_up.withColumns({f"{v}_own": F.last(v, ignorenulls=True).over(within) for v in own}).join(handed, ["__slice", key], "left")
-    return joined.select(*rows.columns, *[F.coalesce(f"{v}_own", f"{v}_before").alias(name) for v, name in zip(own, values, strict=True)])
+        return part.withColumns({name: F.last(value, ignorenulls=True).over(before) for name, value in values.items()})
+
+    def split(part: DataFrame) -> DataFrame:
+        own = {f"__v{i}": value for i, value in enumerate(values.values())}
+        cut_up = sliced(part.withColumns({**own, "__group": F.struct(key)}), [key, *order])
+        place = F.struct(*order)
+        lasts = cut_up.groupBy("__slice", "__group").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), place)).alias(v) for v in own])
+        several = lasts.withColumn("__n", F.count("*").over(Window.partitionBy("__group"))).filter("__n > 1")
+        earlier = Window.partitionBy("__group").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        handed = several.select("__slice", "__group", *[F.last(v, ignorenulls=True).over(earlier).alias(f"{v}_before") for v in own])
+        within = Window.partitionBy("__slice", "__group").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        joined = cut_up.withColumns({f"{v}_own": F.last(v, ignorenulls=True).over(within) for v in own}).join(handed, ["__slice", "__group"], "left")
+        return joined.select(*part.columns, *[F.coalesce(f"{v}_own", f"{v}_before").alias(name) for v, name in zip(own, values, strict=True)])
+
+    return by_size(rows, [key], hot, whole, split)
 
 
 def previous_in_order(rows: DataFrame, order: list[str], columns: list[str], prefix: str = "previous_") -> DataFrame:
@@ -136,12 +191,12 @@ def out_of_order(rows: DataFrame, order: list[str], key: str) -> DataFrame:
     return previous_in_order(rows, order, [key], "previous_").filter(F.col("previous_" + key) >= F.col(key))
 
 
-def definitions_before(uses: DataFrame, definitions: DataFrame, key: list[str], at: str, name: str = "definitions") -> DataFrame:
-    """uses with how many definitions of the same key stand before their place. One union, a running count a key."""
+def definitions_before(uses: DataFrame, definitions: DataFrame, key: list[str], at: str, name: str = "definitions", hot: bool | None = None) -> DataFrame:
+    """uses with how many definitions of the same key stand before their place. One union, a running count a key; at one place uses stand first."""
     marks = uses.select(*key, F.col(at), F.struct(*uses.columns).alias("__row"), F.lit(0).alias("__one"))
     more = definitions.filter(" AND ".join(f"{k} IS NOT NULL" for k in key)).select(*key, F.col(at), F.lit(None).cast(marks.schema["__row"].dataType).alias("__row"), F.lit(1).alias("__one"))
-    upto = Window.partitionBy(*key).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    return marks.unionByName(more).withColumn(name, F.coalesce(F.sum("__one").over(upto), F.lit(0)).cast("long")).filter("__row IS NOT NULL").select("__row.*", name)
+    counted = summed_upto(marks.unionByName(more), key, [at, "__one"], {"__n": F.col("__one")}, hot)
+    return counted.filter("__row IS NOT NULL").select("__row.*", F.col("__n").cast("long").alias(name))
 
 
 def with_limit(rows: DataFrame, order: list, keep: int, sentinel: dict) -> DataFrame:

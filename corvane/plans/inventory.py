@@ -184,16 +184,17 @@ _FOLD = "SELECT lang, (n - 1) // 1000 AS k, sha256(string_agg(sha, '' ORDER BY n
 def ordered_digest(rows: DataFrame, of: str) -> DataFrame:
     """rows (of, k, sha) -> of, digest: an ordered digest as a tree of a thousand children a node, by rank and not by value, so that no task gathers a whole table whatever the keys are.
 
-    Each level is a thousandth of the one below; levels are added until one node a group is left.
+    Each level is a thousandth of the one below; the largest group says how many there are. A group too large for a task is ranked by slices.
     """
     level = rows.select(of, "k", "sha")
+    most = level.groupBy(of).count().agg(F.max("count")).first()[0] or 0
     while True:
-        totals = windows.running_total(level, [of, "k"], F.lit(1), "n")
-        first = totals.groupBy(of).agg(F.min("n").alias("__first"))
-        ranked = totals.join(first, of).select(of, "sha", (F.col("n") - F.col("__first")).alias("n"))
+        large = most > windows.TASK_ROWS
+        ranked = windows.summed_upto(cut(level) if large else level, [of], ["k"], {"n": F.lit(1)}, large)
         parts = F.array_sort(F.collect_list(F.struct("n", "sha")))
-        level = cut(ranked.groupBy(of, F.floor(F.col("n") / 1000).alias("k")).agg(F.sha2(F.array_join(F.transform(parts, lambda r: r.sha), ""), 256).alias("sha")))
-        if level.groupBy(of).count().filter("count > 1").isEmpty():
+        level = ranked.groupBy(of, F.floor((F.col("n") - 1) / 1000).alias("k")).agg(F.sha2(F.array_join(F.transform(parts, lambda r: r.sha), ""), 256).alias("sha"))
+        most = -(-most // 1000)
+        if most <= 1:
             return level.select(of, F.col("sha").alias("digest"))
 
 

@@ -21,7 +21,7 @@ def _gappy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""SELECT p.event_id, p.value, c.event_id AS click_id FROM (SELECT * FROM {_EVENTS} WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM {_EVENTS} WHERE event_type = 'click') c ON p.user_id = c.user_id AND c.ts < p.ts""")
 def join_asof_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return _latest_click(spark, sf, hot=False)
+    return _latest_click(spark, sf, hot=None)
 
 
 @query(f"""SELECT p.event_id, p.value, c.event_id AS click_id FROM (SELECT * FROM {_EVENTS} WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM {_EVENTS} WHERE event_type = 'click') c ON p.user_id = c.user_id AND c.ts < p.ts""")
@@ -30,7 +30,7 @@ def join_asof_sliced(spark: SparkSession, sf: str) -> DataFrame:
     return _latest_click(spark, sf, hot=True)
 
 
-def _latest_click(spark: SparkSession, sf: str, hot: bool) -> DataFrame:
+def _latest_click(spark: SparkSession, sf: str, hot: bool | None) -> DataFrame:
     events = _gappy(spark, sf)
     clicks = events.filter("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
     return joins.as_of(events.filter("event_type = 'purchase'"), clicks, "user_id", "ts", ["click_id"], hot=hot).select("event_id", "value", "click_id")
