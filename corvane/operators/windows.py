@@ -80,11 +80,11 @@ def sliced(rows: DataFrame, order: list[str]) -> DataFrame:
     place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     ranges = rows.select(place.alias("end")).repartitionByRange(most, "end")
     ends = cut(ranges.groupBy(F.spark_partition_id().alias("n")).agg(F.max("end").alias("end")).select("end").coalesce(1))
-    marked = rows.withColumn("__ends", ends.agg(F.array_sort(F.collect_list("end"))).scalar())
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
-    # How many ends are less than the place, by halving.
-    number = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.try_element_at(F.col("__ends"), low + step) < place, low + step).otherwise(low))
-    return marked.withColumn("__slice", number).drop("__ends")
+    marked = rows.withColumns({"__ends": ends.agg(F.array_sort(F.collect_list("end"))).scalar(), "__place": place, "__slice": F.lit(0)})
+    for step in (1 << i for i in reversed(range(most.bit_length()))):  # how many ends are less than the place, by halving
+        further = F.col("__slice") + step
+        marked = marked.withColumn("__slice", F.when(F.try_element_at("__ends", further) < F.col("__place"), further).otherwise(F.col("__slice")))
+    return marked.drop("__ends", "__place")
 
 
 def running_total(rows: DataFrame, order: list[str], size: Column, name: str) -> DataFrame:
