@@ -7,89 +7,39 @@ and those whose calls name something else by now because of a file elsewhere.
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.lineage import cut, delete
+from corvane.operators.lineage import cut
 from corvane.plans.fixpoint import CANDIDATES, components, walked
+from corvane.sources.versions import Versions
 
 #: Published versions from which a publication joins all of them into one.
 MOST_VERSIONS = 16
 KEYS = "key string"
 
 
-class FlowStore:
-    """Candidates by key, in a folder that all executors see.
+class FlowStore(Versions):
+    """Candidates by key. A version has two tables, keys (components that were walked, those without candidates too) and rows.
 
-    A version is a folder of two tables, keys (components that were walked, those without candidates too) and rows. It counts from when its
-    entry in the log is there, which is made last and never over another's: what is cut short before leaves a folder that nobody names, and
-    an entry that was cut short itself names none. Every MOST_VERSIONS versions one takes the place of all; it holds the keys in use.
+    Every MOST_VERSIONS versions one takes the place of all; it holds the keys in use.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _place(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def versions(self) -> list[str]:
-        """Folders that count, from the last that took the place of all before it."""
-        files, log = self._place("log")
-        found = []
-        for status in sorted(files.listStatus(log), key=lambda s: s.getPath().getName()) if files.exists(log) else []:
-            stream = files.open(status.getPath())
-            try:
-                entry = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            except ValueError:
-                continue
-            finally:
-                stream.close()
-            found = [entry["version"]] if entry["alone"] else [*found, entry["version"]]
-        return found
-
-    def _table(self, versions: list[str], name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{v}/{name}" for v in versions]) if versions else self.spark.createDataFrame([], schema)
-
     def keys(self, versions: list[str] | None = None) -> DataFrame:
-        return self._table(self.versions() if versions is None else versions, "keys", KEYS)
+        return self.read(self.versions() if versions is None else versions, "keys", KEYS)
 
     def rows(self, versions: list[str] | None = None) -> DataFrame:
-        return self._table(self.versions() if versions is None else versions, "rows", f"key string, {CANDIDATES}")
+        return self.read(self.versions() if versions is None else versions, "rows", f"key string, {CANDIDATES}")
 
     def publish(self, keys: DataFrame, rows: DataFrame, in_use: DataFrame) -> None:
         """Adds what was walked; two scans may publish at once, also the same keys."""
-        before, version = self.versions(), f"v-{uuid.uuid4().hex}"
+        before = self.versions()
         alone = len(before) >= MOST_VERSIONS
         if alone:
             old = self.keys(before).join(in_use, "key", "left_semi").join(keys, "key", "left_anti").distinct()
             rows = rows.unionByName(self.rows(before).join(old, "key", "left_semi").distinct())
             keys = keys.unionByName(old)
-        rows.write.parquet(f"{self.folder}/{version}/rows")
-        keys.write.parquet(f"{self.folder}/{version}/keys")
-        self._log(version, alone)
-        if alone:
-            for name in before:
-                delete(self.spark, f"{self.folder}/{name}")
-
-    def _log(self, version: str, alone: bool) -> None:
-        files, log = self._place("log")
-        files.mkdirs(log)
-        n = max((int(s.getPath().getName()) for s in files.listStatus(log)), default=0)
-        while True:
-            n += 1
-            _, place = self._place(f"log/{n:09d}")
-            if files.exists(place):  # another scan was faster
-                continue
-            out = files.create(place, False)
-            try:
-                out.write(bytearray(json.dumps({"version": version, "alone": alone}).encode()))
-            finally:
-                out.close()
-            return
+        self.add({"rows": rows, "keys": keys}, alone)
 
 
 def component_keys(grouped: DataFrame, depth: int, version: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Stores between runs: records of files that were scanned before, and the history of reports.
 
-A parse cache is two tables in a folder: entries (cache_key, records, bytes, saved_at) and the records themselves under their key. An entry
-counts only if all its records are there, so a run that was cut off is found out; what is written first goes first when the store is over its
+A parse cache has versions (see sources.versions) of two tables: entries (cache_key, n_records, bytes, saved_at) and the records themselves
+under their key. A file is known if it has an entry whose records are all there; what is written first goes first when the store is over its
 budget. History is a JSON file a scan; a file that doesn't hold what it should is renamed, counted, and not listed.
 """
 
@@ -15,75 +15,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import SCAN_ID
+from corvane.operators.lineage import cut
 from corvane.operators.windows import newest_within
 from corvane.sources.reports import checked_document, write_atomically
 from corvane.sources.tree import cache_key
+from corvane.sources.versions import Versions
 
 ENTRIES = "cache_key string, n_records long, bytes long, saved_at timestamp"
 
 
-class ParseCache:
+#: Versions from which the next one takes the place of all, so that many small scans don't leave many small files.
+MOST_VERSIONS = 16
+
+
+class ParseCache(Versions):
     def __init__(self, spark: SparkSession, folder: str, version: str, records: str):
         """records: the schema of what is stored."""
-        self.spark, self.folder, self.version, self.schema = spark, folder.rstrip("/"), version, records
-        files, place = self._files()
-        for name in ("records", "entries"):  # an eviction that was cut short
-            if not files.exists(place(name)) and files.exists(place(f"{name}.old")):
-                files.rename(place(f"{name}.old"), place(name))
-
-    def _files(self):
-        """The store's file system, and a function from names to its places."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        return path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration()), lambda name: path(f"{self.folder}/{name}")
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if there else self.spark.createDataFrame([], schema)
-
-    def _stored(self) -> DataFrame:
-        return self._table("records", f"cache_key string, {self.schema}")
-
-    def entries(self) -> DataFrame:
-        """Entries whose records are all there; of an entry that was written twice the first."""
-        noted = self._table("entries", ENTRIES).groupBy("cache_key").agg(F.min(F.struct("saved_at", "n_records", "bytes")).alias("e")).select("cache_key", "e.*")
-        held = self._stored().groupBy("cache_key").agg(F.countDistinct("record_id").alias("held"))
-        return noted.join(held, "cache_key", "left").filter(F.coalesce("held", F.lit(0)) == F.col("n_records")).drop("held")
+        super().__init__(spark, folder)
+        self.version, self.schema = version, records
+
+    def _records(self, versions: list[str]) -> DataFrame:
+        return self.read(versions, "records", f"cache_key string, {self.schema}")
+
+    def entries(self, versions: list[str] | None = None) -> DataFrame:
+        """What is noted, a row a file; of an entry that was written twice the first."""
+        noted = self.read(self.versions() if versions is None else versions, "entries", ENTRIES)
+        return noted.groupBy("cache_key").agg(F.min(F.struct("saved_at", "n_records", "bytes")).alias("e")).select("cache_key", "e.*")
 
     def split(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(records of files that are known, files that are not)."""
+        """(records of files that are known, files that are not). Only records of these files are read; an entry that misses some is none."""
+        versions = self.versions()
         keyed = files.filter("content IS NOT NULL").withColumn("cache_key", cache_key(self.version))
-        known = self.entries().select("cache_key")
-        names = [f.name for f in self._stored().schema if f.name != "cache_key"]
-        hits = self._stored().dropDuplicates(["cache_key", "record_id"]).join(keyed.select("cache_key", F.col("repository").alias("__repository")).join(known, "cache_key").distinct(), "cache_key")
-        hits = hits.withColumn("repository", F.col("__repository")).select(*names)
-        return hits, keyed.join(known, "cache_key", "left_anti")
+        asked = keyed.select("cache_key").distinct()
+        rows = self._records(versions).join(asked, "cache_key", "left_semi").dropDuplicates(["cache_key", "record_id"])
+        held = rows.groupBy("cache_key").agg(F.count("*").alias("held"))
+        noted = self.entries(versions).join(asked, "cache_key", "left_semi")
+        known = noted.join(held, "cache_key", "left").filter(F.coalesce("held", F.lit(0)) == F.col("n_records")).select("cache_key")
+        owners = keyed.select("cache_key", F.col("repository").alias("__repository")).join(known, "cache_key", "left_semi").distinct()
+        names = [f.name for f in rows.schema if f.name != "cache_key"]
+        return rows.join(owners, "cache_key").withColumn("repository", F.col("__repository")).select(*names), keyed.join(known, "cache_key", "left_anti")
 
     def store(self, files: DataFrame, records: DataFrame) -> None:
-        """The records of files that were scanned; files without any have an entry too."""
+        """The records of files that were scanned; files without any have an entry too. Both count at once, or neither."""
         keyed = files.select("repository", "path", "size_bytes", cache_key(self.version).alias("cache_key"))
-        own = records.join(keyed.select("repository", "path", "cache_key"), ["repository", "path"])
-        own.select("cache_key", *[f.name for f in self._stored().schema if f.name != "cache_key"]).write.mode("append").parquet(f"{self.folder}/records")
+        before = self.versions()
+        own = records.join(keyed.select("repository", "path", "cache_key"), ["repository", "path"]).select("cache_key", *[f.name for f in self._records([]).schema if f.name != "cache_key"])
         counts = own.groupBy("cache_key").agg(F.countDistinct("record_id").alias("n_records"))
         entries = keyed.select("cache_key", "size_bytes").distinct().join(counts, "cache_key", "left").select("cache_key", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.col("size_bytes").alias("bytes"), F.current_timestamp().alias("saved_at"))
-        entries.write.mode("append").parquet(f"{self.folder}/entries")
+        alone = len(before) >= MOST_VERSIONS
+        if alone:
+            old = self.entries(before).join(entries.select("cache_key"), "cache_key", "left_anti")
+            own = own.unionByName(self._records(before).join(old.select("cache_key"), "cache_key", "left_semi"))
+            entries = entries.unionByName(old)
+        self.add({"records": own, "entries": entries}, alone)
 
     def evict(self, budget: int) -> DataFrame:
-        """The entries that stay within the budget, the newest ones; the rest and their records are left out of the store, which is written anew beside itself.
+        """The entries that stay within the budget, the newest ones, in a version that takes the place of all; the others and their records are left out of it.
 
-        The old tables stay until the new ones have their names: what is cut short in between is taken up when the store is next opened, and
-        entries whose records are gone count as none.
+        What another scan stores meanwhile may be left out too; it is then scanned once more.
         """
-        kept = newest_within(self.entries(), [-F.unix_micros("saved_at"), F.col("cache_key")], "bytes", budget)
-        for name, frame in (("entries", kept), ("records", self._stored().join(kept.select("cache_key"), "cache_key", "left_semi"))):
-            frame.write.mode("overwrite").parquet(f"{self.folder}/{name}.next")
-        files, place = self._files()
-        for name in ("records", "entries"):
-            files.delete(place(f"{name}.old"), True)
-            files.rename(place(name), place(f"{name}.old"))
-            files.rename(place(f"{name}.next"), place(name))
-        for name in ("records", "entries"):
-            files.delete(place(f"{name}.old"), True)
+        before = self.versions()
+        kept = cut(newest_within(self.entries(before), [-F.unix_micros("saved_at"), F.col("cache_key")], "bytes", budget))
+        self.add({"records": self._records(before).join(kept.select("cache_key"), "cache_key", "left_semi"), "entries": kept}, alone=True)
         return self.entries()
 
 

@@ -7,6 +7,7 @@ from corvane.plans import incremental
 from corvane.plans.fixpoint import RECORDS, candidates, record
 from corvane.plans.incremental import FlowStore, candidates_since
 from corvane.plans.report import scan_report
+from corvane.sources import versions
 from tests.compare import rows_of
 
 
@@ -54,6 +55,7 @@ def test_what_is_cut_short_does_not_count(spark, tmp_path, monkeypatch):
 
 def test_versions_become_one(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(incremental, "MOST_VERSIONS", 2)
+    monkeypatch.setattr(versions, "GRACE_SECONDS", -1)
     store = FlowStore(spark, str(tmp_path / "s"))
     for names in (["a.py"], ["a.py", "b.py"]):
         assert go_on(spark, program(*names), store) == 1
