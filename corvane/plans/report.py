@@ -24,6 +24,7 @@ from corvane.plans.fixpoint import RECORDS, candidates, findings
 from corvane.plans.frontend import records_of
 from corvane.plans.incremental import FlowStore, candidates_since
 from corvane.plans.registry import query, table
+from corvane.plans.running import Cancellation
 from corvane.plans.scanner import LANGUAGE, Text
 from corvane.sources import git, tree
 from corvane.sources.cache import ParseCache
@@ -204,9 +205,23 @@ class Report:
         return limitations(spark, self.settings, conditions_of(self.files, self.records)).unionByName(cuts)
 
 
-def scan_report(spark: SparkSession, path: str, settings: Settings | None = None, cache: str | None = None, progress: Callable[[str], None] | None = None, depth: int | None = None) -> Report:
-    """Reads a source tree and finds what there is to find; nothing is cut without a limitation that says so."""
-    settings, tell = settings or Settings(), progress or (lambda stage: None)
+def scan_report(spark: SparkSession, path: str, settings: Settings | None = None, cache: str | None = None, progress: Callable[[str], None] | None = None, depth: int | None = None, cancellation: Cancellation | None = None) -> Report:
+    """Reads a source tree and finds what there is to find; nothing is cut without a limitation that says so.
+
+    Where it is cancelled, its jobs are stopped and Cancelled is raised; caches and stores are as they were before their last step.
+    """
+    asked = cancellation or Cancellation()
+
+    def tell(stage: str) -> None:
+        asked.check()
+        if progress:
+            progress(stage)
+
+    with asked.watching(spark):
+        return _scanned(spark, path, settings or Settings(), cache, tell, depth)
+
+
+def _scanned(spark: SparkSession, path: str, settings: Settings, cache: str | None, tell: Callable[[str], None], depth: int | None) -> Report:
     options = {
         "exclude": "\n".join(settings.exclude), "hidden": settings.include_hidden, "vendor": settings.include_vendor, "generated": settings.include_generated,
         "max_files": settings.max_files, "max_bytes": settings.max_file_bytes, "max_total_bytes": settings.max_total_bytes,
