@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from corvane.operators import graph, joins, windows
+from corvane.operators import graph, joins, lines, windows
 from corvane.plans.registry import query, table
 
 
@@ -173,3 +173,14 @@ def base_diff(spark: SparkSession, sf: str) -> DataFrame:
     now = docs.filter("doc_id % 10 <> 3").select(F.sha2("text", 256).alias("fingerprint"), key)
     then = docs.filter("doc_id % 10 <> 5").select(F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("fingerprint"), key)
     return joins.compare_snapshots(now, then)
+
+
+_NEEDLE = "an"
+
+
+@query(f"""WITH p AS (SELECT doc_id, text, unnest(range(0, len(string_split(text, '{_NEEDLE}')) - 1)) AS i, string_split(text, '{_NEEDLE}') AS parts FROM documents), b AS (SELECT doc_id, array_to_string(parts[1:i + 1], '{_NEEDLE}') AS before FROM p)
+SELECT doc_id, CAST(strlen(before) AS BIGINT) AS at, CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS INT) AS line, CAST(length(string_split(before, chr(10))[-1]) + 1 AS INT) AS column FROM b""")
+def scan_locations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every occurrence in every document, with its line and column."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lines.located(lines.occurrences(docs, "doc_id", "text", _NEEDLE), docs, "doc_id", "at", "text")
