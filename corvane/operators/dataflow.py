@@ -26,7 +26,8 @@ def _grown(found: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    """A union of tables joins as they do (lineage.cut): hints don't pass a union by themselves."""
+    return reduce(DataFrame.unionByName, frames).hint("merge")
 
 
 # Calls that return where they came from
@@ -117,7 +118,7 @@ def last_covering(points: DataFrame, spans: DataFrame, key: list[str], at: str,
 
     A span is the cells that make it up, of which each keeps the last start only; a point asks its cell of each level.
     """
-    places = points.select(*key, at).distinct()
+    places = points.select(*key, at).distinct().hint("merge")
     levels = _levels((points, at), (spans, end))
     sized = spans.filter(F.col(start) < F.col(end)).select(*key, F.col(start).alias("__start"), F.explode(_covering_cells(F.col(start) + 1, F.col(end), levels)).alias("c"))
     last = sized.groupBy(*key, "c.level", "c.cell").agg(F.max("__start").alias("__last"))
@@ -128,7 +129,7 @@ def last_covering(points: DataFrame, spans: DataFrame, key: list[str], at: str,
 
 def count_before(points: DataFrame, marks: DataFrame, key: list[str], at: str, place: str, name: str, levels: int) -> DataFrame:
     """Distinct (key, at) with how many marks of that key stand before the place: sums of the cells to the left, a level at a time."""
-    places = points.select(*key, at).distinct()
+    places = points.select(*key, at).distinct().hint("merge")
     struct = lambda x, i: F.struct(F.lit(i).alias("level"), F.shiftright(x, 4 * i + 4).alias("parent"), F.shiftright(x, 4 * i).bitwiseAND(15).alias("digit"))
     every = lambda x: F.explode(F.array(*[struct(x, i) for i in range(levels)])).alias("c")
     cells = marks.groupBy(*key, place).agg(F.count(F.lit(1)).alias("n")).select(*key, "n", every(F.col(place))).groupBy(*key, "c.level", "c.parent", "c.digit").agg(F.sum("n").alias("n"))
@@ -163,7 +164,7 @@ def reaching_definitions(definitions: DataFrame, uses: DataFrame, members: bool
     if members:
         below = named.select("function", "name", F.explode(owners(F.col("name"))).alias("used")).join(wanted, ["function", "used"])
         above = above.unionByName(below.select(*above.columns))
-    related = above.distinct()
+    related = above.distinct().hint("merge")
     places = cut(asked.select("function", F.col("name").alias("used"), "at").distinct().join(related, ["function", "used"]).select("function", "name", "at").distinct())
     strong = known.filter("end IS NOT NULL").select("function", F.col("name").alias("owner"), F.col("at").alias("start"), "end")
     by_owner = places.select("function", "name", "at", F.explode(owners(F.col("name"))).alias("owner"))
@@ -177,9 +178,9 @@ def reaching_definitions(definitions: DataFrame, uses: DataFrame, members: bool
     numbered = known.join(counted, [*key, "at"]).select(*key, (F.col("n") + F.row_number().over(ties)).alias("number"), "definition")
     upto = since.join(counted, [*key, "at"]).withColumnRenamed("n", "last").join(counted.select(*key, F.col("at").alias("since"), F.col("n").alias("first")), [*key, "since"])
     numbers = upto.filter("last > first").select(*key, "at", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("number"))
-    seen = numbers.join(numbered, [*key, "number"]).select("function", "name", "at", "definition")
+    seen = numbers.join(numbered.hint("merge"), [*key, "number"]).select("function", "name", "at", "definition")
     back = asked.withColumnRenamed("name", "used").join(related, ["function", "used"]).select("function", "name", "at", "use")
-    return back.join(seen, ["function", "name", "at"]).select("use", "definition")
+    return back.join(seen.hint("merge"), ["function", "name", "at"]).select("use", "definition")
 
 
 # Traces

@@ -40,9 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame as a table of the shared folder: lost executors don't take it away, later plans read only the columns they need and know its size."""
+    """The frame as a table of the shared folder: lost executors don't take it away, and later plans read only the columns they need.
+
+    Its joins are dealt over tasks unless they say F.broadcast: the files' size tells little of the rows' in memory, as names that repeat
+    take next to nothing in files, and what Spark broadcasts for small files can be more than the driver holds.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     _MADE.append((spark, path))
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path).hint("merge")
