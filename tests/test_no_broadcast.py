@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from corvane.operators import dataflow
 from corvane.operators.lineage import cut
+from corvane.plans.fixpoint import EXAMPLE, RECORDS
+from corvane.plans.flows import reached_sinks
 
 
 def plan_of(frame):
@@ -26,3 +28,8 @@ def test_reaching_definitions_broadcasts_nothing(spark, members):
     found = dataflow.reaching_definitions(definitions, uses, members)
     assert "Broadcast" not in plan_of(found)
     assert sorted(map(tuple, found.collect())) == [(7, 1), (7, 2)]
+
+
+def test_sinks_of_records_broadcast_only_the_rules(spark):
+    found = reached_sinks(spark.createDataFrame(EXAMPLE, RECORDS))
+    assert plan_of(found).count("BroadcastHashJoin") == 1
