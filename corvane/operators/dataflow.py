@@ -12,10 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.lineage import cut
+from corvane.operators.lineage import cut, dealt
 
 #: Rows that stand for one hot key at the smaller side of a join, so that the larger side is dealt over as many tasks.
 SALTS = 16
+#: Rows of a round's table that may be broadcast: some tens of megabytes at most.
+FEW = 100_000
 
 
 def _grown(found: DataFrame) -> tuple[DataFrame, int]:
@@ -25,6 +27,17 @@ def _grown(found: DataFrame) -> tuple[DataFrame, int]:
     return table, seen.get["rows"]
 
 
+def _unknown(found: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct rows of found whose key is not known. An anti-join would be moved below the distinct rows and the joins that make them, and shuffle what goes in there."""
+    was = known.select(*key, F.lit(True).alias("__was"))
+    return found.distinct().join(was, key, "left").filter("__was IS NULL").drop("__was")
+
+
+def _side(frame: DataFrame, rows: int) -> DataFrame:
+    """A table of that many rows as one side of a join: broadcast only if they are few."""
+    return F.broadcast(frame) if rows <= FEW else frame
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     """A union of tables joins as they do (lineage.cut): hints don't pass a union by themselves."""
     return reduce(DataFrame.unionByName, frames).hint("merge")
@@ -211,24 +224,31 @@ def best_traces(states: DataFrame, by: list[str], order: list[Column], path: str
 # Clauses
 
 
-def horn_closure(clauses: DataFrame, premises: DataFrame, facts: DataFrame, rounds: int | None = None) -> DataFrame:
+def horn_closure(clauses: DataFrame, premises: DataFrame, facts: DataFrame, rounds: int | None = None, implications: DataFrame | None = None) -> DataFrame:
     """clauses (clause, head), premises (clause, premise), facts (fact) -> fact, round: all that follows; a head does when all premises of one of its clauses do.
 
-    Each clause counts the premises that it still lacks. A round's new facts are joined to the premises they are, and what reaches none left
-    gives the next ones; premises in a circle never do. With `rounds`, what needs more of them is left out.
+    implications (premise, head) are clauses of one premise, which need no name and no count. A round's new facts are joined to the premises
+    they are, which lie in buckets, so only the facts are shuffled; of the clauses it reaches those that lack more keep how many were met.
+    Premises in a circle never do. With `rounds`, what needs more of them is left out.
     """
-    needs = cut(premises.select("clause", "premise").distinct())
+    needs = dealt(premises.select("premise", "clause"), "premise")
     lacking = needs.groupBy("clause").agg(F.count(F.lit(1)).alias("lacks"))
-    state = cut(clauses.select("clause", "head").distinct().join(lacking, "clause", "left").select("clause", "head", F.coalesce("lacks", F.lit(0)).cast("long").alias("lacks")))
+    state = dealt(clauses.select("clause", "head").join(lacking, "clause", "left").select("clause", "head", F.coalesce("lacks", F.lit(0)).cast("long").alias("lacks")), "clause")
     given = facts.select("fact").unionByName(state.filter("lacks = 0").select(F.col("head").alias("fact"))).filter("fact IS NOT NULL").distinct()
+    single = implications and dealt(implications.select("premise", "head").filter("premise IS NOT NULL AND head IS NOT NULL"), "premise")
     delta, rows = _grown(given.withColumn("round", F.lit(0)))
-    known, n = [delta], 0
+    known, n, touched = [delta], 0, None
     while rows and (rounds is None or n < rounds):
         n += 1
-        met = needs.join(delta.select(F.col("fact").alias("premise")), "premise").groupBy("clause").agg(F.count(F.lit(1)).alias("met"))
-        state = cut(state.filter("lacks > 0").join(met, "clause", "left").select("clause", "head", (F.col("lacks") - F.coalesce("met", F.lit(0))).alias("lacks")))
-        fresh = state.filter("lacks = 0").select(F.col("head").alias("fact")).distinct()
-        delta, rows = _grown(fresh.join(_union(known), "fact", "left_anti").withColumn("round", F.lit(n)))
+        new = _side(delta.select(F.col("fact").alias("premise")), rows)
+        met = needs.join(new, "premise").select("clause", F.lit(1).cast("long").alias("met"))
+        if touched:
+            met = met.unionByName(touched.filter("met < lacks").groupBy("clause").agg(F.max("met").alias("met")))
+        touched = cut(met.groupBy("clause").agg(F.sum("met").alias("met")).join(state, "clause"))
+        fresh = touched.filter("met = lacks").select(F.col("head").alias("fact"))
+        if single:
+            fresh = fresh.unionByName(single.join(new, "premise").select(F.col("head").alias("fact")))
+        delta, rows = _grown(_unknown(fresh.filter("fact IS NOT NULL"), _union(known), ["fact"]).withColumn("round", F.lit(n)))
         known.append(delta)
     return _union(known)
 

@@ -10,11 +10,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
+_NAMED: list[tuple[SparkSession, str]] = []
 
 
 @atexit.register
 def _delete_all() -> None:
     """Results may read such a table long after the call that made it, so they go when the program ends."""
+    while _NAMED:
+        spark, name = _NAMED.pop()
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     while _MADE:
         spark, path = _MADE.pop()
         with contextlib.suppress(Exception):  # the session may be gone by then
@@ -50,3 +55,14 @@ def cut(frame: DataFrame) -> DataFrame:
     _MADE.append((spark, path))
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path).hint("merge")
+
+
+def dealt(frame: DataFrame, key: str) -> DataFrame:
+    """The frame's distinct rows as such a table, in buckets of the key: loops join it on the key round by round, and only the other side is shuffled."""
+    spark = frame.sparkSession
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"cut_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    _MADE.append((spark, path))
+    _NAMED.append((spark, name))
+    frame.repartition(buckets, key).distinct().write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name).hint("merge")

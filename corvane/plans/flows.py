@@ -203,14 +203,17 @@ SELECT 's' || s_suppkey AS fact, 0 AS round FROM s UNION ALL SELECT 'p' || l_par
 def auth_horn_closure(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers of a good balance are trusted, a part of any such supplier is, an order is if all its parts are, a customer if all their orders are, a nation if any customer is."""
     name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
-    line, orders = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct(), table(spark, sf, "orders")
-    known = orders.join(line.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
-    either = lambda frame, head, premise: frame.select(head.alias("head"), premise.alias("premise"), F.concat_ws("<", head, premise).alias("clause"))
-    every = lambda frame, head, premise: frame.select(head.alias("head"), premise.alias("premise"), head.alias("clause"))
-    rules = [either(line, name("p", "l_partkey"), name("s", "l_suppkey")), every(line, name("o", "l_orderkey"), name("p", "l_partkey")), every(known, name("c", "o_custkey"), name("o", "o_orderkey")), either(table(spark, sf, "customer"), name("n", "c_nationkey"), name("c", "c_custkey"))]
-    whole = cut(rules[0].unionByName(rules[1]).unionByName(rules[2]).unionByName(rules[3]).distinct())
+    line, orders = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    filled = cut(line.select(F.col("l_orderkey").alias("o_orderkey")).distinct())
+    known = cut(orders.join(filled, "o_orderkey", "left_semi"))
+    either = lambda frame, head, premise: frame.select(premise.alias("premise"), head.alias("head"))
+    every = lambda frame, head, premise: frame.select(head.alias("clause"), premise.alias("premise"))
+    own = lambda frame, head: frame.select(head.alias("clause"), head.alias("head"))
+    clauses = own(filled, name("o", "o_orderkey")).unionByName(own(known.select("o_custkey").distinct(), name("c", "o_custkey")))
+    premises = every(line, name("o", "l_orderkey"), name("p", "l_partkey")).unionByName(every(known, name("c", "o_custkey"), name("o", "o_orderkey")))
+    single = either(line, name("p", "l_partkey"), name("s", "l_suppkey")).unionByName(either(table(spark, sf, "customer"), name("n", "c_nationkey"), name("c", "c_custkey")))
     facts = table(spark, sf, "supplier").filter("s_acctbal > 8000").select(name("s", "s_suppkey").alias("fact"))
-    return dataflow.horn_closure(whole.select("clause", "head"), whole.select("clause", "premise"), facts)
+    return dataflow.horn_closure(clauses, premises, facts, implications=single)
 
 
 @query("""WITH x AS (SELECT l_orderkey || '.' || l_linenumber AS use, 'r' || n.n_regionkey AS origin, 4 AS hops FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n.n_nationkey
