@@ -291,26 +291,26 @@ def authorization_summaries(candidates: DataFrame, values: DataFrame, calls: Dat
 def dag_origins(uses: DataFrame, parents: DataFrame, origins: DataFrame, rounds: int = 10) -> DataFrame:
     """uses (use, node), parents (node, parent), origins (node) -> use, origin, hops: every origin that a use derives from within `rounds` steps, with the fewest steps.
 
-    First the nodes that any use derives from, then, from the origins down, the origins of each such node once, whichever uses and ways
-    share it: rows are (node, origin) pairs and never paths.
+    First the nodes that any use derives from, with the ways between them, then, from the origins down, the origins of each such node once,
+    whichever uses and ways share it: rows are (node, origin) pairs and never paths. All ways are shuffled once, into buckets; a round shuffles
+    what it found. The uses themselves are joined last, so what nothing derives from is best a use of its parents and no node.
     """
-    edges = cut(parents.select("node", "parent").filter("node IS NOT NULL AND parent IS NOT NULL").distinct())
+    edges = dealt(parents.select("node", "parent").filter("node IS NOT NULL AND parent IS NOT NULL"), "node")
     delta, rows = _grown(uses.select("node").filter("node IS NOT NULL").distinct())
-    needed = [delta]
+    needed, ways = [delta], [cut(edges.limit(0))]
     for _ in range(rounds):
         if not rows:
             break
-        up = delta.join(edges, "node").select(F.col("parent").alias("node")).distinct()
-        delta, rows = _grown(up.join(_union(needed), "node", "left_anti"))
+        ways.append(cut(edges.join(_side(delta, rows), "node")))
+        delta, rows = _grown(_unknown(ways[-1].select(F.col("parent").alias("node")), _union(needed), ["node"]))
         needed.append(delta)
-    wanted = cut(_union(needed))
-    edges = cut(edges.join(wanted, "node", "left_semi"))
-    delta, rows = _grown(origins.select("node").distinct().join(wanted, "node", "left_semi").select("node", F.col("node").alias("origin"), F.lit(0).alias("hops")))
+    below = dealt(_union(ways), "parent")
+    delta, rows = _grown(origins.select("node").distinct().join(_union(needed), "node", "left_semi").select("node", F.col("node").alias("origin"), F.lit(0).alias("hops")))
     known = [delta]
     for hop in range(1, rounds + 1):
         if not rows:
             break
-        down = delta.select(F.col("node").alias("parent"), "origin").join(edges, "parent").select("node", "origin").distinct()
-        delta, rows = _grown(down.join(_union(known), ["node", "origin"], "left_anti").withColumn("hops", F.lit(hop)))
+        down = below.join(_side(delta.select(F.col("node").alias("parent"), "origin"), rows), "parent").select("node", "origin")
+        delta, rows = _grown(_unknown(down, _union(known), ["node", "origin"]).withColumn("hops", F.lit(hop)))
         known.append(delta)
-    return uses.select("use", "node").distinct().join(_union(known), "node").groupBy("use", "origin").agg(F.min("hops").alias("hops"))
+    return uses.select("use", "node").join(_union(known), "node").groupBy("use", "origin").agg(F.min("hops").alias("hops"))

@@ -221,16 +221,20 @@ UNION ALL SELECT l_orderkey || '.' || l_linenumber, 'r' || n.n_regionkey, 3 FROM
 UNION ALL SELECT l_orderkey || '.' || l_linenumber, p_brand, 2 FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT use, origin, CAST(min(hops) AS INT) AS hops FROM x GROUP BY use, origin""")
 def graph_dag_lineage(spark: SparkSession, sf: str) -> DataFrame:
-    """A line derives from its order, supplier and part, these from customers, nations and brands: origins are regions and brands."""
+    """A line derives from its order, supplier and part, these from customers, nations and brands: origins are regions and brands.
+
+    Nothing derives from a line, so lines are uses of what they derive from, a step nearer to the origins.
+    """
     name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     way = lambda t, node, parent: table(spark, sf, t).select(node.alias("node"), parent.alias("parent"))
     line = F.concat_ws(".", F.col("l_orderkey"), F.col("l_linenumber"))
     ways = [
-        way("lineitem", line, name("o", "l_orderkey")), way("lineitem", line, name("s", "l_suppkey")), way("lineitem", line, name("p", "l_partkey")), way("orders", name("o", "o_orderkey"), name("c", "o_custkey")),
-        way("customer", name("c", "c_custkey"), name("n", "c_nationkey")), way("supplier", name("s", "s_suppkey"), name("n", "s_nationkey")), way("nation", name("n", "n_nationkey"), name("r", "n_regionkey")), way("part", name("p", "p_partkey"), F.col("p_brand")),
+        way("orders", name("o", "o_orderkey"), name("c", "o_custkey")), way("customer", name("c", "c_custkey"), name("n", "c_nationkey")), way("supplier", name("s", "s_suppkey"), name("n", "s_nationkey")),
+        way("nation", name("n", "n_nationkey"), name("r", "n_regionkey")), way("part", name("p", "p_partkey"), F.col("p_brand")),
     ]
     parents = ways[0]
     for more in ways[1:]:
         parents = parents.unionByName(more)
+    uses = table(spark, sf, "lineitem").select(line.alias("use"), F.explode(F.array(name("o", "l_orderkey"), name("s", "l_suppkey"), name("p", "l_partkey"))).alias("node"))
     origins = table(spark, sf, "region").select(name("r", "r_regionkey").alias("node")).unionByName(table(spark, sf, "part").select(F.col("p_brand").alias("node")).distinct())
-    return dataflow.dag_origins(table(spark, sf, "lineitem").select(line.alias("use"), line.alias("node")), parents, origins)
+    return dataflow.dag_origins(uses, parents, origins, rounds=9).select("use", "origin", (F.col("hops") + 1).alias("hops"))

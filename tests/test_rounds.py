@@ -29,3 +29,32 @@ def test_implications_are_clauses_of_one_premise(spark):
     facts = spark.createDataFrame([("s",)], "fact string")
     found = sorted(map(tuple, dataflow.horn_closure(clauses, premises, facts, implications=single).collect()))
     assert found == [("a", 1), ("b", 2), ("c", 3), ("d", 3), ("f", 4), ("s", 0)]
+
+
+def shuffled(spark, run):
+    """Rows that all stages of run() shuffled, with nothing broadcast by Spark's own choice."""
+    context = spark.sparkContext._jsc.sc()
+
+    def total():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before, threshold = total(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    return total() - before
+
+
+def test_lineage_shuffles_its_ways_once_however_many_rounds_there_are(spark):
+    n = 20_000
+    leaves = spark.range(n).selectExpr("concat('l', id) AS node", "concat('a', id % 10) AS parent")
+    chain = spark.createDataFrame([(f"a{i}", "b0") for i in range(10)] + [(f"b{i}", f"b{i + 1}") for i in range(5)], "node string, parent string")
+    parents, found = cut(leaves.unionByName(chain)), []
+    uses = cut(spark.range(100).selectExpr("id AS use", "concat('l', id) AS node"))
+    rows = shuffled(spark, lambda: found.extend(dataflow.dag_origins(uses, parents, spark.createDataFrame([("b5",)], "node string")).collect()))
+    assert sorted(map(tuple, found)) == [(i, "b5", 7) for i in range(100)]
+    assert rows < 2 * n, rows
