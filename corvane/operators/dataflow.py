@@ -51,11 +51,12 @@ def summary_edges(moves: DataFrame, calls: DataFrame, returns: DataFrame) -> Dat
     what goes in at a call's site and comes out at the same one, through any number of nested and recursive calls.
 
     Paths from a function's parameters to its other values grow by moves and by the summaries of the calls in it; where one reaches a
-    result, every site of the function gets a summary. A busy function's sites are salted, as one row of a path meets them all.
+    result, every site of the function gets a summary. A busy function's sites are salted, as one row of a path meets them all. Moves and sites
+    lie in buckets, so rounds shuffle paths and summaries alone.
     """
     salt = F.pmod(F.xxhash64("actual", "output"), F.lit(SALTS)).cast("int").alias("salt")
-    crossings = cut(calls.join(returns, "site").select("formal", "result", "actual", "output").distinct().select("*", salt))
-    moves = cut(moves.select("source", "target").distinct())
+    crossings = dealt(calls.join(returns, "site").select("formal", "result", "actual", "output").select("*", salt), "formal", "result", "salt")
+    moves = dealt(moves.select("source", "target"), "source")
     ways = cut(crossings.select("formal", "result").distinct())
     formal = ways.select("formal").distinct()
     delta, rows = _grown(formal.select(F.lit("path").alias("kind"), F.col("formal").alias("source"), F.col("formal").alias("target")))
@@ -73,7 +74,7 @@ def summary_edges(moves: DataFrame, calls: DataFrame, returns: DataFrame) -> Dat
         whole = new_paths.select(F.col("source").alias("formal"), F.col("target").alias("result")).join(ways, ["formal", "result"], "left_semi")
         through = whole.select("formal", "result", salts).join(crossings, ["formal", "result", "salt"])
         found = [longer(new_paths, moves), longer(new_paths, summaries), longer(paths, new_summaries), through.select(F.lit("summary").alias("kind"), F.col("actual").alias("source"), F.col("output").alias("target"))]
-        delta, rows = _grown(_union(found).distinct().join(everything, ["kind", "source", "target"], "left_anti"))
+        delta, rows = _grown(_unknown(_union(found), everything, ["kind", "source", "target"]))
         known.append(delta)
     return _union(known).filter("kind = 'summary'").select("source", "target")
 
@@ -81,15 +82,19 @@ def summary_edges(moves: DataFrame, calls: DataFrame, returns: DataFrame) -> Dat
 def matched_reachability(moves: DataFrame, calls: DataFrame, returns: DataFrame, seeds: DataFrame) -> DataFrame:
     """node, entered: what the seeds (node) reach by moves, by summaries of calls, out of the functions they stand in (any caller), and then
     into calls; after entering one (`entered`) a value leaves it only through a summary, that is, where it came in."""
-    inside = moves.select("source", "target").unionByName(summary_edges(moves, calls, returns)).distinct().withColumn("way", F.lit("inside"))
-    down = calls.select(F.col("actual").alias("source"), F.col("formal").alias("target"), F.lit("down").alias("way")).distinct()
-    up = returns.select(F.col("result").alias("source"), F.col("output").alias("target"), F.lit("up").alias("way")).distinct()
-    edges = cut(inside.unionByName(down).unionByName(up))
+    inside = moves.select("source", "target").unionByName(summary_edges(moves, calls, returns)).withColumn("way", F.lit("inside"))
+    down = calls.select(F.col("actual").alias("source"), F.col("formal").alias("target"), F.lit("down").alias("way"))
+    edges = dealt(inside.unionByName(down), "source")
+    # A busy function's result goes out to very many sites, which are salted; other nodes never meet them.
+    salts, salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.pmod(F.xxhash64("output"), F.lit(SALTS)).cast("int").alias("salt")
+    results, up = dealt(returns.select(F.col("result").alias("node")), "node"), dealt(returns.select(F.col("result").alias("node"), F.col("output").alias("target"), salt), "node", "salt")
     delta, rows = _grown(seeds.select("node", F.lit(False).alias("entered")).distinct())
     known = [delta]
     while rows:
-        step = delta.join(edges, delta.node == edges.source).filter("way != 'up' OR NOT entered")
-        fresh = step.groupBy(F.col("target").alias("node")).agg(F.min(F.col("entered") | (F.col("way") == "down")).alias("entered"))
+        on = edges.join(_side(delta, rows).withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), (F.col("entered") | (F.col("way") == "down")).alias("entered"))
+        leaving = results.join(_side(delta.filter("NOT entered").select("node"), rows), "node").select("node", salts)
+        out = up.join(leaving, ["node", "salt"]).select(F.col("target").alias("node"), F.lit(False).alias("entered"))
+        fresh = on.unionByName(out).groupBy("node").agg(F.min("entered").alias("entered"))
         before = _union(known).groupBy("node").agg(F.min("entered").alias("was"))  # not entered allows all that entered does
         delta, rows = _grown(fresh.join(before, "node", "left").filter("was IS NULL OR (was AND NOT entered)").select("node", "entered"))
         known.append(delta)

@@ -58,3 +58,13 @@ def test_lineage_shuffles_its_ways_once_however_many_rounds_there_are(spark):
     rows = shuffled(spark, lambda: found.extend(dataflow.dag_origins(uses, parents, spark.createDataFrame([("b5",)], "node string")).collect()))
     assert sorted(map(tuple, found)) == [(i, "b5", 7) for i in range(100)]
     assert rows < 2 * n, rows
+
+
+def test_matched_calls_shuffle_their_edges_once_however_many_rounds_there_are(spark):
+    n = 20_000
+    moves = spark.range(n).selectExpr("concat('x', id) AS source", "concat('y', id) AS target").unionByName(spark.createDataFrame([(f"a{i}", f"a{i + 1}") for i in range(10)], "source string, target string"))
+    moves, calls, returns = cut(moves), spark.createDataFrame([("s", "a10", "f")], "site string, actual string, formal string"), spark.createDataFrame([("s", "f", "b")], "site string, result string, output string")
+    found = []
+    rows = shuffled(spark, lambda: found.extend(dataflow.matched_reachability(moves, calls, returns, spark.createDataFrame([("a0",)], "node string")).collect()))
+    assert sorted(map(tuple, found)) == sorted([(f"a{i}", False) for i in range(11)] + [("f", True), ("b", False)])
+    assert rows < 4 * n, rows
