@@ -16,8 +16,8 @@ from corvane.operators.lineage import cut, dealt
 
 #: Rows that stand for one hot key at the smaller side of a join, so that the larger side is dealt over as many tasks.
 SALTS = 16
-#: Rows of a round's table that may be broadcast: some tens of megabytes at most.
-FEW = 100_000
+#: Rows of a round's table that may be broadcast: a few megabytes of names and their hash table, whatever the input.
+FEW = 10_000
 
 
 def _grown(found: DataFrame) -> tuple[DataFrame, int]:
@@ -134,11 +134,15 @@ def _covering_cells(low: Column, high: Column, levels: int) -> Column:
 def last_covering(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, end: str, name: str) -> DataFrame:
     """Distinct (key, at) with the start of the last span of that key that starts before the place and holds it (start < at <= end); null without one.
 
-    A span is the cells that make it up, of which each keeps the last start only; a point asks its cell of each level.
+    A span is the cells that make it up, of which each keeps the last start only; a point asks its cell of each level. Spans go no further than
+    their key's last point, and of those that start before its first point and go equally far only the last one is ever found.
     """
     places = points.select(*key, at).distinct().hint("merge")
-    levels = _levels((points, at), (spans, end))
-    sized = spans.filter(F.col(start) < F.col(end)).select(*key, F.col(start).alias("__start"), F.explode(_covering_cells(F.col(start) + 1, F.col(end), levels)).alias("c"))
+    levels = _levels((points, at))
+    asked_of = places.groupBy(*key).agg(F.min(at).alias("__first"), F.max(at).alias("__end"))
+    met = spans.filter(F.col(end).isNotNull()).join(asked_of, key).filter(F.col(start) < F.least(end, "__end")).select(*key, F.col(start).alias("__start"), F.least(end, "__end").alias("__end"), F.when(F.col(start) >= F.col("__first"), F.col(start)).alias("__own"))
+    met = met.groupBy(*key, "__end", "__own").agg(F.max("__start").alias("__start"))
+    sized = met.select(*key, "__start", F.explode(_covering_cells(F.col("__start") + 1, F.col("__end"), levels)).alias("c"))
     last = sized.groupBy(*key, "c.level", "c.cell").agg(F.max("__start").alias("__last"))
     asked = places.select(*key, at, F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright(at, 4 * i).alias("cell")) for i in range(levels)])).alias("c"))
     found = asked.select(*key, at, "c.level", "c.cell").join(last, [*key, "level", "cell"]).groupBy(*key, at).agg(F.max("__last").alias(name))
@@ -173,7 +177,8 @@ def reaching_definitions(definitions: DataFrame, uses: DataFrame, members: bool
     Those of its function and before it, of the same name, of what that is a member of, or (`members`) of a member of it. A definition with an `end` is
     a strong one: up to that place (its range of dominance) it hides all earlier ones of its name and of the name's members.
     The last strong one in force is found through cells, definitions are numbered in order, and the numbers from there to the use are
-    joined by equality, so a pair is met only if it is part of the result. Null names, places and functions take no part.
+    joined by equality, so a pair is met only if it is part of the result. Definitions that are hidden from all uses, and those of names without
+    one, are not numbered. Null names, places and functions take no part.
     """
     known = cut(definitions.filter("function IS NOT NULL AND name IS NOT NULL AND at IS NOT NULL").select("function", "name", F.col("at").cast("long"), F.col("end").cast("long"), "definition"))
     asked = cut(uses.filter("function IS NOT NULL AND name IS NOT NULL AND at IS NOT NULL").select("function", "name", F.col("at").cast("long"), "use"))
@@ -189,7 +194,9 @@ def reaching_definitions(definitions: DataFrame, uses: DataFrame, members: bool
     held = last_covering(by_owner, strong, ["function", "owner"], "at", "start", "end", "since")
     since = by_owner.join(held, ["function", "owner", "at"]).groupBy("function", "name", "at").agg(F.coalesce(F.max("since"), F.lit(0).cast("long")).alias("since"))
     since = cut(since)
-    key, levels = ["function", "name"], _levels((known, "at"), (places, "at"))
+    key, levels = ["function", "name"], _levels((places, "at"))
+    open_to = since.groupBy(*key).agg(F.min("since").alias("__low"), F.max("at").alias("__high"))
+    known = cut(known.join(open_to, key).filter("at >= __low AND at < __high").select(*known.columns))
     moments = places.unionByName(since.select(*key, F.col("since").alias("at"))).unionByName(known.select(*key, "at"))
     counted = cut(count_before(moments, known, key, "at", "at", "n", levels))
     ties = Window.partitionBy("function", "name", "at").orderBy("definition")  # definitions of one name at one place

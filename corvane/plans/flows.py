@@ -80,12 +80,13 @@ def flow_tables(records: DataFrame) -> dict[str, DataFrame]:
 def reached_sinks(records: DataFrame) -> DataFrame:
     """repository, path, function, sink_start, rule_id of the sinks that an untrusted source reaches with nothing on its way that clears the rule.
 
-    Each policy that clears rules has its own copy of the flows, without the sanitizers of that policy: as many copies as there are policies.
+    Each policy that clears rules has its own copy of the flows, without the sanitizers of that policy; policies of which the records have no
+    sanitizer share one with the rules that nothing clears. So there are as many copies as there are policies, at most.
     """
     spark, t = records.sparkSession, flow_tables(records)
     moves = cut(dataflow.reaching_definitions(t["definitions"], t["uses"], members=False).select(F.col("definition").alias("source"), F.col("use").alias("target")).distinct())
-    policies = sorted({policy or UNCLEARED for _, _, policy, _, _ in RULES})
-    copies = F.explode(F.array(*map(F.lit, policies))).alias("copy")
+    clearing = {r.policy for r in t["sanitizers"].select("policy").distinct().collect()} & {policy for _, _, policy, _, _ in RULES}  # of POLICIES, so a handful
+    copies = F.explode(F.array(*map(F.lit, [*sorted(clearing), UNCLEARED]))).alias("copy")
     kept = moves.join(t["sanitizers"].select(F.col("node").alias("target"), "policy"), "target", "left").select("source", "target", "policy", copies).filter("policy IS NULL OR policy != copy")
 
     def named(frame: DataFrame, *columns: str) -> DataFrame:
@@ -93,7 +94,7 @@ def reached_sinks(records: DataFrame) -> DataFrame:
         return own.select(*[F.concat_ws("\x1f", "copy", c).alias(c) for c in columns])
 
     found = dataflow.matched_reachability(named(kept, "source", "target"), named(t["calls"], "site", "actual", "formal"), named(t["returns"], "site", "result", "output"), named(t["seeds"], "node"))
-    rules = spark.createDataFrame([(rule, kind, policy or UNCLEARED) for rule, kind, policy, _, _ in RULES], "rule_id string, sink_kind string, policy string")
+    rules = spark.createDataFrame([(rule, kind, policy if policy in clearing else UNCLEARED) for rule, kind, policy, _, _ in RULES], "rule_id string, sink_kind string, policy string")
     wanted = t["sinks"].join(F.broadcast(rules), "sink_kind").withColumn("at", F.concat_ws("\x1f", "policy", "node"))
     return wanted.join(found.select(F.col("node").alias("at")).distinct(), "at", "left_semi").select("repository", "path", "function", "sink_start", "rule_id")
 

@@ -1,5 +1,6 @@
 import random
 
+from corvane.plans import flows
 from corvane.plans.fixpoint import EXAMPLE, RECORDS, candidates, record
 from corvane.plans.flows import reached_sinks
 
@@ -47,3 +48,15 @@ def test_what_the_walk_finds_is_found(spark):
     walk, joins = set(walked(spark, rows)), set(joined(spark, rows))
     assert walk <= joins and len(walk) > 5
     assert len(joins - walk) <= 0.2 * len(joins), (len(walk), len(joins))  # the walk keeps one trace a value, and one that is cleared hides others
+
+
+def test_policies_without_sanitizers_share_their_flows(spark, monkeypatch):
+    copies, whole = [], flows.dataflow.matched_reachability
+    monkeypatch.setattr(flows.dataflow, "matched_reachability", lambda moves, *rest: copies.append(moves.selectExpr("split_part(source, '\x1f', 1) AS c").distinct().count()) or whole(moves, *rest))
+    own = {"function": "a.ts::f", "path": "a.ts"}
+    rows = [record("function", 0, name="f", **own), record("source", 10, name="http-query", output="x", **own)]
+    sinks = [record("sink", at, name=kind, callee="run", values=["x"], **own) for at, kind in ((30, "process-execution"), (40, "redirect"), (50, "cli-option-injection"), (60, "prototype-mutation"))]
+    assert joined(spark, rows + sinks) == [("SE1001", "a.ts", 30), ("SE1005", "a.ts", 40), ("SE1008", "a.ts", 50), ("SE1009", "a.ts", 60)]
+    cleared = [record("sanitizer", 20, name="escapeShell", output="y", values=["x"], **own)] + [r | {"values": [v | {"value": "y"} for v in r["values"]]} for r in sinks]
+    assert joined(spark, rows + cleared) == [("SE1005", "a.ts", 40), ("SE1009", "a.ts", 60)]
+    assert copies == [1, 2]

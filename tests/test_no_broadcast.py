@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import dataflow
 from corvane.operators.lineage import cut
-from corvane.plans.fixpoint import EXAMPLE, RECORDS
+from corvane.plans.fixpoint import EXAMPLE, RECORDS, resolve
 from corvane.plans.flows import reached_sinks
 
 
@@ -33,3 +33,17 @@ def test_reaching_definitions_broadcasts_nothing(spark, members):
 def test_sinks_of_records_broadcast_only_the_rules(spark):
     found = reached_sinks(spark.createDataFrame(EXAMPLE, RECORDS))
     assert plan_of(found).count("BroadcastHashJoin") == 1
+
+
+def test_what_imports_name_is_not_broadcast(spark):
+    """A row an import: adaptive execution would broadcast it for what it takes in a shuffle."""
+    found = resolve(cut(spark.createDataFrame(EXAMPLE, RECORDS)))
+    found.collect()
+    assert "BroadcastExchange" not in plan_of(found).split("== Initial Plan ==")[0]
+    assert found.filter("target IS NOT NULL").count() > 0
+
+
+def test_a_round_of_many_rows_is_not_broadcast(spark):
+    """As a hash table, a hundred thousand rows of names are some twenty megabytes on the driver, twice a round."""
+    delta = cut(spark.range(20_000).selectExpr("concat('a name of a node of a program ', id) AS node"))
+    assert "BroadcastHashJoin" not in plan_of(cut(spark.range(10).selectExpr("'x' AS node")).join(dataflow._side(delta, 20_000), "node"))

@@ -68,3 +68,12 @@ def test_matched_calls_shuffle_their_edges_once_however_many_rounds_there_are(sp
     rows = shuffled(spark, lambda: found.extend(dataflow.matched_reachability(moves, calls, returns, spark.createDataFrame([("a0",)], "node string")).collect()))
     assert sorted(map(tuple, found)) == sorted([(f"a{i}", False) for i in range(11)] + [("f", True), ("b", False)])
     assert rows < 4 * n, rows
+
+
+def test_definitions_that_none_sees_are_neither_dealt_over_cells_nor_numbered(spark):
+    n = 5_000
+    definitions = cut(spark.range(n).selectExpr("'f' AS function", "'x' AS name", "id * 1000 AS at", "999999999L AS end", "id AS definition"))
+    uses, found = cut(spark.range(1).selectExpr("'f' AS function", "'x' AS name", "100000000L AS at", "7L AS use")), []
+    rows = shuffled(spark, lambda: found.extend(dataflow.reaching_definitions(definitions, uses).collect()))
+    assert list(map(tuple, found)) == [(7, n - 1)]
+    assert rows < 4 * n, rows
