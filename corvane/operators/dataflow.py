@@ -18,13 +18,15 @@ from corvane.operators.lineage import cut, dealt
 SALTS = 16
 #: Rows of a round's table that may be broadcast: a few megabytes of names and their hash table, whatever the input.
 FEW = 10_000
+#: Rows of a round's table that one task may hold as a hash table: a few hundred megabytes of names.
+HASHED = 2_000_000
 
 
-def _grown(found: DataFrame) -> tuple[DataFrame, int]:
-    """The frame as a table, and its number of rows."""
+def _grown(found: DataFrame, *sums: str) -> tuple:
+    """The frame as a table, its number of rows, and the sums of these columns."""
     seen = Observation()
-    table = cut(found.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return table, seen.get["rows"]
+    table = cut(found.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]))
+    return table, seen.get["rows"], *[seen.get[c] for c in sums]
 
 
 def _unknown(found: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
@@ -38,6 +40,13 @@ def _side(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if rows <= FEW else frame
 
 
+def _beside(frame: DataFrame, rows: int, even: bool = True) -> DataFrame:
+    """A round's table of that many rows, to be joined with one in buckets (lineage.dealt without `sorts`): broadcast if they are few, else a hash
+    table a task, so that rounds read what they join and don't sort it. Sides too large for that are sorted; unless they are `even`, one task may get all."""
+    most = HASHED // 8 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) if even else HASHED
+    return F.broadcast(frame) if rows <= FEW else frame.hint("shuffle_hash" if rows <= most else "merge")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     """A union of tables joins as they do (lineage.cut): hints don't pass a union by themselves."""
     return reduce(DataFrame.unionByName, frames).hint("merge")
@@ -46,59 +55,99 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 # Calls that return where they came from
 
 
-def summary_edges(moves: DataFrame, calls: DataFrame, returns: DataFrame) -> DataFrame:
-    """moves (source, target) inside functions, calls (site, actual, formal), returns (site, result, output) -> source, target:
-    what goes in at a call's site and comes out at the same one, through any number of nested and recursive calls.
+def _salted(*of: str) -> Column:
+    return F.pmod(F.xxhash64(*of), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _every_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
 
-    Paths from a function's parameters to its other values grow by moves and by the summaries of the calls in it; where one reaches a
-    result, every site of the function gets a summary. A busy function's sites are salted, as one row of a path meets them all. Moves and sites
-    lie in buckets, so rounds shuffle paths and summaries alone.
+def _few(tables: list[DataFrame]) -> list[DataFrame]:
+    """What a loop has found, in a handful of tables however many rounds there were."""
+    return [cut(_union(tables))] if len(tables) > 8 else tables
+
+
+def summary_edges(moves: DataFrame, calls: DataFrame, returns: DataFrame) -> list[DataFrame]:
+    """moves (target, source) inside functions, calls (formal, salt, site, actual), returns (site, result, output), in buckets of target, of formal and salt, and
+    of site and result -> tables of source, target: what goes in at a call's site and comes out at the same one, through any number of nested and recursive calls.
+
+    Paths grow backwards from results, by moves and by summaries of calls: a function has few results, often one, but may have many parameters
+    and values that no result depends on. Where one comes to a parameter, every site of the function that takes the result gets a summary, once.
+    Rounds shuffle new paths, the sites they complete and known paths, no moves, calls or returns; summaries lie in buckets as moves do.
     """
-    salt = F.pmod(F.xxhash64("actual", "output"), F.lit(SALTS)).cast("int").alias("salt")
-    crossings = dealt(calls.join(returns, "site").select("formal", "result", "actual", "output").select("*", salt), "formal", "result", "salt")
-    moves = dealt(moves.select("source", "target"), "source")
-    ways = cut(crossings.select("formal", "result").distinct())
-    formal = ways.select("formal").distinct()
-    delta, rows = _grown(formal.select(F.lit("path").alias("kind"), F.col("formal").alias("source"), F.col("formal").alias("target")))
-    known = [delta]
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    formals = cut(calls.groupBy(F.col("formal").alias("node")).agg(F.count(F.lit(1)).alias("sites")))  # a busy function's sites are salted, as one row of a path meets them all
+    results = returns.filter("result IS NOT NULL").select(F.col("result").alias("node"), "result").distinct()
+    delta, rows, sites = _grown(results.join(formals, "node", "left"), "sites")
+    known, total = [delta], rows
+    edges, summaries = [moves], []
+
+    def longer(step: DataFrame, paths: DataFrame, n: int) -> DataFrame:
+        ends = _beside(paths.select(F.col("node").alias("target"), "result"), n, even=False)
+        return step.join(ends, "target").select(F.col("source").alias("node"), "result")
+
     while rows:
-        everything = _union(known)
-        paths, summaries = everything.filter("kind = 'path'"), everything.filter("kind = 'summary'")
-        new_paths, new_summaries = delta.filter("kind = 'path'"), delta.filter("kind = 'summary'")
-
-        def longer(path: DataFrame, edges: DataFrame) -> DataFrame:
-            step = edges.select(F.col("source").alias("target"), F.col("target").alias("next"))
-            return path.join(step, "target").select(F.lit("path").alias("kind"), "source", F.col("next").alias("target"))
-
-        whole = new_paths.select(F.col("source").alias("formal"), F.col("target").alias("result")).join(ways, ["formal", "result"], "left_semi")
-        through = whole.select("formal", "result", salts).join(crossings, ["formal", "result", "salt"])
-        found = [longer(new_paths, moves), longer(new_paths, summaries), longer(paths, new_summaries), through.select(F.lit("summary").alias("kind"), F.col("actual").alias("source"), F.col("output").alias("target"))]
-        delta, rows = _grown(_unknown(_union(found), everything, ["kind", "source", "target"]))
-        known.append(delta)
-    return _union(known).filter("kind = 'summary'").select("source", "target")
+        found = [longer(step, delta, rows) for step in edges]
+        if sites:
+            whole = delta.filter("sites IS NOT NULL").select(F.col("node").alias("formal"), "result", _every_salt())
+            through = calls.join(_beside(whole, rows * SALTS, even=rows <= HASHED), ["formal", "salt"]).select("site", "result", "actual")
+            through = returns.join(_beside(through, sites), ["site", "result"]).select(F.col("output").alias("target"), F.col("actual").alias("source"))
+            new = dealt(through, "target", once=False, sorts=False)
+            found.append(longer(new, _union(known), total))
+            summaries.append((new, sites))
+            while len(summaries) > 1 and summaries[-2][1] <= 2 * summaries[-1][1]:  # so there are few of them, and each row is written anew a few times
+                (one, n), (other, m) = summaries[-2:]
+                summaries[-2:] = [(dealt(_union([one, other]), "target", once=False, sorts=False), n + m)]
+            edges = [moves, *[table for table, _ in summaries]]
+        fresh = _unknown(_union(found), _union(known), ["node", "result"])
+        delta, rows, sites = _grown(fresh.join(formals, "node", "left"), "sites")
+        known, total = _few([*known, delta]), total + rows
+    return [table.select("source", "target") for table, _ in summaries]
 
 
 def matched_reachability(moves: DataFrame, calls: DataFrame, returns: DataFrame, seeds: DataFrame) -> DataFrame:
-    """node, entered: what the seeds (node) reach by moves, by summaries of calls, out of the functions they stand in (any caller), and then
-    into calls; after entering one (`entered`) a value leaves it only through a summary, that is, where it came in."""
-    inside = moves.select("source", "target").unionByName(summary_edges(moves, calls, returns)).withColumn("way", F.lit("inside"))
-    down = calls.select(F.col("actual").alias("source"), F.col("formal").alias("target"), F.lit("down").alias("way"))
-    edges = dealt(inside.unionByName(down), "source")
-    # A busy function's result goes out to very many sites, which are salted; other nodes never meet them.
-    salts, salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.pmod(F.xxhash64("output"), F.lit(SALTS)).cast("int").alias("salt")
-    results, up = dealt(returns.select(F.col("result").alias("node")), "node"), dealt(returns.select(F.col("result").alias("node"), F.col("output").alias("target"), salt), "node", "salt")
-    delta, rows = _grown(seeds.select("node", F.lit(False).alias("entered")).distinct())
-    known = [delta]
+    """moves (source, target) inside functions, calls (site, actual, formal), returns (site, result, output), seeds (node) -> node, entered: what the seeds
+    reach by moves, by summaries of calls, out of the functions they stand in (any caller), and then into calls; after entering one (`entered`) a
+    value leaves it only through a summary, that is, where it came in.
+
+    All that is reached without entering comes first, so no node is reached twice and its rounds read no calls; then what is entered from there.
+    Moves, calls, returns and summaries are shuffled once for each key that rounds join them on, and not sorted in a round.
+    """
+    moves = dealt(moves.select("target", "source"), "target", once=False, sorts=False)
+    calls = dealt(calls.select("formal", _salted("site", "actual"), "site", "actual"), "formal", "salt", once=False, sorts=False)
+    returns = dealt(returns.select("site", "result", "output"), "site", "result", sorts=False)  # each row once, or rows that calls and returns have twice were four summaries
+    inside = dealt(_union([moves.select("source", "target"), *summary_edges(moves, calls, returns)]), "source", once=False, sorts=False)
+    exits, up = cut(returns.select(F.col("result").alias("node"), F.lit(1).alias("leaves")).distinct()), None
+
+    def along(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+        return edges.join(_beside(nodes.select(F.col("node").alias("source")), n), "source").select(F.col("target").alias("node"))
+
+    delta, rows, leaving = _grown(seeds.select("node").distinct().join(exits, "node", "left"), "leaves")
+    within, total = [delta], rows
     while rows:
-        on = edges.join(_side(delta, rows).withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), (F.col("entered") | (F.col("way") == "down")).alias("entered"))
-        leaving = results.join(_side(delta.filter("NOT entered").select("node"), rows), "node").select("node", salts)
-        out = up.join(leaving, ["node", "salt"]).select(F.col("target").alias("node"), F.lit(False).alias("entered"))
-        fresh = on.unionByName(out).groupBy("node").agg(F.min("entered").alias("entered"))
-        before = _union(known).groupBy("node").agg(F.min("entered").alias("was"))  # not entered allows all that entered does
-        delta, rows = _grown(fresh.join(before, "node", "left").filter("was IS NULL OR (was AND NOT entered)").select("node", "entered"))
-        known.append(delta)
-    return _union(known).groupBy("node").agg(F.min("entered").alias("entered"))
+        found = [along(inside, delta, rows)]
+        if leaving:
+            gone = delta.filter("leaves IS NOT NULL").select(F.col("node").alias("result"))
+            if leaving <= FEW:
+                out = returns.join(F.broadcast(gone), "result")
+            else:  # a busy function's result goes out to very many sites, which are salted
+                up = up or dealt(returns.select("result", _salted("output"), "output"), "result", "salt", once=False, sorts=False)
+                out = up.join(_beside(gone.select("result", _every_salt()), leaving * SALTS), ["result", "salt"])
+            found.append(out.select(F.col("output").alias("node")))
+        delta, rows, leaving = _grown(_unknown(_union(found), _union(within), ["node"]).join(exits, "node", "left"), "leaves")
+        within, total = _few([*within, delta]), total + rows
+
+    within = [table.select("node") for table in within]
+    down = dealt(calls.select(F.col("actual").alias("source"), F.col("formal").alias("target")), "source", once=False, sorts=False)
+    delta, rows = _grown(_unknown(along(down, _union(within), total), _union(within), ["node"]))
+    entered = [delta]
+    while rows:
+        found = [along(inside, delta, rows), along(down, delta, rows)]
+        delta, rows = _grown(_unknown(_union(found), _union([*within, *entered]), ["node"]))
+        entered = _few([*entered, delta])
+    reached = _union([table.select("node", F.lit(False).alias("entered")) for table in within] + [table.select("node", F.lit(True).alias("entered")) for table in entered])
+    # Rounds find each node once, but can't tell that a null is known.
+    return _union([reached.filter("node IS NOT NULL"), reached.filter("node IS NULL").groupBy("node").agg(F.min("entered").alias("entered"))])
 
 
 # Places in order, by cells

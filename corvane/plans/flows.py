@@ -122,10 +122,10 @@ def program_of_lines(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     name = lambda prefix, *c: F.concat(F.lit(prefix), F.concat_ws(".", *c))
     here, got = name("o", "l_orderkey", "l_linenumber"), name("x", "l_orderkey", "l_linenumber")
     status, given, gone = name("m", "l_linestatus"), name("mr", "l_linestatus"), name("y", "l_orderkey", "l_linenumber")
-    pairs = line.select("l_partkey", "l_suppkey").distinct()
+    pairs = line.select("l_partkey", "l_suppkey")
     site, middle = name("c", "l_partkey", "l_suppkey"), name("pm", "l_partkey", "l_suppkey")
     after = line.select("l_orderkey", F.col("l_linenumber").alias("n")).distinct()
-    chain = line.join(after, ["l_orderkey"]).filter("n = l_linenumber + 1").select(gone.alias("source"), name("o", "l_orderkey", "n").alias("target"))
+    chain = after.select("l_orderkey", F.col("n").alias("l_linenumber")).join(after, ["l_orderkey"]).filter("n = l_linenumber + 1").select(gone.alias("source"), name("o", "l_orderkey", "n").alias("target"))
     priced = pairs.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     moves = [
         chain, priced.filter("s_acctbal BETWEEN p_retailprice AND p_retailprice + 100").select(middle.alias("source"), name("pr", "l_partkey").alias("target")),
@@ -134,9 +134,8 @@ def program_of_lines(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     ]
     calls = [line.select(name("a", "l_orderkey", "l_linenumber").alias("site"), here.alias("actual"), name("p", "l_partkey").alias("formal")), line.select(name("b", "l_orderkey", "l_linenumber").alias("site"), got.alias("actual"), status.alias("formal")), pairs.select(site.alias("site"), name("p", "l_partkey").alias("actual"), name("s", "l_suppkey").alias("formal"))]
     returns = [line.select(name("a", "l_orderkey", "l_linenumber").alias("site"), name("pr", "l_partkey").alias("result"), got.alias("output")), line.select(name("b", "l_orderkey", "l_linenumber").alias("site"), given.alias("result"), gone.alias("output")), pairs.select(site.alias("site"), name("sr", "l_suppkey").alias("result"), middle.alias("output"))]
-    urgent = orders.filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), "o_orderkey", F.lit(".1")).alias("node"))
-    first = line.select(here.alias("node")).distinct()
-    seeds = [urgent.join(first, "node", "left_semi"), supplier.filter("s_acctbal < 0").select(name("sx", "s_suppkey").alias("node"))]
+    urgent = orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    seeds = [line.filter("l_linenumber = 1").join(urgent, "l_orderkey", "left_semi").select(here.alias("node")), supplier.filter("s_acctbal < 0").select(name("sx", "s_suppkey").alias("node"))]
     whole = lambda frames: frames[0].unionByName(frames[1]) if len(frames) == 2 else whole([frames[0].unionByName(frames[1]), *frames[2:]])
     return {"moves": whole(moves), "calls": whole(calls), "returns": whole(returns), "seeds": whole(seeds)}
 
